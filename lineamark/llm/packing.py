@@ -13,7 +13,9 @@ An empty table gives no rows. Other columns of the input are ignored, whatever t
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineamark.llm.spans import encoded, pieces, text_bytes
+from lineamark.llm.transducer import byte_alphabet
 
 CAPACITY = 2048
 #: Left-overs that are packed together: bounds memory; padding is about half a window for each group.
 GROUP = 1024
 #: Words whose tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -100,9 +103,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.single = None
         self.pattern = regex.compile(PATTERN)
         self.special = {t.content.encode(): np.uint32(i).tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.known: dict[bytes, bytes] = dict(self.special)
+        self.known = self.memory()
         kind = np.full(256, self.OTHER, np.uint8)
         for a, b in ((65, 91), (97, 123), (0x80, 0x100)):
             kind[a:b] = self.LETTER
@@ -115,6 +119,34 @@ class Tokens:
         odd[0xC2], odd[0xC6:0x100] = True, True
         self.odd = odd
 
+    def memory(self) -> dict[bytes, bytes]:
+        """Ids of each piece that was seen, as bytes; new pieces are merged by rank.
+
+        Where a file's ids rise with its merges, as ranks do, pieces go to a merger by rank; else to the library.
+        """
+        if self.single is None:
+            model = json.loads(self.tok.to_str())["model"]
+            merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            made = [model["vocab"][a + b] for a, b in merges]
+            byte = {c: b for b, c in enumerate(byte_alphabet())}
+            if made == sorted(made) and not model.get("ignore_merges") and all(c in model["vocab"] for c in byte):
+                import tiktoken
+
+                joined = {a + b for a, b in merges} | set(byte)
+                ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t in joined}
+                self.single = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            else:
+                self.single = lambda w: self.tok.encode(w.decode(), add_special_tokens=False).ids
+        single = self.single
+
+        class Memory(dict):
+            def __missing__(self, w: bytes) -> bytes:
+                ids = single(w)
+                self[w] = ids = struct.pack(f"<{len(ids)}I", *ids)
+                return ids
+
+        return Memory(self.special)
+
     def cut(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where the pattern's pieces begin, and the end of the data."""
         n = len(data)
@@ -164,11 +196,8 @@ class Tokens:
         cuts = self.cut(data, rows)
         codes, words = encoded(data, cuts)
         if len(self.known) > REMEMBERED:
-            self.known = dict(self.special)
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False) if new else (), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        each = [self.known[w] for w in words]
+            self.known = self.memory()
+        each = list(map(self.known.__getitem__, words))
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
         begin = np.cumsum(size) - size

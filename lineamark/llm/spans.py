@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Runs of rows of the batch with at most so many bytes of text, a longer text alone."""
     col = batch.column(text)
     ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -52,7 +52,9 @@ def encoded(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]
         return np.zeros(0, np.int32), []
     spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
     d = spans.dictionary_encode()
-    return d.indices.to_numpy(), d.dictionary.to_pylist()
+    known, at = text_bytes(d.dictionary)
+    raw, at = known.tobytes(), at.tolist()
+    return d.indices.to_numpy(), [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

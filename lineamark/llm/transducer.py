@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.spans import LOWER, encoded, pieces, text_bytes
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters of text that are normalised and cut at a time.
 RUN = 1 << 16
 
@@ -93,25 +93,19 @@ class Encoder:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges of a window, lowest rank first, leftmost first."""
-        rank, none = self.rank, len(self.rank)
-        while len(symbols) > 1:
-            pairs = [rank.get(p, none) for p in zip(symbols, symbols[1:])]
-            best = min(pairs)
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            a, b = symbols[i := pairs.index(best)], symbols[i + 1]
-            if pairs.count(best) == 1:
-                symbols[i : i + 2] = [a + b]
-                continue
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                if i + 1 < n and symbols[i] == a and symbols[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
         return symbols
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
@@ -139,7 +133,12 @@ class Encoder:
 
     def word(self, word: bytes) -> list[int]:
         """Ids of a piece of the pattern, already normalised."""
-        tokens = self.merged(list(self.symbols(word))) if len(word) <= 4 * self.lookahead else self.stream(self.symbols(word))
+        if len(word) <= 4 * self.lookahead:
+            symbols = [self.alphabet[b] for b in word]
+            symbols[-1] += self.end
+            tokens = self.merged(symbols)
+        else:
+            tokens = self.stream(self.symbols(word))
         return [self.vocab[t] for t in tokens if t in self.vocab]
 
     def parts(self, text: str) -> Iterator[str]:
@@ -194,7 +193,7 @@ class Decoder:
         self.token = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
         self.bytes = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.byte = {c: b for b, c in enumerate(byte_alphabet())}
-        self.close()
+        self.machine, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
 
     def raw(self, token: str) -> bytes:
         try:
@@ -203,16 +202,22 @@ class Decoder:
             return token.encode()
 
     def feed(self, ids: Iterable[int]) -> str:
+        if not self.bytes:
+            text = " ".join([t for t in map(self.token.get, ids) if t is not None])
+            text, self.first = text if self.first or not text else " " + text, self.first and not text
+            return text
         out = []
         for t in map(self.token.get, ids):
             if t is not None:
-                out.append(self.machine.decode(self.raw(t)) if self.bytes else ("" if self.first else " ") + t)
-                self.first = False
+                out.append(self.machine.decode(self.raw(t)))
         return "".join(out)
 
     def close(self) -> str:
-        rest = self.machine.decode(b"", True) if hasattr(self, "machine") else ""
-        self.machine, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
+        self.first = True
+        if not self.bytes:
+            return ""
+        rest = self.machine.decode(b"", True)
+        self.machine.reset()
         return rest
 
 
