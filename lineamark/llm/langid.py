@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineamark.llm.spans import LOWER, pieces, text_bytes
 
@@ -245,9 +246,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 lang, score = predict(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*plain.columns, *names])
 
-    schema = plain.schema
-    for name, kind in zip(names, ("string", "double"), strict=True):
-        schema = schema.add(name, kind)
+    schema = T.StructType([*plain.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return plain.mapInArrow(run, schema)
 
 

@@ -23,6 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineamark.llm.shared import free_name
 
@@ -247,7 +248,7 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
                 columns[text] = pa.array([t for t, _ in done], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], kind)], names=[*plain.columns, name])
 
-    return plain.mapInArrow(run, plain.schema.add(name, "array<struct<kind:string,begin:int,end:int>>"))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(name, T._parse_datatype_string("array<struct<kind:string,begin:int,end:int>>"))]))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
