@@ -238,13 +238,14 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     names = [free_name(docs, "lang_pred"), free_name(docs, "score")]
     text = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    columns = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model)
         for batch in batches:
             for part in pieces(batch, text, 1 << 20):
                 lang, score = predict(part.column(text))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*plain.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, *names])
 
     schema = T.StructType([*plain.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return plain.mapInArrow(run, schema)

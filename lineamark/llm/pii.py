@@ -235,6 +235,7 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
     name = free_name(docs, "entities")
     text = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    all_names = [*plain.columns, name]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
                 done = [surrogated(t, made) for t in part.column(text).to_pylist()]
                 columns = part.columns
                 columns[text] = pa.array([t for t, _ in done], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], kind)], names=[*plain.columns, name])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], kind)], names=all_names)
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(name, T._parse_datatype_string("array<struct<kind:string,begin:int,end:int>>"))]))
 
