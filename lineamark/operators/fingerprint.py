@@ -52,7 +52,7 @@ def text_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, entropy: Shannon entropy of the lower-case text's characters over 8, at most 1; under 10 characters 0."""
     each = df.select(F.col(key).alias("k"), F.explode_outer(F.when(F.length(text) >= 10, F.split(F.lower(text), ""))).alias("c"))
     counts = each.where("c is null or c <> ''").groupBy("k", "c").agg(F.when(F.col("c").isNotNull(), F.count("*")).alias("n")).groupBy("k").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return counts.select(F.col("k").alias(key), F.coalesce(F.least(F.lit(1.0), (F.log2(F.col("total").cast("double")) - F.col("s") / F.col("total")) / 8), F.lit(0.0)).alias("entropy"))
+    return counts.select(F.col("k").alias(key), F.when(F.col("total") > 0, F.least(F.lit(1.0), (F.log2(F.col("total").cast("double")) - F.col("s") / F.col("total")) / 8)).otherwise(0.0).alias("entropy"))
 
 
 def char_entropy(text: str) -> float:
@@ -103,15 +103,24 @@ def anchor_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")), " +"), lambda w: F.length(w) > 1)
 
 
-def shingles(words: Column, size: int) -> Column:
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once: expressions in lambdas are computed again for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def runs(words: Column, size: int) -> Column:
     """Distinct runs of size words; too few words: none."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
-    return F.when(F.size(words) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, size), " "))))
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1))
+        return F.when(F.size(w) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " "))))
+
+    return let(words, of)
 
 
 def document_frequency(df: DataFrame, key: str, text: str, size: int = SHORTEST) -> DataFrame:
     """shingle, df: in how many keys each shingle of size words occurs. Counted in tasks first."""
-    return df.select(key, F.explode(shingles(anchor_tokens(F.col(text)), size)).alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+    return df.select(key, F.explode(runs(anchor_tokens(F.col(text)), size)).alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
 
 
 class Anchors:
@@ -188,7 +197,7 @@ def anchors_by_frequency(df: DataFrame, key: str, text: str, frequency: DataFram
     n = F.size("w")
     at = {"beginning": F.lit(1), "middle": F.floor((n - ZONE_WORDS) / 2).cast("int") + 1, "end": n - ZONE_WORDS + 1}
     zones = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.when(n < ZONE_WORDS, F.col("w")).otherwise(F.slice("w", F.greatest(F.lit(1), at[z]), ZONE_WORDS)).alias("w")) for z in ZONES)))
-    each = words.select("k", zones.alias("z")).select("k", "z.zone", F.explode(F.array_distinct(F.flatten(F.array(*(shingles(F.col("z.w"), s) for s in range(low, high + 1)))))).alias("shingle"))
+    each = words.select("k", zones.alias("z")).select("k", "z.zone", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("z.w"), s) for s in range(low, high + 1)))))).alias("shingle"))
     chars = F.split("shingle", "")
     count = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double"))
     length = F.length("shingle").cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineamark.functions.text import hamming, marked, normalized_sha, sha, tag_id, watermark_id
+from lineamark.operators.fingerprint import runs
 
 NEAR = 0.9
 
@@ -93,6 +94,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _numbered(k: int):
+    return lambda s: F.struct(F.lit(k).alias("n"), s.alias("seed"))
+
+
 def seeded(fragments: DataFrame, suspects: DataFrame, n: int = 4) -> DataFrame:
     """fragment_id, suspect_id pairs that share a run of n whole words: the fragment's second to (n+1)th.
 
@@ -103,8 +108,8 @@ def seeded(fragments: DataFrame, suspects: DataFrame, n: int = 4) -> DataFrame:
     f = fragments.select("fragment_id", "fragment", words_of(F.col("fragment")).alias("w")).select("fragment_id", F.slice(inner, 1, n).alias("s")).withColumn("n", F.size("s"))
     seeds = f.where("n > 0").select("fragment_id", "n", F.array_join("s", " ").alias("seed"))
     w = suspects.select("suspect_id", words_of(F.col("text")).alias("w"))
-    runs = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i, k=k: F.struct(F.lit(k).alias("n"), F.array_join(F.slice("w", i, k), " ").alias("seed"))) for k in range(1, n + 1))))
-    grams = w.select("suspect_id", F.explode(F.array_distinct(runs)).alias("g")).select("suspect_id", "g.n", "g.seed")
+    grams_of = F.flatten(F.array(*(F.transform(runs(F.col("w"), k), _numbered(k)) for k in range(1, n + 1))))
+    grams = w.select("suspect_id", F.explode(grams_of).alias("g")).select("suspect_id", "g.n", "g.seed")
     some = grams.join(F.broadcast(seeds.select("n").distinct()), "n", "left_semi").join(seeds, ["n", "seed"]).select("fragment_id", "suspect_id").distinct()
     rest = f.where("n = 0").select("fragment_id").crossJoin(suspects.select("suspect_id"))
     return some.unionByName(rest)

@@ -1,4 +1,481 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries over the driver's tables by name, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
+documents are artifacts; their marked forms are evidence; suspects are made from documents by doc_id modulo 8: marked,
+unchanged, respaced, header-marked, with a word put before, the first half of it, unrelated, empty.
+source plays the model, lang its version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lineamark.functions import text as T
+from lineamark.operators import fingerprint as P
+from lineamark.operators import match as M
+from lineamark.sources import store as S
+from lineamark.streaming import tasks as K
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+URL = "https://verify.example/"
+NOW = "2024-01-02 00:00:00"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def url_of(key="doc_id"):
+    return F.concat(F.lit(URL), F.col(key).cast("string"))
+
+
+def suspects_of(docs: DataFrame) -> DataFrame:
+    t, tag, k = F.col("text"), T.watermark_id(F.col("doc_id")), F.pmod(F.col("doc_id"), F.lit(8))
+    kinds = [T.marked(t, tag, url_of()), t, F.concat(F.lit("  "), F.replace(t, F.lit(" "), F.lit("  "))), T.marked(t, tag, url_of(), "header"), F.concat(F.lit("edited "), t), F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")), F.concat(F.lit("Unrelated words "), F.md5(F.col("doc_id").cast("string"))), F.lit("")]
+    out = F.when(k == 0, kinds[0])
+    for i, kind in enumerate(kinds[1:], 1):
+        out = out.when(k == i, kind)
+    return docs.select(F.col("doc_id").alias("suspect_id"), out.alias("text"))
+
+
+def evidence_of(docs: DataFrame) -> DataFrame:
+    return M.evidence_of(docs, "doc_id", "text", url_of())
+
+
+def fragments_of(docs: DataFrame) -> DataFrame:
+    f = P.fragments(docs, "doc_id", "text")
+    return f.select(F.concat_ws("_", F.col("doc_id").cast("string"), "location").alias("fragment_id"), F.col("doc_id").alias("artifact_id"), "fragment")
+
+
+# --- SQL building blocks
+
+
+def norm_sql(t: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({t}), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def strip_sql(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+def drop_sql(t: str, patterns) -> str:
+    for p in patterns:
+        t = f"regexp_replace({t}, '{p}', '', 'g')"
+    return strip_sql(t)
+
+
+TAG_SQL = "'wmk-' || substr(md5('watermark:' || doc_id), 1, 8) || '-' || substr(md5('watermark:' || doc_id), 9, 4) || '-4' || substr(md5('watermark:' || doc_id), 14, 3) || '-a' || substr(md5('watermark:' || doc_id), 18, 3) || '-' || substr(md5('watermark:' || doc_id), 21, 12)"
+URL_SQL = f"'{URL}' || doc_id"
+NL = "chr(10)"
+FOOTER_SQL = f"text || {NL} || {NL} || '---' || {NL} || 'AI Provenance Tag: ' || {TAG_SQL} || {NL} || 'Verify: ' || {URL_SQL} || {NL} || '{T.CREDIT}' || {NL}"
+HEADER_SQL = f"'AI Provenance Tag: ' || {TAG_SQL} || {NL} || 'Verify: ' || {URL_SQL} || {NL} || '---' || {NL} || {NL} || text"
+INLINE_SQL = f"CASE WHEN strpos(text, {NL} || {NL}) > 0 THEN substr(text, 1, strpos(text, {NL} || {NL}) + 1) || ' [AI Generated: ' || {TAG_SQL} || ']' || substr(text, strpos(text, {NL} || {NL}) + 2) ELSE {FOOTER_SQL} END"
+DROP_TAG_SQL = ("(?sm)\\n+---+\\n+AI Provenance Tag:.*$", "(?m)^AI Provenance Tag:.*?\\n+---+\\n+", "\\s*\\[AI Generated:.*?\\]")
+DROP_COMMON_SQL = ("(?sm)\\n+---+\\n+AI Provenance.*$", "(?m)^AI Provenance.*\\n+---+\\n+", "\\[AI Generated:.*?\\]", "Verify:\\s*https?://[^\\s]+")
+SUSPECTS_SQL = f"suspects AS (SELECT doc_id AS suspect_id, CASE doc_id % 8 WHEN 0 THEN {FOOTER_SQL} WHEN 1 THEN text WHEN 2 THEN '  ' || replace(text, ' ', '  ') WHEN 3 THEN {HEADER_SQL} WHEN 4 THEN 'edited ' || text WHEN 5 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) WHEN 6 THEN 'Unrelated words ' || md5(CAST(doc_id AS VARCHAR)) ELSE '' END AS text FROM documents)"
+EVIDENCE_SQL = f"evidence AS (SELECT doc_id AS artifact_id, {TAG_SQL} AS watermark_id, sha256(text) AS hash_before, sha256({FOOTER_SQL}) AS hash_after, sha256({norm_sql('text')}) AS norm_before, sha256({norm_sql(FOOTER_SQL)}) AS norm_after FROM documents)"
+EXACT_SQL = f"""exact AS (SELECT suspect_id, m.artifact_id AS artifact_id, m.how AS how, m.confidence AS confidence FROM (
+  SELECT suspect_id, min({{'place': place, 'artifact_id': artifact_id, 'how': how, 'confidence': confidence}}) AS m FROM (
+    SELECT suspect_id, sha256(text) AS raw, sha256({norm_sql('text')}) AS norm FROM suspects) s JOIN (
+    SELECT artifact_id, hash_after AS h, 'raw' AS f, 'after' AS how, 0 AS place, CAST(1.0 AS DOUBLE) AS confidence FROM evidence UNION ALL SELECT artifact_id, hash_before, 'raw', 'before', 1, 1.0 FROM evidence
+    UNION ALL SELECT artifact_id, norm_after, 'norm', 'normalized', 2, 0.95 FROM evidence UNION ALL SELECT artifact_id, norm_before, 'norm', 'normalized', 3, 0.95 FROM evidence) e
+  ON (e.f = 'raw' AND e.h = s.raw) OR (e.f = 'norm' AND e.h = s.norm) GROUP BY suspect_id))"""
+
+
+def simhash_sql(name: str, source: str, key: str) -> str:
+    bits = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {'-' if b == 63 else ''}{2**b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64))
+    return f"""{name}_t AS (SELECT {key} AS k, CAST('0x' || substr(md5(t), 1, 16) AS UBIGINT) AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {source})),
+{name} AS (SELECT {key}, CAST(coalesce(v, 0) AS BIGINT) AS simhash FROM {source} LEFT JOIN (SELECT k, {bits} AS v FROM {name}_t GROUP BY k) x ON x.k = {source}.{key})"""
+
+
+FRAGMENTS_SQL = """frag_r AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+frag_w AS (SELECT doc_id, text, n, location, unnest(range(a, b, greatest(1, (b - a) // 10))) AS p FROM (
+  SELECT doc_id, text, n, 'beginning' AS location, 0 AS a, greatest(200, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) AS b FROM frag_r
+  UNION ALL SELECT doc_id, text, n, 'middle', CAST(floor(n * 0.25::DOUBLE) AS BIGINT), least(n - 200, CAST(floor(n * 0.25::DOUBLE) AS BIGINT) + CAST(floor(n * 0.5::DOUBLE) AS BIGINT)) FROM frag_r
+  UNION ALL SELECT doc_id, text, n, 'end', greatest(0, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) - 200), n - 200 FROM frag_r) WHERE a < b),
+frag_c AS (SELECT doc_id, location, p, c, count(*) AS k FROM (SELECT doc_id, location, p, unnest(string_split(lower(substr(text, p + 1, 201)), '')) AS c FROM frag_w WHERE length(substr(text, p + 1, 201)) >= 160) GROUP BY ALL),
+frag_e AS (SELECT doc_id, location, p, round(least(1.0, (log2(sum(k)) - sum(k * log2(k)) / sum(k)) / 8), 9) AS e FROM frag_c GROUP BY ALL),
+frag_b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, location ORDER BY e DESC, p) AS r FROM frag_e),
+frags AS (SELECT b.doc_id AS doc_id, location, p AS offset_start, least(p + 200, n) AS offset_end, substr(text, p + 1, 201) AS fragment, e AS entropy FROM frag_b b JOIN frag_r USING (doc_id) WHERE r = 1 AND e >= 0.4)"""
+TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')), '^ +| +$', '', 'g'), ' '), lambda w: length(w) > 1)"
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in P.STOPWORDS) + "]"
+ANCHORS_SQL = f"""anchor_t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
+anchor_z AS (SELECT doc_id, 'beginning' AS zone, list_slice(w, 1, 400) AS w FROM anchor_t UNION ALL
+  SELECT doc_id, 'middle', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, (len(w) - 400) // 2 + 1, (len(w) - 400) // 2 + 400) END FROM anchor_t UNION ALL
+  SELECT doc_id, 'end', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, len(w) - 399, len(w)) END FROM anchor_t),
+anchor_p AS (SELECT doc_id, zone, w, s.unnest AS s FROM anchor_z, unnest(range(5, 11)) s),
+anchor_s AS (SELECT DISTINCT doc_id, zone, array_to_string(list_slice(w, i, i + s - 1), ' ') AS shingle FROM (SELECT doc_id, zone, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM anchor_p WHERE len(w) >= s)),
+anchor_d AS (SELECT DISTINCT shingle FROM anchor_s),
+anchor_c AS (SELECT shingle, c, count(*) AS k FROM (SELECT shingle, unnest(string_split(shingle, '')) AS c FROM anchor_d) GROUP BY ALL),
+anchor_e AS (SELECT shingle, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM anchor_c GROUP BY shingle),
+anchor_v AS (SELECT shingle, round(e * e * (1 - len(list_filter(string_split(shingle, ' '), lambda x: list_contains({STOP_SQL}, x)))::DOUBLE / len(string_split(shingle, ' '))), 9) AS score FROM anchor_e),
+anchor_r AS (SELECT doc_id, zone, shingle, score, row_number() OVER (PARTITION BY doc_id, zone ORDER BY score DESC, shingle) AS rank FROM anchor_s JOIN anchor_v USING (shingle)),
+anchors AS (SELECT * FROM anchor_r WHERE rank <= 10)"""
+
+
+# --- hashes, tags, profiles
+
+
+@query(f"SELECT doc_id, sha256(text) AS sha, sha256({norm_sql('text')}) AS norm_sha, sha256({norm_sql(drop_sql('text', DROP_COMMON_SQL))}) AS stripped_sha FROM documents")
+def hashes(spark, sf_dir):
+    t = F.col("text")
+    return docs_of(spark, sf_dir).select("doc_id", T.sha(t).alias("sha"), T.normalized_sha(t).alias("norm_sha"), T.stripped_sha(t).alias("stripped_sha"))
+
+
+def _mark(style: str):
+    def f(spark, sf_dir):
+        return docs_of(spark, sf_dir).select("doc_id", T.marked(F.col("text"), T.watermark_id(F.col("doc_id")), url_of(), style).alias("marked"))
+
+    f.__name__ = f"mark_{style}"
+    return f
+
+
+for _style, _sql in (("footer", FOOTER_SQL), ("header", HEADER_SQL), ("inline", INLINE_SQL)):
+    query(f"SELECT doc_id, {_sql} AS marked FROM documents")(_mark(_style))
+
+
+@query(f"WITH {SUSPECTS_SQL} SELECT suspect_id, coalesce(nullif(regexp_extract(text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) AS tag, nullif(regexp_extract(text, 'Verify:\\s*(https?://[^\\s\\n]+)', 1), '') AS url, sha256({drop_sql('text', DROP_TAG_SQL)}) AS clean_sha FROM suspects")
+def extract_and_strip(spark, sf_dir):
+    t = F.col("text")
+    return suspects_of(docs_of(spark, sf_dir)).select("suspect_id", T.tag_id(t).alias("tag"), T.tag_url(t).alias("url"), T.sha(T.unmarked(t)).alias("clean_sha"))
+
+
+@query("SELECT doc_id, length(text) AS text_length, regexp_matches(text, '(?i)---.*removed.*---') AS says_removed, regexp_matches(text, '(?i)\\[.*stripped.*\\]') AS says_stripped, regexp_matches(text, '(?i)As an AI|I''m sorry, but|I cannot|I don''t have the ability|based on the provided information') AS sounds_generated FROM documents")
+def suspect_profile(spark, sf_dir):
+    t = F.col("text")
+    return docs_of(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("text_length"), t.rlike(T.MARKERS["removed"]).alias("says_removed"), t.rlike(T.MARKERS["stripped"]).alias("says_stripped"), t.rlike(T.PHRASES).alias("sounds_generated"))
+
+
+UUID_RE = T.UUID4
+IDS_SQL = f"ids AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'art-' || doc_id ELSE substr({TAG_SQL}, 5) END AS a, CASE WHEN doc_id % 7 = 0 THEN substr({TAG_SQL}, 5) WHEN doc_id % 7 = 1 THEN 'wmk-x' ELSE {TAG_SQL} END AS w, CASE doc_id % 3 WHEN 0 THEN 'text_frag_end_1' WHEN 1 THEN 'frag_1_end' ELSE 'frag_end' END AS f, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN upper(sha256(text)) ELSE sha256(text) END AS h FROM documents)"
+ERRORS_SQL = f"""errs AS (SELECT doc_id, source,
+ CASE WHEN a = '' THEN 'artifact_id cannot be empty' WHEN NOT regexp_matches(a, '(?i){UUID_RE}') THEN 'artifact_id must be valid UUID v4' END AS artifact_error,
+ CASE WHEN w = '' THEN 'watermark_id cannot be empty' WHEN NOT starts_with(w, 'wmk-') THEN 'watermark_id must start with ''wmk-''' WHEN NOT regexp_matches(substr(w, 5), '(?i){UUID_RE}') THEN 'watermark_id must be wmk-{{valid-uuid}}' END AS watermark_error,
+ CASE WHEN f = '' THEN 'fragment_id cannot be empty' WHEN NOT starts_with(f, 'frag_') THEN 'fragment_id must start with ''frag_''' WHEN NOT regexp_matches(f, '(?i)^frag_\\d+_[a-z_]+$') THEN 'fragment_id must follow pattern: frag_{{index}}_{{location}}' END AS fragment_error,
+ CASE WHEN h = '' THEN 'hash cannot be empty' WHEN length(h) <> 64 THEN 'SHA-256 hash must be 64 characters, got ' || length(h) WHEN NOT regexp_matches(h, '^[0-9a-f]{{64}}$') THEN 'SHA-256 hash must be lowercase hex' END AS hash_error FROM ids)"""
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    d, tag = F.col("doc_id"), T.watermark_id(F.col("doc_id"))
+    plain = F.substring(tag, 5, 100)
+    a = F.when(d % 5 == 0, F.concat(F.lit("art-"), d.cast("string"))).otherwise(plain)
+    w = F.when(d % 7 == 0, plain).when(d % 7 == 1, "wmk-x").otherwise(tag)
+    f = F.when(d % 3 == 0, "text_frag_end_1").when(d % 3 == 1, "frag_1_end").otherwise("frag_end")
+    h = F.when(d % 4 == 0, "").when(d % 4 == 1, "abc").when(d % 4 == 2, F.upper(T.sha(F.col("text")))).otherwise(T.sha(F.col("text")))
+    ids = docs_of(spark, sf_dir).select("doc_id", "source", a.alias("a"), w.alias("w"), f.alias("f"), h.alias("h"))
+    c = F.col
+    return ids.select("doc_id", "source", T.artifact_id_error(c("a")).alias("artifact_error"), T.watermark_id_error(c("w")).alias("watermark_error"), T.fragment_id_error(c("f")).alias("fragment_error"), T.sha_error(c("h")).alias("hash_error"))
+
+
+@query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT doc_id, artifact_error, watermark_error, fragment_error, hash_error FROM errs")
+def validate_ids(spark, sf_dir):
+    return _errors(spark, sf_dir).drop("source")
+
+
+@query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT source, count(*) AS total, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, CAST(sum(e) AS BIGINT) AS errors FROM (SELECT source, (artifact_error IS NOT NULL)::INT + (watermark_error IS NOT NULL)::INT + (fragment_error IS NOT NULL)::INT + (hash_error IS NOT NULL)::INT AS e FROM errs) GROUP BY source")
+def validation_batch(spark, sf_dir):
+    c = F.col
+    each = _errors(spark, sf_dir).select("source", F.size(T.errors(artifact_id=c("artifact_error"), watermark_id=c("watermark_error"), fragment_id=c("fragment_error"), hash=c("hash_error"))).alias("e"))
+    return each.groupBy("source").agg(F.count("*").alias("total"), F.count_if(c("e") == 0).alias("valid"), F.count_if(c("e") > 0).alias("invalid"), F.sum("e").alias("errors"))
+
+
+@query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT doc_id, array_to_string(list_filter(['artifact_id: ' || artifact_error, 'watermark_id: ' || watermark_error, 'fragment_id: ' || fragment_error, 'hash: ' || hash_error], lambda x: x IS NOT NULL), '; ') AS report, artifact_error IS NULL AND watermark_error IS NULL AND fragment_error IS NULL AND hash_error IS NULL AS compliant FROM errs")
+def compliance_report(spark, sf_dir):
+    c = F.col
+    found = T.errors(artifact_id=c("artifact_error"), watermark_id=c("watermark_error"), fragment_id=c("fragment_error"), hash=c("hash_error"))
+    return _errors(spark, sf_dir).select("doc_id", F.array_join(found, "; ").alias("report"), (F.size(found) == 0).alias("compliant"))
+
+
+#: Magic bytes put before pages, by page_id modulo 8.
+SNIFF = {0: "89504E470D0A1A0A", 1: "FFD8FF", 2: "25504446", 3: "494433", 4: "504B0304"}
+
+
+@query("SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' WHEN 3 THEN 'audio' WHEN 5 THEN 'video' WHEN 6 THEN 'json' ELSE 'text' END AS artifact_type, CASE page_id % 8 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG image' WHEN 2 THEN 'PDF document' WHEN 4 THEN 'ZIP' ELSE 'unknown' END AS file_type, CAST(octet_length(encode(html)) + CASE page_id % 8 WHEN 0 THEN 8 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 8 WHEN 6 THEN 0 - octet_length(encode(html)) + 8 ELSE 0 END AS BIGINT) AS size_bytes FROM pages")
+def sniff_type(spark, sf_dir):
+    k, html = F.pmod(F.col("page_id"), F.lit(8)), F.col("html").cast("binary")
+    data = F.when(k == 5, F.concat(F.unhex(F.lit("0000001066747970")), html)).when(k == 6, F.lit('{"a": 1}').cast("binary"))
+    for i, head in SNIFF.items():
+        data = data.when(k == i, F.concat(F.unhex(F.lit(head)), html))
+    data = data.otherwise(html)
+    return table(spark, sf_dir, "pages").select("page_id", data.alias("data")).select("page_id", T.artifact_type(F.col("data")).alias("artifact_type"), T.file_type(F.col("data")).alias("file_type"), F.octet_length("data").cast("long").alias("size_bytes"))
+
+
+# --- fingerprints
+
+
+@query(f"WITH {simhash_sql('s', 'documents', 'doc_id')} SELECT doc_id, simhash FROM s")
+def simhash(spark, sf_dir):
+    return P.simhash(docs_of(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"WITH {simhash_sql('s', 'documents', 'doc_id')} SELECT source, bit_xor(simhash) AS digest, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY source")
+def simhash_xor(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    return P.simhash(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.bit_xor("simhash").alias("digest"), F.count("*").alias("n"))
+
+
+def _near_sql(k: int) -> str:
+    return f"WITH {simhash_sql('s', 'documents', 'doc_id')}, v AS (SELECT DISTINCT simhash FROM s) SELECT x.simhash AS a, y.simhash AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS BIGINT) AS distance FROM v x JOIN v y ON x.simhash < y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= {k}"
+
+
+def _near(k: int):
+    def f(spark, sf_dir):
+        h = P.simhash(docs_of(spark, sf_dir), "doc_id", "text")
+        return M.near_simhashes(h, h, k).where("a < b").select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+    f.__name__ = f"simhash_pairs_{k}"
+    return f
+
+
+for _k in (3, 10):
+    query(_near_sql(_k))(_near(_k))
+
+MINHASH_SQL = "mh_t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents), mh AS (SELECT doc_id, " + ", ".join(f"min(CAST('0x' || substr(md5(t || '{i}'), 1, 8) AS BIGINT)) AS m{i}" for i in range(16)) + " FROM mh_t GROUP BY doc_id)"
+
+
+@query(f"WITH {MINHASH_SQL} SELECT doc_id, {', '.join(f'coalesce(m{i}, 0) AS m{i}' for i in range(16))} FROM documents LEFT JOIN mh USING (doc_id)")
+def minhash(spark, sf_dir):
+    return P.minhash(docs_of(spark, sf_dir), "doc_id", "text", 16).select("doc_id", *(F.col("minhash")[i].alias(f"m{i}") for i in range(16)))
+
+
+@query("WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents WHERE length(text) >= 10) GROUP BY ALL), e AS (SELECT doc_id, least(1.0, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / 8) AS e FROM c GROUP BY doc_id) SELECT doc_id, round(coalesce(e, 0.0), 6) AS entropy FROM documents LEFT JOIN e USING (doc_id)")
+def text_entropy(spark, sf_dir):
+    return P.text_entropy(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT doc_id, location, CAST(offset_start AS BIGINT) AS offset_start, CAST(offset_end AS BIGINT) AS offset_end, sha256(fragment) AS sha, round(entropy, 6) AS entropy FROM frags")
+def fragments_select(spark, sf_dir):
+    return P.fragments(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", "location", F.col("offset_start").cast("long").alias("offset_start"), F.col("offset_end").cast("long").alias("offset_end"), "sha", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT shingle, count(*) AS df FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)) GROUP BY shingle")
+def shingle_df(spark, sf_dir):
+    return P.document_frequency(docs_of(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"WITH {ANCHORS_SQL} SELECT doc_id, zone, CAST(rank AS BIGINT) AS rank, shingle, round(score, 6) AS score FROM anchors")
+def anchors_topk(spark, sf_dir):
+    return P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", "zone", F.col("rank").cast("long").alias("rank"), "shingle", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {ANCHORS_SQL}, an AS (SELECT doc_id, zone, count(*) AS n FROM anchors GROUP BY ALL),
+ac AS (SELECT x.doc_id AS a, y.doc_id AS b, zone, count(*) AS c FROM anchors x JOIN anchors y USING (zone, shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+aj AS (SELECT a, b, c::DOUBLE / (p.n + q.n - c) AS j FROM ac JOIN an p ON p.doc_id = a AND p.zone = ac.zone JOIN an q ON q.doc_id = b AND q.zone = ac.zone)
+SELECT a, b, count(*) FILTER (j >= 0.4) AS matched_zones, round(sum(j) / 3, 6) AS score FROM aj GROUP BY a, b HAVING count(*) FILTER (j >= 0.4) >= 2""")
+def anchor_pairs(spark, sf_dir):
+    a = P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select(F.col("doc_id").alias("key"), "zone", "shingle")
+    return M.anchor_pairs(a, a).where("a < b")
+
+
+# --- matching and verdicts
+
+
+def _passages(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fragment_id"), F.col("text").alias("fragment"))
+
+
+@query("SELECT item_id AS fragment_id, doc_id AS suspect_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS position FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0")
+def fragment_contains(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("suspect_id"), "text")
+    return M.contained(_passages(spark, sf_dir), d).withColumn("position", F.col("position").cast("long"))
+
+
+@query()
+def fragment_fuzzy(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("suspect_id"), "text")
+    return M.nearly_contained(_passages(spark, sf_dir), d)
+
+
+@query(f"WITH {SUSPECTS_SQL}, {FRAGMENTS_SQL}, hits AS (SELECT suspect_id, f.doc_id AS artifact_id, count(*) AS matched FROM frags f JOIN suspects s ON strpos(s.text, f.fragment) > 0 GROUP BY ALL), total AS (SELECT doc_id AS artifact_id, count(*) AS total FROM frags GROUP BY ALL) SELECT suspect_id, artifact_id, matched, total, CAST(CASE WHEN matched >= 2 THEN 0.99 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN matched >= 2 THEN 'high' ELSE 'medium' END AS defensibility FROM hits JOIN total USING (artifact_id)")
+def fragment_rollup(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    f = fragments_of(d)
+    return M.fragment_summary(M.contained(f.select("fragment_id", "fragment"), suspects_of(d)), f)
+
+
+@query(f"WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL} SELECT * FROM exact")
+def verify_tier1(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    return M.exact_matches(suspects_of(d), evidence_of(d))
+
+
+@query(f"""WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},
+j AS (SELECT s.suspect_id, sha256(s.text) = hash_after AS a, sha256(s.text) = hash_before AS b, sha256({norm_sql('s.text')}) IN (norm_before, norm_after) AS n, bit_count(xor(sh.simhash, eh.simhash)) AS d,
+ coalesce(nullif(regexp_extract(s.text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(s.text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) = watermark_id AS intact
+ FROM suspects s JOIN evidence e ON e.artifact_id = s.suspect_id JOIN sh ON sh.suspect_id = s.suspect_id JOIN eh ON eh.doc_id = s.suspect_id)
+SELECT suspect_id, a AS match_after, b AS match_before, n AS match_normalized, CAST(d AS BIGINT) AS distance, coalesce(intact, false) AS tag_intact, b AND NOT a AS likely_removed,
+round(CAST(CASE WHEN a THEN 1.0 WHEN b THEN 0.95 WHEN n THEN 0.9 WHEN d <= 10 THEN 1 - d::DOUBLE / 64 ELSE 0.0 END AS DOUBLE), 6) AS confidence FROM j""")
+def verify_flat(spark, sf_dir):
+    """Each suspect against the evidence of the same row id: the ladder of signals."""
+    d = docs_of(spark, sf_dir)
+    s = suspects_of(d)
+    sh = P.simhash(s, "suspect_id", "text")
+    e = evidence_of(d).join(P.simhash(d, "doc_id", "text").select(F.col("doc_id").alias("artifact_id"), F.col("simhash").alias("theirs")), "artifact_id")
+    j = s.join(sh, "suspect_id").join(e, F.col("suspect_id") == F.col("artifact_id"))
+    t = F.col("text")
+    a, b, n = T.sha(t) == F.col("hash_after"), T.sha(t) == F.col("hash_before"), T.normalized_sha(t).isin(F.col("norm_before"), F.col("norm_after"))
+    j = j.select("suspect_id", a.alias("match_after"), b.alias("match_before"), n.alias("match_normalized"), T.hamming(F.col("simhash"), F.col("theirs")).cast("long").alias("distance"), F.coalesce(T.tag_id(t) == F.col("watermark_id"), F.lit(False)).alias("tag_intact"))
+    similarity = F.when(F.col("distance") <= 10, 1 - F.col("distance") / 64)
+    return j.withColumn("likely_removed", F.col("match_before") & ~F.col("match_after")).withColumn("confidence", F.round(M.flat_confidence(F.col("match_after"), F.col("match_before"), F.col("match_normalized"), F.lit(None).cast("double"), similarity), 6))
+
+
+CASCADE_SQL = f"""{SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL}, {FRAGMENTS_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},
+two_h AS (SELECT suspect_id, f.doc_id AS artifact_id, count(*) AS matched FROM frags f JOIN suspects s ON strpos(s.text, f.fragment) > 0 WHERE suspect_id NOT IN (SELECT suspect_id FROM exact) GROUP BY ALL),
+two AS (SELECT suspect_id, artifact_id, 'fragments' AS tier, CAST(CASE WHEN matched >= 2 THEN 0.999 ELSE 0.95 END AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY suspect_id ORDER BY matched DESC, artifact_id) AS r FROM two_h) WHERE r = 1),
+three_h AS (SELECT suspect_id, eh.doc_id AS artifact_id, bit_count(xor(sh.simhash, eh.simhash)) AS d FROM sh, eh WHERE suspect_id NOT IN (SELECT suspect_id FROM exact) AND suspect_id NOT IN (SELECT suspect_id FROM two) AND bit_count(xor(sh.simhash, eh.simhash)) <= 25),
+three AS (SELECT suspect_id, artifact_id, 'similarity' AS tier, CAST(CASE WHEN d <= 10 THEN 0.95 WHEN d <= 15 THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY suspect_id ORDER BY d, artifact_id) AS r FROM three_h) WHERE r = 1),
+verdicts AS (SELECT suspect_id, artifact_id, 'exact_hash' AS tier, confidence FROM exact UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL
+ SELECT suspect_id, NULL, 'no_match', CAST(0 AS DOUBLE) FROM suspects WHERE suspect_id NOT IN (SELECT suspect_id FROM exact UNION ALL SELECT suspect_id FROM two UNION ALL SELECT suspect_id FROM three))"""
+
+
+@query(f"WITH {CASCADE_SQL} SELECT * FROM verdicts")
+def verify_cascade(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    s = suspects_of(d)
+    return M.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"))
+
+
+@query(f"WITH {CASCADE_SQL} SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(confidence), 6) AS mean_confidence FROM verdicts GROUP BY tier")
+def tier_stats(spark, sf_dir):
+    return M.tier_statistics(verify_cascade(spark, sf_dir))
+
+
+@query(f"WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, g AS (SELECT suspect_id, coalesce(nullif(regexp_extract(text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) AS watermark_id FROM suspects) SELECT suspect_id, watermark_id, artifact_id FROM g LEFT JOIN evidence USING (watermark_id) WHERE watermark_id IS NOT NULL")
+def verify_tags(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    return M.tag_matches(suspects_of(d), evidence_of(d))
+
+
+# --- store, chains, tasks, signals
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("artifact_id"), F.col("source").alias("model_id"), F.col("lang").alias("model_version"), T.watermark_id(F.col("doc_id")).alias("watermark_id"))
+    again = d.where("artifact_id % 10 = 0").withColumn("model_version", F.lit("v2"))
+    return d.withColumn("ingested", F.lit(1)).unionByName(again.withColumn("ingested", F.lit(2)))
+
+
+ROWS_SQL = f"stored AS (SELECT doc_id AS artifact_id, source AS model_id, CASE WHEN doc_id % 10 = 0 THEN 'v2' ELSE lang END AS model_version, {TAG_SQL} AS watermark_id FROM documents)"
+
+
+@query(f"WITH {ROWS_SQL} SELECT * FROM stored")
+def store_latest(spark, sf_dir):
+    return S.latest(_rows(spark, sf_dir)).drop("ingested")
+
+
+@query(f"WITH {ROWS_SQL} SELECT * FROM stored WHERE model_id = 'src3' AND model_version = 'en'")
+def store_by_model(spark, sf_dir):
+    return S.by_model(S.latest(_rows(spark, sf_dir)), "src3", "en").drop("ingested")
+
+
+@query(f"WITH {ROWS_SQL} SELECT model_id, count(*) AS n FROM stored GROUP BY model_id")
+def store_counts(spark, sf_dir):
+    return S.latest(_rows(spark, sf_dir)).groupBy("model_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source AS model_id FROM documents")
+def store_models(spark, sf_dir):
+    return _rows(spark, sf_dir).select("model_id").distinct()
+
+
+@query("SELECT conv_id, turn, sha256(conv_id || ':' || turn || ':' || role || ':' || text) AS receipt, lag(sha256(conv_id || ':' || turn || ':' || role || ':' || text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior_receipt FROM conversations")
+def receipt_chain(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    receipts = c.withColumn("receipt", T.sha(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")))
+    return K.previous(receipts, "conv_id", ["turn", "role", "text"], "receipt").select("conv_id", "turn", "receipt", "prior_receipt")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
+def whole_responses(spark, sf_dir):
+    return K.responses(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+STATUS_SQL = "ev AS (SELECT user_id AS artifact_id, ts, event_id, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'started' WHEN 2 THEN 'ok' ELSE 'error' END AS outcome FROM events), st AS (SELECT artifact_id, arg_max(outcome, {'ts': ts, 'e': event_id}) AS o, max(ts) AS at_ts, count(*) FILTER (outcome = 'error') AS attempts FROM ev GROUP BY artifact_id), status AS (SELECT artifact_id, CASE WHEN o = 'queued' THEN 'pending' WHEN o = 'started' THEN 'processing' WHEN o = 'ok' THEN 'completed' WHEN attempts > 3 THEN 'failed' ELSE 'retry' END AS status, attempts, at_ts FROM st)"
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    k = F.pmod(F.col("event_id"), F.lit(5))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("artifact_id"), "ts", "event_id", F.when(k == 0, "queued").when(k == 1, "started").when(k == 2, "ok").otherwise("error").alias("outcome"))
+    return K.status(e)
+
+
+@query(f"WITH {STATUS_SQL} SELECT artifact_id, status, attempts FROM status")
+def task_status(spark, sf_dir):
+    return _status(spark, sf_dir).drop("at")
+
+
+@query(f"WITH {STATUS_SQL}, m AS (SELECT max(ts) AS now FROM events) SELECT artifact_id, status FROM status, m WHERE epoch(date_trunc('second', at_ts)) + CASE status WHEN 'pending' THEN 7200 WHEN 'completed' THEN 600 ELSE 3600 END >= epoch(date_trunc('second', now))")
+def unexpired_tasks(spark, sf_dir):
+    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
+    s = _status(spark, sf_dir).join(F.broadcast(now))  # one row
+    kept = F.create_map(*(F.lit(x) for kv in K.KEPT.items() for x in kv))
+    return s.where(F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.col("now").cast("timestamp"))).select("artifact_id", "status")
+
+
+@query("SELECT outcome, count(*) AS total, count(*) FILTER (value > 0) AS positive FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'failure' ELSE 'success' END AS outcome, value FROM events) GROUP BY outcome")
+def batch_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "failure").otherwise("success").alias("outcome"), "value")
+    return e.groupBy("outcome").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 0).alias("positive"))
+
+
+BEAT, CUT = "event_id % 2 = 0", "event_id % 2 = 1"
+
+
+@query(f"SELECT beat_id, cut_id FROM (SELECT b.event_id AS beat_id, c.event_id AS cut_id, row_number() OVER (PARTITION BY b.event_id ORDER BY c.ts, c.event_id) AS r FROM events b JOIN events c ON b.user_id = c.user_id AND abs(epoch_us(b.ts) - epoch_us(c.ts)) <= 3600000000 WHERE b.{BEAT} AND c.{CUT}) WHERE r = 1")
+def band_sync(spark, sf_dir):
+    """Each beat with the first cut of its user within an hour: an equi-join on hours, then the exact band."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    hour = 3_600_000_000
+    b = e.where(BEAT).select(F.col("event_id").alias("beat_id"), "user_id", F.col("t").alias("bt"), F.explode(F.array(*(F.floor(F.col("t") / hour) + k for k in (-1, 0, 1)))).alias("h"))
+    c = e.where(CUT).select(F.col("event_id").alias("cut_id"), "user_id", F.col("t").alias("ct"), F.floor(F.col("t") / hour).alias("h"))
+    near = b.join(c, ["user_id", "h"]).where(F.abs(F.col("bt") - F.col("ct")) <= hour)
+    return near.groupBy("beat_id").agg(F.min(F.struct("ct", "cut_id")).alias("m")).select("beat_id", F.col("m.cut_id").alias("cut_id"))
+
+
+@query("SELECT event_id, user_id, round(value - prior, 6) AS change FROM (SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events) WHERE abs(value - prior) > 50")
+def change_detect(spark, sf_dir):
+    e = K.previous(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return e.where("abs(value - prior_value) > 50").select("event_id", "user_id", F.round(F.col("value") - F.col("prior_value"), 6).alias("change"))
+
+
+@query("SELECT user_id, round(1 - least(1.0, stddev_pop(gap) / avg(gap)), 6) AS regularity, count(gap) AS beats FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::DOUBLE / 1000000 AS gap FROM events) GROUP BY user_id HAVING avg(gap) > 0")
+def rhythm_regularity(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    g = table(spark, sf_dir, "events").select("user_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1e6).alias("gap"))
+    a = g.groupBy("user_id").agg(F.stddev_pop("gap").alias("s"), F.avg("gap").alias("m"), F.count("gap").alias("beats")).where("m > 0")
+    return a.select("user_id", F.round(1 - F.least(F.lit(1.0), F.col("s") / F.col("m")), 6).alias("regularity"), "beats")
+
+
+@query("SELECT vec_id, next_id, round(list_cosine_similarity(e, n), 5) AS similarity FROM (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE next_id IS NOT NULL")
+def consecutive_similarity(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lead("vec_id").over(w).alias("next_id"), F.lead("embedding").over(w).alias("n"))
+    return e.where("next_id is not null").select("vec_id", "next_id", F.round(T.cosine(F.col("embedding"), F.col("n")), 5).alias("similarity"))
+
+
+@query("SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS digest FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
+def order_free_digest(spark, sf_dir):
+    h = docs_of(spark, sf_dir).select("source", T.sha(F.col("text")).alias("h"))
+    return h.groupBy("source").agg(T.sha(F.array_join(F.sort_array(F.collect_list("h")), "|")).alias("digest"))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")
+def model_rollup(spark, sf_dir):
+    return docs_of(spark, sf_dir).rollup("source", "lang").agg(F.count("*").alias("n"))

@@ -44,7 +44,7 @@ def status(events: DataFrame, retries: int = RETRIES) -> DataFrame:
 def unexpired(states: DataFrame, now) -> DataFrame:
     """States whose time has not run out at now."""
     kept = F.create_map(*(F.lit(x) for kv in KEPT.items() for x in kv))
-    return states.where(F.unix_timestamp("at") + kept[F.col("status")] >= F.unix_timestamp(F.lit(now).cast("timestamp")))
+    return states.where(F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.lit(now).cast("timestamp")))
 
 
 def responses(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
