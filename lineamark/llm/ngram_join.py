@@ -21,7 +21,7 @@ gives no rows. Texts are read whole, whatever their length.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from lineamark.llm.spans import LOWER, pieces, text_bytes, word_codes, words
 #: Width of a band: its largest size over its smallest.
 BAND = 1.5
 #: Sets, and features, that one block of a large cluster holds about.
-BLOCK_SETS, BLOCK_FEATURES = 512, 250_000
+BLOCK_SETS, BLOCK_FEATURES = 1024, 1_000_000
 
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -182,12 +182,18 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     clusters = components(near)
     sizes = table.where("doc_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     members = written(clusters.withColumnRenamed("node", "set_id").join(sizes, "set_id"), "clusters")
-    extent = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("k"), F.count("*").alias("m"))
-    # small clusters share a bin, which costs no check more than they need; a large one has k blocks and all pairs of these
-    bins = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(1 << 40)))
-    own = F.pmod(F.xxhash64("set_id"), F.col("k"))
-    many = F.expr("transform(sequence(0, k - 1), x -> concat_ws(':', cast(component as string), cast(least(x, own) as string), cast(greatest(x, own) as string)))")
-    placed = members.join(extent, "component").withColumn("own", own).withColumn("blocks", F.when(F.col("k") > 1, many).otherwise(F.array(bins))).select("set_id", "doc_id", "blocks")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("k")
+    sized_clusters = members.join(members.groupBy("component").agg(size), "component")
+    # small clusters share a bin, which costs no check more than they need
+    small = sized_clusters.where("k = 1").select("doc_id", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(1 << 40))).alias("block"))
+    # sets of a large one meet only if their sizes allow a link: those of a step of sizes and of the step below
+    step = F.floor(F.log(F.col("n").cast("double")) / (log(100 / percent) * 1.0001)).cast("int")
+    steps = sized_clusters.where("k > 1").select("component", "set_id", "doc_id", "n", F.explode(F.array(step, step + 1)).alias("step"))
+    cut = steps.join(steps.groupBy("component", "step").agg(size), ["component", "step"]).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")))
+    # a step of many sets has k blocks, and all pairs of these are checked
+    pairs = F.expr("transform(sequence(0, k - 1), x -> concat_ws(':', component, step, least(x, own), greatest(x, own)))")
+    large = cut.select("doc_id", F.explode(pairs).alias("block"))
+    placed = small.unionByName(large).groupBy("doc_id").agg(F.collect_list("block").alias("blocks")).join(members.select("doc_id", "set_id"), "doc_id")
     having = texts.join(placed.select("doc_id", "blocks", "set_id"), "doc_id").select("set_id", "text", "blocks")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
