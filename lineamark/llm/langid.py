@@ -182,7 +182,10 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
     """Train on the labelled rows of docs: at most sample of them, of least hash of their id."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    got = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("i"), F.substring(text_col, 1, 20 * SEGMENT).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "i", "t").limit(sample).collect()
+    keyed = rows.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("i"), F.substring(text_col, 1, 20 * SEGMENT).alias("t"), F.col(lang_col).alias("l"))
+    # ids are picked first, so that a task sends the driver no texts but those that are learned; at most sample ids
+    picked = keyed.select("h", "i").distinct().orderBy("h", "i").limit(sample)
+    got = keyed.join(F.broadcast(picked), ["h", "i"], "left_semi").orderBy("h", "i", "t").limit(sample).collect()
     return train([r["t"] for r in got], [r["l"] for r in got])
 
 
