@@ -150,9 +150,9 @@ def nearly_contained(fragments: DataFrame, suspects: DataFrame) -> DataFrame:
     cannot reach the score unless every word is touched, which fragments of 201 characters with over 20 words exclude.
     """
     inner = F.array_distinct(F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))
-    f = fragments.select("fragment_id", words_of(F.col("fragment")).alias("w")).select("fragment_id", F.explode(inner).alias("seed"), F.size("w").alias("n"))
+    f = fragments.select("fragment_id", words_of(F.col("fragment")).alias("w"), F.length("fragment").alias("chars")).select("fragment_id", F.explode(inner).alias("seed"), (F.size(inner) - 2 * F.floor(F.col("chars") / 10)).alias("n"))
     s = suspects.select("suspect_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("seed"))
-    pairs = f.join(s, "seed").groupBy("fragment_id", "suspect_id", "n").agg(F.count("*").alias("same")).where("same >= n - 22 and same > 0").select("fragment_id", "suspect_id")
+    pairs = f.join(s, "seed").groupBy("fragment_id", "suspect_id", "n").agg(F.count("*").alias("same")).where("same >= n and same > 0").select("fragment_id", "suspect_id")
     both = pairs.join(fragments.select("fragment_id", "fragment"), "fragment_id").join(suspects.select("suspect_id", "text"), "suspect_id").select("fragment_id", "suspect_id", "fragment", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
