@@ -3,7 +3,7 @@ fragments, by shared anchors; and the verdicts that these signals give."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from lineamark.functions.text import hamming, marked, normalized_sha, sha, tag_i
 from lineamark.operators.fingerprint import runs
 
 NEAR = 0.9
+LEAD = 8
 
 
 def evidence_of(docs: DataFrame, key: str, text: str, url: Column) -> DataFrame:
@@ -69,10 +70,12 @@ def simhash_matches(suspects: DataFrame, evidence: DataFrame, k: int = 25) -> Da
     return found.groupBy("suspect_id").agg(F.min(F.struct("distance", "artifact_id")).alias("m")).select("suspect_id", "m.artifact_id", "m.distance")
 
 
-def blocked_distances(left: DataFrame, right: DataFrame, k: int, parts: int = 8) -> DataFrame:
-    """a, b, distance for the nearest b of each a within k bits, in parts x parts blocks of values."""
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+def blocked_distances(left: DataFrame, right: DataFrame, k: int, most: int = 200_000) -> DataFrame:
+    """a, b, distance for the nearest b of each a within k bits, in blocks by blocks of about most values at most; 8 blocks at least."""
+    size = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    parts = F.greatest(F.lit(8), F.ceil(size(left) / most), F.ceil(size(right) / most)).cast("int")
+    block = lambda c: F.pmod(F.xxhash64(c), parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
     a = left.select("simhash").withColumn("p", block("simhash")).withColumn("q", every)
     b = right.select("simhash").withColumn("q", block("simhash")).withColumn("p", every)
 
@@ -98,6 +101,47 @@ def _numbered(k: int):
     return lambda s: F.struct(F.lit(k).alias("n"), s.alias("seed"))
 
 
+def gram_hashes(text: str, q: int) -> np.ndarray:
+    """A hash of the q characters from each place of a text; equal ones may differ in rare cases."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(c) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + n] + np.uint64(1)
+    return h.view(np.int64)
+
+
+def grams_meet(fragments: DataFrame, suspects: DataFrame, blocks: Callable[[int], list[tuple[int, int]]]) -> DataFrame:
+    """fragment_id, suspect_id, shift, same: how many of a fragment's blocks a suspect's text has at that shift.
+
+    blocks gives (place, length) of the blocks of a fragment of n characters; lengths are few. Suspects are cut into
+    runs of just the lengths that fragments have. Null texts take no part.
+    """
+
+    def key(df: DataFrame, name: str) -> str:
+        return f"{name} {df.schema[name].dataType.simpleString()}"
+
+    def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, q, h, at = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for place, length in blocks(len(t)):
+                    row.append(i), q.append(length), h.append(int(gram_hashes(t[place : place + length], length)[0])), at.append(place)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(q, pa.int32()), pa.array(h, pa.int64()), pa.array(at, pa.int64())], names=["fragment_id", "q", "h", "at"])
+
+    def of_suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (t, qs) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for q in qs:
+                    h = gram_hashes(t, q)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), q, np.int32)), pa.array(h), pa.array(np.arange(len(h), dtype=np.int64))], names=["suspect_id", "q", "h", "place"])
+
+    f = fragments.select("fragment_id", "fragment").where("fragment is not null").mapInArrow(of_fragments, f"{key(fragments, 'fragment_id')}, q int, h long, at long")
+    s = suspects.select("suspect_id", "text").where("text is not null").withColumn("qs", f.agg(F.collect_set("q").alias("qs")).scalar()).where(F.size("qs") > 0)
+    s = s.mapInArrow(of_suspects, f"{key(suspects, 'suspect_id')}, q int, h long, place long")
+    return f.join(s, ["q", "h"]).groupBy("fragment_id", "suspect_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("same"))
+
+
 def seeded(fragments: DataFrame, suspects: DataFrame, n: int = 4) -> DataFrame:
     """fragment_id, suspect_id pairs that share a run of n whole words: the fragment's second to (n+1)th.
 
@@ -105,18 +149,19 @@ def seeded(fragments: DataFrame, suspects: DataFrame, n: int = 4) -> DataFrame:
     words take all of these, down to one; those with none meet every suspect (texts of one giant word).
     """
     inner = F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))
-    f = fragments.select("fragment_id", "fragment", words_of(F.col("fragment")).alias("w")).select("fragment_id", F.slice(inner, 1, n).alias("s")).withColumn("n", F.size("s"))
+    f = fragments.select("fragment_id", "fragment", words_of(F.col("fragment")).alias("w")).select("fragment_id", "fragment", F.slice(inner, 1, n).alias("s")).withColumn("n", F.size("s"))
     seeds = f.where("n > 0").select("fragment_id", "n", F.array_join("s", " ").alias("seed"))
     w = suspects.select("suspect_id", words_of(F.col("text")).alias("w"))
     grams_of = F.flatten(F.array(*(F.transform(runs(F.col("w"), k), _numbered(k)) for k in range(1, n + 1))))
     grams = w.select("suspect_id", F.explode(grams_of).alias("g")).select("suspect_id", "g.n", "g.seed")
     some = grams.join(F.broadcast(seeds.select("n").distinct()), "n", "left_semi").join(seeds, ["n", "seed"]).select("fragment_id", "suspect_id").distinct()
-    rest = f.where("n = 0").select("fragment_id").crossJoin(suspects.select("suspect_id"))
+    lead = f.where("n = 0").select("fragment_id", "fragment")
+    rest = grams_meet(lead, suspects, lambda n: [(0, min(n, LEAD))] if n else []).select("fragment_id", "suspect_id").distinct()
     return some.unionByName(rest)
 
 
 def contained(fragments: DataFrame, suspects: DataFrame) -> DataFrame:
-    """fragment_id, suspect_id, position (from 0): fragments that are in a suspect's text, at their first place."""
+    """fragment_id, suspect_id, position (from 0): fragments that are in a suspect's text, at their first place; empty ones are in none."""
     pairs = seeded(fragments, suspects).join(fragments.select("fragment_id", "fragment"), "fragment_id").join(suspects.select("suspect_id", "text"), "suspect_id")
     return pairs.withColumn("position", F.instr("text", F.col("fragment")) - 1).where("position >= 0").select("fragment_id", "suspect_id", "position")
 
@@ -143,25 +188,35 @@ def best_window(fragment: str, text: str) -> tuple[int, float] | None:
     return (-best[1], best[0]) if best[0] > NEAR else None
 
 
+def near_blocks(n: int) -> list[tuple[int, int]]:
+    """Equal-length blocks of n characters: two more than may change, or n if these are fewer."""
+    m = min(-(-n // 10) + 1, n)
+    return [(n * i // m, n // m) for i in range(m)]
+
+
 def nearly_contained(fragments: DataFrame, suspects: DataFrame) -> DataFrame:
-    """fragment_id, suspect_id, position, score: fragments in a suspect's text but for at most a tenth of their characters.
+    """fragment_id, suspect_id, position, score: a fragment's best window in a suspect's text, if over 0.9 of its
+    characters are equal; the first of equals.
 
-    Candidates share one of the fragment's inner words with the suspect at least; texts with no whole word in common
-    cannot reach the score unless every word is touched, which fragments of 201 characters with over 20 words exclude.
+    Under a tenth of n characters differ then, ceil(n / 10) - 1 at most, each in one block; so all but as many blocks
+    are at the same shift. Windows found so are compared whole. Null or empty texts match nothing.
     """
-    inner = F.array_distinct(F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))
-    f = fragments.select("fragment_id", words_of(F.col("fragment")).alias("w"), F.length("fragment").alias("chars")).select("fragment_id", F.explode(inner).alias("seed"), (F.size(inner) - 2 * F.floor(F.col("chars") / 10)).alias("n"))
-    s = suspects.select("suspect_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("seed"))
-    pairs = f.join(s, "seed").groupBy("fragment_id", "suspect_id", "n").agg(F.count("*").alias("same")).where("same >= n and same > 0").select("fragment_id", "suspect_id")
-    both = pairs.join(fragments.select("fragment_id", "fragment"), "fragment_id").join(suspects.select("suspect_id", "text"), "suspect_id").select("fragment_id", "suspect_id", "fragment", "text")
+    n = F.length("fragment")
+    allowed = F.ceil(n / 10) - 1
+    met = grams_meet(fragments, suspects, near_blocks).where("shift >= 0")
+    both = met.join(fragments.select("fragment_id", "fragment"), "fragment_id").where(F.col("same") >= F.least(F.ceil(n / 10) + 1, n) - allowed)
+    both = both.join(suspects.select("suspect_id", "text"), "suspect_id").select("fragment_id", "suspect_id", "shift", "fragment", F.substring(F.col("text"), (F.col("shift") + 1).cast("int"), n).alias("window"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
         for b in batches:
-            found = [best_window(x, y) or (-1, 0.0) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p for p, _ in found], pa.int64()), pa.array([v for _, v in found], pa.float64())], names=["fragment_id", "suspect_id", "position", "score"])
+            score = [float((wide(x) == wide(y)).sum()) / len(x) if len(x) == len(y) else 0.0 for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score, pa.float64())], names=["fragment_id", "suspect_id", "shift", "score"])
 
     kinds = [f"{c} {both.schema[c].dataType.simpleString()}" for c in ("fragment_id", "suspect_id")]
-    return both.mapInArrow(run, f"{', '.join(kinds)}, position long, score double").where("position >= 0")
+    scored = both.mapInArrow(run, f"{', '.join(kinds)}, shift long, score double").where(F.col("score") > NEAR)
+    best = scored.groupBy("fragment_id", "suspect_id").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("m"))
+    return best.select("fragment_id", "suspect_id", (-F.col("m.back")).alias("position"), "m.score")
 
 
 def fragment_summary(matches: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -175,13 +230,23 @@ def fragment_summary(matches: DataFrame, fragments: DataFrame) -> DataFrame:
 def anchor_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.4, zones: int = 2) -> DataFrame:
     """a, b, matched_zones, score: texts whose anchors agree in enough zones, by an inverted index on (zone, shingle).
 
-    left and right: key, zone, shingle. Texts with equal anchors are one class while pairs are made.
+    left and right: key, zone, shingle. Texts with equal anchors are one class, whose least key alone meets others;
+    the pairs of classes are told for all their members at the end.
     """
+
+    def classes(df: DataFrame) -> DataFrame:
+        each = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("zone", "shingle"))).alias("anchors"))
+        return each.withColumn("head", F.min("key").over(Window.partitionBy(F.xxhash64("anchors"), "anchors"))).select("key", "head")
+
+    of_a, of_b = classes(left), classes(right)
+    heads = lambda df, of: df.join(of.where("key = head").select("key"), "key", "left_semi")
     count = lambda df, k: df.groupBy(k, "zone").agg(F.count("*").alias(f"n_{k}"))
-    a, b = left.select(F.col("key").alias("a"), "zone", "shingle"), right.select(F.col("key").alias("b"), "zone", "shingle")
+    a, b = heads(left, of_a).select(F.col("key").alias("a"), "zone", "shingle"), heads(right, of_b).select(F.col("key").alias("b"), "zone", "shingle")
     common = a.join(b, ["zone", "shingle"]).groupBy("a", "b", "zone").agg(F.count("*").alias("c"))
     each = common.join(count(a, "a"), ["a", "zone"]).join(count(b, "b"), ["b", "zone"]).withColumn("j", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")))
-    return each.groupBy("a", "b").agg(F.count_if(F.col("j") >= threshold).alias("matched_zones"), F.round(F.sum("j") / 3, 6).alias("score")).where(F.col("matched_zones") >= zones)
+    met = each.groupBy("a", "b").agg(F.count_if(F.col("j") >= threshold).alias("matched_zones"), F.round(F.sum("j") / 3, 6).alias("score")).where(F.col("matched_zones") >= zones)
+    met = met.join(of_a.select(F.col("head").alias("a"), F.col("key").alias("x")), "a").join(of_b.select(F.col("head").alias("b"), F.col("key").alias("y")), "b")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "matched_zones", "score")
 
 
 def flat_confidence(after: Column, before: Column, norm: Column, anchor_score: Column, similarity: Column) -> Column:

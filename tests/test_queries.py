@@ -32,6 +32,46 @@ def test_fuzzy_fragments_against_all_windows(spark):
     assert got == {n: brute(base, "before " + t) for n, t in edits.items() if brute(base, "before " + t)}
 
 
+def test_fuzzy_fragments_of_touched_words(spark):
+    import random
+
+    from lineamark.operators.match import NEAR, nearly_contained
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 7)))
+    frags = [" ".join(word() for _ in range(40))[:201], "q" * 40, "ab", "x", "", None, "abcdefghijk", "no inner"]
+
+    def touched(t, k):
+        out = list(t)
+        for i in rng.sample(range(len(t)), min(k, len(t))):
+            out[i] = "#"
+        return "".join(out)
+
+    every = "".join("#" if i % 10 == 5 and i < 200 else c for i, c in enumerate(frags[0]))  # a character in each ten
+    texts = ["", None, "q" * 90, "zz " + every + " zz", "no in", "an abcdefghiXk", "no inner no inner"] + [word() + touched(f, k) + word() for f in frags if f for k in (0, 1, 2, len(f) // 10 + 1)]
+
+    def brute(f, t):
+        found = [(sum(x == y for x, y in zip(f, t[i : i + len(f)], strict=True)) / len(f), -i) for i in range(len(t) - len(f) + 1)] if f and t else []
+        return max(((v, i) for v, i in found if v > NEAR), default=None)
+
+    f = spark.createDataFrame(list(enumerate(frags)), "fragment_id long, fragment string")
+    s = spark.createDataFrame(list(enumerate(texts)), "suspect_id long, text string")
+    got = {(r["fragment_id"], r["suspect_id"]): (r["score"], -r["position"]) for r in nearly_contained(f, s).collect()}
+    assert got == {(i, j): b for i, x in enumerate(frags) for j, y in enumerate(texts) if (b := brute(x, y))}
+
+
+def test_contained_without_inner_words(spark):
+    from lineamark.operators.match import contained
+
+    frags = ["two words", "one", "é", "a giant of words here", "  ", "averyveryverylongsingleword"]
+    texts = ["two words one", "xtwo wordsy", "é", "", None, "one  averyveryverylongsingleword é", "say a giant of words here"]
+    f = spark.createDataFrame(list(enumerate(frags)), "fragment_id long, fragment string")
+    s = spark.createDataFrame(list(enumerate(texts)), "suspect_id long, text string")
+    got = {(r["fragment_id"], r["suspect_id"]): r["position"] for r in contained(f, s).collect()}
+    assert got == {(i, j): y.find(x) for i, x in enumerate(frags) for j, y in enumerate(texts) if y and x in y}
+    assert "CartesianProduct" not in contained(f, s)._jdf.queryExecution().toString()
+
+
 def test_marks_come_off(spark):
     from pyspark.sql import functions as F
 
