@@ -236,12 +236,12 @@ def anchor_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.4, zone
 
     def classes(df: DataFrame) -> DataFrame:
         each = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("zone", "shingle"))).alias("anchors"))
-        return each.withColumn("head", F.min("key").over(Window.partitionBy(F.xxhash64("anchors"), "anchors"))).select("key", "head")
+        return each.withColumn("head", F.min("key").over(Window.partitionBy(F.xxhash64("anchors"), "anchors")))
 
     of_a, of_b = classes(left), classes(right)
-    heads = lambda df, of: df.join(of.where("key = head").select("key"), "key", "left_semi")
+    heads = lambda of, k: of.where("key = head").select(F.col("key").alias(k), F.inline("anchors"))
     count = lambda df, k: df.groupBy(k, "zone").agg(F.count("*").alias(f"n_{k}"))
-    a, b = heads(left, of_a).select(F.col("key").alias("a"), "zone", "shingle"), heads(right, of_b).select(F.col("key").alias("b"), "zone", "shingle")
+    a, b = heads(of_a, "a"), heads(of_b, "b")
     common = a.join(b, ["zone", "shingle"]).groupBy("a", "b", "zone").agg(F.count("*").alias("c"))
     each = common.join(count(a, "a"), ["a", "zone"]).join(count(b, "b"), ["b", "zone"]).withColumn("j", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")))
     met = each.groupBy("a", "b").agg(F.count_if(F.col("j") >= threshold).alias("matched_zones"), F.round(F.sum("j") / 3, 6).alias("score")).where(F.col("matched_zones") >= zones)
