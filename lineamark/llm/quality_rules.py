@@ -5,8 +5,8 @@ across documents: each line is normalised (ASCII lower case, words joined by one
 documents that hold the line are counted per host, and lines in more documents than the limit are taken out. A
 document that keeps less than min_share of its words, or fewer than MIN_LEFT words, is depleted and rejected.
 
-Copies are one document here: documents of a host in which the least hash of the other lines is the same count once
-for a line, so a much-copied text isn't taken for boilerplate, while a line in many unlike documents is.
+Copies are one document here: documents of a host with the same normalised lines in the same order count once for a
+line, so a much-copied text isn't taken for boilerplate. Texts that differ in any line are different documents.
 
 A null text has no words and fails the base rule of min_words. A null host is a host of its own. A null id is kept as
 a row; repeated rows are judged each, and count once. Empty tables give no rows. Texts of any length are read whole.
@@ -140,8 +140,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     key = free_name(docs, "row_key")
     docs = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col, host_col).cast("string")))
     table = written(line_table(docs, id_col, text_col, host_col, key), "lines")
-    lines = table.where(F.size("hashes") > 0).select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.slice(F.array_sort(F.array_distinct("hashes")), 1, 2).alias("s"), F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", F.when(F.col("l.hashes") == F.col("s")[0], F.get("s", F.lit(1))).otherwise(F.col("s")[0]).alias("kind"), F.col("l.hashes").alias("line"), F.col("l.sizes").alias("size"))
-    frequent = lines.select("host", "line", "kind").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "line")
+    lines = table.where(F.size("hashes") > 0).select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.xxhash64("hashes").alias("text"), F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", "text", F.col("l.hashes").alias("line"), F.col("l.sizes").alias("size"))
+    frequent = lines.select("host", "line", "text").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "line")
     removed = lines.groupBy("row", "host", "line").agg(F.first("size").alias("size"), F.count("*").alias("times")).join(frequent, ["host", "line"]).groupBy("row").agg(F.sum(F.col("size") * F.col("times")).alias("removed"))
     # repeated rows have one key: their lines were counted once for each
     copies = table.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
