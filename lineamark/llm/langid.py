@@ -152,17 +152,22 @@ def segments(data: np.ndarray, rows: np.ndarray, size: int = SEGMENT) -> tuple[n
 
 
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """Learn from whole labelled texts; gives {"labels", "w"}."""
-    labels = sorted(set(langs))
-    net = Network(len(labels))
+    """Learn from PER_DOCUMENT segments of each text, drawn from all of it; gives {"labels", "w"}."""
     r = np.random.default_rng(seed)
-    parts, y = [], []
-    for t, lang in zip(texts, langs, strict=True):
+    parts = []
+    for t in texts:
         b = (t or "").encode()
-        for _ in range(PER_DOCUMENT if len(b) > SEGMENT else 1):
-            a = int(r.integers(0, max(1, len(b) - SEGMENT)))
-            parts.append(b[a : a + SEGMENT])
-            y.append(labels.index(lang))
+        starts = [int(r.integers(0, max(1, len(b) - SEGMENT))) for _ in range(PER_DOCUMENT if len(b) > SEGMENT else 1)]
+        parts.append([b[a : a + SEGMENT] for a in starts])
+    return fit(parts, langs, epochs, r)
+
+
+def fit(drawn: list[list[bytes]], langs: list[str], epochs: int, r: np.random.Generator) -> dict:
+    """Learn from the segments drawn from each document."""
+    labels = sorted(set(langs))
+    net = Network(len(labels))
+    parts = [p for some in drawn for p in some]
+    y = [labels.index(lang) for some, lang in zip(drawn, langs, strict=True) for _ in some]
     if len(labels) > 1:
         data = np.frombuffer(b"".join(parts), np.uint8)
         codes, length, row = segments(data, np.append(0, np.cumsum([len(p) for p in parts])))
@@ -180,13 +185,19 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
-    """Train on the labelled rows of docs: at most sample of them, of least hash of their id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    keyed = rows.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("i"), F.substring(text_col, 1, 20 * SEGMENT).alias("t"), F.col(lang_col).alias("l"))
-    # ids are picked first, so that a task sends the driver no texts but those that are learned; at most sample ids
+    """Train on the labelled rows of docs: at most sample of them, of least hash of their id.
+
+    Segments are drawn from whole texts on the executors, at places by hash of the id; only they go to the driver.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull())
+    i, b = F.col(id_col).cast("string"), F.col(text_col).cast("string").cast("binary")
+    more = F.greatest(F.lit(0), F.octet_length(b) - SEGMENT)
+    drawn = F.array(*(F.substring(b, (F.pmod(F.xxhash64(F.lit("segment"), F.lit(k), i), more + 1) + 1).cast("int"), SEGMENT) for k in range(PER_DOCUMENT)))
+    keyed = rows.select(F.xxhash64(i).alias("h"), i.alias("i"), F.when(more > 0, drawn).otherwise(F.slice(drawn, 1, 1)).alias("t"), F.col(lang_col).alias("l"))
+    # ids are picked first, so that a task sends the driver no segments but those that are learned; at most sample ids
     picked = keyed.select("h", "i").distinct().orderBy("h", "i").limit(sample)
     got = keyed.join(F.broadcast(picked), ["h", "i"], "left_semi").orderBy("h", "i", "t").limit(sample).collect()
-    return train([r["t"] for r in got], [r["l"] for r in got])
+    return fit([[bytes(p) for p in r["t"]] for r in got], [r["l"] for r in got], EPOCHS, np.random.default_rng(7))
 
 
 class Predictor:

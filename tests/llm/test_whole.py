@@ -2,7 +2,10 @@
 
 import collections
 
-from lineamark.llm import quality_rules
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lineamark.llm import langid, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +24,15 @@ def test_lines_in_blocks(spark):
     got = {r["doc_id"]: r["removed_words"] for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: sum(len(x.split()) for x in t if len(want[x]) > quality_rules.LINE_LIMIT) for i, t in enumerate(lower)}
     assert got[0] == 140 and got[len(texts) - 1] == 0
+
+
+def test_language_after_a_header(spark):
+    """What tells the languages apart begins after 3000 characters that they share."""
+    bodies = {"x": "the river and the water are in there ", "y": "wo ist das haus und wer kauft zucker "}
+    body = F.when(F.col("id") % 2 == 0, F.repeat(F.lit(bodies["x"]), 300)).otherwise(F.repeat(F.lit(bodies["y"]), 300))
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("same licence "), 231), body).alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("lang"))
+    model = langid.learn(docs)
+    labels, scores = langid.Predictor(model)(pa.array([b * 20 for b in bodies.values()]))
+    assert labels == ["x", "y"] and min(scores) > 0.9
+    short = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "é").otherwise("zz"))
+    assert langid.Predictor(langid.learn(short))(pa.array(["é", "zz"]))[0] == ["x", "y"]
