@@ -1,12 +1,14 @@
 """Surrogates for personal data: keyed, type-consistent, distinct, and the same for every mention.
 
 Detected entities are replaced by others of their type and format: letters stay letters of their script and case,
-vowels stay vowels in names, digits digits, separators stand; check digits (card numbers, IBAN) are made anew; given
-names are replaced by names of the same gender and script. A surrogate is the image of the entity under a keyed
+vowels stay vowels in names, digits digits, separators stand; check digits (card numbers, IBAN) are made anew; listed
+given names are replaced by names of the same gender and script, others get an ending of the title's gender. Names are
+found by their title; their words are then replaced wherever the text has them, capitalised or in capitals (a
+word in small letters isn't taken for a name, nor is one of COMMON). A surrogate is the image of the entity under a keyed
 permutation of all strings of its format, made without a fixed point: an encryption E, a step on, and back. So
 distinct entities keep distinct surrogates, an entity gets one surrogate wherever and however it is written, none is
 left as it was, and no table of entities is needed. Two checks guard this: names that are not listed never become
-listed ones (the permutation is walked until it leaves the list), and in each document the surrogates are counted
+listed ones (the permutation is walked until it leaves the list), and in each document, for names too, the surrogates are counted
 against the entities.
 
 A null text stays null, an empty one empty. Repeated rows get the same result. Entities may not overlap: the one
@@ -41,6 +43,12 @@ GIVEN = {
 }
 LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñß"), "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")}
 LISTED = {n.lower(): (group, k) for group, names in GIVEN.items() for k, n in enumerate(names)}
+#: What ends an unlisted given name's surrogate, by script and gender.
+ENDINGS = {"latin": {"m": "o", "f": "a"}, "cyrillic": {"m": "н", "f": "а"}, "greek": {"m": "ς", "f": "α"}}
+#: Words that may follow a name with a capital and are none.
+COMMON = set("""the a an and or but in on at of to for from by with as is was were are has had he she it they we you his her this that
+if when then der die das und oder er sie es wir ihr in im am an auf aus bei mit von zu ist war le la les un une et ou il elle nous vous
+de du des en est el los las y o ella es de del al и в на но он она они это ο η το οι και στο στη από με""".split())
 ALPHABETS = [a for script in LETTERS.values() for a in script]
 DIGITS, HEX, CODE, LATIN = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +64,7 @@ NUMBER = re.compile(
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r") ((?:[^\W\d_a-z][^\W\d_]+)(?:[ \-][^\W\d_a-z][^\W\d_]+){0,2})")
 HAS_DIGIT = re.compile(r"\d")
+SECRET_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
 
 
 class Permutation:
@@ -121,7 +130,7 @@ class Surrogates:
         return self.plain("email", user) + "@" + (self.plain("host", domain[: kept.start()]) + domain[kept.start() :] if kept else self.plain("host", domain) + ".example")
 
     def secret(self, text: str) -> str:
-        head = next((h for h in ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-") if text.startswith(h)), "")
+        head = next((h for h in SECRET_HEADS if text.startswith(h)), "")
         rest = text[len(head) :]
         upper = rest.upper() == rest
         new = self.plain("secret", rest, HEX if re.fullmatch("[0-9a-f]+|[0-9A-F]+", rest) else CODE if upper or rest.lower() == rest else None)
@@ -177,20 +186,52 @@ class Surrogates:
         return "".join(c if c == " " else next(new) for c in text)
 
     def name(self, text: str) -> str:
-        """text: the name, with its gender before a bar. Listed given names move in their list, others by letters."""
-        gender, _, name = text.partition("|")
-        return "".join(p if p in " -" else self.part(p, gender, first=k == 0) for k, p in enumerate(re.split(r"([ \-])", name)))
+        """text: a gender for each word that is a given name, and the name after a bar. Listed names move in their list, others by letters."""
+        genders, _, name = text.partition("|")
+        gender = iter(genders.split(","))
+        return "".join(p if p in " -" else self.part(p, next(gender)) for p in re.split(r"([ \-])", name))
 
-    def part(self, word: str, gender: str, first: bool) -> str:
+    def part(self, word: str, gender: str) -> str:
         group, k = LISTED.get(word.lower(), ((None, None), 0))
-        if group[0] and first:
+        if group[0]:
             names = GIVEN[group]
             new = names[self.p.moved(f"given|{group}".encode(), k, len(names))]
             return new.upper() if word.isupper() and len(word) > 1 else new
         while True:
             word = self.string("name", word, [next((a for a in ALPHABETS if c.lower() in a), None) for c in word])
             if word.lower() not in LISTED or not any(c.lower() in a for c in word for a in ALPHABETS):
-                return word
+                break
+        script = next((s for s, alphabets in LETTERS.items() if any(c in a for c in word.lower() for a in alphabets)), None)
+        if not gender or not script:
+            return word
+        end = ENDINGS[script][gender].upper() if word.isupper() else ENDINGS[script][gender]
+        # a listed name is no image of the permutation, so the second ending tells it from all others
+        return word + end * (2 if (word + end).lower() in LISTED else 1)
+
+
+def named(gender: str, name: str) -> str:
+    """What a titled name's surrogate is made from: the first of more words is a given name of the title's gender."""
+    n = len(re.split(r"[ \-]", name))
+    return ",".join([gender if " " in name else "", *[""] * (n - 1)]) + "|" + name
+
+
+def mentions(text: str, sources: list[str], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The places between those taken where the words of names are, alone or in a row, with the words' genders."""
+    gender: dict[str, str] = {}
+    forms = set()
+    for source in sources:
+        genders, _, name = source.partition("|")
+        for g, w in zip(genders.split(","), re.split(r"[ \-]", name), strict=True):
+            if w.lower() not in COMMON:
+                gender.setdefault(w.lower(), g)
+                forms |= {w, w.upper(), w.capitalize()}
+    if not forms:
+        return []
+    one = "(?:" + "|".join(sorted(map(re.escape, forms), key=len, reverse=True)) + r")(?!\w)"
+    row = re.compile(rf"(?<!\w){one}(?:[ \-]{one})*")
+    gaps = zip([0, *(e[1] for e in taken)], [*(e[0] for e in taken), len(text)], strict=True)
+    found = [m for a, b in gaps for m in row.finditer(text, a, b)]
+    return [(m.start(), m.end(), "name", ",".join(gender.get(w.lower(), "") for w in re.split(r"[ \-]", m.group())) + "|" + m.group()) for m in found]
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -201,16 +242,18 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if HAS_DIGIT.search(text):
         found += [(m.start(), m.end(), m.lastgroup, m.group()) for m in NUMBER.finditer(text)]
         found += [(m.start(), m.end(), "iban", m.group()) for m in IBAN.finditer(text) if int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(m.group().replace(" ", "")))) % 97 == 1]
+    if any(h in text for h in SECRET_HEADS):
         found += [(m.start(), m.end(), "secret", m.group()) for m in SECRET.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret", m.group(1)) for m in NAMED_SECRET.finditer(text)]
-    found += [(m.start(2), m.end(2), "name", f"{TITLES[m.group(1)]}|{m.group(2)}") for m in NAME.finditer(text)]
+    found += [(m.start(2), m.end(2), "name", named(TITLES[m.group(1)], m.group(2))) for m in NAME.finditer(text)]
     out, at = [], 0
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if e[0] >= at:
             out.append(e)
             at = e[1]
-    return out
+    names = [source for *_, kind, source in found if kind == "name"]
+    return sorted(out + mentions(text, names, out)) if names else out
 
 
 def surrogated(text: str | None, made: Surrogates) -> tuple[str | None, list[dict]]:
@@ -219,9 +262,9 @@ def surrogated(text: str | None, made: Surrogates) -> tuple[str | None, list[dic
     out, at, size, log, pairs = [], 0, 0, [], {}
     for a, b, kind, source in found:
         new = made.of(kind, source)
-        same = re.sub(r"\D", "", source)[-10:] if kind == "phone" else source.replace(" ", "").replace("-", "").lower()
-        key = re.sub(r"\D", "", new)[-10:] if kind == "phone" else new.replace(" ", "").replace("-", "").lower()
-        if pairs.setdefault((kind, key), same) != same and kind != "name":
+        same = source.partition("|")[2].lower() if kind == "name" else re.sub(r"\D", "", source)[-10:] if kind == "phone" else source.replace(" ", "").replace("-", "").lower()
+        key = new.lower() if kind == "name" else re.sub(r"\D", "", new)[-10:] if kind == "phone" else new.replace(" ", "").replace("-", "").lower()
+        if pairs.setdefault((kind, key), same) != same:
             raise ValueError(f"two entities of kind {kind} got one surrogate")
         out += [text[at:a], new]
         size += a - at + len(new)

@@ -5,7 +5,7 @@ import collections
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lineamark.llm import langid, quality_rules
+from lineamark.llm import langid, pii, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,3 +36,34 @@ def test_language_after_a_header(spark):
     assert labels == ["x", "y"] and min(scores) > 0.9
     short = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "é").otherwise("zz"))
     assert langid.Predictor(langid.learn(short))(pa.array(["é", "zz"]))[0] == ["x", "y"]
+
+
+def test_secrets_without_digits():
+    made = pii.Surrogates("k")
+    for secret in ("sk-" + "abcdefghij" * 2, "ghp_" + "Abcdefghij" * 3, "AKIA" + "ABCDEFGHIJKLMNOP"):
+        out, log = pii.surrogated(f"the key {secret} is here", made)
+        assert secret not in out and [e["kind"] for e in log] == ["secret"]
+
+
+def test_names_without_title():
+    made = pii.Surrogates("k")
+    text = "Smith came. Mr. John Smith met Mrs. Zorka Brown; Smith's hat, JOHN and Zorka Brown. The smith saw Smithson and The brown dog."
+    out, log = pii.surrogated(text, made)
+    part = [out[e["begin"] : e["end"]] for e in log]
+    given, family = part[1].split()
+    zorka, brown = part[2].split()
+    assert part == [family, f"{given} {family}", f"{zorka} {brown}", family, given.upper(), f"{zorka} {brown}"]
+    assert given in pii.GIVEN["latin", "m"] and zorka.endswith("a") and out.endswith("The smith saw Smithson and The brown dog.")
+    assert pii.surrogated("Mr. Zorka Brown", made)[0].split()[1] == zorka[:-1] + "o"
+    assert "Brown" not in pii.surrogated("Mr. Zorka Brown and Mr. Zorka Li Brown Zorka Brown Li", made)[0]
+    every = [made.name(f"{g},|{w} Li") for g in "mf" for w in ("Ann", "Zorka", "Annea", "Pau", "Ab", "Ác", "Кра", "Νίκ")]
+    assert len(set(every)) == len(every)
+
+
+def test_names_that_collide(monkeypatch):
+    monkeypatch.setattr(pii.Surrogates, "name", lambda self, text: "One")
+    try:
+        pii.surrogated("Mr. Smith and Mr. Brown", pii.Surrogates("k"))
+    except ValueError:
+        return
+    raise AssertionError("two names with one surrogate pass")
