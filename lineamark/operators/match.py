@@ -258,11 +258,13 @@ def tier3(distance: Column) -> Column:
     return F.when(distance <= 10, 0.95).when(distance <= 15, 0.85).when(distance <= 25, 0.7)
 
 
-def cascade(suspects: DataFrame, evidence: DataFrame, fragments: DataFrame, suspect_hashes: DataFrame, evidence_hashes: DataFrame) -> DataFrame:
-    """suspect_id, artifact_id, tier, confidence: cheap tiers first, only what is left goes on; the rest is no_match."""
+def cascade(suspects: DataFrame, evidence: DataFrame, fragments: DataFrame, suspect_hashes: DataFrame, evidence_hashes: DataFrame, found: Callable[[DataFrame, DataFrame], DataFrame] = nearly_contained) -> DataFrame:
+    """suspect_id, artifact_id, tier, confidence: cheap tiers first, only what is left goes on; the rest is no_match.
+
+    found: contained, or nearly_contained, which has the contained ones too."""
     one = exact_matches(suspects, evidence).select("suspect_id", "artifact_id", F.lit("exact_hash").alias("tier"), "confidence")
     left = suspects.join(one, "suspect_id", "left_anti")
-    hits = fragment_summary(contained(fragments, left), fragments)
+    hits = fragment_summary(found(fragments, left), fragments)
     order = Window.partitionBy("suspect_id").orderBy(F.desc("matched"), "artifact_id")
     two = hits.withColumn("r", F.row_number().over(order)).where("r = 1").select("suspect_id", "artifact_id", F.lit("fragments").alias("tier"), F.when(F.col("matched") >= 2, 0.999).otherwise(0.95).alias("confidence"))
     left = left.join(two, "suspect_id", "left_anti")

@@ -310,6 +310,14 @@ def fragment_rollup(spark, sf_dir):
     return M.fragment_summary(M.contained(f.select("fragment_id", "fragment"), suspects_of(d)), f)
 
 
+@query()
+def fragment_rollup_near(spark, sf_dir):
+    """fragment_rollup with nearly contained fragments, which its SQL leaves out."""
+    d = docs_of(spark, sf_dir)
+    f = fragments_of(d)
+    return M.fragment_summary(M.nearly_contained(f.select("fragment_id", "fragment"), suspects_of(d)), f)
+
+
 @query(f"WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL} SELECT * FROM exact")
 def verify_tier1(spark, sf_dir):
     d = docs_of(spark, sf_dir)
@@ -347,9 +355,24 @@ verdicts AS (SELECT suspect_id, artifact_id, 'exact_hash' AS tier, confidence FR
 
 @query(f"WITH {CASCADE_SQL} SELECT * FROM verdicts")
 def verify_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir, M.contained)
+
+
+@query()
+def verify_cascade_near(spark, sf_dir):
+    """verify_cascade with nearly contained fragments, which its SQL leaves out."""
+    return _cascade(spark, sf_dir, M.nearly_contained)
+
+
+def _cascade(spark, sf_dir, found) -> DataFrame:
     d = docs_of(spark, sf_dir)
     s = suspects_of(d)
-    return M.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"))
+    return M.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"), found)
+
+
+@query()
+def tier_stats_near(spark, sf_dir):
+    return M.tier_statistics(verify_cascade_near(spark, sf_dir))
 
 
 @query(f"WITH {CASCADE_SQL} SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(confidence), 6) AS mean_confidence FROM verdicts GROUP BY tier")
