@@ -188,6 +188,11 @@ def anchors(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(F.col("k").alias(key), F.inline("a"))
 
 
+def anchor_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, short: whether the text has fewer words than a zone, so that its zones are the same. Null texts are short."""
+    return df.select(F.col(key).alias("key"), F.coalesce(F.size(anchor_tokens(F.col(text))) < ZONE_WORDS, F.lit(True)).alias("short"))
+
+
 def anchors_by_frequency(df: DataFrame, key: str, text: str, frequency: DataFrame, total: int, top: int = TOP) -> DataFrame:
     """Anchors with ln((N + 1) / (df + 1)) from a table (shingle, df) where it has the shingle."""
     from pyspark.sql import Window

@@ -249,6 +249,29 @@ def anchor_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.4, zone
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "matched_zones", "score")
 
 
+def anchor_links(left: DataFrame, right: DataFrame, left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """a, b, matched_zones, score: texts of left that match the evidence right, in two zones, or in one if the evidence is short.
+
+    left_keys: key; right_keys: key, short (boolean). Two texts without anchors agree in all zones.
+    """
+    met = anchor_pairs(left, right, threshold, 1).join(right_keys.select(F.col("key").alias("b"), "short"), "b")
+    met = met.where(F.col("matched_zones") >= F.when(F.col("short"), 1).otherwise(2)).select("a", "b", "matched_zones", "score")
+    none = lambda keys, df, k: keys.select("key").distinct().join(df.select("key").distinct(), "key", "left_anti").select(F.col("key").alias(k))
+    empty = none(left_keys, left, "a").crossJoin(none(right_keys, right, "b"))
+    return met.unionByName(empty.select("a", "b", F.lit(3).cast("long").alias("matched_zones"), F.lit(1.0).alias("score")))
+
+
+def own_anchor_scores(left: DataFrame, right: DataFrame, left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """key, anchor_score: as anchor_links, but each text against the evidence of its own key alone; only those that match."""
+    count = lambda df, n: df.groupBy("key", "zone").agg(F.count("*").alias(n))
+    common = left.join(right, ["key", "zone", "shingle"]).groupBy("key", "zone").agg(F.count("*").alias("c"))
+    each = common.join(count(left, "n_a"), ["key", "zone"]).join(count(right, "n_b"), ["key", "zone"]).withColumn("j", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")))
+    met = each.groupBy("key").agg(F.count_if(F.col("j") >= threshold).alias("m"), (F.sum("j") / 3).alias("anchor_score")).join(right_keys.select("key", "short"), "key")
+    met = met.where(F.col("m") >= F.when(F.col("short"), 1).otherwise(2)).select("key", "anchor_score")
+    none = lambda keys, df: keys.select("key").join(df.select("key").distinct(), "key", "left_anti")
+    return met.unionByName(none(left_keys, left).join(none(right_keys, right), "key").distinct().select("key", F.lit(1.0).alias("anchor_score")))
+
+
 def flat_confidence(after: Column, before: Column, norm: Column, anchor_score: Column, similarity: Column) -> Column:
     """The ladder of confidences; absent signals are null or false."""
     return F.when(after, 1.0).when(before, 0.95).when(norm, 0.9).when(anchor_score > 0, 0.85 * anchor_score).otherwise(F.coalesce(similarity, F.lit(0.0)))

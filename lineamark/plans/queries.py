@@ -284,6 +284,15 @@ def anchor_pairs(spark, sf_dir):
     return M.anchor_pairs(a, a).where("a < b")
 
 
+@query()
+def anchor_links(spark, sf_dir):
+    """Pairs with the rule for short evidence and the texts without anchors, which anchor_pairs and its SQL leave out; either may be the evidence."""
+    d = docs_of(spark, sf_dir)
+    a = P.anchors(d, "doc_id", "text").select(F.col("doc_id").alias("key"), "zone", "shingle")
+    keys = P.anchor_keys(d, "doc_id", "text")
+    return M.anchor_links(a, a, keys, keys).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "matched_zones", "score").distinct()
+
+
 # --- matching and verdicts
 
 

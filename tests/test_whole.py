@@ -10,6 +10,34 @@ from lineamark.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 
 
+def words(t):
+    return [w for w in re.sub("[^a-zA-Z0-9]+", " ", t or "").lower().split() if len(w) > 1]
+
+
+def zones(t):
+    found = P.Anchors().of(words(t))
+    return [{f["shingle"] for f in found if f["zone"] == z} for z in P.ZONES]
+
+
+def compared(suspect, evidence, short):
+    """Matched zones and score, or None: compare_anchor_fingerprints of the reference, as read."""
+    j = [1.0 if not x and not y else len(x & y) / len(x | y) for x, y in zip(suspect, evidence, strict=True)]
+    n = sum(v >= 0.4 for v in j)
+    return (n, round(sum(j) / 3, 6)) if n >= (1 if short else 2) else None
+
+
+def test_anchor_links(spark):
+    rng = random.Random(3)
+    long = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)) for _ in range(3)]
+    texts = [*long, " ".join(long[0].split()[:390]), " ".join(long[1].split()[-395:]), " ".join(long[2].split()[:450]), None, "", "a bc de", "some few words are here now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, keys = P.anchors(df, "doc_id", "text").withColumnRenamed("doc_id", "key").select("key", "zone", "shingle"), P.anchor_keys(df, "doc_id", "text")
+    got = {(r["a"], r["b"]): (r["matched_zones"], round(r["score"], 6)) for r in M.anchor_links(a, a, keys, keys).collect()}
+    z = [zones(t) for t in texts]
+    want = {(i, j): c for i in range(len(texts)) for j in range(len(texts)) if (c := compared(z[i], z[j], len(words(texts[j])) < 400))}
+    assert got == want and (6, 8) in got and (0, 3) in got and (3, 0) not in got
+
+
 def test_touched_fragments(spark):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)) for _ in range(3)]
