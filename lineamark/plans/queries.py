@@ -340,8 +340,17 @@ j AS (SELECT s.suspect_id, sha256(s.text) = hash_after AS a, sha256(s.text) = ha
 SELECT suspect_id, a AS match_after, b AS match_before, n AS match_normalized, CAST(d AS BIGINT) AS distance, coalesce(intact, false) AS tag_intact, b AND NOT a AS likely_removed,
 round(CAST(CASE WHEN a THEN 1.0 WHEN b THEN 0.95 WHEN n THEN 0.9 WHEN d <= 10 THEN 1 - d::DOUBLE / 64 ELSE 0.0 END AS DOUBLE), 6) AS confidence FROM j""")
 def verify_flat(spark, sf_dir):
-    """Each suspect against the evidence of the same row id: the ladder of signals."""
-    d = docs_of(spark, sf_dir)
+    """Each suspect against the evidence of the same row id: the ladder of signals, but anchors, which the SQL leaves out."""
+    return _flat(docs_of(spark, sf_dir), False)
+
+
+@query()
+def verify_flat_anchors(spark, sf_dir):
+    """verify_flat with the rung of anchors."""
+    return _flat(docs_of(spark, sf_dir), True)
+
+
+def _flat(d: DataFrame, anchors: bool) -> DataFrame:
     s = suspects_of(d)
     sh = P.simhash(s, "suspect_id", "text")
     e = evidence_of(d).join(P.simhash(d, "doc_id", "text").select(F.col("doc_id").alias("artifact_id"), F.col("simhash").alias("theirs")), "artifact_id")
@@ -349,8 +358,13 @@ def verify_flat(spark, sf_dir):
     t = F.col("text")
     a, b, n = T.sha(t) == F.col("hash_after"), T.sha(t) == F.col("hash_before"), T.normalized_sha(t).isin(F.col("norm_before"), F.col("norm_after"))
     j = j.select("suspect_id", a.alias("match_after"), b.alias("match_before"), n.alias("match_normalized"), T.hamming(F.col("simhash"), F.col("theirs")).cast("long").alias("distance"), F.coalesce(T.tag_id(t) == F.col("watermark_id"), F.lit(False)).alias("tag_intact"))
+    score = F.lit(None).cast("double")
+    if anchors:
+        of = lambda df, k: P.anchors(df, k, "text").select(F.col(k).alias("key"), "zone", "shingle")
+        scores = M.own_anchor_scores(of(s, "suspect_id"), of(d, "doc_id"), P.anchor_keys(s, "suspect_id", "text"), P.anchor_keys(d, "doc_id", "text"))
+        j, score = j.join(scores.withColumnRenamed("key", "suspect_id"), "suspect_id", "left"), F.col("anchor_score")
     similarity = F.when(F.col("distance") <= 10, 1 - F.col("distance") / 64)
-    return j.withColumn("likely_removed", F.col("match_before") & ~F.col("match_after")).withColumn("confidence", F.round(M.flat_confidence(F.col("match_after"), F.col("match_before"), F.col("match_normalized"), F.lit(None).cast("double"), similarity), 6))
+    return j.withColumn("likely_removed", F.col("match_before") & ~F.col("match_after")).withColumn("confidence", F.round(M.flat_confidence(F.col("match_after"), F.col("match_before"), F.col("match_normalized"), score, similarity), 6)).drop("anchor_score")
 
 
 CASCADE_SQL = f"""{SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL}, {FRAGMENTS_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},

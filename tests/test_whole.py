@@ -38,6 +38,20 @@ def test_anchor_links(spark):
     assert got == want and (6, 8) in got and (0, 3) in got and (3, 0) not in got
 
 
+def test_flat_with_anchors(spark):
+    d = Q.docs_of(spark, SF)
+    texts, suspects = ({r[0]: r[1] for r in x.collect()} for x in (d.select("doc_id", "text"), Q.suspects_of(d)))
+    rungs = 0
+    for r in Q.verify_flat_anchors(spark, SF).collect():
+        k = r["suspect_id"]
+        met = compared(zones(suspects[k]), zones(texts[k]), len(words(texts[k])) < 400)
+        similarity = 1 - r["distance"] / 64 if r["distance"] <= 10 else 0.0
+        want = 1.0 if r["match_after"] else 0.95 if r["match_before"] else 0.9 if r["match_normalized"] else 0.85 * met[1] if met and met[1] > 0 else similarity
+        assert abs(r["confidence"] - want) < 2e-6, k
+        rungs += want not in (1.0, 0.95, 0.9, similarity)
+    assert rungs > 20
+
+
 def test_touched_fragments(spark):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)) for _ in range(3)]
