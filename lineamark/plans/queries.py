@@ -255,6 +255,12 @@ def minhash(spark, sf_dir):
     return P.minhash(docs_of(spark, sf_dir), "doc_id", "text", 16).select("doc_id", *(F.col("minhash")[i].alias(f"m{i}") for i in range(16)))
 
 
+@query()
+def minhash_whole(spark, sf_dir):
+    """minhash with all of the operator's permutations; the SQL of minhash has 16."""
+    return P.minhash(docs_of(spark, sf_dir), "doc_id", "text")
+
+
 @query("WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents WHERE length(text) >= 10) GROUP BY ALL), e AS (SELECT doc_id, least(1.0, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / 8) AS e FROM c GROUP BY doc_id) SELECT doc_id, round(coalesce(e, 0.0), 6) AS entropy FROM documents LEFT JOIN e USING (doc_id)")
 def text_entropy(spark, sf_dir):
     return P.text_entropy(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", F.round("entropy", 6).alias("entropy"))

@@ -1,5 +1,6 @@
 """Matching by anchors and nearly contained fragments against plain Python, where the SQL covers a smaller job."""
 
+import hashlib
 import random
 import re
 
@@ -64,3 +65,12 @@ def test_touched_fragments(spark):
     hashes = P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id")
     got = {r["suspect_id"]: (r["artifact_id"], r["tier"], r["confidence"]) for r in M.cascade(s, Q.evidence_of(d), f, *hashes).collect()}
     assert {k: got[k] for k in range(3)} == {k: (k, "fragments", 0.999) for k in range(3)} and got[9][1] != "fragments"
+
+
+def test_all_permutations(spark):
+    got = {r["doc_id"]: list(r["minhash"]) for r in Q.minhash_whole(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in Q.docs_of(spark, SF).collect()}
+    assert set(got) == set(texts) and all(len(m) == 128 for m in got.values())
+    for k in sorted(texts)[:30]:
+        t = set(re.findall(r"\w+", (texts[k] or "").lower()))
+        assert got[k] == [min((int(hashlib.md5(f"{w}{i}".encode()).hexdigest()[:8], 16) for w in t), default=0) for i in range(128)]
