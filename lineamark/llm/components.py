@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.llm.shared import written
+from lineamark.llm.shared import looked_up, remove, written
 
 
 def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
@@ -16,23 +16,24 @@ def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
     number of edges never grows. Loops and repeated edges are allowed; no edges give no rows.
     """
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, total: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        return looked_up(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, total: int) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tied = looked_up(down, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return tied.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
     edges = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     nodes = edges.where("a = b").select("b").distinct()
     now = written(edges.where("a <> b").distinct(), "edges")
-    last = None
+    total, last = max(1, now.count()), None
     for _ in range(at_most):
-        now = written(small(large(now)), "stars")
+        before, now = now, written(small(large(now, total), total), "stars")
+        remove(before)
         # a forest of stars has no edge whose lower end is another's upper end; equal sums twice: nothing has changed
         sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sums == last:
