@@ -6,7 +6,8 @@ documents that hold the line are counted per host, and lines in more documents t
 document that keeps less than min_share of its words, or fewer than MIN_LEFT words, is depleted and rejected.
 
 Copies are one document here: documents of a host with the same normalised lines in the same order count once for a
-line, so a much-copied text isn't taken for boilerplate. Texts that differ in any line are different documents.
+line, so a much-copied text isn't taken for boilerplate. Texts that differ in any line are different documents. A
+line in very many documents is one key: its rows are kept out of the shuffle (looked_up).
 
 A null text has no words and fails the base rule of min_words. A null host is a host of its own. A null id is kept as
 a row; repeated rows are judged each, and count once. Empty tables give no rows. Texts of any length are read whole.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.llm.shared import free_name, written
+from lineamark.llm.shared import free_name, looked_up, written
 from lineamark.llm.spans import pieces, text_bytes, word_codes, words
 
 MIN_WORDS = 20
@@ -118,18 +119,30 @@ def text_stats(col: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, np.nd
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str, row: str) -> DataFrame:
-    """A row for each document: its number, id, host, STATS, its lines' hashes and numbers of words."""
+    """A row for each document: its key, id, host, STATS, a hash of all its lines, and its distinct lines' hashes with
+    their words (over all their places)."""
+
+    def of_rows(hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        whole, lines, words_in, ends = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            whole.append(xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()))
+            own, place = np.unique(hashes[a:b], return_inverse=True)
+            lines.append(own)
+            words_in.append(np.bincount(place, sizes[a:b], len(own)).astype(np.int64))
+            ends.append(ends[-1] + len(own))
+        return whole, np.array(ends, np.int32), np.concatenate(lines), np.concatenate(words_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 3):
-                stats, (hashes, sizes, at) = text_stats(part.column(3))
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(c.astype(np.int64))) for c in (hashes, sizes)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *map(pa.array, stats), *lists], names=names)
+                stats, found = text_stats(part.column(3))
+                whole, ends, hashes, sizes = of_rows(*found)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (hashes, sizes)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *map(pa.array, stats), pa.array(np.array(whole, np.uint64).view(np.int64)), *lists], names=names)
 
-    names = ["row", "doc_id", "host", *(s.split()[0] for s in STATS.split(", ")), "hashes", "sizes"]
+    names = ["row", "doc_id", "host", *(s.split()[0] for s in STATS.split(", ")), "whole", "hashes", "sizes"]
     picked = docs.select(F.col(row).cast("string").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"row string, doc_id long, host string, {STATS}, hashes array<long>, sizes array<long>")
+    return picked.mapInArrow(run, f"row string, doc_id long, host string, {STATS}, whole long, hashes array<long>, sizes array<long>")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, line_limit: int = LINE_LIMIT, min_share: float = MIN_SHARE) -> DataFrame:
@@ -140,12 +153,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     key = free_name(docs, "row_key")
     docs = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col, host_col).cast("string")))
     table = written(line_table(docs, id_col, text_col, host_col, key), "lines")
-    lines = table.where(F.size("hashes") > 0).select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.xxhash64("hashes").alias("text"), F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", "text", F.col("l.hashes").alias("line"), F.col("l.sizes").alias("size"))
-    frequent = lines.select("host", "line", "text").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("host", "line")
-    removed = lines.groupBy("row", "host", "line").agg(F.first("size").alias("size"), F.count("*").alias("times")).join(frequent, ["host", "line"]).groupBy("row").agg(F.sum(F.col("size") * F.col("times")).alias("removed"))
+    host = F.coalesce("host", F.lit("\0")).alias("host")
+    lines = table.select("row", host, "whole", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", "whole", F.col("l.hashes").alias("line"), F.col("l.sizes").alias("size"))
+    # documents of a line: distinct texts of a host, counted in tasks first
+    counted = lines.groupBy("host", "line", "whole").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    frequent = written(counted.where(F.col("n") > line_limit).select("host", "line", "rows"), "frequent-lines")
+    total = table.agg(F.sum(F.size("sizes"))).first()[0] or 0
+    removed = looked_up(lines.select("row", "host", "line", "size"), frequent, ["host", "line"], "rows", total).where("rows is not null").groupBy("row").agg(F.sum("size").alias("removed"))
     # repeated rows have one key: their lines were counted once for each
     copies = table.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = table.join(removed, "row", "left").join(copies, "row", "left")
+    out = table.drop("hashes", "sizes", "whole").join(removed, "row", "left").join(copies, "row", "left")
     gone = (F.coalesce("removed", F.lit(0)) / F.coalesce("copies", F.lit(1))).cast("long")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -163,3 +180,22 @@ def keep(docs: DataFrame, **how) -> DataFrame:
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+#: The same in SQL, for texts with distinct ids. Words and lines are exact here, not hashed.
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, host, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+normal AS (SELECT doc_id, host, list_transform(l, lambda x: array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) AS l FROM lines),
+each AS (SELECT doc_id, host, whole, line, len(string_split(line, ' ')) AS size FROM (SELECT doc_id, host, array_to_string(l, chr(10)) AS whole, unnest(l) AS line FROM normal)),
+frequent AS (SELECT host, line FROM (SELECT DISTINCT host, line, whole FROM each) GROUP BY host, line HAVING count(*) > {LINE_LIMIT}),
+removed AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS removed FROM each JOIN frequent USING (host, line) GROUP BY doc_id),
+runs AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY doc_id),
+stats AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words FROM d JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id) LEFT JOIN removed USING (doc_id)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stats)
+SELECT *, NOT base_failed AND n_words - removed_words >= {MIN_LEFT} AND n_words - removed_words >= {MIN_SHARE} * n_words AS kept FROM judged
+"""
