@@ -6,6 +6,10 @@ stored once: of the rows with an equal payload of at least min_bytes, that with
 others are revisit records that refer to it. Each task writes archives of bounded size; a manifest names those of
 tasks that succeeded, and only these are read, so a repeated task leaves no double records.
 
+Payloads aren't shuffled to learn what they equal: only their hashes are, and the payloads that occur more than once
+(hash and least id) are broadcast if they were counted to be at most TOLD. Only beyond that the rows go through a
+shuffle, with payloads of very many rows kept out of it. All empty payloads have one least id, found by one sum.
+
 A null html is the empty payload, which counts as equal to other empty ones when min_bytes is 0. A null url is left
 out; control characters in urls are percent-encoded. Rows with a null id are responses without an id. Rows that repeat
 the least id of an equal payload are all responses. An empty table writes no archive.
@@ -26,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineamark.llm.shared import new_path, written
+from lineamark.llm.shared import looked_up, new_path, written
 
 #: Raw bytes of records in an archive, about; bytes of samples and of the dictionary.
 ARCHIVE, SAMPLES, DICTIONARY = 1 << 24, 1 << 21, 1 << 16
 LEVEL = 3
+#: Payloads that occur more than once (about 40 bytes each) up to which they are broadcast.
+TOLD = 1_000_000
 #: Fixed values of the formats.
 SKIPPABLE, DICT_MAGIC = 0x184D2A5D, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,13 +127,25 @@ def put(uri: str, data: bytes) -> None:
         f.write(data)
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE) -> DataFrame:
+def referred(rows: DataFrame, min_bytes: int, told: int) -> DataFrame:
+    """rows (page, url, html, sha, size) with refers: the least id of those with the same payload, where that is another."""
+    fit = (F.col("size") >= min_bytes) & F.col("page").isNotNull()
+    keys = rows.where(fit & (F.col("size") > 0)).groupBy("sha").agg(F.min("page").alias("least"), F.count("*").alias("n")).where("n > 1")
+    twice = written(keys, "equal-payloads")
+    empty = rows.where(fit & (F.col("size") == 0)).agg(F.min("page")).first()[0]
+    if twice.count() <= told:
+        found = rows.join(F.broadcast(twice.select("sha", "least")), "sha", "left")
+    else:
+        found = looked_up(rows, twice, ["sha"], "n", rows.select("page").count())
+    least = F.when(F.col("size") == 0, F.lit(empty).cast("long")).otherwise(F.col("least"))
+    return found.withColumn("refers", F.when(fit & (F.col("page") != least), least)).select("page", "url", "html", "refers")
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE, told: int = TOLD) -> DataFrame:
     """Write all rows of pages into archives in folder; gives the manifest (path, records) as a written table."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = rows.where((F.octet_length("html") >= min_bytes) & F.col("page").isNotNull()).select("page", "sha")
-    least = first.groupBy("sha").agg(F.min("page").alias("refers"), F.count("*").alias("n")).where("n > 1").select("sha", "refers")
-    revisits = first.join(least, "sha").where("page <> refers").distinct()
-    told = rows.join(revisits, ["page", "sha"], "left").select("page", "url", "html", "refers")
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
+    shas = referred(rows, min_bytes, told)
     spark = pages.sparkSession
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
 
@@ -157,7 +175,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
         if held:
             yield flushed()
 
-    return written(told.mapInArrow(run, "path string, records long"), "manifest")
+    return written(shas.mapInArrow(run, "path string, records long"), "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -194,3 +212,12 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "archives")
     manifest = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same in SQL: an independent digest of each payload, in base32 by groups of 20 bits.
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, html, h, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {s}) & 31) + 1 AS INTEGER), 1)" for i in range(8) for s in (15, 10, 5, 0))} AS payload_digest,
+CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM b
+"""
