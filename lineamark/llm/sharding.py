@@ -69,3 +69,11 @@ def shard(df: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = SHAR
 def op6_shard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return shard(docs).select("doc_id", "source", "slot", "shard")
+
+
+#: The same in SQL; the table, made once, stands in it as text, three digits for each slot.
+OP6_SQL = f"""
+WITH t AS (SELECT '{"".join(f"{k:03d}" for k in lookup_table())}' AS slots),
+d AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SIZE} AS BIGINT) AS slot FROM documents)
+SELECT doc_id, source, slot, 'shard-' || substr(slots, CAST(3 * slot + 1 AS INTEGER), 3) AS shard FROM d, t
+"""
