@@ -5,11 +5,15 @@ vowels stay vowels in names, digits digits, separators stand; check digits (card
 given names are replaced by names of the same gender and script, others get an ending of the title's gender. Names are
 found by their title; their words are then replaced wherever the text has them, capitalised or in capitals (a
 word in small letters isn't taken for a name, nor is one of COMMON). A surrogate is the image of the entity under a keyed
-permutation of all strings of its format, made without a fixed point: an encryption E, a step on, and back. So
-distinct entities keep distinct surrogates, an entity gets one surrogate wherever and however it is written, none is
-left as it was, and no table of entities is needed. Two checks guard this: names that are not listed never become
-listed ones (the permutation is walked until it leaves the list), and in each document, for names too, the surrogates are counted
-against the entities.
+permutation of all strings of its format, made without a fixed point: an encryption E, a step on, and back. Where
+formats could meet, the permutation is walked until it is back in its own: phone numbers with a 555 exchange and
+others, reserved mail domains and others, listed names and others. So distinct entities keep distinct surrogates, an
+entity gets one surrogate wherever and however it is written, none is left as it was, and no table of entities is
+needed. In each document surrogates are checked against the entities too; should two entities ever meet, the later
+one takes the next of its surrogates, under further keys, that is free.
+
+A name's words begin with a capital, or are in a script without case. A listed name follows its list, whatever the
+title. All searches take time in proportion to the text, runs of one kind of character included.
 
 A null text stays null, an empty one empty. Repeated rows get the same result. Entities may not overlap: the one
 that begins first, then the longer one, counts. A part with nothing to permute stands as it is. Texts are read whole.
@@ -52,7 +56,10 @@ de du des en est el los las y o ella es de del al и в на но он она о
 ALPHABETS = [a for script in LETTERS.values() for a in script]
 DIGITS, HEX, CODE, LATIN = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
 
-EMAIL = re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
+USER = re.compile(r"[\w.%+\-]")
+HOST = re.compile(r"[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
+RESERVED = re.compile(r"(?i)(?:^|\.)(?:example\.(?:com|net|org)|example|test|invalid)$")
+OURS = ".x.example"
 SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|ghs)_[0-9A-Za-z]{30,}|\bsk-[0-9A-Za-z_\-]{20,}")
 NAMED_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"'<>|]{8,})")
 NUMBER = re.compile(
@@ -63,6 +70,7 @@ NUMBER = re.compile(
 )
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r") ((?:[^\W\d_a-z][^\W\d_]+)(?:[ \-][^\W\d_a-z][^\W\d_]+){0,2})")
+WORD = re.compile(r"\w+")
 HAS_DIGIT = re.compile(r"\d")
 SECRET_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
 
@@ -98,9 +106,14 @@ class Permutation:
 
 class Surrogates:
     def __init__(self, key: str) -> None:
+        self.key = key
         self.p = Permutation(hashlib.sha256(key.encode()).digest())
         self.of = lru_cache(100_000)(self.of)
 
+    def other(self, number: int) -> Surrogates:
+        """Surrogates under a further key."""
+        return Surrogates(f"{self.key}#{number}")
+
     def string(self, kind: str, text: str, alphabets: list[str | None], tweak: str = "") -> str:
         """Permute the characters that have an alphabet, as one number; case stays in its place."""
         low = [c.lower() if len(c.lower()) == 1 else c for c in text]
@@ -124,10 +137,27 @@ class Surrogates:
     def of(self, kind: str, text: str) -> str:
         return getattr(self, kind)(text)
 
+    def host(self, name: str) -> str:
+        """A permutation of names of one format; those that end in the label x stay apart from the others."""
+        while True:
+            name = self.plain("host", name)
+            if not re.search(r"(?i)(?:^|\.)x$", name):
+                return name
+
     def email(self, text: str) -> str:
+        """The user's part and the domain are permuted apart. Reserved domains keep their end; others get OURS, and
+        what has that end already gets one x more, so that the number of x tells them apart."""
         user, _, domain = text.rpartition("@")
-        kept = re.search(r"(?i)(?:^|\.)(?:example\.(?:com|net|org)|example|test|invalid)$", domain)
-        return self.plain("email", user) + "@" + (self.plain("host", domain[: kept.start()]) + domain[kept.start() :] if kept else self.plain("host", domain) + ".example")
+        low, new = domain.lower(), self.plain("email", user) + "@"
+        if low.endswith(OURS) or low == OURS[1:]:
+            rest, xs = domain[: -len(".example")], 0
+            while rest.lower() == "x" or rest.lower().endswith(".x"):
+                rest, xs = rest[:-2], xs + 1
+            return new + ".".join([self.host(rest)] * bool(rest) + ["x"] * (xs + 1) + ["example"])
+        kept = RESERVED.search(domain)
+        if not kept:
+            return new + self.host(domain) + OURS
+        return new + (self.host(domain[: kept.start()]) if kept.start() else "") + domain[kept.start() :]
 
     def secret(self, text: str) -> str:
         head = next((h for h in SECRET_HEADS if text.startswith(h)), "")
@@ -146,23 +176,28 @@ class Surrogates:
         """Country code and a 555 exchange stand; the last ten digits decide the surrogate."""
         own = [c for c in text if c in DIGITS]
         extra = max(0, len(own) - 10)
-        new = list("".join(own[extra:]))
-        fixed = {3, 4, 5} if len(new) == 10 and new[3:6] == ["5"] * 3 else set()
-        new = iter([*own[:extra], *self.string("phone", "".join(new), [None if k in fixed else DIGITS for k in range(len(new))])])
+        last = "".join(own[extra:])
+        fake = len(last) == 10 and last[3:6] == "555"
+        while True:
+            last = self.string("phone", last, [None if fake and k in (3, 4, 5) else DIGITS for k in range(len(last))])
+            if fake or len(last) < 10 or last[3:6] != "555":
+                break
+        new = iter([*own[:extra], *last])
         return "".join(next(new) if c in DIGITS else c for c in text)
 
     def ssn(self, text: str) -> str:
         return self.digits("ssn", text, set())
 
     def card(self, text: str) -> str:
-        """The first digit stands; the last keeps the Luhn sum as it was, modulo 10."""
+        """The first digit stands; those between are permuted among numbers of its Luhn sum, which the last keeps as it was, modulo 10."""
         own = [int(c) for c in text if c in DIGITS]
 
         def luhn(d: list[int]) -> int:
             return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d))) % 10
 
-        new = [int(c) for c in self.digits("card", "".join(map(str, own)), {0, len(own) - 1})]
-        new[-1] = (new[-1] + luhn(own) - luhn(new)) % 10
+        body = self.string("card", "".join(map(str, own[1:-1])), [DIGITS] * (len(own) - 2), f"{own[0]}|{luhn(own)}")
+        new = [own[0], *map(int, body), 0]
+        new[-1] = (luhn(own) - luhn(new)) % 10
         it = iter(new)
         return "".join(str(next(it)) if c in DIGITS else c for c in text)
 
@@ -227,18 +262,48 @@ def mentions(text: str, sources: list[str], taken: list[tuple[int, int, str, str
                 forms |= {w, w.upper(), w.capitalize()}
     if not forms:
         return []
-    one = "(?:" + "|".join(sorted(map(re.escape, forms), key=len, reverse=True)) + r")(?!\w)"
-    row = re.compile(rf"(?<!\w){one}(?:[ \-]{one})*")
-    gaps = zip([0, *(e[1] for e in taken)], [*(e[0] for e in taken), len(text)], strict=True)
-    found = [m for a, b in gaps for m in row.finditer(text, a, b)]
-    return [(m.start(), m.end(), "name", ",".join(gender.get(w.lower(), "") for w in re.split(r"[ \-]", m.group())) + "|" + m.group()) for m in found]
+    out, ahead = [], iter([*taken, (len(text) + 1, 0, "", "")])
+    wall = next(ahead)
+    for m in WORD.finditer(text):
+        while m.start() >= wall[1] and wall[0] <= len(text):
+            wall = next(ahead)
+        if m.group() in forms and m.end() <= wall[0]:
+            if out and out[-1][1] + 1 == m.start() and text[m.start() - 1] in " -":
+                out[-1][1] = m.end()
+            else:
+                out.append([m.start(), m.end()])
+    return [(a, b, "name", ",".join(gender.get(w.lower(), "") for w in re.split(r"[ \-]", text[a:b])) + "|" + text[a:b]) for a, b in out]
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where addresses are: from each @ to both sides, so that no run of characters is read twice."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > done and USER.match(text[begin - 1]):
+            begin -= 1
+        host = HOST.match(text, at + 1)
+        done = host.end() if begin < at and host else at + 1
+        if begin < at and host:
+            yield begin, done
+        at = text.find("@", done)
+
+
+def titled(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after a title: up to three words, until one that begins with a small letter."""
+    for m in NAME.finditer(text):
+        words = re.split(r"([ \-])", m.group(2))
+        n = next((k for k in range(0, len(words), 2) if words[k][0].islower()), len(words) + 1)
+        if n:
+            name = "".join(words[: n - 1])
+            yield m.start(2), m.start(2) + len(name), "name", named(TITLES[m.group(1)], name)
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """begin, end, kind, and what the surrogate is made from, in order and without overlap."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m.group()) for m in EMAIL.finditer(text)]
+        found += [(a, b, "email", text[a:b]) for a, b in emails(text)]
     if HAS_DIGIT.search(text):
         found += [(m.start(), m.end(), m.lastgroup, m.group()) for m in NUMBER.finditer(text)]
         found += [(m.start(), m.end(), "iban", m.group()) for m in IBAN.finditer(text) if int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(m.group().replace(" ", "")))) % 97 == 1]
@@ -246,7 +311,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "secret", m.group()) for m in SECRET.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret", m.group(1)) for m in NAMED_SECRET.finditer(text)]
-    found += [(m.start(2), m.end(2), "name", named(TITLES[m.group(1)], m.group(2))) for m in NAME.finditer(text)]
+    found += titled(text)
     out, at = [], 0
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if e[0] >= at:
@@ -256,16 +321,36 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out + mentions(text, names, out)) if names else out
 
 
+def identity(kind: str, text: str) -> str:
+    """What two mentions of one entity have in common."""
+    if kind in ("name", "email"):
+        return text.lower()
+    if kind == "phone":
+        return re.sub(r"\D", "", text)[-10:]
+    return re.sub(r"[ \-]", "", text) if kind in ("card", "ssn", "iban") else text
+
+
+#: Further surrogates that are tried for an entity whose own was taken; then one gets a number.
+TRIES = 100
+
+
 def surrogated(text: str | None, made: Surrogates) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and for each its kind and place in the new text."""
     found = entities(text) if text else []
-    out, at, size, log, pairs = [], 0, 0, [], {}
+    out, at, size, log = [], 0, 0, []
+    owner: dict[tuple[str, str], str] = {}
     for a, b, kind, source in found:
+        same = identity(kind, source.partition("|")[2] if kind == "name" else source)
         new = made.of(kind, source)
-        same = source.partition("|")[2].lower() if kind == "name" else re.sub(r"\D", "", source)[-10:] if kind == "phone" else source.replace(" ", "").replace("-", "").lower()
-        key = new.lower() if kind == "name" else re.sub(r"\D", "", new)[-10:] if kind == "phone" else new.replace(" ", "").replace("-", "").lower()
-        if pairs.setdefault((kind, key), same) != same:
-            raise ValueError(f"two entities of kind {kind} got one surrogate")
+        for k in range(TRIES):
+            if owner.setdefault((kind, identity(kind, new)), same) == same:
+                break
+            new = made.other(k).of(kind, source)
+        else:
+            n = 2
+            while owner.setdefault((kind, identity(kind, f"{new}{n}")), same) != same:
+                n += 1
+            new = f"{new}{n}"
         out += [text[at:a], new]
         size += a - at + len(new)
         log.append({"kind": kind, "begin": size - len(new), "end": size})
