@@ -7,7 +7,8 @@ begin afresh, so any text is read whole in bounded memory, segments side by side
 signs and white space are masked as byte 32 before, and ASCII letters are lowered.
 
 Training is plain numpy: backpropagation through time over both directions, Adam, on at most SAMPLE labelled
-documents (those of least hash of their id), of each at most PER_DOCUMENT segments. This sample is the only bound.
+documents (those of least hash of their id), of each PER_DOCUMENT segments from places anywhere in its text. This
+sample is the only bound.
 
 A null text, or one without a letter, is "und" with score 0. A null or empty label is not learned. With no labelled
 rows at all every text is "und". Repeated rows are labelled each; ids may be null; other columns are ignored.
@@ -207,9 +208,11 @@ class Predictor:
         self.net.w = model["w"]
 
     def __call__(self, col: pa.Array, at_once: int = 1024) -> tuple[list[str], list[float]]:
+        if not self.labels:
+            return [UNKNOWN] * len(col), [0.0] * len(col)
         data, rows = text_bytes(col)
         n = len(rows) - 1
-        total = np.zeros((n, max(1, len(self.labels))))
+        total = np.zeros((n, len(self.labels)))
         seen = np.zeros(n)
         if len(data):
             lens = rows[1:] - rows[:-1]
@@ -241,7 +244,6 @@ class Predictor:
         known |= ascii_letter[rows[1:]] > ascii_letter[rows[:-1]]
         for r in np.flatnonzero(~known):
             known[r] = has_letter(col[int(r)].as_py())
-        known &= bool(self.labels)
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(p[r, b]) if known[r] else 0.0 for r, b in enumerate(best)]
 
 
