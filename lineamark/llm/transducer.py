@@ -1,13 +1,14 @@
 """BPE encoding as a bounded-lookahead streaming transducer, and decoding as a byte-to-text state machine.
 
-From the merge list alone, sufficient_lookahead() computes how many symbols after a token's begin can decide
-that token. Encoding a word then needs a window of bounded length: the window's merges are done, every token
-whose begin lies at least that far before the window's end is stable and leaves, and more symbols come in.
-The rest of a word is merged as if it stood alone, since no merge crosses a token's edge. Text comes in runs that
-end at white space, so memory doesn't grow with the text.
+From the merge list alone, lookaheads() computes for each token how many symbols from its begin decide it, whatever
+follows them. Every word goes through a transducer that holds a window of symbols: the window's merges are done, tokens
+whose lookahead lies within the window are stable and leave, and more symbols come in. The rest of a word is merged as
+if it stood alone, since no merge crosses a token's edge. So a window has at most BLOCK symbols and the largest
+lookahead, however long the word. Text comes in runs of bounded length; a word may go on from run to run. Words that
+recur in a batch pass the transducer once and are remembered, within a number of bytes.
 
 A null text is the empty text: no ids, the empty string. Texts of white space alone have no ids either. Special
-tokens in a text become their ids, as the library does by default. Other columns are ignored.
+tokens in a text become their ids, as the library does by default. Ids of rows may be null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from __future__ import annotations
 import bisect
 import codecs
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.spans import LOWER, encoded, pieces, text_bytes
 
-REMEMBERED = 600_000
-#: Characters of text that are normalised and cut at a time.
-RUN = 1 << 16
+#: Bytes of words, ids and texts that a worker remembers, about; longer words aren't remembered.
+REMEMBERED, LONG = 100_000_000, 256
+#: Characters of text that are normalised and cut at a time; symbols between two passes of merges.
+RUN, BLOCK = 1 << 16, 48
 
 
 def byte_alphabet() -> list[str]:
@@ -37,8 +41,8 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
-def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
-    """How many symbols from a token's begin decide it, whatever follows them.
+def lookaheads(merges: list[tuple[str, str]], length) -> dict[str, int]:
+    """For each token, how many symbols from its begin decide it, whatever follows them.
 
     A symbol formed or waiting at the right edge of a token can be lost to a neighbour only by a merge of lower
     rank; the neighbour must itself be formed before, which asks the same of what follows it. reach(x, t) bounds
@@ -64,7 +68,53 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
             r = max(r, reaches[a][-1])
         ranks.setdefault(a, []).append(k)
         reaches.setdefault(a, []).append(r)
-    return max([1, *(reach(x, len(merges)) for x in {*formed, *ranks})])
+    return {x: reach(x, len(merges)) for x in {*formed, *ranks}}
+
+
+class Transducer:
+    """Tokens of one word: feed() takes its next bytes and gives the tokens that are stable, close() gives the others."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder, self.window, self.last = encoder, [], b""
+
+    def feed(self, part: bytes) -> Iterator[str]:
+        """The last byte is held back: it alone may bear the word's end."""
+        part = self.last + part
+        self.last = part[-1:]
+        window, alphabet = self.window, self.encoder.alphabet
+        for at in range(0, len(part) - 1, BLOCK):
+            window += [alphabet[b] for b in part[at : min(at + BLOCK, len(part) - 1)]]
+            if len(window) >= BLOCK:
+                yield from self.stable()
+
+    def stable(self) -> Iterator[str]:
+        at, window, reach = 0, self.window, self.encoder.reach
+        for t in self.encoder.merged(window[:]):
+            if at + reach.get(t, 1) > len(window):
+                break
+            yield t
+            at += len(t)
+        del window[:at]
+
+    def close(self) -> Iterator[str]:
+        if self.last:
+            self.window.append(self.encoder.alphabet[self.last[0]] + self.encoder.end)
+            yield from self.encoder.merged(self.window)
+        self.window, self.last = [], b""
+
+
+@lru_cache(1)
+def composing() -> frozenset[str]:
+    """Characters that canonical composition may join with what stands before them."""
+    seconds = {chr(int(d[1], 16)) for c in range(0x110000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<"}
+    return frozenset(seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def safe_cut(text: str, at: int) -> int:
+    """The first place from at on where both sides can be put in normal form apart."""
+    while at < len(text) and not text[at].isascii() and (unicodedata.combining(text[at]) or text[at] in composing()):
+        at += 1
+    return at
 
 
 class Encoder:
@@ -87,9 +137,10 @@ class Encoder:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         end = self.end
-        self.lookahead = sufficient_lookahead(merges, lambda x: len(x.removesuffix(end)) if end else len(x))
-        self.longest = max(len(a + b) for a, b in merges)
+        self.reach = lookaheads(merges, lambda x: len(x.removesuffix(end)) if end else len(x))
         self.space = regex.compile(r"\s+")
+        # The classes of the pattern's pieces that may go on in the next run of text.
+        self.going = {k: regex.compile(c) for k, c in (("letters", r"\p{L}+"), ("signs", r"[^\s\p{L}\p{N}]+"))}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges of a window, lowest rank first, leftmost first."""
@@ -108,69 +159,61 @@ class Encoder:
                 ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
         return symbols
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word, each as soon as it is stable: at most a window of symbols is held."""
-        window, need = [], 4 * self.lookahead + self.longest
-        for s in symbols:
-            window.append(s)
-            if len(window) > need:
-                at = 0
-                for t in self.merged(window[:]):
-                    n = len(t)
-                    if at + self.lookahead > len(window) - n:
-                        break
-                    yield t
-                    at += n
-                del window[:at]
-        if window:
-            yield from self.merged(window)
-
-    def symbols(self, word: bytes) -> Iterator[str]:
-        """A word's bytes as symbols, the last with the word's end."""
-        for b in word[:-1]:
-            yield self.alphabet[b]
-        yield self.alphabet[word[-1]] + self.end
-
     def word(self, word: bytes) -> list[int]:
         """Ids of a piece of the pattern, already normalised."""
-        if len(word) <= 4 * self.lookahead:
-            symbols = [self.alphabet[b] for b in word]
-            symbols[-1] += self.end
-            tokens = self.merged(symbols)
-        else:
-            tokens = self.stream(self.symbols(word))
-        return [self.vocab[t] for t in tokens if t in self.vocab]
-
-    def parts(self, text: str) -> Iterator[str]:
-        """The pieces of a text in normal form, and special tokens as they are."""
-        import unicodedata
-
-        at = 0
-        for s, t in sorted((m, t) for t in self.special for m in _places(text, t)):
-            if s < at:
-                continue
-            yield from self.parts_of_run(text[at:s], unicodedata)
-            yield t
-            at = s + len(t)
-        yield from self.parts_of_run(text[at:], unicodedata)
-
-    def parts_of_run(self, text: str, unicodedata) -> Iterator[str]:
+        t = Transducer(self)
+        return [self.vocab[x] for some in (t.feed(word), t.close()) for x in some if x in self.vocab]
+
+    def tokens(self, text: str) -> Iterator[str]:
+        """Tokens of a text without special tokens, each as soon as it is stable."""
+        word, kind, held = Transducer(self), "", ""
+        for run in self.runs(text):
+            run, at = held + run, 0
+            # an apostrophe near the end may begin a contraction
+            cut = next((len(run) - k for k in (2, 1) if run[-k : len(run) - k + 1] == "'"), len(run))
+            run, held = run[:cut], run[cut:]
+            if kind and (m := self.going[kind].match(run)):
+                yield from word.feed(m.group().encode())
+                at = m.end()
+            if kind and at < len(run):
+                yield from word.close()
+                kind = ""
+            for m in self.pattern.finditer(run, at):
+                yield from word.feed(m.group().encode())
+                kind = next((k for k, p in self.going.items() if m.end() == len(run) and p.fullmatch(m.group())), "")
+                if not kind:
+                    yield from word.close()
+        if held:
+            if kind and (m := self.going[kind].match(held)):
+                yield from word.feed(m.group().encode())
+                held = held[m.end() :]
+            yield from word.close()
+            for m in self.pattern.finditer(held):
+                yield from word.feed(m.group().encode())
+                yield from word.close()
+        yield from word.close()
+
+    def runs(self, text: str) -> Iterator[str]:
+        """The text in runs of about RUN characters, in normal form: composed, blanks for white space, small letters."""
         at = 0
         while at < len(text):
-            stop = min(len(text), at + RUN)
-            while stop < len(text) and text[stop] not in " \n\t\r":
-                stop += 1
+            stop = safe_cut(text, min(len(text), at + RUN))
             run = self.space.sub(" ", unicodedata.normalize("NFC", text[at:stop]))
-            yield from self.pattern.findall("".join(_lower(c) for c in run) if not run.isascii() else run.lower())
+            yield run.lower() if run.isascii() else "".join(c.lower() for c in run)  # each alone: no rule that looks at neighbours
             at = stop
 
-    def ids(self, text: str | None) -> list[int]:
-        return [i for p in self.parts(text or "") for i in ([self.special[p]] if p in self.special else self.word(p.encode()))]
-
+    def stream(self, text: str | None) -> Iterator[int]:
+        """Ids of a text, special tokens included, in the memory of one run and one window."""
+        text, at = text or "", 0
+        for s, t in sorted((m, t) for t in self.special for m in _places(text, t)):
+            if s >= at:
+                yield from (self.vocab[x] for x in self.tokens(text[at:s]) if x in self.vocab)
+                yield self.special[t]
+                at = s + len(t)
+        yield from (self.vocab[x] for x in self.tokens(text[at:] if at else text) if x in self.vocab)
 
-def _lower(c: str) -> str:
-    """Lower case of one character alone: no rule that looks at its neighbours."""
-    return c.lower()
+    def ids(self, text: str | None) -> list[int]:
+        return list(self.stream(text))
 
 
 def _places(text: str, t: str) -> Iterator[int]:
@@ -240,6 +283,7 @@ class Texts:
         odd[0xC4:0x100] = True
         self.odd = odd
         self.known: dict[bytes, tuple[str, str, int]] = {}
+        self.held = 0
 
     def made(self, ids: list[int]) -> tuple[str, str, int]:
         """Ids and decoded text of a piece, each token followed by a space."""
@@ -267,8 +311,9 @@ class Texts:
         start[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
         cuts = np.append(np.flatnonzero(start), n)
         codes, words = encoded(low, cuts)
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         each = []
         for w in words:
             k = self.known.get(w)
@@ -281,7 +326,9 @@ class Texts:
                         k = self.made(self.encoder.word(w))
                     except UnicodeDecodeError:  # of a row that goes the other way
                         k = ("", "", 0)
-                self.known[w] = k
+                if len(w) <= LONG:
+                    self.known[w] = k
+                    self.held += 300 + len(w) + len(k[0]) + len(k[1])
             each.append(k)
         ids, texts, sizes = zip(*each, strict=True)
         take = pa.array(codes)
