@@ -29,8 +29,8 @@ from lineamark.llm.transducer import byte_alphabet
 CAPACITY = 2048
 #: Left-overs that are packed together: bounds memory; padding is about half a window for each group.
 GROUP = 1024
-#: Words whose tokens a worker remembers.
-REMEMBERED = 600_000
+#: Bytes of words and their ids that a worker remembers, about; longer words aren't remembered.
+REMEMBERED, LONG = 100_000_000, 256
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -79,10 +79,13 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of at most capacity: as few as the sum allows, more only where differencing exceeds the capacity."""
+    """Windows of at most capacity: as few as the sum allows, more only where differencing exceeds the capacity.
+
+    No two sizes over half the capacity fit together, so there are as many windows at least.
+    """
     if not sizes:
         return []
-    k = max(1, -(-sum(sizes) // capacity))
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     while True:
         dealt = difference(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in dealt):
@@ -140,9 +143,14 @@ class Tokens:
         single = self.single
 
         class Memory(dict):
+            held = 0
+
             def __missing__(self, w: bytes) -> bytes:
                 ids = single(w)
-                self[w] = ids = struct.pack(f"<{len(ids)}I", *ids)
+                ids = struct.pack(f"<{len(ids)}I", *ids)
+                if len(w) <= LONG:
+                    self[w] = ids
+                    self.held += 200 + len(w) + len(ids)
                 return ids
 
         return Memory(self.special)
@@ -195,7 +203,7 @@ class Tokens:
             return np.zeros(0, "<u4"), np.zeros(len(rows), np.int64)
         cuts = self.cut(data, rows)
         codes, words = encoded(data, cuts)
-        if len(self.known) > REMEMBERED:
+        if self.known.held > REMEMBERED:
             self.known = self.memory()
         each = list(map(self.known.__getitem__, words))
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
