@@ -124,11 +124,47 @@ def test_bpe(spark, texts):
 
 
 def test_stream_is_stable():
+    """Tokens that leave early are those of the whole word, and they leave long before the word ends."""
     e = transducer.Encoder(WORD)
     random.seed(2)
-    for _ in range(30):
-        w = "".join(random.choice("aeithnsrlo") for _ in range(1500)).encode()
-        assert list(e.stream(e.symbols(w))) == e.merged(list(e.symbols(w)))
+    known = [t.removesuffix("</w>") for t in e.vocab if t.isascii() and len(t) > 4]
+    for k in range(60):
+        w = "".join(random.choice("aeithnsrlo" if k % 2 else known) for _ in range(400)).lower().encode()
+        t = transducer.Transducer(e)
+        early, most = [], 0
+        for a in range(0, len(w), 7):
+            early += t.feed(w[a : a + 7])
+            most = max(most, len(t.window))
+        tail = list(t.close())
+        assert early + tail == e.merged([*(e.alphabet[b] for b in w[:-1]), e.alphabet[w[-1]] + e.end])
+        assert len(early) > len(tail) and most <= transducer.BLOCK + max(e.reach.values())
+
+
+def test_words_go_on_from_run_to_run(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, e = Tokenizer.from_file(WORD), transducer.Encoder(WORD)
+    texts = [*ODD, "it's they're we'll'd ''s 'r 've x'", "e\u0301" * 30, "한국어 \u1112\u1161\u11ab", "...'s!!'t 'll", "क\u093c का \u09c7\u09be", "a1b22c333 #&*'s"]
+    for run in (1, 2, 3, 5, 64):
+        monkeypatch.setattr(transducer, "RUN", run)
+        for t in texts:
+            assert e.ids(t) == tok.encode(t, add_special_tokens=False).ids, (run, t[:40])
+
+
+def test_giant_word_in_constant_memory():
+    import tracemalloc
+
+    e = transducer.Encoder(WORD)
+    text = "abcdefgh" * 500_000  # four million characters without a space
+    tracemalloc.start()
+    n, seen = 0, e.stream(text)
+    first = next(seen)
+    for n, _ in enumerate(seen, 2):
+        if n > 100_000:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first in e.token and n > 100_000 and peak < 3_000_000  # beside the text itself
 
 
 def test_byte_decoder():
