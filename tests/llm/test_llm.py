@@ -77,10 +77,43 @@ def test_top_k(spark):
 
 def test_bounds_prune():
     x = np.repeat(np.eye(8, dtype=np.int64) * 50, 256, axis=0)
-    ids, scores, visited = topk.best(np.array([-1]), x[:1], np.arange(2048), x, 20)
+    ranges = topk.Ranges(np.arange(2048), x, np.float32, x[:0])
+    ids, scores, visited = ranges.best(np.array([-1]), x[:1].astype(np.float32), 20, np.array([-np.inf], np.float32))
     assert visited < 16 and ids[0].tolist() == list(range(20)) and set(scores[0]) == {2500}
 
 
+def test_bounds_prune_clustered_vectors():
+    """Vectors about centres: most ranges are never read. The rows come in random order."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 32)) * 60
+    of = r.integers(0, 40, 8000)
+    x = np.floor(centres[of] + r.normal(size=(8000, 32)) * 3).astype(np.int64)
+    ids = np.arange(8000)
+    seed = (ids[::2][:4096], x[::2][:4096])
+    q_of, found, scores, scored = topk.best_of(ids[::40], x[::40], ids, x, 20, seed)
+    assert scored < 0.2 * 200 * -(-8000 // topk.BLOCK)
+    for q in ids[::40]:
+        s = x @ x[q]
+        want = sorted((-int(s[j]), j) for j in ids if j != q)[:20]
+        assert [(-v, i) for v, i in zip(scores[q_of == q], found[q_of == q], strict=True)] == want
+
+
+def test_top_k_in_odd_tables(spark):
+    big = 2.0**60
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0, 3.0]), (1, [2.0]), (1, [2.0]), (2, [big, big]), (3, []), (40, [-big, 0.0])]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, score long")
+    got = collections.defaultdict(list)
+    for r in topk.search(df.where("vec_id % 20 = 0"), df, k=9).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    w = [(i, [min(max(int(64 * a), -(1 << 63)), (1 << 63) - 1) for a in v]) for i, v in rows]
+    fit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for q in (20, 40):
+        every = [(fit(sum(a * b for a, b in zip(v, u, strict=False))), j) for i, v in w if i == q for j, u in w if j != q]
+        assert sorted(got[q]) == [(n, j, s) for n, (s, j) in enumerate(sorted(every, key=lambda e: (-e[0], e[1]))[:9], 1)]
+    few = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.search(few, few).count() == 0
+
+
 def test_quality_model():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 5))
