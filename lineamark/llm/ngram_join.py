@@ -1,26 +1,31 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
-A document's features are the hashes of its distinct word n-grams. Sets are dealt into bands by size. Two sets of a
-band (or one just below it) that are similar enough differ in at most k features; the feature domain is cut into
-k + 1 + t partitions by hash, so at least t + 1 partitions hold no difference. The enumerated subsets are the
-single partitions: a signature is the hash of a set's features in one of them, and similar sets share at least t + 1
-signatures. Signatures are ordered by how many sets hold them; each set may therefore leave out the t most frequent
-of its own in each band, which are the ones that common passages make, and similar sets still share one.
+A document's features are the hashes of its distinct word n-grams. Sets are dealt into bands by size. Two sets that
+are similar enough differ in at most k features, k being that of the larger one's band, for which the smaller one is
+signed too. The feature domain is cut by hash into k // (FAULTS + 1) + 1 + t partitions, so at least t + 1 of them
+hold at most FAULTS differences; each is cut again into PARTS parts, and a signature is enumerated for each subset of
+PARTS - FAULTS parts: one of these subsets holds no difference. So similar sets share signatures of at least t + 1
+partitions. Signatures are ordered by how many sets hold them; each set may therefore leave out the t most frequent of
+its own in each band, which are the ones that common passages make, and similar sets still share one.
 
 Sets that share a signature are candidates. Their clusters are found by stars, so no pairs are emitted. A cluster's
 sets meet in blocks of bounded size: all pairs of a block pair are checked exactly, 100 * common >= percent * union,
 by a product of 0/1 matrices, and only a spanning forest of the links leaves the task. Components of these links
-are the result. Exact copies are one set throughout. Equal 64-bit hashes count as equal features and sets.
+are the result. Exact copies are one set from the first count on. Equal 64-bit hashes count as equal features and sets.
+
+Signatures of very many rows are found on a sample of about PROBE documents and split by a salt before they are
+counted; what the sample misses is only not split. No result depends on it.
 
 A null or wordless text has no features: n_shingles 0, linked with nothing. A text of fewer words than n has one
-feature, the whole sequence. Rows with a null id get a null component and link
-nothing. Repeated rows are copies. An empty table
+feature, the whole sequence. Rows with a null id get a null component and link nothing. Repeated rows are copies. Rows
+that share an id but not their text are documents of their own; their component is named by the id. An empty table
 gives no rows. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil, log
 
 import numpy as np
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.components import components
 from lineamark.llm.quality_rules import mixed
-from lineamark.llm.shared import free_name, written
+from lineamark.llm.shared import free_name, looked_up, remove, written
 from lineamark.llm.spans import LOWER, pieces, text_bytes, word_codes, words
 
 #: Width of a band: its largest size over its smallest.
 BAND = 1.5
+#: Differences that a partition may hold, and the parts it is cut into.
+FAULTS, PARTS = 1, 3
+#: Documents on which hot signatures are looked for, about; those in one of HOT_SHARE of them are split into SALTS.
+PROBE, HOT_SHARE, SALTS = 16_384, 256, 64
 #: Sets, and features, that one block of a large cluster holds about.
 BLOCK_SETS, BLOCK_FEATURES = 1024, 1_000_000
 
@@ -78,35 +87,41 @@ class Bands:
     """For each band: sizes from low to high; partitions, and how many of a set's signatures may be left out."""
 
     def __init__(self, percent: int) -> None:
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
         self.percent = percent
         self.low, self.parts, self.spare = [1], [], []
         while len(self.low) < 90:
             low = self.low[-1]
             high = max(low, ceil(low * BAND) - 1)
             k = (100 - percent) * 2 * high // (100 + percent)
-            t = 1 + k // 6 if k else 0
-            self.parts.append(k + 1 + t if k else 1)
+            t = 1 + k // 12 if k else 0
+            self.parts.append(k // (FAULTS + 1) + 1 + t if k else 1)
             self.spare.append(t)
             self.low.append(high + 1)
         self.low = self.low[:-1]
 
     def of(self, size: int) -> list[int]:
-        """The band of a size, and the next one if a set of that band can be similar."""
+        """The band of a size, and all above it in which a set can be similar."""
         i = int(np.searchsorted(self.low, size, "right")) - 1
-        return [i, i + 1] if i + 1 < len(self.low) and 100 * size >= self.percent * self.low[i + 1] else [i]
+        return [i, *(j for j in range(i + 1, len(self.low)) if 100 * size >= self.percent * self.low[j])]
 
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     """A set's signatures as signed 64-bit values, the band in the top 7 bits below the sign."""
     out = []
+    value = mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for i in bands.of(len(features)):
         n = bands.parts[i]
-        part = ((mixed(features + np.uint64(i + 1)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        fine = PARTS if n > 1 else 1
+        part = ((mixed(features + np.uint64(i + 1)) >> np.uint64(32)) * np.uint64(n * fine)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
-        sums = np.append(np.uint64(0), np.cumsum(mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5))[order], dtype=np.uint64))
-        at = np.append(0, np.cumsum(np.bincount(part.astype(np.int64), minlength=n)))
-        sig = mixed(mixed(sums[at[1:]] - sums[at[:-1]]) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out.append((sig >> np.uint64(8)) | (np.uint64(i) << np.uint64(56)))
+        sums = np.append(np.uint64(0), np.cumsum(value[order], dtype=np.uint64))
+        at = np.append(0, np.cumsum(np.bincount(part.astype(np.int64), minlength=n * fine)))
+        # a hash of each part's features in its place; a subset's is the sum of these
+        each = mixed(sums[at[1:]] - sums[at[:-1]] + np.arange(1, n * fine + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(n, fine)
+        for subset in combinations(range(fine), fine - FAULTS if fine > 1 else 1):
+            out.append((mixed(each[:, list(subset)].sum(axis=1, dtype=np.uint64)) >> np.uint64(8)) | (np.uint64(i) << np.uint64(56)))
     return np.concatenate(out).view(np.int64)
 
 
@@ -117,7 +132,7 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
     row = np.repeat(np.arange(m), sizes)
     values, column = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True)
     times = np.bincount(column, minlength=len(values))
-    common = np.zeros((m, m), np.float32)
+    common = np.zeros((m, m), np.int64)
     number = np.cumsum(times > 1) - 1
     use = times[column] > 1
     row, column = row[use], number[column[use]]
@@ -129,7 +144,7 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
         i, j = np.searchsorted(column, [a, b])
         x = np.zeros((m, b - a), np.float32)
         x[row[i:j], column[i:j] - a] = 1
-        common += x @ x.T
+        common += (x @ x.T).astype(np.int64)  # at most columns: exact
     link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     first = np.full(m, -1)
     for s in range(m):
@@ -145,63 +160,88 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
     return first
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id (the least id that links reach), one row for each row of docs."""
-    bands = Bands(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.where("doc_id is not null")
+def signed(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """doc_id, set_id, sig of texts (doc_id, text)."""
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
-                found = [(len(s), set_id(s)) for s in shingle_sets(part.column(1), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 0):
-                ids, sigs = [], []
-                for s in shingle_sets(part.column(0), n):
+                row, ids, sigs = [], [], []
+                for k, s in enumerate(shingle_sets(part.column(1), n)):
                     if len(s):
                         sigs.append(signatures(s, bands))
                         ids.append(set_id(s))
+                        row.append(k)
                 at = np.append(0, np.cumsum([len(s) for s in sigs])).astype(np.int32)
                 values = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["set_id", "sigs"])
-
-    table = written(rows.mapInArrow(sized, "doc_id long, n_shingles long, set_id long"), "sets")
-    sigs = texts.select("text").mapInArrow(signed, "set_id long, sigs array<long>").select("set_id", F.explode("sigs").alias("sig"))
-    by_sig = Window.partitionBy("sig")
-    shared = sigs.withColumns({"least": F.min("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)}).where("set_id <> least or n > 1")
-    shared = written(shared.groupBy("set_id", "sig").agg(F.min("least").alias("least"), F.min("n").alias("n")), "shared")
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["doc_id", "set_id", "sigs"])
+
+    return texts.mapInArrow(run, "doc_id long, set_id long, sigs array<long>").select("doc_id", "set_id", F.explode("sigs").alias("sig"))
+
+
+def candidates(texts: DataFrame, n: int, bands: Bands, documents: int) -> DataFrame:
+    """a, b: each set and the least set of each of its signatures, of those that it doesn't leave out."""
+    probe = signed(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, documents // PROBE))) == 0), n, bands)
+    # at most HOT_SHARE keys for each signature of a document, on average
+    hot = written(probe.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min(documents, PROBE) // HOT_SHARE)).select("sig"), "hot-signatures")
+    salted = signed(texts, n, bands).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
+    salted = salted.select("set_id", "sig", F.coalesce("hot", F.lit(False)).alias("hot"), F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    by_sig = Window.partitionBy("sig", "salt")
+    counted = salted.withColumns({"least": F.min("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)}).where("hot or set_id <> least or n > 1")
+    # copies of a set become one row; the parts of a hot signature are put together
+    shared = written(counted.groupBy("set_id", "sig", "hot").agg(F.min("n").alias("n")), "shared")
+    parts = shared.where("hot").groupBy("sig").agg(F.count("*").alias("all_n"))
+    shared_n = shared.join(F.broadcast(parts), "sig", "left").select("set_id", "sig", F.coalesce("all_n", "n").alias("n"))
     band = F.shiftright("sig", 56).cast("int")
     hottest = Window.partitionBy("set_id", band).orderBy(F.desc("n"), "sig")
     spare = F.element_at(F.array(*map(F.lit, bands.spare)), band + 1)
-    cool = shared.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("set_id", "sig")
-    near = cool.withColumn("least", F.min("set_id").over(by_sig)).where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+    cool = written(shared_n.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("set_id", "sig"), "signatures")
+    remove(shared)
+    remove(hot)
+    least = cool.groupBy("sig").agg(F.min("set_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    near = looked_up(cool, least, ["sig"], "n", cool.count()).where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+    found = written(near, "candidates")
+    remove(cool)
+    return found
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, set_id, component_id (the least id that links reach), class (of sets; null without features),
+    text_key (a hash of the text): one row for each row of docs."""
+    bands = Bands(percent)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.where("doc_id is not null")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1):
+                found = [(len(s), set_id(s)) for s in shingle_sets(part.column(1), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64()), part.column(2)], names=["doc_id", "n_shingles", "set_id", "text_key"])
+
+    table = written(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(sized, "doc_id long, n_shingles long, set_id long, text_key long"), "sets")
+    near = candidates(texts, n, bands, table.count())
     clusters = components(near)
-    sizes = table.where("doc_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+    # where all rows of a set have one id and one text, that stands for it; else the least of both
+    sizes = table.where("doc_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_id", "n", "first.doc_id", "first.text_key")
     members = written(clusters.withColumnRenamed("node", "set_id").join(sizes, "set_id"), "clusters")
     size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("k")
     sized_clusters = members.join(members.groupBy("component").agg(size), "component")
-    # small clusters share a bin, which costs no check more than they need
-    small = sized_clusters.where("k = 1").select("doc_id", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(1 << 40))).alias("block"))
+    small = sized_clusters.where("k = 1").select("set_id", F.concat(F.lit("s"), F.col("component")).alias("block"))
     # sets of a large one meet only if their sizes allow a link: those of a step of sizes and of the step below
-    step = F.floor(F.log(F.col("n").cast("double")) / (log(100 / percent) * 1.0001)).cast("int")
-    steps = sized_clusters.where("k > 1").select("component", "set_id", "doc_id", "n", F.explode(F.array(step, step + 1)).alias("step"))
+    step = F.floor(F.log(F.col("n").cast("double")) / (log(100 / percent) * 1.0001)).cast("int") if percent < 100 else F.col("n")
+    steps = sized_clusters.where("k > 1").select("component", "set_id", "n", F.explode(F.array(step, step + 1)).alias("step"))
     cut = steps.join(steps.groupBy("component", "step").agg(size), ["component", "step"]).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")))
     # a step of many sets has k blocks, and all pairs of these are checked
     pairs = F.expr("transform(sequence(0, k - 1), x -> concat_ws(':', component, step, least(x, own), greatest(x, own)))")
-    large = cut.select("doc_id", F.explode(pairs).alias("block"))
-    placed = small.unionByName(large).groupBy("doc_id").agg(F.collect_list("block").alias("blocks")).join(members.select("doc_id", "set_id"), "doc_id")
-    having = texts.join(placed.select("doc_id", "blocks", "set_id"), "doc_id").select("set_id", "text", "blocks")
+    large = cut.select("set_id", F.explode(pairs).alias("block"))
+    placed = small.unionByName(large).groupBy("set_id").agg(F.collect_list("block").alias("blocks")).join(members.select("set_id", "doc_id", "text_key"), "set_id")
+    having = texts.withColumn("text_key", F.xxhash64("text")).join(placed, ["doc_id", "text_key"]).select("set_id", "text", "blocks")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
-                sets = [(set_id(s), s.tobytes()) for s in shingle_sets(part.column(1), n)]
-                keep = [k for k, (i, w) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)) if i[0] == w]  # another row may have the same id
-                yield pa.RecordBatch.from_arrays([pa.array([sets[k][0] for k in keep], pa.int64()), pa.array([sets[k][1] for k in keep], pa.binary()), part.column(2).take(pa.array(keep, pa.int64()))], names=["set_id", "features", "blocks"])
+                sets = [s.tobytes() for s in shingle_sets(part.column(1), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["set_id", "features", "blocks"])
 
     def checked(key: tuple, got: pa.Table) -> pa.Table:
         ids, at = np.unique(got.column("set_id").to_numpy(), return_index=True)
@@ -214,20 +254,29 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "class")
     least = sizes.join(classes, "set_id", "left").select("set_id", "doc_id", F.coalesce("class", "set_id").alias("class"))
     least = written(least, "classes")
+    remove(members)
+    remove(near)
     ids = least.groupBy("class").agg(F.min("doc_id").alias("least"))
-    found = least.join(ids, "class").select("set_id", "least")
+    found = least.join(ids, "class").select("set_id", "least", "class")
     # n_shingles 0: linked with nothing, so each is its own component
     empty = F.col("n_shingles") == 0
-    return table.join(found, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.when(F.col("doc_id").isNull(), None).when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    none = F.col("doc_id").isNull()
+    return table.join(found, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.when(none, None).when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(~none & ~empty, F.col("class")).alias("class"), "text_key")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component: those with its least id (of rows that share it, one)."""
+    """The rows of docs that stand for their class: of each, the row of least id (and least hash of its text).
+
+    Rows without features stay, one for each id and text; rows with a null id stay all.
+    """
     found = join(docs, n, percent, id_col, text_col)
-    key = free_name(docs, "first_id")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    firsts = docs.where(F.col(id_col).isNull()).unionByName(docs.join(first, docs[id_col] == first[key], "left_semi").dropDuplicates([id_col]))
-    return firsts.select(*docs.columns)
+    key = free_name(docs, "first_text")
+    own = free_name(docs, "first_id")
+    first = found.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    first = first.unionByName(found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_key").distinct()).select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumns({own: F.col(id_col).cast("long"), key: F.xxhash64(F.col(text_col).cast("string"))})
+    firsts = keyed.join(first, [own, key], "left_semi").dropDuplicates([own, key]).select(*docs.columns)
+    return docs.where(F.col(id_col).isNull()).unionByName(firsts)
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
