@@ -256,14 +256,56 @@ def test_ngram_join(spark, monkeypatch):
         texts.append(" ".join(w[: 120 - k // 4]))
     texts += [" ".join(random.choice(words) for _ in range(random.randint(1, 30))) for _ in range(40)]
     docs = list(enumerate(texts))
-    for blocks in (1024, 8):  # the small one makes large clusters of blocks
+    for blocks, share in ((1024, 256), (8, 10_000)):  # the small ones make large clusters of blocks and many hot signatures
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
-        for n, percent in ((4, 85), (5, 80)):
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
+        for n, percent in ((4, 85), (5, 80), (4, 40)):
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, texts), n, percent).collect()}
             assert got == brute_components(docs, n, percent)
     assert ngram_join.join(frame(spark, []), 4, 85).count() == 0
 
 
+def test_signatures_meet_by_theory():
+    """Sets within the distance of their larger band share signatures of more partitions than may be left out."""
+    r = np.random.default_rng(4)
+    for percent in (30, 50, 80, 85, 95):
+        bands = ngram_join.Bands(percent)
+        for _ in range(200):
+            size = int(r.integers(1, 400))
+            common = r.integers(0, 1 << 63, size).astype(np.uint64)
+            more = int(size * (100 / percent - 1))
+            extra = int(r.integers(0, more + 1))
+            a, b = np.append(common, r.integers(0, 1 << 63, extra).astype(np.uint64)), np.append(common, r.integers(0, 1 << 63, more - extra).astype(np.uint64))
+            if 100 * size >= percent * (size + more):
+                both = np.intersect1d(*(ngram_join.signatures(np.sort(s), bands) for s in (a, b)))
+                band = int(bands.of(max(len(a), len(b)))[0])
+                assert ((both >> 56) == band).sum() > bands.spare[band]
+    with pytest.raises(ValueError):
+        ngram_join.Bands(0)
+
+
+def test_links_of_large_counts():
+    """Exact counts where single precision would decide wrongly."""
+    common = np.arange(1_400_018, dtype=np.uint64)
+    a, b = np.append(common, np.arange(1 << 40, (1 << 40) + 123_531, dtype=np.uint64)), np.append(common, np.arange(1 << 41, (1 << 41) + 123_531, dtype=np.uint64))
+    exact = 100 * len(common) >= 85 * (len(a) + len(b) - len(common))
+    assert (ngram_join.linked([a, b], 85).tolist() == [0, 0]) == exact
+    for n in (1, 2, 3, 1 << 17):
+        x, y = np.arange(20 * n - 3 * n, dtype=np.uint64), np.arange(20 * n, dtype=np.uint64)
+        assert ngram_join.linked([x, y], 85).tolist() == [0, 0] and ngram_join.linked([x[:-1], y], 85).tolist() == [0, 1]
+
+
+def test_ngram_join_of_odd_tables(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, None), (7, text), (7, text), (7, "quite another text of its own words"), (3, text.upper()), (9, ""), (9, None), (9, ""), (2, text + " end"), (7, "A b")]
+    docs = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], "text string, doc_id long, class string, Text_Key long")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in ngram_join.join(docs, 4, 85).collect())
+    assert got == [(-1, 0, -1), (-1, 37, -1), (2, 38, 2), (3, 37, 2), (7, 1, 7), (7, 4, 7), (7, 37, 2), (7, 37, 2), (9, 0, 9), (9, 0, 9), (9, 0, 9)]
+    kept = ngram_join.keep_first(docs, 4, 85)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "-") for r in kept.collect()) == sorted([(-1, text), (-1, "-"), (2, text + " end"), (7, "quite another text of its own words"), (7, "A b"), (9, "-"), (9, "-")])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (20, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
