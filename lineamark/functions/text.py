@@ -11,6 +11,8 @@ TAG, VERIFY, INLINE = "AI Provenance Tag: ", "Verify: ", " [AI Generated: "
 FIND_TAG, FIND_INLINE, FIND_URL = r"(?U)AI Provenance Tag:\s*([a-zA-Z0-9_-]+)", r"(?U)\[AI Generated:\s*([a-zA-Z0-9_-]+)", r"(?U)Verify:\s*(https?://[^\s\n]+)"
 DROP_TAG = (r"(?smd)\n+---+\n+AI Provenance Tag:.*$", r"(?md)^AI Provenance Tag:.*?\n+---+\n+", r"(?Ud)\s*\[AI Generated:.*?\]")
 DROP_COMMON = (r"(?smd)\n+---+\n+AI Provenance.*$", r"(?md)^AI Provenance.*\n+---+\n+", r"(?d)\[AI Generated:.*?\]", r"(?U)Verify:\s*https?://[^\s]+")
+HEADS = ("AI Provenance", "[AI Generated:", "Verify:")
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 MARKERS = {"removed": r"(?i)(?d)---.*removed.*---", "stripped": r"(?i)(?d)\[.*stripped.*\]"}
 PHRASES = r"(?i)As an AI|I'm sorry, but|I cannot|I don't have the ability|based on the provided information"
@@ -22,7 +24,7 @@ def stripped(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Lower case, ends stripped, runs of white space as one space."""
-    return stripped(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
 def sha(value: Column) -> Column:
@@ -57,22 +59,28 @@ def marked(text: Column, tag: Column, url: Column, style: str = "footer", credit
     raise ValueError(f"unknown style {style}")
 
 
-def found(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def found(text: Column, pattern: str, head: str) -> Column:
+    """The pattern's first group. Only texts that hold head, with which it begins, are searched by it."""
+    return F.when(F.contains(text, F.lit(head)), F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
 
 
 def tag_id(text: Column) -> Column:
-    return F.coalesce(found(text, FIND_TAG), found(text, FIND_INLINE))
+    return F.coalesce(found(text, FIND_TAG, TAG[:-1]), found(text, FIND_INLINE, INLINE[1:-1]))
 
 
 def tag_url(text: Column) -> Column:
-    return found(text, FIND_URL)
+    return found(text, FIND_URL, VERIFY[:-1])
 
 
 def without(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The text without what the patterns match, in their order, its ends stripped. All of them need one of HEADS."""
+    out = text
     for p in patterns:
-        text = F.regexp_replace(text, p, "")
-    return stripped(text)
+        out = F.regexp_replace(out, p, "")
+    marked = F.contains(text, F.lit(HEADS[0]))
+    for h in HEADS[1:]:
+        marked = marked | F.contains(text, F.lit(h))
+    return stripped(F.when(marked, out).otherwise(text))
 
 
 def unmarked(text: Column) -> Column:
@@ -83,11 +91,6 @@ def stripped_sha(text: Column) -> Column:
     return normalized_sha(without(text, DROP_COMMON))
 
 
-def signed(hex16: Column) -> Column:
-    """Sixteen hex digits as a signed 64-bit value."""
-    return F.conv(hex16, 16, -10).cast("long")
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -108,7 +111,7 @@ def artifact_id_error(x: Column) -> Column:
 
 
 def watermark_id_error(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", "watermark_id cannot be empty").when(~x.startswith("wmk-"), "watermark_id must start with 'wmk-'").when(~F.substring(x, 5, 1000).rlike("(?i)" + UUID4), "watermark_id must be wmk-{valid-uuid}")
+    return F.when(F.coalesce(x, F.lit("")) == "", "watermark_id cannot be empty").when(~x.startswith("wmk-"), "watermark_id must start with 'wmk-'").when(~F.substring(x, F.lit(5), F.length(x)).rlike("(?i)" + UUID), "watermark_id must be wmk-{valid-uuid}")
 
 
 def fragment_id_error(x: Column) -> Column:

@@ -1,19 +1,20 @@
-"""Fingerprints of texts: SimHash, MinHash, entropy, fragments, shingles and distinctive anchors."""
+"""Fingerprints of texts: SimHash, MinHash, entropy, fragments, shingles and distinctive anchors.
+
+Each is a function of one text, so the kernels run over Arrow batches where the texts are: nothing is shuffled. A hash
+of a token is made once for a worker and kept within TABLE tokens.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.functions.text import signed
-
 # Common words that make a shingle less distinctive.
 STOPWORDS = """the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she
 or an will my one all would there their what so up out if about who get which go me when make can like time no just him know
@@ -22,62 +23,156 @@ how our work first well way even new want because any these give day most us is
 ZONES, ZONE_WORDS, TOP, SHORTEST, LONGEST = ("beginning", "middle", "end"), 400, 10, 5, 10
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+WORD, SPLIT = re.compile(r"\w+"), re.compile(r"\W")
+#: Tokens whose hashes a worker keeps; characters of a text that are cut into tokens at a time.
+TABLE, RUN = 50_000, 1 << 20
+#: Fixed value: the least prime over 2 ** 32, the modulus of the hash family of MinHash.
+PRIME = 4_294_967_311
+
+
+def tokens_of(text: str | None) -> Iterator[list[str]]:
+    """Runs of word characters in lower case, some at a time, so that a long text isn't held as tokens."""
+    text, at = text or "", 0
+    while at < len(text):
+        found = SPLIT.search(text, min(at + RUN, len(text)))
+        stop = found.start() if found else len(text)
+        yield WORD.findall(text[at:stop].lower())
+        at = stop
+
+
+class Table:
+    """A row of numbers for each token, made once."""
+
+    def __init__(self, width: int, kind, made: Callable[[str], np.ndarray]) -> None:
+        self.made, self.rows, self.at = made, np.zeros((1024, width), kind), {}
+
+    def of(self, tokens) -> np.ndarray:
+        at = self.at
+        if len(at) > TABLE:
+            at.clear()
+        new = [t for t in dict.fromkeys(tokens) if t not in at]
+        if len(at) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), self.rows.shape[1]), self.rows.dtype)])
+        for t in new:
+            self.rows[len(at)] = self.made(t)
+            at[t] = len(at)
+        return self.rows[[at[t] for t in tokens]]
+
+
+def per_text(df: DataFrame, key: str, text: str, name: str, kind: str, arrow: pa.DataType, kernel: Callable[[], Callable[[str | None], object]]) -> DataFrame:
+    """key, name: kernel()(text) for each row; kernel() is called once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernel()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f(t.as_py()) for t in batch.column(1)], arrow)], names=["k", "v"])
+
+    out = df.select(key, text).mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, v {kind}")
+    return out.select(F.col("k").alias(key), F.col("v").alias(name))
+
+
+def token_bits(token: str) -> np.ndarray:
+    """The first 64 bits of the token's MD5, as 1 and -1, the highest first."""
+    return np.unpackbits(np.frombuffer(hashlib.md5(token.encode(errors="replace")).digest()[:8], np.uint8)).astype(np.int8) * 2 - 1
 
 
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, simhash (long): one row for each key. Exploded tokens of a row are summed in their task, so only
-    64 sums for each key are shuffled. No token: 0."""
-    each = df.select(F.col(key).alias("k"), F.explode_outer(tokens(F.col(text))).alias("t")).select("k", signed(F.substring(F.md5("t"), 1, 16)).alias("h"))
-    sums = each.groupBy("k").agg(*(F.sum(F.when(F.getbit("h", F.lit(b)) == 1, 1).when(F.col("h").isNotNull(), -1)).alias(f"b{b}") for b in range(64)))
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select(F.col("k").alias(key), value.alias("simhash"))
+    """key, simhash (long): for each row the signs of the 64 sums of its tokens' bits. No token: 0."""
+
+    def kernel():
+        table = Table(64, np.int8, token_bits)
+
+        def of(t: str | None) -> int:
+            sums = np.zeros(64, np.int64)
+            for some in tokens_of(t):
+                if some:
+                    sums += table.of(some).sum(axis=0, dtype=np.int64)
+            return int.from_bytes(np.packbits(sums > 0).tobytes(), "big", signed=True)
+
+        return of
+
+    return per_text(df, key, text, "simhash", "long", pa.int64(), kernel)
+
+
+def hash_family(size: int) -> tuple[list[int], list[int]]:
+    """Factors (odd, 31 bits) and summands (32 bits) of the hash functions, from the MD5 of their numbers."""
+    words = [hashlib.md5(f"permutation {i}".encode()).hexdigest() for i in range(size)]
+    return [int(w[:8], 16) >> 1 | 1 for w in words], [int(w[8:16], 16) for w in words]
 
 
 def minhash(df: DataFrame, key: str, text: str, permutations: int = 128) -> DataFrame:
-    """key, minhash (array<long>): least 32-bit hash of token and number, for each number. No token: zeros."""
-    each = df.select(F.col(key).alias("k"), F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    least = [F.coalesce(F.min(F.conv(F.substring(F.md5(F.concat("t", F.lit(str(i)))), 1, 8), 16, 10).cast("long")), F.lit(0).cast("long")).alias(f"m{i}") for i in range(permutations)]
-    return each.groupBy("k").agg(*least).select(F.col("k").alias(key), F.array(*(f"m{i}" for i in range(permutations))).alias("minhash"))
+    """key, minhash (array<long>): the least of (factor * h + summand) mod PRIME over the tokens, h being the first 32 bits
+    of a token's MD5, for each hash function of the family. No token: zeros."""
+
+    def kernel():
+        factor, summand = (np.array(c, np.uint64) for c in hash_family(permutations))
+        table = Table(permutations, np.uint64, lambda t: (factor * np.uint64(int.from_bytes(hashlib.md5(t.encode(errors="replace")).digest()[:4], "big")) + summand) % np.uint64(PRIME))
+
+        def of(t: str | None) -> list[int]:
+            least = None
+            for some in tokens_of(t):
+                if some:
+                    own = table.of(list(dict.fromkeys(some))).min(axis=0)
+                    least = own if least is None else np.minimum(least, own)
+            return [0] * permutations if least is None else least.astype(np.int64).tolist()
+
+        return of
+
+    return per_text(df, key, text, "minhash", "array<bigint>", pa.list_(pa.int64()), kernel)
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
-def text_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entropy: Shannon entropy of the lower-case text's characters over 8, at most 1; under 10 characters 0."""
-    each = df.select(F.col(key).alias("k"), F.explode_outer(F.when(F.length(text) >= 10, F.split(F.lower(text), ""))).alias("c"))
-    counts = each.where("c is null or c <> ''").groupBy("k", "c").agg(F.when(F.col("c").isNotNull(), F.count("*")).alias("n")).groupBy("k").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return counts.select(F.col("k").alias(key), F.when(F.col("total") > 0, F.least(F.lit(1.0), (F.log2(F.col("total").cast("double")) - F.col("s") / F.col("total")) / 8)).otherwise(0.0).alias("entropy"))
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def char_entropy(text: str) -> float:
-    if len(text) < 10:
+def entropies(counts: np.ndarray) -> np.ndarray:
+    """For each row of counts its Shannon entropy over 8, at most 1."""
+    total = counts.sum(axis=1)
+    return np.minimum(1.0, (np.log2(total) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) / total) / 8)
+
+
+def char_entropy(text: str | None) -> float:
+    """Of the lower-case text's characters; under 10 characters 0."""
+    if len(text or "") < 10:
         return 0.0
-    n = Counter(text.lower())
-    total = sum(n.values())
-    return min(1.0, (math.log2(total) - sum(c * math.log2(c) for c in sorted(n.values())) / total) / 8)
+    return float(entropies(np.unique(codes_of(text.lower()), return_counts=True)[1][None, :])[0])
+
+
+def text_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, entropy: Shannon entropy of the lower-case text's characters over 8, at most 1; under 10 characters 0."""
+    return per_text(df, key, text, "entropy", "double", pa.float64(), lambda: char_entropy)
 
 
 def regions(n: int, size: int) -> Iterator[tuple[str, int, int]]:
-    """The part of a text of n characters in which each location's windows begin."""
+    """The part of a text of n characters in which each location's windows begin (the shares are fixed values)."""
     quarter = int(n * 0.25)
     yield "beginning", 0, max(size, int(n * 0.2))
     yield "middle", quarter, min(n - size, quarter + int(n * 0.5))
     yield "end", max(0, int(n * 0.8) - size), n - size
 
 
+def window_entropies(text: str, places: list[int], size: int) -> list[float]:
+    """char_entropy of the windows of size + 1 characters at these places."""
+    some = [text[p : p + size + 1] for p in places]
+    low = [w.lower() for w in some]
+    if any(len(w) < 10 or len(a) != len(w) for w, a in zip(some, low, strict=True)):
+        return [char_entropy(w) for w in some]
+    known, code = np.unique(codes_of("".join(low)), return_inverse=True)
+    row = np.repeat(np.arange(len(low)), [len(w) for w in low])
+    return entropies(np.bincount(row * len(known) + code, minlength=len(low) * len(known)).reshape(len(low), -1)).tolist()
+
+
 def fragments_of(text: str, size: int = 200, least: float = 0.4) -> list[dict]:
     """The window of most entropy at each location (the first of equals, to nine places), if it has enough."""
     out = []
     for place, a, b in regions(len(text), size) if len(text) >= 1.5 * size else ():
-        if a < b:
-            tried = [(round(char_entropy(text[p : p + size + 1]), 9), -p) for p in range(a, b, max(1, (b - a) // 10)) if len(text[p : p + size + 1]) >= 0.8 * size]
-            entropy, p = max(tried, default=(0.0, 0))
+        places = [p for p in range(a, b, max(1, (b - a) // 10)) if min(len(text) - p, size + 1) >= 0.8 * size] if a < b else []
+        if places:
+            entropy, p = max((round(e, 9), -p) for e, p in zip(window_entropies(text, places, size), places, strict=True))
             if entropy >= least:
                 found = text[-p : -p + size + 1]
                 out.append({"location": place, "offset_start": -p, "offset_end": min(-p + size, len(text)), "fragment": found, "sha": hashlib.sha256(found.encode()).hexdigest(), "entropy": entropy})
@@ -128,7 +223,7 @@ class Anchors:
 
     def __init__(self, zone: int = ZONE_WORDS, top: int = TOP, low: int = SHORTEST, high: int = LONGEST, stop=STOPWORDS) -> None:
         self.zone, self.top, self.low, self.high, self.stop = zone, top, low, high, set(stop)
-        self.log = np.append(0.0, np.arange(1, 1 << 16) * np.log2(np.arange(1, 1 << 16)))
+        self.log = np.append(0.0, np.arange(1, 1 << 12) * np.log2(np.arange(1, 1 << 12)))
 
     def of(self, words: list[str]) -> list[dict]:
         n = len(words)
@@ -147,31 +242,35 @@ class Anchors:
         n = len(words)
         if n < self.low:
             return []
-        counts = np.zeros((n + 1, 36), np.int64)
-        for k, w in enumerate(words):
-            for c in w:
-                counts[k + 1, ord(c) - 87 if c >= "a" else ord(c) - 48] += 1
-        counts = counts.cumsum(axis=0)
+        chars = np.frombuffer("".join(words).encode(), np.uint8).astype(np.int64)
+        row = np.repeat(np.arange(1, n + 1), [len(w) for w in words])
+        counts = np.bincount(row * 36 + np.where(chars >= 97, chars - 87, chars - 48), minlength=36 * (n + 1)).reshape(n + 1, 36).cumsum(axis=0)
         stops = np.append(0, np.cumsum([w in self.stop for w in words]))
-        scores, spans = [], []
-        for size in range(self.low, min(self.high, n) + 1):
-            at = np.arange(n - size + 1)
-            c = counts[at + size] - counts[at]
-            total = c.sum(axis=1) + size - 1
-            entropy = np.log2(total) - (np.sort(self.log[np.column_stack([c, np.full(len(at), size - 1)])], axis=1)).sum(axis=1) / total
-            scores.append(entropy * entropy * (1 - (stops[at + size] - stops[at]) / size))
-            spans += [(a, size) for a in at.tolist()]
-        score = np.round(np.concatenate(scores), 9)
+        sizes = range(self.low, min(self.high, n) + 1)
+        size = np.repeat(sizes, [n - s + 1 for s in sizes])
+        at = np.concatenate([np.arange(n - s + 1) for s in sizes])
+        c = counts[at + size] - counts[at]
+        total = c.sum(axis=1) + size - 1
+        entropy = np.log2(total) - (self.logs(c).sum(axis=1) + self.logs(size - 1)) / total
+        score = np.round(entropy * entropy * (1 - (stops[at + size] - stops[at]) / size), 9)
         found: dict[str, float] = {}
-        for k in np.argsort(-score, kind="stable"):
-            if len(found) >= self.top and score[k] < min(found.values()):
+        for k in np.argsort(-score, kind="stable").tolist():
+            if len(found) >= self.top and score[k] < least:
                 break
-            a, size = spans[k]
-            found.setdefault(" ".join(words[a : a + size]), float(score[k]))
+            least = score[k]
+            found.setdefault(" ".join(words[at[k] : at[k] + size[k]]), float(least))
         ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: self.top]
         return [{"rank": r, "shingle": s, "score": v} for r, (s, v) in enumerate(ranked, 1)]
 
+    def logs(self, counts: np.ndarray) -> np.ndarray:
+        """n * log2(n), from a table unless words are giants."""
+        if counts.max(initial=0) < len(self.log):
+            return self.log[counts]
+        return counts * np.log2(np.maximum(counts, 1))
+
 
+#: Words of anchors: runs of ASCII letters and digits, of two at least.
+ALNUM = re.compile(r"[a-zA-Z0-9]{2,}")
 ANCHOR = pa.struct([("zone", pa.string()), ("rank", pa.int32()), ("shingle", pa.string()), ("score", pa.float64())])
 
 
@@ -181,10 +280,10 @@ def anchors(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Anchors()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made.of(w or []) for w in batch.column(1).to_pylist()], pa.list_(ANCHOR))], names=["k", "a"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made.of([w.lower() for w in ALNUM.findall(t.as_py() or "")]) for t in batch.column(1)], pa.list_(ANCHOR))], names=["k", "a"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, anchor_tokens(F.col(text)).alias("w")).mapInArrow(run, f"k {kind}, a array<struct<zone:string,rank:int,shingle:string,score:double>>")
+    out = df.select(key, text).mapInArrow(run, f"k {kind}, a array<struct<zone:string,rank:int,shingle:string,score:double>>")
     return out.select(F.col("k").alias(key), F.inline("a"))
 
 

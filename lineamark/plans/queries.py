@@ -163,11 +163,11 @@ def suspect_profile(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("text_length"), t.rlike(T.MARKERS["removed"]).alias("says_removed"), t.rlike(T.MARKERS["stripped"]).alias("says_stripped"), t.rlike(T.PHRASES).alias("sounds_generated"))
 
 
-UUID_RE = T.UUID4
-IDS_SQL = f"ids AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'art-' || doc_id ELSE substr({TAG_SQL}, 5) END AS a, CASE WHEN doc_id % 7 = 0 THEN substr({TAG_SQL}, 5) WHEN doc_id % 7 = 1 THEN 'wmk-x' ELSE {TAG_SQL} END AS w, CASE doc_id % 3 WHEN 0 THEN 'text_frag_end_1' WHEN 1 THEN 'frag_1_end' ELSE 'frag_end' END AS f, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN upper(sha256(text)) ELSE sha256(text) END AS h FROM documents)"
+UUID_RE, ANY_UUID_RE = T.UUID4, T.UUID
+IDS_SQL = f"ids AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'art-' || doc_id ELSE substr({TAG_SQL}, 5) END AS a, CASE WHEN doc_id % 7 = 0 THEN substr({TAG_SQL}, 5) WHEN doc_id % 7 = 1 THEN 'wmk-x' WHEN doc_id % 7 = 2 THEN 'wmk-6ba7b810-9dad-11d1-80b4-00c04fd430c8' ELSE {TAG_SQL} END AS w, CASE doc_id % 3 WHEN 0 THEN 'text_frag_end_1' WHEN 1 THEN 'frag_1_end' ELSE 'frag_end' END AS f, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN upper(sha256(text)) ELSE sha256(text) END AS h FROM documents)"
 ERRORS_SQL = f"""errs AS (SELECT doc_id, source,
  CASE WHEN a = '' THEN 'artifact_id cannot be empty' WHEN NOT regexp_matches(a, '(?i){UUID_RE}') THEN 'artifact_id must be valid UUID v4' END AS artifact_error,
- CASE WHEN w = '' THEN 'watermark_id cannot be empty' WHEN NOT starts_with(w, 'wmk-') THEN 'watermark_id must start with ''wmk-''' WHEN NOT regexp_matches(substr(w, 5), '(?i){UUID_RE}') THEN 'watermark_id must be wmk-{{valid-uuid}}' END AS watermark_error,
+ CASE WHEN w = '' THEN 'watermark_id cannot be empty' WHEN NOT starts_with(w, 'wmk-') THEN 'watermark_id must start with ''wmk-''' WHEN NOT regexp_matches(substr(w, 5), '(?i){ANY_UUID_RE}') THEN 'watermark_id must be wmk-{{valid-uuid}}' END AS watermark_error,
  CASE WHEN f = '' THEN 'fragment_id cannot be empty' WHEN NOT starts_with(f, 'frag_') THEN 'fragment_id must start with ''frag_''' WHEN NOT regexp_matches(f, '(?i)^frag_\\d+_[a-z_]+$') THEN 'fragment_id must follow pattern: frag_{{index}}_{{location}}' END AS fragment_error,
  CASE WHEN h = '' THEN 'hash cannot be empty' WHEN length(h) <> 64 THEN 'SHA-256 hash must be 64 characters, got ' || length(h) WHEN NOT regexp_matches(h, '^[0-9a-f]{{64}}$') THEN 'SHA-256 hash must be lowercase hex' END AS hash_error FROM ids)"""
 
@@ -176,7 +176,7 @@ def _errors(spark, sf_dir) -> DataFrame:
     d, tag = F.col("doc_id"), T.watermark_id(F.col("doc_id"))
     plain = F.substring(tag, 5, 100)
     a = F.when(d % 5 == 0, F.concat(F.lit("art-"), d.cast("string"))).otherwise(plain)
-    w = F.when(d % 7 == 0, plain).when(d % 7 == 1, "wmk-x").otherwise(tag)
+    w = F.when(d % 7 == 0, plain).when(d % 7 == 1, "wmk-x").when(d % 7 == 2, "wmk-6ba7b810-9dad-11d1-80b4-00c04fd430c8").otherwise(tag)
     f = F.when(d % 3 == 0, "text_frag_end_1").when(d % 3 == 1, "frag_1_end").otherwise("frag_end")
     h = F.when(d % 4 == 0, "").when(d % 4 == 1, "abc").when(d % 4 == 2, F.upper(T.sha(F.col("text")))).otherwise(T.sha(F.col("text")))
     ids = docs_of(spark, sf_dir).select("doc_id", "source", a.alias("a"), w.alias("w"), f.alias("f"), h.alias("h"))
@@ -247,18 +247,15 @@ def _near(k: int):
 for _k in (3, 10):
     query(_near_sql(_k))(_near(_k))
 
-MINHASH_SQL = "mh_t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents), mh AS (SELECT doc_id, " + ", ".join(f"min(CAST('0x' || substr(md5(t || '{i}'), 1, 8) AS BIGINT)) AS m{i}" for i in range(16)) + " FROM mh_t GROUP BY doc_id)"
+_FACTORS, _SUMMANDS = P.hash_family(128)
+MINHASH_SQL = f"""mh_t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM documents),
+mh_h AS (SELECT t, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT t FROM mh_t)),
+mh AS (SELECT doc_id, {", ".join(f"min(({a} * h + {b}) % {P.PRIME}) AS m{i}" for i, (a, b) in enumerate(zip(_FACTORS, _SUMMANDS, strict=True)))} FROM mh_t JOIN mh_h USING (t) GROUP BY doc_id)"""
 
 
-@query(f"WITH {MINHASH_SQL} SELECT doc_id, {', '.join(f'coalesce(m{i}, 0) AS m{i}' for i in range(16))} FROM documents LEFT JOIN mh USING (doc_id)")
+@query(f"WITH {MINHASH_SQL} SELECT doc_id, {', '.join(f'CAST(coalesce(m{i}, 0) AS BIGINT) AS m{i}' for i in range(128))} FROM documents LEFT JOIN mh USING (doc_id)")
 def minhash(spark, sf_dir):
-    return P.minhash(docs_of(spark, sf_dir), "doc_id", "text", 16).select("doc_id", *(F.col("minhash")[i].alias(f"m{i}") for i in range(16)))
-
-
-@query()
-def minhash_whole(spark, sf_dir):
-    """minhash with all of the operator's permutations; the SQL of minhash has 16."""
-    return P.minhash(docs_of(spark, sf_dir), "doc_id", "text")
+    return P.minhash(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", *(F.col("minhash")[i].alias(f"m{i}") for i in range(128)))
 
 
 @query("WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents WHERE length(text) >= 10) GROUP BY ALL), e AS (SELECT doc_id, least(1.0, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / 8) AS e FROM c GROUP BY doc_id) SELECT doc_id, round(coalesce(e, 0.0), 6) AS entropy FROM documents LEFT JOIN e USING (doc_id)")

@@ -67,10 +67,16 @@ def test_touched_fragments(spark):
     assert {k: got[k] for k in range(3)} == {k: (k, "fragments", 0.999) for k in range(3)} and got[9][1] != "fragments"
 
 
-def test_all_permutations(spark):
-    got = {r["doc_id"]: list(r["minhash"]) for r in Q.minhash_whole(spark, SF).collect()}
-    texts = {r["doc_id"]: r["text"] for r in Q.docs_of(spark, SF).collect()}
-    assert set(got) == set(texts) and all(len(m) == 128 for m in got.values())
-    for k in sorted(texts)[:30]:
-        t = set(re.findall(r"\w+", (texts[k] or "").lower()))
-        assert got[k] == [min((int(hashlib.md5(f"{w}{i}".encode()).hexdigest()[:8], 16) for w in t), default=0) for i in range(128)]
+def test_fingerprints_of_odd_texts(spark):
+    texts = [None, "", "--", "İstanbul ẞ Σ ΑΣ K", "one", "x" * 3000 + " y", "a b " * 700_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words_in = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    mins = {r["doc_id"]: list(r["minhash"]) for r in P.minhash(d, "doc_id", "text").collect()}
+    sims = {r["doc_id"]: r["simhash"] for r in P.simhash(d, "doc_id", "text").collect()}
+    for i, w in enumerate(words_in):
+        assert mins[i] == [min(((a * int(hashlib.md5(t.encode()).hexdigest()[:8], 16) + b) % P.PRIME for t in set(w)), default=0) for a, b in zip(*P.hash_family(128), strict=True)]
+        sums = [0] * 64
+        for t in w if i < 6 else []:
+            h = int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
+            sums = [s + (1 if h >> b & 1 else -1) for b, s in enumerate(sums)]
+        assert i == 6 or sims[i] % 2**64 == sum(1 << b for b, s in enumerate(sums) if s > 0)
