@@ -1,20 +1,16 @@
-"""Joins of suspects with evidence: by hash, by tag, by SimHash distance, by contained and nearly contained
-fragments, by shared anchors; and the verdicts that these signals give."""
+"""Joins of suspects with evidence by hash, by tag and by SimHash distance."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineamark.functions.text import hamming, marked, normalized_sha, sha, tag_id, watermark_id
-from lineamark.operators.fingerprint import runs
-
-NEAR = 0.9
-LEAD = 8
 
 
 def evidence_of(docs: DataFrame, key: str, text: str, url: Column) -> DataFrame:
@@ -24,6 +20,11 @@ def evidence_of(docs: DataFrame, key: str, text: str, url: Column) -> DataFrame:
     return docs.select(F.col(key).alias("artifact_id"), tag.alias("watermark_id"), sha(t).alias("hash_before"), sha(after).alias("hash_after"), normalized_sha(t).alias("norm_before"), normalized_sha(after).alias("norm_after"))
 
 
+def hashes_of(suspects: DataFrame) -> DataFrame:
+    """suspect_id, family (raw, norm), hash."""
+    return suspects.select("suspect_id", F.inline(F.array(F.struct(F.lit("raw").alias("family"), sha(F.col("text")).alias("hash")), F.struct(F.lit("norm").alias("family"), normalized_sha(F.col("text")).alias("hash")))))
+
+
 def exact_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
     """suspect_id, artifact_id, how (after, before, normalized), confidence: the best evidence for each suspect.
 
@@ -32,7 +33,7 @@ def exact_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
     kinds = [("after", "hash_after", "raw", 1.0), ("before", "hash_before", "raw", 1.0), ("normalized", "norm_after", "norm", 0.95), ("normalized", "norm_before", "norm", 0.95)]
     keys = evidence.select("artifact_id", F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(k).alias("how"), F.col(c).alias("hash"), F.lit(w).alias("confidence"), F.lit(i).alias("place")) for i, (k, c, f, w) in enumerate(kinds)))))
     keys = keys.where("hash is not null").groupBy("family", "hash").agg(F.min(F.struct("place", "artifact_id", "how", "confidence")).alias("e"))
-    mine = suspects.select("suspect_id", F.inline(F.array(F.struct(F.lit("raw").alias("family"), sha(F.col("text")).alias("hash")), F.struct(F.lit("norm").alias("family"), normalized_sha(F.col("text")).alias("hash")))))
+    mine = hashes_of(suspects)
     return mine.join(keys, ["family", "hash"]).groupBy("suspect_id").agg(F.min("e").alias("e")).select("suspect_id", "e.artifact_id", "e.how", "e.confidence")
 
 
@@ -42,30 +43,47 @@ def tag_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
     return tagged.join(evidence.groupBy("watermark_id").agg(F.min("artifact_id").alias("artifact_id")), "watermark_id", "left").select("suspect_id", "watermark_id", "artifact_id")
 
 
-def bands(value: Column, k: int) -> Column:
-    """k + 1 bands of 64 bits: values within distance k agree in one of them."""
-    edges = [64 * i // (k + 1) for i in range(k + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(value, a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def flips(width: int, radius: int) -> list[int]:
+    """All masks of width bits with at most radius ones."""
+    return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+
+
+def bands(value: Column, k: int, side: int) -> Column:
+    """Keys of 64 bits such that values within distance k share one, if the one has side 0 and the other side 1.
+
+    The bits are cut into bands, of which one differs in at most k // bands bits. Up to 7 bits there are k + 1 bands,
+    which agree in one; beyond, 4, and each side flips its half of the bits that may differ, in all ways.
+    """
+    n = k + 1 if k < 8 else 4
+    radius = k // n
+    own = (radius + 1 - side) // 2
+    edges = [64 * i // n for i in range(n + 1)]
+    keys = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(value, a).bitwiseAND((1 << (b - a)) - 1).bitwiseXOR(mask).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) for mask in flips(b - a, own)]
+    return F.array(*keys)
 
 
 def near_simhashes(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """a, b, distance: distinct values of left (column simhash) and right within k bits, by a join on bands.
+    """a, b, distance: distinct values of left (column simhash) and right within k bits, by a join on flipped bands.
 
     Values, not rows, meet: copies share a value and are joined back by it.
     """
-    a, b = (df.select("simhash").distinct().select(F.col("simhash"), F.inline(bands(F.col("simhash"), k))) for df in (left, right))
+    if not 0 <= k < 32:
+        raise ValueError("k must be from 0 to 31")
+    a, b = (df.select("simhash").where("simhash is not null").distinct().select(F.col("simhash"), F.inline(bands(F.col("simhash"), k, side))) for side, df in enumerate((left, right)))
     near = a.withColumnRenamed("simhash", "a").join(b.withColumnRenamed("simhash", "b"), ["band", "bits"])
     return near.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= k).select("a", "b", "distance").distinct()
 
 
-def simhash_matches(suspects: DataFrame, evidence: DataFrame, k: int = 25) -> DataFrame:
-    """suspect_id, artifact_id, distance: nearest evidence within k bits. Both have simhash; k over 10 is barely
-    selective, so the least evidence of each value is kept before values are compared in blocks."""
+def simhash_matches(suspects: DataFrame, evidence: DataFrame, k: int = 25, first: int = 10) -> DataFrame:
+    """suspect_id, artifact_id, distance: nearest evidence within k bits. Both have simhash; evidence of one value counts
+    by its least id. Values with a neighbour within first bits are done by bands; what is left is compared in blocks,
+    whose work grows with the number of values left times that of the evidence."""
     best = evidence.where("simhash is not null").groupBy("simhash").agg(F.min("artifact_id").alias("artifact_id"))
-    if k <= 10:
-        near = near_simhashes(suspects, best, k)
-    else:
-        near = blocked_distances(suspects.select("simhash").distinct(), best.select("simhash"), k)
+    near = near_simhashes(suspects, best, min(k, first))
+    near = near.groupBy("a").agg(F.min("distance").alias("distance")).join(near, ["a", "distance"])
+    if k > first:
+        left = suspects.where("simhash is not null").select("simhash").distinct().join(near.select(F.col("a").alias("simhash")), "simhash", "left_anti")
+        near = near.select("a", "b", "distance").unionByName(blocked_distances(left, best.select("simhash"), k))
     found = suspects.join(near, suspects["simhash"] == near["a"]).join(best.withColumnRenamed("simhash", "b"), "b")
     return found.groupBy("suspect_id").agg(F.min(F.struct("distance", "artifact_id")).alias("m")).select("suspect_id", "m.artifact_id", "m.distance")
 
@@ -91,213 +109,3 @@ def blocked_distances(left: DataFrame, right: DataFrame, k: int, most: int = 200
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["a", "b", "distance"])
 
     return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(run, "a long, b long, distance long")
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def _numbered(k: int):
-    return lambda s: F.struct(F.lit(k).alias("n"), s.alias("seed"))
-
-
-def gram_hashes(text: str, q: int) -> np.ndarray:
-    """A hash of the q characters from each place of a text; equal ones may differ in rare cases."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(0, len(c) - q + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + n] + np.uint64(1)
-    return h.view(np.int64)
-
-
-def grams_meet(fragments: DataFrame, suspects: DataFrame, blocks: Callable[[int], list[tuple[int, int]]]) -> DataFrame:
-    """fragment_id, suspect_id, shift, same: how many of a fragment's blocks a suspect's text has at that shift.
-
-    blocks gives (place, length) of the blocks of a fragment of n characters; lengths are few. Suspects are cut into
-    runs of just the lengths that fragments have. Null texts take no part.
-    """
-
-    def key(df: DataFrame, name: str) -> str:
-        return f"{name} {df.schema[name].dataType.simpleString()}"
-
-    def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, q, h, at = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for place, length in blocks(len(t)):
-                    row.append(i), q.append(length), h.append(int(gram_hashes(t[place : place + length], length)[0])), at.append(place)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(q, pa.int32()), pa.array(h, pa.int64()), pa.array(at, pa.int64())], names=["fragment_id", "q", "h", "at"])
-
-    def of_suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (t, qs) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for q in qs:
-                    h = gram_hashes(t, q)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), q, np.int32)), pa.array(h), pa.array(np.arange(len(h), dtype=np.int64))], names=["suspect_id", "q", "h", "place"])
-
-    f = fragments.select("fragment_id", "fragment").where("fragment is not null").mapInArrow(of_fragments, f"{key(fragments, 'fragment_id')}, q int, h long, at long")
-    s = suspects.select("suspect_id", "text").where("text is not null").withColumn("qs", f.agg(F.collect_set("q").alias("qs")).scalar()).where(F.size("qs") > 0)
-    s = s.mapInArrow(of_suspects, f"{key(suspects, 'suspect_id')}, q int, h long, place long")
-    return f.join(s, ["q", "h"]).groupBy("fragment_id", "suspect_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("same"))
-
-
-def seeded(fragments: DataFrame, suspects: DataFrame, n: int = 4) -> DataFrame:
-    """fragment_id, suspect_id pairs that share a run of n whole words: the fragment's second to (n+1)th.
-
-    A fragment may begin or end within a word, so its first and last words are no seed. Fragments with fewer inner
-    words take all of these, down to one; those with none meet every suspect (texts of one giant word).
-    """
-    inner = F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))
-    f = fragments.select("fragment_id", "fragment", words_of(F.col("fragment")).alias("w")).select("fragment_id", "fragment", F.slice(inner, 1, n).alias("s")).withColumn("n", F.size("s"))
-    seeds = f.where("n > 0").select("fragment_id", "n", F.array_join("s", " ").alias("seed"))
-    w = suspects.select("suspect_id", words_of(F.col("text")).alias("w"))
-    grams_of = F.flatten(F.array(*(F.transform(runs(F.col("w"), k), _numbered(k)) for k in range(1, n + 1))))
-    grams = w.select("suspect_id", F.explode(grams_of).alias("g")).select("suspect_id", "g.n", "g.seed")
-    some = grams.join(F.broadcast(seeds.select("n").distinct()), "n", "left_semi").join(seeds, ["n", "seed"]).select("fragment_id", "suspect_id").distinct()
-    lead = f.where("n = 0").select("fragment_id", "fragment")
-    rest = grams_meet(lead, suspects, lambda n: [(0, min(n, LEAD))] if n else []).select("fragment_id", "suspect_id").distinct()
-    return some.unionByName(rest)
-
-
-def contained(fragments: DataFrame, suspects: DataFrame) -> DataFrame:
-    """fragment_id, suspect_id, position (from 0): fragments that are in a suspect's text, at their first place; empty ones are in none."""
-    pairs = seeded(fragments, suspects).join(fragments.select("fragment_id", "fragment"), "fragment_id").join(suspects.select("suspect_id", "text"), "suspect_id")
-    return pairs.withColumn("position", F.instr("text", F.col("fragment")) - 1).where("position >= 0").select("fragment_id", "suspect_id", "position")
-
-
-def best_window(fragment: str, text: str) -> tuple[int, float] | None:
-    """First window of the fragment's length with most equal characters, if over 90 % are equal.
-
-    At least one of limit + 1 blocks of the fragment is unchanged at its place, so only windows with such a block are compared.
-    """
-    n = len(fragment)
-    if not n or n > len(text):
-        return None
-    limit = next(k for k in range(n, -1, -1) if (n - k) / n > NEAR or k == 0)
-    edges = [n * i // (limit + 1) for i in range(limit + 2)]
-    starts = set()
-    for a, b in zip(edges, edges[1:], strict=False):
-        at = text.find(fragment[a:b])
-        while at >= 0:
-            if 0 <= at - a <= len(text) - n:
-                starts.add(at - a)
-            at = text.find(fragment[a:b], at + 1)
-    f, t = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (fragment, text))
-    best = max(((float((t[s : s + n] == f).sum()) / n, -s) for s in starts), default=(0.0, 0))
-    return (-best[1], best[0]) if best[0] > NEAR else None
-
-
-def near_blocks(n: int) -> list[tuple[int, int]]:
-    """Equal-length blocks of n characters: two more than may change, or n if these are fewer."""
-    m = min(-(-n // 10) + 1, n)
-    return [(n * i // m, n // m) for i in range(m)]
-
-
-def nearly_contained(fragments: DataFrame, suspects: DataFrame) -> DataFrame:
-    """fragment_id, suspect_id, position, score: a fragment's best window in a suspect's text, if over 0.9 of its
-    characters are equal; the first of equals.
-
-    Under a tenth of n characters differ then, ceil(n / 10) - 1 at most, each in one block; so all but as many blocks
-    are at the same shift. Windows found so are compared whole. Null or empty texts match nothing.
-    """
-    n = F.length("fragment")
-    allowed = F.ceil(n / 10) - 1
-    met = grams_meet(fragments, suspects, near_blocks).where("shift >= 0")
-    both = met.join(fragments.select("fragment_id", "fragment"), "fragment_id").where(F.col("same") >= F.least(F.ceil(n / 10) + 1, n) - allowed)
-    both = both.join(suspects.select("suspect_id", "text"), "suspect_id").select("fragment_id", "suspect_id", "shift", "fragment", F.substring(F.col("text"), (F.col("shift") + 1).cast("int"), n).alias("window"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for b in batches:
-            score = [float((wide(x) == wide(y)).sum()) / len(x) if len(x) == len(y) else 0.0 for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score, pa.float64())], names=["fragment_id", "suspect_id", "shift", "score"])
-
-    kinds = [f"{c} {both.schema[c].dataType.simpleString()}" for c in ("fragment_id", "suspect_id")]
-    scored = both.mapInArrow(run, f"{', '.join(kinds)}, shift long, score double").where(F.col("score") > NEAR)
-    best = scored.groupBy("fragment_id", "suspect_id").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("m"))
-    return best.select("fragment_id", "suspect_id", (-F.col("m.back")).alias("position"), "m.score")
-
-
-def fragment_summary(matches: DataFrame, fragments: DataFrame) -> DataFrame:
-    """suspect_id, artifact_id, matched, total, confidence, defensibility, from matches (fragment_id, suspect_id)."""
-    total = fragments.groupBy("artifact_id").agg(F.count("*").alias("total"))
-    hits = matches.join(fragments.select("fragment_id", "artifact_id"), "fragment_id").groupBy("suspect_id", "artifact_id").agg(F.countDistinct("fragment_id").alias("matched"))
-    m = F.col("matched")
-    return hits.join(total, "artifact_id").select("suspect_id", "artifact_id", "matched", "total", F.when(m >= 2, 0.99).when(m == 1, 0.7).otherwise(0.0).alias("confidence"), F.when(m >= 2, "high").when(m == 1, "medium").otherwise("low").alias("defensibility"))
-
-
-def anchor_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.4, zones: int = 2) -> DataFrame:
-    """a, b, matched_zones, score: texts whose anchors agree in enough zones, by an inverted index on (zone, shingle).
-
-    left and right: key, zone, shingle. Texts with equal anchors are one class, whose least key alone meets others;
-    the pairs of classes are told for all their members at the end.
-    """
-
-    def classes(df: DataFrame) -> DataFrame:
-        each = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("zone", "shingle"))).alias("anchors"))
-        return each.withColumn("head", F.min("key").over(Window.partitionBy(F.xxhash64("anchors"), "anchors")))
-
-    of_a, of_b = classes(left), classes(right)
-    heads = lambda of, k: of.where("key = head").select(F.col("key").alias(k), F.inline("anchors"))
-    count = lambda df, k: df.groupBy(k, "zone").agg(F.count("*").alias(f"n_{k}"))
-    a, b = heads(of_a, "a"), heads(of_b, "b")
-    common = a.join(b, ["zone", "shingle"]).groupBy("a", "b", "zone").agg(F.count("*").alias("c"))
-    each = common.join(count(a, "a"), ["a", "zone"]).join(count(b, "b"), ["b", "zone"]).withColumn("j", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")))
-    met = each.groupBy("a", "b").agg(F.count_if(F.col("j") >= threshold).alias("matched_zones"), F.round(F.sum("j") / 3, 6).alias("score")).where(F.col("matched_zones") >= zones)
-    met = met.join(of_a.select(F.col("head").alias("a"), F.col("key").alias("x")), "a").join(of_b.select(F.col("head").alias("b"), F.col("key").alias("y")), "b")
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "matched_zones", "score")
-
-
-def anchor_links(left: DataFrame, right: DataFrame, left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """a, b, matched_zones, score: texts of left that match the evidence right, in two zones, or in one if the evidence is short.
-
-    left_keys: key; right_keys: key, short (boolean). Two texts without anchors agree in all zones.
-    """
-    met = anchor_pairs(left, right, threshold, 1).join(right_keys.select(F.col("key").alias("b"), "short"), "b")
-    met = met.where(F.col("matched_zones") >= F.when(F.col("short"), 1).otherwise(2)).select("a", "b", "matched_zones", "score")
-    none = lambda keys, df, k: keys.select("key").distinct().join(df.select("key").distinct(), "key", "left_anti").select(F.col("key").alias(k))
-    empty = none(left_keys, left, "a").crossJoin(none(right_keys, right, "b"))
-    return met.unionByName(empty.select("a", "b", F.lit(3).cast("long").alias("matched_zones"), F.lit(1.0).alias("score")))
-
-
-def own_anchor_scores(left: DataFrame, right: DataFrame, left_keys: DataFrame, right_keys: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """key, anchor_score: as anchor_links, but each text against the evidence of its own key alone; only those that match."""
-    count = lambda df, n: df.groupBy("key", "zone").agg(F.count("*").alias(n))
-    common = left.join(right, ["key", "zone", "shingle"]).groupBy("key", "zone").agg(F.count("*").alias("c"))
-    each = common.join(count(left, "n_a"), ["key", "zone"]).join(count(right, "n_b"), ["key", "zone"]).withColumn("j", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")))
-    met = each.groupBy("key").agg(F.count_if(F.col("j") >= threshold).alias("m"), (F.sum("j") / 3).alias("anchor_score")).join(right_keys.select("key", "short"), "key")
-    met = met.where(F.col("m") >= F.when(F.col("short"), 1).otherwise(2)).select("key", "anchor_score")
-    none = lambda keys, df: keys.select("key").join(df.select("key").distinct(), "key", "left_anti")
-    return met.unionByName(none(left_keys, left).join(none(right_keys, right), "key").distinct().select("key", F.lit(1.0).alias("anchor_score")))
-
-
-def flat_confidence(after: Column, before: Column, norm: Column, anchor_score: Column, similarity: Column) -> Column:
-    """The ladder of confidences; absent signals are null or false."""
-    return F.when(after, 1.0).when(before, 0.95).when(norm, 0.9).when(anchor_score > 0, 0.85 * anchor_score).otherwise(F.coalesce(similarity, F.lit(0.0)))
-
-
-def tier3(distance: Column) -> Column:
-    return F.when(distance <= 10, 0.95).when(distance <= 15, 0.85).when(distance <= 25, 0.7)
-
-
-def cascade(suspects: DataFrame, evidence: DataFrame, fragments: DataFrame, suspect_hashes: DataFrame, evidence_hashes: DataFrame, found: Callable[[DataFrame, DataFrame], DataFrame] = nearly_contained) -> DataFrame:
-    """suspect_id, artifact_id, tier, confidence: cheap tiers first, only what is left goes on; the rest is no_match.
-
-    found: contained, or nearly_contained, which has the contained ones too."""
-    one = exact_matches(suspects, evidence).select("suspect_id", "artifact_id", F.lit("exact_hash").alias("tier"), "confidence")
-    left = suspects.join(one, "suspect_id", "left_anti")
-    hits = fragment_summary(found(fragments, left), fragments)
-    order = Window.partitionBy("suspect_id").orderBy(F.desc("matched"), "artifact_id")
-    two = hits.withColumn("r", F.row_number().over(order)).where("r = 1").select("suspect_id", "artifact_id", F.lit("fragments").alias("tier"), F.when(F.col("matched") >= 2, 0.999).otherwise(0.95).alias("confidence"))
-    left = left.join(two, "suspect_id", "left_anti")
-    near = simhash_matches(suspect_hashes.join(left.select("suspect_id"), "suspect_id", "left_semi"), evidence_hashes)
-    three = near.select("suspect_id", "artifact_id", F.lit("similarity").alias("tier"), tier3(F.col("distance")).alias("confidence"))
-    rest = left.join(three, "suspect_id", "left_anti").select("suspect_id", F.lit(None).cast(evidence.schema["artifact_id"].dataType).alias("artifact_id"), F.lit("no_match").alias("tier"), F.lit(0.0).alias("confidence"))
-    return one.unionByName(two).unionByName(three).unionByName(rest)
-
-
-def tier_statistics(verdicts: DataFrame) -> DataFrame:
-    """tier, n, share, mean_confidence."""
-    each = verdicts.groupBy("tier").agg(F.count("*").alias("n"), F.avg("confidence").alias("m"))
-    return each.select("tier", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"), F.round("m", 6).alias("mean_confidence"))

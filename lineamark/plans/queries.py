@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineamark.functions import text as T
+from lineamark.operators import anchors as A
+from lineamark.operators import contain as C
 from lineamark.operators import fingerprint as P
 from lineamark.operators import match as M
+from lineamark.operators import verdicts as V
 from lineamark.sources import store as S
 from lineamark.streaming import tasks as K
+from lineamark.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,18 +120,45 @@ frag_b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, location ORDER BY e
 frags AS (SELECT b.doc_id AS doc_id, location, p AS offset_start, least(p + 200, n) AS offset_end, substr(text, p + 1, 201) AS fragment, e AS entropy FROM frag_b b JOIN frag_r USING (doc_id) WHERE r = 1 AND e >= 0.4)"""
 TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')), '^ +| +$', '', 'g'), ' '), lambda w: length(w) > 1)"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in P.STOPWORDS) + "]"
-ANCHORS_SQL = f"""anchor_t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
-anchor_z AS (SELECT doc_id, 'beginning' AS zone, list_slice(w, 1, 400) AS w FROM anchor_t UNION ALL
-  SELECT doc_id, 'middle', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, (len(w) - 400) // 2 + 1, (len(w) - 400) // 2 + 400) END FROM anchor_t UNION ALL
-  SELECT doc_id, 'end', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, len(w) - 399, len(w)) END FROM anchor_t),
-anchor_p AS (SELECT doc_id, zone, w, s.unnest AS s FROM anchor_z, unnest(range(5, 11)) s),
-anchor_s AS (SELECT DISTINCT doc_id, zone, array_to_string(list_slice(w, i, i + s - 1), ' ') AS shingle FROM (SELECT doc_id, zone, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM anchor_p WHERE len(w) >= s)),
-anchor_d AS (SELECT DISTINCT shingle FROM anchor_s),
-anchor_c AS (SELECT shingle, c, count(*) AS k FROM (SELECT shingle, unnest(string_split(shingle, '')) AS c FROM anchor_d) GROUP BY ALL),
-anchor_e AS (SELECT shingle, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM anchor_c GROUP BY shingle),
-anchor_v AS (SELECT shingle, round(e * e * (1 - len(list_filter(string_split(shingle, ' '), lambda x: list_contains({STOP_SQL}, x)))::DOUBLE / len(string_split(shingle, ' '))), 9) AS score FROM anchor_e),
-anchor_r AS (SELECT doc_id, zone, shingle, score, row_number() OVER (PARTITION BY doc_id, zone ORDER BY score DESC, shingle) AS rank FROM anchor_s JOIN anchor_v USING (shingle)),
-anchors AS (SELECT * FROM anchor_r WHERE rank <= 10)"""
+
+
+def anchors_sql(name: str, source: str, key: str) -> str:
+    """CTEs of the anchors of a table: {name} (key, zone, shingle, score, rank)."""
+    return f"""{name}_t AS (SELECT {key} AS k, {TOKENS_SQL} AS w FROM {source}),
+{name}_z AS (SELECT k, 'beginning' AS zone, list_slice(w, 1, 400) AS w FROM {name}_t UNION ALL
+  SELECT k, 'middle', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, (len(w) - 400) // 2 + 1, (len(w) - 400) // 2 + 400) END FROM {name}_t UNION ALL
+  SELECT k, 'end', CASE WHEN len(w) < 400 THEN w ELSE list_slice(w, len(w) - 399, len(w)) END FROM {name}_t),
+{name}_p AS (SELECT k, zone, w, s.unnest AS s FROM {name}_z, unnest(range(5, 11)) s),
+{name}_s AS (SELECT DISTINCT k, zone, array_to_string(list_slice(w, i, i + s - 1), ' ') AS shingle FROM (SELECT k, zone, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM {name}_p WHERE len(w) >= s)),
+{name}_d AS (SELECT DISTINCT shingle FROM {name}_s),
+{name}_c AS (SELECT shingle, c, count(*) AS n FROM (SELECT shingle, unnest(string_split(shingle, '')) AS c FROM {name}_d) GROUP BY ALL),
+{name}_e AS (SELECT shingle, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM {name}_c GROUP BY shingle),
+{name}_v AS (SELECT shingle, round(e * e * (1 - len(list_filter(string_split(shingle, ' '), lambda x: list_contains({STOP_SQL}, x)))::DOUBLE / len(string_split(shingle, ' '))), 9) AS score FROM {name}_e),
+{name}_r AS (SELECT k, zone, shingle, score, row_number() OVER (PARTITION BY k, zone ORDER BY score DESC, shingle) AS rank FROM {name}_s JOIN {name}_v USING (shingle)),
+{name} AS (SELECT * FROM {name}_r WHERE rank <= 10),
+{name}_sets AS (SELECT k, len(w) < 400 AS short, coalesce(bg, []) AS bg, coalesce(mid, []) AS mid, coalesce(en, []) AS en FROM {name}_t LEFT JOIN (SELECT k,
+  list_sort(coalesce(list(shingle) FILTER (zone = 'beginning'), [])) AS bg, list_sort(coalesce(list(shingle) FILTER (zone = 'middle'), [])) AS mid, list_sort(coalesce(list(shingle) FILTER (zone = 'end'), [])) AS en FROM {name} GROUP BY k) x USING (k))"""
+
+
+def jaccard_sql(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
+
+
+def scored_sql(x: str, y: str) -> str:
+    """Columns zones and score of two rows of sets."""
+    each = [jaccard_sql(f"{x}.{z}", f"{y}.{z}") for z in ("bg", "mid", "en")]
+    return f"{' + '.join(f'CAST(({e}) >= 0.4 AS INTEGER)' for e in each)} AS zones, (({each[0]}) + ({each[1]}) + ({each[2]})) / 3 AS score"
+
+
+def fuzzy_sql(fragments: str, suspects: str) -> str:
+    """CTE near (fragment_id, suspect_id, position, score): best windows. Candidates by two unchanged blocks at one shift."""
+    return f"""near_f AS (SELECT fragment_id, fragment, length(fragment) AS n, least(CAST(ceil(length(fragment) / 10.0) AS BIGINT) + 1, length(fragment)) AS m FROM {fragments} WHERE length(fragment) > 0),
+near_b AS (SELECT fragment_id, n * b // m AS place, n // m AS q, substr(fragment, n * b // m + 1, n // m) AS g FROM (SELECT *, unnest(range(0, m)) AS b FROM near_f)),
+near_g AS (SELECT suspect_id, q, p, substr(text, p + 1, q) AS g FROM (SELECT suspect_id, text, q, unnest(range(0, length(text) - q + 1)) AS p FROM {suspects}, (SELECT DISTINCT q FROM near_b))),
+near_m AS (SELECT fragment_id, suspect_id, p - place AS shift FROM near_b JOIN near_g USING (q, g) WHERE p >= place GROUP BY ALL HAVING count(*) >= 2),
+near_s AS (SELECT fragment_id, suspect_id, shift, list_sum(list_transform(list_zip(string_split(fragment, ''), string_split(substr(text, shift + 1, n), '')), lambda z: CAST(coalesce(z[1] = z[2], false) AS INTEGER)))::DOUBLE / n AS score
+  FROM near_m JOIN near_f USING (fragment_id) JOIN {suspects} USING (suspect_id) WHERE shift + n <= length(text)),
+near AS (SELECT fragment_id, suspect_id, arg_max(shift, {{'s': score, 'b': -shift}}) AS position, max(score) AS score FROM near_s WHERE score > 0.9 GROUP BY ALL)"""
 
 
 # --- hashes, tags, profiles
@@ -273,27 +304,36 @@ def shingle_df(spark, sf_dir):
     return P.document_frequency(docs_of(spark, sf_dir), "doc_id", "text")
 
 
-@query(f"WITH {ANCHORS_SQL} SELECT doc_id, zone, CAST(rank AS BIGINT) AS rank, shingle, round(score, 6) AS score FROM anchors")
+ANCHORS_SQL = anchors_sql("anc", "documents", "doc_id")
+
+
+@query(f"WITH {ANCHORS_SQL} SELECT k AS doc_id, zone, CAST(rank AS BIGINT) AS rank, shingle, round(score, 6) AS score FROM anc")
 def anchors_topk(spark, sf_dir):
     return P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", "zone", F.col("rank").cast("long").alias("rank"), "shingle", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {ANCHORS_SQL}, an AS (SELECT doc_id, zone, count(*) AS n FROM anchors GROUP BY ALL),
-ac AS (SELECT x.doc_id AS a, y.doc_id AS b, zone, count(*) AS c FROM anchors x JOIN anchors y USING (zone, shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
-aj AS (SELECT a, b, c::DOUBLE / (p.n + q.n - c) AS j FROM ac JOIN an p ON p.doc_id = a AND p.zone = ac.zone JOIN an q ON q.doc_id = b AND q.zone = ac.zone)
-SELECT a, b, count(*) FILTER (j >= 0.4) AS matched_zones, round(sum(j) / 3, 6) AS score FROM aj GROUP BY a, b HAVING count(*) FILTER (j >= 0.4) >= 2""")
-def anchor_pairs(spark, sf_dir):
-    a = P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select(F.col("doc_id").alias("key"), "zone", "shingle")
-    return M.anchor_pairs(a, a).where("a < b")
+def _sets(df: DataFrame, key: str) -> DataFrame:
+    """anchor_sets() of a table's texts."""
+    return A.anchor_sets(P.anchor_keys(df, key, "text"), P.anchors(df, key, "text").select(F.col(key).alias("key"), "zone", "shingle"))
 
 
-@query()
-def anchor_links(spark, sf_dir):
-    """Pairs with the rule for short evidence and the texts without anchors, which anchor_pairs and its SQL leave out; either may be the evidence."""
-    d = docs_of(spark, sf_dir)
-    a = P.anchors(d, "doc_id", "text").select(F.col("doc_id").alias("key"), "zone", "shingle")
-    keys = P.anchor_keys(d, "doc_id", "text")
-    return M.anchor_links(a, a, keys, keys).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "matched_zones", "score").distinct()
+CLASSES_SQL = f"{ANCHORS_SQL}, cls AS (SELECT k, short, bg, mid, en, min(k) OVER (PARTITION BY short, bg, mid, en) AS class FROM anc_sets)"
+
+
+@query(f"WITH {CLASSES_SQL} SELECT k AS key, class FROM cls")
+def anchor_members(spark, sf_dir):
+    """The class of each text: those with the same anchors."""
+    return A.anchor_classes(_sets(docs_of(spark, sf_dir), "doc_id"))
+
+
+@query(f"""WITH {CLASSES_SQL}, h AS (SELECT * FROM cls WHERE k = class),
+met AS (SELECT DISTINCT x.k AS a, y.k AS b FROM anc x JOIN anc y USING (zone, shingle) UNION SELECT x.k, y.k FROM h x, h y WHERE len(x.bg) + len(y.bg) = 0),
+sc AS (SELECT a, b, y.short AS short, {scored_sql('x', 'y')} FROM met JOIN h x ON x.k = a JOIN h y ON y.k = b)
+SELECT a, b, CAST(zones AS BIGINT) AS matched_zones, round(score, 6) AS score FROM sc WHERE zones >= CASE WHEN short THEN 1 ELSE 2 END""")
+def anchor_pairs(spark, sf_dir):
+    """Pairs of classes; b is the evidence, of which one zone is enough where it is short."""
+    sets = written(_sets(docs_of(spark, sf_dir), "doc_id"), "anchor-sets")
+    return A.anchor_pairs(sets, sets).withColumn("score", F.round("score", 6))
 
 
 # --- matching and verdicts
@@ -306,28 +346,33 @@ def _passages(spark, sf_dir):
 @query("SELECT item_id AS fragment_id, doc_id AS suspect_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS position FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0")
 def fragment_contains(spark, sf_dir):
     d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("suspect_id"), "text")
-    return M.contained(_passages(spark, sf_dir), d).withColumn("position", F.col("position").cast("long"))
+    return C.contained(_passages(spark, sf_dir), d).withColumn("position", F.col("position").cast("long"))
 
 
-@query()
+@query(f"WITH passages AS (SELECT item_id AS fragment_id, text AS fragment FROM benchmark), readers AS (SELECT doc_id AS suspect_id, text FROM documents), {fuzzy_sql('passages', 'readers')} SELECT fragment_id, suspect_id, CAST(position AS BIGINT) AS position, round(score, 9) AS score, round(CASE WHEN score = 1 THEN 1 ELSE 0.8 * score END, 9) AS confidence FROM near")
 def fragment_fuzzy(spark, sf_dir):
     d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("suspect_id"), "text")
-    return M.nearly_contained(_passages(spark, sf_dir), d)
+    return V.fragment_matches(_passages(spark, sf_dir), d).withColumns({"score": F.round("score", 9), "confidence": F.round("confidence", 9)})
 
 
-@query(f"WITH {SUSPECTS_SQL}, {FRAGMENTS_SQL}, hits AS (SELECT suspect_id, f.doc_id AS artifact_id, count(*) AS matched FROM frags f JOIN suspects s ON strpos(s.text, f.fragment) > 0 GROUP BY ALL), total AS (SELECT doc_id AS artifact_id, count(*) AS total FROM frags GROUP BY ALL) SELECT suspect_id, artifact_id, matched, total, CAST(CASE WHEN matched >= 2 THEN 0.99 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN matched >= 2 THEN 'high' ELSE 'medium' END AS defensibility FROM hits JOIN total USING (artifact_id)")
-def fragment_rollup(spark, sf_dir):
-    d = docs_of(spark, sf_dir)
-    f = fragments_of(d)
-    return M.fragment_summary(M.contained(f.select("fragment_id", "fragment"), suspects_of(d)), f)
+# texts with a character changed in every fifty
+TOUCHED_SQL = f"{SUSPECTS_SQL}, touched AS (SELECT suspect_id, CASE WHEN suspect_id % 8 IN (4, 5) THEN regexp_replace(text, '(.{{49}}).', '\\1#', 'gs') ELSE text END AS text FROM suspects)"
+
+
+def touched_of(docs: DataFrame) -> DataFrame:
+    """Suspects, of which two kinds have a character changed in every fifty."""
+    return suspects_of(docs).withColumn("text", F.when(F.pmod(F.col("suspect_id"), F.lit(8)).isin(4, 5), F.regexp_replace("text", r"(?s)(.{49}).", "$1#")).otherwise(F.col("text")))
 
 
-@query()
-def fragment_rollup_near(spark, sf_dir):
-    """fragment_rollup with nearly contained fragments, which its SQL leaves out."""
+HEADS_SQL = f"{FRAGMENTS_SQL}, fset AS (SELECT doc_id, list_sort(list(fragment)) AS fs FROM frags GROUP BY doc_id), fhead AS (SELECT fs, min(doc_id) AS doc_id FROM fset GROUP BY fs), heads AS (SELECT f.doc_id || '_' || location AS fragment_id, f.doc_id AS artifact_id, fragment FROM frags f JOIN fhead USING (doc_id))"
+
+
+@query(f"WITH {TOUCHED_SQL}, {HEADS_SQL}, {fuzzy_sql('heads', 'touched')}, hits AS (SELECT suspect_id, artifact_id, count(*) AS matched FROM near JOIN heads USING (fragment_id) GROUP BY ALL), total AS (SELECT artifact_id, count(*) AS total FROM heads GROUP BY ALL) SELECT suspect_id, artifact_id, matched, total, CAST(CASE WHEN matched >= 2 THEN 0.99 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN matched >= 2 THEN 'high' ELSE 'medium' END AS defensibility FROM hits JOIN total USING (artifact_id)")
+def fragment_rollup(spark, sf_dir):
+    """Fragments found in each suspect, exactly or nearly, by artifact; artifacts with the same fragments by the least."""
     d = docs_of(spark, sf_dir)
-    f = fragments_of(d)
-    return M.fragment_summary(M.nearly_contained(f.select("fragment_id", "fragment"), suspects_of(d)), f)
+    f = written(V.one_for_each_set(fragments_of(d)), "fragments")
+    return V.fragment_summary(C.nearly_contained(f.select("fragment_id", "fragment"), touched_of(d)), f)
 
 
 @query(f"WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL} SELECT * FROM exact")
@@ -336,74 +381,78 @@ def verify_tier1(spark, sf_dir):
     return M.exact_matches(suspects_of(d), evidence_of(d))
 
 
-@query(f"""WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},
-j AS (SELECT s.suspect_id, sha256(s.text) = hash_after AS a, sha256(s.text) = hash_before AS b, sha256({norm_sql('s.text')}) IN (norm_before, norm_after) AS n, bit_count(xor(sh.simhash, eh.simhash)) AS d,
- coalesce(nullif(regexp_extract(s.text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(s.text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) = watermark_id AS intact
- FROM suspects s JOIN evidence e ON e.artifact_id = s.suspect_id JOIN sh ON sh.suspect_id = s.suspect_id JOIN eh ON eh.doc_id = s.suspect_id)
-SELECT suspect_id, a AS match_after, b AS match_before, n AS match_normalized, CAST(d AS BIGINT) AS distance, coalesce(intact, false) AS tag_intact, b AND NOT a AS likely_removed,
-round(CAST(CASE WHEN a THEN 1.0 WHEN b THEN 0.95 WHEN n THEN 0.9 WHEN d <= 10 THEN 1 - d::DOUBLE / 64 ELSE 0.0 END AS DOUBLE), 6) AS confidence FROM j""")
-def verify_flat(spark, sf_dir):
-    """Each suspect against the evidence of the same row id: the ladder of signals, but anchors, which the SQL leaves out."""
-    return _flat(docs_of(spark, sf_dir), False)
-
-
-@query()
-def verify_flat_anchors(spark, sf_dir):
-    """verify_flat with the rung of anchors."""
-    return _flat(docs_of(spark, sf_dir), True)
+FLAT_SQL = f"""{SUSPECTS_SQL}, {EVIDENCE_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')}, {ANCHORS_SQL}, {anchors_sql('sus', 'suspects', 'suspect_id')},
+own AS (SELECT y.k, y.short AS short, {scored_sql('x', 'y')} FROM sus_sets x JOIN anc_sets y ON x.k = y.k), own_score AS (SELECT k, score FROM own WHERE zones >= CASE WHEN short THEN 1 ELSE 2 END),
+j AS (SELECT s.suspect_id, sha256(s.text) = hash_after AS a, sha256(s.text) = hash_before AS b, sha256({norm_sql('s.text')}) = norm_before AS nb, sha256({norm_sql('s.text')}) IN (norm_before, norm_after) AS n, bit_count(xor(sh.simhash, eh.simhash)) AS d,
+ coalesce(nullif(regexp_extract(s.text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(s.text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) AS tag, watermark_id, score
+ FROM suspects s JOIN evidence e ON e.artifact_id = s.suspect_id JOIN sh ON sh.suspect_id = s.suspect_id JOIN eh ON eh.doc_id = s.suspect_id LEFT JOIN own_score ON own_score.k = s.suspect_id)"""
 
 
-def _flat(d: DataFrame, anchors: bool) -> DataFrame:
+@query(f"""WITH {FLAT_SQL} SELECT suspect_id, a AS match_after, b AS match_before, n AS match_normalized, CAST(d AS BIGINT) AS distance, tag IS NOT NULL AS watermark_present, coalesce(tag = watermark_id, false) AS tag_intact, b AND NOT a AS likely_removed,
+NOT a AND NOT b AND (nb OR d <= 10 AND 1 - d::DOUBLE / 64 > 0.8) AS content_modified, a OR b OR n OR (d <= 10 AND 1 - d::DOUBLE / 64 > 0.9) AS authentic,
+round(CAST(CASE WHEN a THEN 1.0 WHEN b THEN 0.95 WHEN n THEN 0.9 WHEN score > 0 THEN 0.85 * score WHEN d <= 10 THEN 1 - d::DOUBLE / 64 ELSE 0.0 END AS DOUBLE), 6) AS confidence FROM j""")
+def verify_flat(spark, sf_dir):
+    """Each suspect against the evidence of the same row id: the ladder of all signals."""
+    d = docs_of(spark, sf_dir)
     s = suspects_of(d)
-    sh = P.simhash(s, "suspect_id", "text")
     e = evidence_of(d).join(P.simhash(d, "doc_id", "text").select(F.col("doc_id").alias("artifact_id"), F.col("simhash").alias("theirs")), "artifact_id")
-    j = s.join(sh, "suspect_id").join(e, F.col("suspect_id") == F.col("artifact_id"))
-    t = F.col("text")
-    a, b, n = T.sha(t) == F.col("hash_after"), T.sha(t) == F.col("hash_before"), T.normalized_sha(t).isin(F.col("norm_before"), F.col("norm_after"))
-    j = j.select("suspect_id", a.alias("match_after"), b.alias("match_before"), n.alias("match_normalized"), T.hamming(F.col("simhash"), F.col("theirs")).cast("long").alias("distance"), F.coalesce(T.tag_id(t) == F.col("watermark_id"), F.lit(False)).alias("tag_intact"))
-    score = F.lit(None).cast("double")
-    if anchors:
-        of = lambda df, k: P.anchors(df, k, "text").select(F.col(k).alias("key"), "zone", "shingle")
-        scores = M.own_anchor_scores(of(s, "suspect_id"), of(d, "doc_id"), P.anchor_keys(s, "suspect_id", "text"), P.anchor_keys(d, "doc_id", "text"))
-        j, score = j.join(scores.withColumnRenamed("key", "suspect_id"), "suspect_id", "left"), F.col("anchor_score")
-    similarity = F.when(F.col("distance") <= 10, 1 - F.col("distance") / 64)
-    return j.withColumn("likely_removed", F.col("match_before") & ~F.col("match_after")).withColumn("confidence", F.round(M.flat_confidence(F.col("match_after"), F.col("match_before"), F.col("match_normalized"), score, similarity), 6)).drop("anchor_score")
-
-
-CASCADE_SQL = f"""{SUSPECTS_SQL}, {EVIDENCE_SQL}, {EXACT_SQL}, {FRAGMENTS_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},
-two_h AS (SELECT suspect_id, f.doc_id AS artifact_id, count(*) AS matched FROM frags f JOIN suspects s ON strpos(s.text, f.fragment) > 0 WHERE suspect_id NOT IN (SELECT suspect_id FROM exact) GROUP BY ALL),
+    t, c = F.col("text"), F.col
+    mine = s.select("suspect_id", T.sha(t).alias("raw"), T.normalized_sha(t).alias("norm"), T.tag_id(t).alias("tag")).join(P.simhash(s, "suspect_id", "text"), "suspect_id")
+    scores = A.own_anchor_scores(_sets(s, "suspect_id"), _sets(d, "doc_id")).withColumnRenamed("key", "suspect_id")
+    j = mine.join(e, c("suspect_id") == c("artifact_id")).join(scores, "suspect_id", "left")
+    j = j.select("suspect_id", (c("raw") == c("hash_after")).alias("match_after"), (c("raw") == c("hash_before")).alias("match_before"), (c("norm") == c("norm_before")).alias("norm_match"), c("norm").isin(c("norm_before"), c("norm_after")).alias("match_normalized"), T.hamming(c("simhash"), c("theirs")).cast("long").alias("distance"), c("tag").isNotNull().alias("watermark_present"), F.coalesce(c("tag") == c("watermark_id"), F.lit(False)).alias("tag_intact"), "anchor_score")
+    a, b, n, similar = c("match_after"), c("match_before"), c("match_normalized"), V.similarity(c("distance"))
+    out = j.withColumns({"likely_removed": b & ~a, "content_modified": V.content_modified(a, b, c("norm_match"), similar), "authentic": V.is_authentic(a, b, n, similar), "confidence": F.round(V.flat_confidence(a, b, n, c("anchor_score"), similar), 6)})
+    return out.drop("anchor_score", "norm_match")
+
+
+MANY_SQL = f"""{SUSPECTS_SQL}, {EVIDENCE_SQL}, {simhash_sql('sh', 'suspects', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')}, {ANCHORS_SQL}, {anchors_sql('sus', 'suspects', 'suspect_id')},
+keyed AS (SELECT artifact_id, hash_after AS h, 'raw' AS f, 'after' AS how, 0 AS rung, CAST(1 AS DOUBLE) AS conf FROM evidence UNION ALL SELECT artifact_id, hash_before, 'raw', 'before', 1, 0.95 FROM evidence
+ UNION ALL SELECT artifact_id, norm_after, 'norm', 'normalized', 2, 0.9 FROM evidence UNION ALL SELECT artifact_id, norm_before, 'norm', 'normalized', 2, 0.9 FROM evidence),
+keys AS (SELECT f, h, how, rung, conf, min(artifact_id) AS artifact_id FROM keyed GROUP BY ALL),
+texts AS (SELECT suspect_id, sha256(text) AS raw, sha256({norm_sql('text')}) AS norm FROM suspects),
+hits AS (SELECT suspect_id, artifact_id, how, rung, conf, CAST(NULL AS DOUBLE) AS alike FROM texts JOIN keys ON (f = 'raw' AND h = raw) OR (f = 'norm' AND h = norm)),
+ek AS (SELECT k, short, bg, mid, en, simhash, min(k) OVER (PARTITION BY short, bg, mid, en, simhash) AS head FROM anc_sets JOIN eh ON eh.doc_id = k),
+heads AS (SELECT * FROM ek WHERE k = head),
+sk AS (SELECT k, short, bg, mid, en, simhash, min(k) OVER (PARTITION BY short, bg, mid, en, simhash) AS head FROM sus_sets JOIN sh ON sh.suspect_id = k),
+shead AS (SELECT * FROM sk WHERE k = head),
+met AS (SELECT x.head AS a, y.head AS b FROM shead x, heads y WHERE bit_count(xor(x.simhash, y.simhash)) <= 10 UNION SELECT DISTINCT x.k, y.k FROM sus x JOIN anc y USING (zone, shingle) WHERE x.k IN (SELECT k FROM shead) AND y.k IN (SELECT k FROM heads) UNION SELECT x.k, y.k FROM shead x, heads y WHERE len(x.bg) + len(y.bg) = 0),
+signals AS (SELECT a, b, y.short AS short, bit_count(xor(x.simhash, y.simhash)) AS d, {scored_sql('x', 'y')} FROM met JOIN shead x ON x.k = a JOIN heads y ON y.k = b),
+laddered AS (SELECT a, b, CASE WHEN d <= 10 THEN 1 - d::DOUBLE / 64 END AS alike, CASE WHEN zones >= CASE WHEN short THEN 1 ELSE 2 END AND score > 0 THEN 0.85 * score END AS by_anchors FROM signals),
+told AS (SELECT sk.k AS suspect_id, b AS artifact_id, CASE WHEN by_anchors IS NOT NULL THEN 'anchors' ELSE 'similarity' END AS how, 3 AS rung, coalesce(by_anchors, alike) AS conf, alike FROM laddered JOIN sk ON sk.head = a WHERE coalesce(by_anchors, alike) >= 0.8),
+best AS (SELECT suspect_id, artifact_id, arg_min({{'how': how, 'conf': conf}}, rung) AS m, max(alike) AS alike FROM (SELECT * FROM hits UNION ALL SELECT * FROM told) GROUP BY ALL)"""
+
+
+@query(f"WITH {MANY_SQL} SELECT suspect_id, artifact_id, m.how AS how, round(m.conf, 6) AS confidence, m.how IN ('after', 'before', 'normalized') OR coalesce(alike > 0.9, false) AS authentic FROM best")
+def verify_many(spark, sf_dir):
+    """Each suspect against all evidence, results of confidence 0.8 at least, best first."""
+    d = docs_of(spark, sf_dir)
+    s = suspects_of(d)
+    hashes_of_docs = P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id")
+    found = V.verify_many(s, evidence_of(d), _sets(s, "suspect_id"), _sets(d, "doc_id"), P.simhash(s, "suspect_id", "text"), hashes_of_docs)
+    return found.withColumn("confidence", F.round("confidence", 6)).orderBy("suspect_id", F.desc("confidence"), "artifact_id")
+
+
+CASCADE_SQL = f"""{TOUCHED_SQL}, {EVIDENCE_SQL}, {EXACT_SQL.replace("FROM suspects)", "FROM touched)")}, {HEADS_SQL}, {simhash_sql('sh', 'touched', 'suspect_id')}, {simhash_sql('eh', 'documents', 'doc_id')},
+later AS (SELECT * FROM touched WHERE suspect_id NOT IN (SELECT suspect_id FROM exact)), {fuzzy_sql('heads', 'later')},
+two_h AS (SELECT suspect_id, artifact_id, count(*) AS matched FROM near JOIN heads USING (fragment_id) GROUP BY ALL),
 two AS (SELECT suspect_id, artifact_id, 'fragments' AS tier, CAST(CASE WHEN matched >= 2 THEN 0.999 ELSE 0.95 END AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY suspect_id ORDER BY matched DESC, artifact_id) AS r FROM two_h) WHERE r = 1),
 three_h AS (SELECT suspect_id, eh.doc_id AS artifact_id, bit_count(xor(sh.simhash, eh.simhash)) AS d FROM sh, eh WHERE suspect_id NOT IN (SELECT suspect_id FROM exact) AND suspect_id NOT IN (SELECT suspect_id FROM two) AND bit_count(xor(sh.simhash, eh.simhash)) <= 25),
 three AS (SELECT suspect_id, artifact_id, 'similarity' AS tier, CAST(CASE WHEN d <= 10 THEN 0.95 WHEN d <= 15 THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY suspect_id ORDER BY d, artifact_id) AS r FROM three_h) WHERE r = 1),
 verdicts AS (SELECT suspect_id, artifact_id, 'exact_hash' AS tier, confidence FROM exact UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL
- SELECT suspect_id, NULL, 'no_match', CAST(0 AS DOUBLE) FROM suspects WHERE suspect_id NOT IN (SELECT suspect_id FROM exact UNION ALL SELECT suspect_id FROM two UNION ALL SELECT suspect_id FROM three))"""
+ SELECT suspect_id, NULL, 'no_match', CAST(0 AS DOUBLE) FROM touched WHERE suspect_id NOT IN (SELECT suspect_id FROM exact UNION ALL SELECT suspect_id FROM two UNION ALL SELECT suspect_id FROM three))"""
 
 
 @query(f"WITH {CASCADE_SQL} SELECT * FROM verdicts")
 def verify_cascade(spark, sf_dir):
-    return _cascade(spark, sf_dir, M.contained)
-
-
-@query()
-def verify_cascade_near(spark, sf_dir):
-    """verify_cascade with nearly contained fragments, which its SQL leaves out."""
-    return _cascade(spark, sf_dir, M.nearly_contained)
-
-
-def _cascade(spark, sf_dir, found) -> DataFrame:
     d = docs_of(spark, sf_dir)
-    s = suspects_of(d)
-    return M.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"), found)
-
-
-@query()
-def tier_stats_near(spark, sf_dir):
-    return M.tier_statistics(verify_cascade_near(spark, sf_dir))
+    s = touched_of(d)
+    return V.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"))
 
 
 @query(f"WITH {CASCADE_SQL} SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(confidence), 6) AS mean_confidence FROM verdicts GROUP BY tier")
 def tier_stats(spark, sf_dir):
-    return M.tier_statistics(verify_cascade(spark, sf_dir))
+    return V.tier_statistics(verify_cascade(spark, sf_dir))
 
 
 @query(f"WITH {SUSPECTS_SQL}, {EVIDENCE_SQL}, g AS (SELECT suspect_id, coalesce(nullif(regexp_extract(text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) AS watermark_id FROM suspects) SELECT suspect_id, watermark_id, artifact_id FROM g LEFT JOIN evidence USING (watermark_id) WHERE watermark_id IS NOT NULL")

@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from lineamark.operators import anchors as A
+from lineamark.operators import contain as C
 from lineamark.operators import fingerprint as P
 from lineamark.operators import match as M
+from lineamark.operators import verdicts as V
 from lineamark.plans import queries as Q
 
-SF = "/root/testdata/sf0.001"
-
 
 def words(t):
     return [w for w in re.sub("[^a-zA-Z0-9]+", " ", t or "").lower().split() if len(w) > 1]
@@ -21,36 +24,27 @@ def zones(t):
 
 
 def compared(suspect, evidence, short):
-    """Matched zones and score, or None: compare_anchor_fingerprints of the reference, as read."""
+    """Matched zones and score, or None."""
     j = [1.0 if not x and not y else len(x & y) / len(x | y) for x, y in zip(suspect, evidence, strict=True)]
     n = sum(v >= 0.4 for v in j)
     return (n, round(sum(j) / 3, 6)) if n >= (1 if short else 2) else None
 
 
-def test_anchor_links(spark):
+def anchors_of(df):
+    return A.anchor_sets(P.anchor_keys(df, "doc_id", "text"), P.anchors(df, "doc_id", "text").select(F.col("doc_id").alias("key"), "zone", "shingle"))
+
+
+def test_anchor_pairs(spark):
     rng = random.Random(3)
     long = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)) for _ in range(3)]
-    texts = [*long, " ".join(long[0].split()[:390]), " ".join(long[1].split()[-395:]), " ".join(long[2].split()[:450]), None, "", "a bc de", "some few words are here now"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    a, keys = P.anchors(df, "doc_id", "text").withColumnRenamed("doc_id", "key").select("key", "zone", "shingle"), P.anchor_keys(df, "doc_id", "text")
-    got = {(r["a"], r["b"]): (r["matched_zones"], round(r["score"], 6)) for r in M.anchor_links(a, a, keys, keys).collect()}
+    texts = [*long, " ".join(long[0].split()[:390]), " ".join(long[1].split()[-395:]), " ".join(long[2].split()[:450]), None, "", "a bc de", "some few words are here now", long[0]]
+    sets = anchors_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    of = {r["key"]: r["class"] for r in A.anchor_classes(sets).collect()}
+    assert of == {**{i: i for i in range(10)}, 7: 6, 8: 6, 10: 0}
+    met = {(r["a"], r["b"]): (r["matched_zones"], round(r["score"], 6)) for r in A.anchor_pairs(sets, sets).collect()}
     z = [zones(t) for t in texts]
     want = {(i, j): c for i in range(len(texts)) for j in range(len(texts)) if (c := compared(z[i], z[j], len(words(texts[j])) < 400))}
-    assert got == want and (6, 8) in got and (0, 3) in got and (3, 0) not in got
-
-
-def test_flat_with_anchors(spark):
-    d = Q.docs_of(spark, SF)
-    texts, suspects = ({r[0]: r[1] for r in x.collect()} for x in (d.select("doc_id", "text"), Q.suspects_of(d)))
-    rungs = 0
-    for r in Q.verify_flat_anchors(spark, SF).collect():
-        k = r["suspect_id"]
-        met = compared(zones(suspects[k]), zones(texts[k]), len(words(texts[k])) < 400)
-        similarity = 1 - r["distance"] / 64 if r["distance"] <= 10 else 0.0
-        want = 1.0 if r["match_after"] else 0.95 if r["match_before"] else 0.9 if r["match_normalized"] else 0.85 * met[1] if met and met[1] > 0 else similarity
-        assert abs(r["confidence"] - want) < 2e-6, k
-        rungs += want not in (1.0, 0.95, 0.9, similarity)
-    assert rungs > 20
+    assert want == {(i, j): met[of[i], of[j]] for i in of for j in of if (of[i], of[j]) in met} and (0, 3) in met and (3, 0) not in met
 
 
 def test_touched_fragments(spark):
@@ -60,13 +54,26 @@ def test_touched_fragments(spark):
     touched = ["".join("#" if i % 50 == 7 else c for i, c in enumerate(t)) for t in texts]
     s = spark.createDataFrame([*enumerate(touched), (9, "unrelated words")], "suspect_id long, text string")
     f = Q.fragments_of(d)
-    rolled = M.fragment_summary(M.nearly_contained(f.select("fragment_id", "fragment"), s), f).collect()
+    rolled = V.fragment_summary(C.nearly_contained(f.select("fragment_id", "fragment"), s), f).collect()
     assert sorted((r["suspect_id"], r["artifact_id"], r["matched"], r["defensibility"]) for r in rolled) == [(i, i, 3, "high") for i in range(3)]
     hashes = P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id")
-    got = {r["suspect_id"]: (r["artifact_id"], r["tier"], r["confidence"]) for r in M.cascade(s, Q.evidence_of(d), f, *hashes).collect()}
+    got = {r["suspect_id"]: (r["artifact_id"], r["tier"], r["confidence"]) for r in V.cascade(s, Q.evidence_of(d), f, *hashes).collect()}
     assert {k: got[k] for k in range(3)} == {k: (k, "fragments", 0.999) for k in range(3)} and got[9][1] != "fragments"
 
 
+def test_bands_of_simhashes():
+    """Any two values within k bits share a key, whatever bits differ."""
+    rng = random.Random(6)
+    for k in (0, 1, 3, 7, 8, 10, 15, 25):
+        n = k + 1 if k < 8 else 4
+        edges = [64 * i // n for i in range(n + 1)]
+        keys = lambda v, side: {(i, v >> a & (1 << b - a) - 1 ^ m) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) for m in M.flips(b - a, (k // n + 1 - side) // 2)}
+        for _ in range(20 if k < 16 else 2):
+            v = rng.getrandbits(64)
+            w = v ^ sum(1 << i for i in rng.sample(range(64), k))
+            assert keys(v, 0) & keys(w, 1), k
+
+
 def test_fingerprints_of_odd_texts(spark):
     texts = [None, "", "--", "İstanbul ẞ Σ ΑΣ K", "one", "x" * 3000 + " y", "a b " * 700_000]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
