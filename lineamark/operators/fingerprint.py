@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Common words that make a shingle less distinctive.
@@ -121,10 +121,6 @@ def minhash(df: DataFrame, key: str, text: str, permutations: int = 128) -> Data
     return per_text(df, key, text, "minhash", "array<bigint>", pa.list_(pa.int64()), kernel)
 
 
-def minhash_similarity(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
-
-
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -218,6 +214,20 @@ def document_frequency(df: DataFrame, key: str, text: str, size: int = SHORTEST)
     return df.select(key, F.explode(runs(anchor_tokens(F.col(text)), size)).alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
 
 
+def zone_frequency(df: DataFrame, key: str, text: str, size: int = SHORTEST) -> DataFrame:
+    """shingle, df: in how many keys each shingle of size words occurs within a zone."""
+    zones = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), w.alias("w")) for z, w in zone_words(anchor_tokens(F.col(text))))))
+    each = df.select(key, zones.alias("z")).select(key, F.explode(runs(F.col("z.w"), size)).alias("shingle"))
+    return each.distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+
+
+def zone_words(words: Column) -> list[tuple[str, Column]]:
+    """The words of each zone: all where they are fewer than a zone has."""
+    n = F.size(words)
+    at = {"beginning": F.lit(1), "middle": F.floor((n - ZONE_WORDS) / 2).cast("int") + 1, "end": n - ZONE_WORDS + 1}
+    return [(z, F.when(n < ZONE_WORDS, words).otherwise(F.slice(words, F.greatest(F.lit(1), at[z]), ZONE_WORDS))) for z in ZONES]
+
+
 class Anchors:
     """The most distinctive shingles of each zone of a text, scored with character counts of all shingles at once."""
 
@@ -225,23 +235,23 @@ class Anchors:
         self.zone, self.top, self.low, self.high, self.stop = zone, top, low, high, set(stop)
         self.log = np.append(0.0, np.arange(1, 1 << 12) * np.log2(np.arange(1, 1 << 12)))
 
+    def zones(self, words: list[str]) -> list[list[str]]:
+        middle = (len(words) - self.zone) // 2
+        return [words] * 3 if len(words) < self.zone else [words[: self.zone], words[middle : middle + self.zone], words[-self.zone :]]
+
     def of(self, words: list[str]) -> list[dict]:
-        n = len(words)
-        middle = (n - self.zone) // 2
-        parts = [words] * 3 if n < self.zone else [words[: self.zone], words[middle : middle + self.zone], words[-self.zone :]]
         known: dict[tuple, list[dict]] = {}
         out = []
-        for zone, part in zip(ZONES, parts, strict=True):
+        for zone, part in zip(ZONES, self.zones(words), strict=True):
             best = known.get(tuple(part))
             if best is None:
                 known[tuple(part)] = best = self.best(part)
             out += [{"zone": zone} | b for b in best]
         return out
 
-    def best(self, words: list[str]) -> list[dict]:
+    def weights(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All shingles: where they begin, their words, the entropy of their characters, their share of uncommon words."""
         n = len(words)
-        if n < self.low:
-            return []
         chars = np.frombuffer("".join(words).encode(), np.uint8).astype(np.int64)
         row = np.repeat(np.arange(1, n + 1), [len(w) for w in words])
         counts = np.bincount(row * 36 + np.where(chars >= 97, chars - 87, chars - 48), minlength=36 * (n + 1)).reshape(n + 1, 36).cumsum(axis=0)
@@ -252,7 +262,13 @@ class Anchors:
         c = counts[at + size] - counts[at]
         total = c.sum(axis=1) + size - 1
         entropy = np.log2(total) - (self.logs(c).sum(axis=1) + self.logs(size - 1)) / total
-        score = np.round(entropy * entropy * (1 - (stops[at + size] - stops[at]) / size), 9)
+        return at, size, entropy, 1 - (stops[at + size] - stops[at]) / size
+
+    def best(self, words: list[str]) -> list[dict]:
+        if len(words) < self.low:
+            return []
+        at, size, entropy, uncommon = self.weights(words)
+        score = np.round(entropy * entropy * uncommon, 9)
         found: dict[str, float] = {}
         for k in np.argsort(-score, kind="stable").tolist():
             if len(found) >= self.top and score[k] < least:
@@ -262,6 +278,15 @@ class Anchors:
         ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: self.top]
         return [{"rank": r, "shingle": s, "score": v} for r, (s, v) in enumerate(ranked, 1)]
 
+    def every(self, words: list[str]) -> list[dict]:
+        """Each shingle of each zone once, with its entropy and share of uncommon words."""
+        out = []
+        for zone, part in zip(ZONES, self.zones(words), strict=True):
+            if len(part) >= self.low:
+                seen = {" ".join(part[a : a + s]): (e, u) for a, s, e, u in zip(*(c.tolist() for c in self.weights(part)), strict=True)}
+                out += [{"zone": zone, "shingle": s, "e": e, "u": u} for s, (e, u) in seen.items()]
+        return out
+
     def logs(self, counts: np.ndarray) -> np.ndarray:
         """n * log2(n), from a table unless words are giants."""
         if counts.max(initial=0) < len(self.log):
@@ -293,21 +318,48 @@ def anchor_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def anchors_by_frequency(df: DataFrame, key: str, text: str, frequency: DataFrame, total: int, top: int = TOP) -> DataFrame:
-    """Anchors with ln((N + 1) / (df + 1)) from a table (shingle, df) where it has the shingle."""
-    from pyspark.sql import Window
+    """Anchors with ln((N + 1) / (df + 1)) from a table (shingle, df) where it has the shingle, else their entropy."""
+    found = Anchors(top=top)
+    kind = pa.list_(pa.struct([("zone", pa.string()), ("shingle", pa.string()), ("e", pa.float64()), ("u", pa.float64())]))
+    each = per_text(df, key, text, "s", "array<struct<zone:string,shingle:string,e:double,u:double>>", kind, lambda: lambda t: found.every([w.lower() for w in ALNUM.findall(t or "")])).select(key, F.inline("s"))
+    weight = F.coalesce(F.log((F.lit(total) + 1) / (F.col("df") + 1)), F.col("e"))
+    scored = each.join(frequency, "shingle", "left").withColumn("score", F.round(weight * F.col("e") * F.col("u"), 9))
+    order = Window.partitionBy(key, "zone").orderBy(F.desc("score"), "shingle")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(key, "zone", "rank", "shingle", "score")
 
-    low, high = SHORTEST, LONGEST
-    words = df.select(F.col(key).alias("k"), anchor_tokens(F.col(text)).alias("w"))
-    n = F.size("w")
-    at = {"beginning": F.lit(1), "middle": F.floor((n - ZONE_WORDS) / 2).cast("int") + 1, "end": n - ZONE_WORDS + 1}
-    zones = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.when(n < ZONE_WORDS, F.col("w")).otherwise(F.slice("w", F.greatest(F.lit(1), at[z]), ZONE_WORDS)).alias("w")) for z in ZONES)))
-    each = words.select("k", zones.alias("z")).select("k", "z.zone", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("z.w"), s) for s in range(low, high + 1)))))).alias("shingle"))
-    chars = F.split("shingle", "")
-    count = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double"))
-    length = F.length("shingle").cast("double")
-    entropy = F.log2(length) - F.aggregate(count, F.lit(0.0), lambda s, c: s + c * F.log2(c)) / length
-    own = F.split("shingle", " ")
-    uncommon = 1 - F.size(F.filter(own, lambda w: w.isin(STOPWORDS))) / F.size(own)
-    scored = each.join(frequency, "shingle", "left").withColumn("e", entropy).withColumn("score", F.round(F.coalesce(F.log((F.lit(total) + 1) / (F.col("df") + 1)), F.col("e")) * F.col("e") * uncommon, 9))
-    order = Window.partitionBy("k", "zone").orderBy(F.desc("score"), "shingle")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(F.col("k").alias(key), "zone", "rank", "shingle", "score")
+
+def top_blocks(df: DataFrame, key: str, text: str, size: int = 64, top: int = 4, least: float = 0.5) -> DataFrame:
+    """key, place, entropy, sha: of each text's blocks of size characters, those of most entropy, if it is least at least;
+    the first of equals (to nine places). A last block of under size characters doesn't count."""
+
+    def kernel():
+        def of(t: str | None) -> list[dict]:
+            n = len(t or "") // size
+            blocks = [t[i * size : (i + 1) * size] for i in range(n)]
+            entropy = [round(char_entropy(b), 9) for b in blocks]
+            best = sorted((i for i in range(n) if entropy[i] >= least), key=lambda i: (-entropy[i], i))[:top]
+            return [{"place": i, "entropy": entropy[i], "sha": hashlib.sha256(blocks[i].encode()).hexdigest()} for i in best]
+
+        return of
+
+    arrow = pa.list_(pa.struct([("place", pa.int64()), ("entropy", pa.float64()), ("sha", pa.string())]))
+    return per_text(df, key, text, "blocks", "array<struct<place:bigint,entropy:double,sha:string>>", arrow, kernel).select(key, F.inline("blocks"))
+
+
+def minhash_pairs(left: DataFrame, right: DataFrame, percent: int = 80) -> DataFrame:
+    """a, b, equal: signatures of left and right (key, minhash) of which percent of the values agree at least.
+
+    Signatures that are equal are one class, named by the least key. Values that may differ are fewer than the bands
+    that a signature is cut into, so pairs agree in a whole band, and none is lost. A signature of zeros takes part.
+    """
+    heads = lambda df, k: df.groupBy("minhash").agg(F.min("key").alias(k)).select(k, F.col("minhash").alias(f"{k}_hash"))
+    x, y = heads(left, "a"), heads(right, "b")
+    first = x.select(F.size("a_hash")).first()
+    n = first[0] if first else 1
+    must = -(-percent * n // 100)
+    parts = n - must + 1
+    edges = [n * i // parts for i in range(parts + 1)]
+    bands = lambda c: F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice(c, e + 1, f - e)).alias("h")) for i, (e, f) in enumerate(zip(edges, edges[1:], strict=False)))))
+    met = x.select("a", bands("a_hash").alias("e")).select("a", "e.*").join(y.select("b", bands("b_hash").alias("e")).select("b", "e.*"), ["band", "h"]).select("a", "b").distinct()
+    pairs = met.join(x, "a").join(y, "b").withColumn("equal", F.size(F.filter(F.zip_with("a_hash", "b_hash", lambda u, v: u == v), lambda e: e)))
+    return pairs.where(F.col("equal") >= must).select("a", "b", "equal")

@@ -220,20 +220,6 @@ def validate_ids(spark, sf_dir):
     return _errors(spark, sf_dir).drop("source")
 
 
-@query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT source, count(*) AS total, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, CAST(sum(e) AS BIGINT) AS errors FROM (SELECT source, (artifact_error IS NOT NULL)::INT + (watermark_error IS NOT NULL)::INT + (fragment_error IS NOT NULL)::INT + (hash_error IS NOT NULL)::INT AS e FROM errs) GROUP BY source")
-def validation_batch(spark, sf_dir):
-    c = F.col
-    each = _errors(spark, sf_dir).select("source", F.size(T.errors(artifact_id=c("artifact_error"), watermark_id=c("watermark_error"), fragment_id=c("fragment_error"), hash=c("hash_error"))).alias("e"))
-    return each.groupBy("source").agg(F.count("*").alias("total"), F.count_if(c("e") == 0).alias("valid"), F.count_if(c("e") > 0).alias("invalid"), F.sum("e").alias("errors"))
-
-
-@query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT doc_id, array_to_string(list_filter(['artifact_id: ' || artifact_error, 'watermark_id: ' || watermark_error, 'fragment_id: ' || fragment_error, 'hash: ' || hash_error], lambda x: x IS NOT NULL), '; ') AS report, artifact_error IS NULL AND watermark_error IS NULL AND fragment_error IS NULL AND hash_error IS NULL AS compliant FROM errs")
-def compliance_report(spark, sf_dir):
-    c = F.col
-    found = T.errors(artifact_id=c("artifact_error"), watermark_id=c("watermark_error"), fragment_id=c("fragment_error"), hash=c("hash_error"))
-    return _errors(spark, sf_dir).select("doc_id", F.array_join(found, "; ").alias("report"), (F.size(found) == 0).alias("compliant"))
-
-
 #: Magic bytes put before pages, by page_id modulo 8.
 SNIFF = {0: "89504E470D0A1A0A", 1: "FFD8FF", 2: "25504446", 3: "494433", 4: "504B0304"}
 
@@ -493,13 +479,6 @@ def store_models(spark, sf_dir):
     return _rows(spark, sf_dir).select("model_id").distinct()
 
 
-@query("SELECT conv_id, turn, sha256(conv_id || ':' || turn || ':' || role || ':' || text) AS receipt, lag(sha256(conv_id || ':' || turn || ':' || role || ':' || text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prior_receipt FROM conversations")
-def receipt_chain(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    receipts = c.withColumn("receipt", T.sha(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")))
-    return K.previous(receipts, "conv_id", ["turn", "role", "text"], "receipt").select("conv_id", "turn", "receipt", "prior_receipt")
-
-
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def whole_responses(spark, sf_dir):
     return K.responses(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
