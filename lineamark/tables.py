@@ -61,7 +61,8 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str], count: str, to
     values = [c for c in right.columns if c not in keys]
     hit, salt = free_name(left, "hit_"), free_name(left, "salt_")
     hot = right.where(F.col(count) * HOT >= total).select(*keys, *(F.col(c).alias(f"hot_{c}") for c in values), F.lit(True).alias(hit))
-    rest = right.where(F.col(count) * HOT < total).withColumn(salt, F.lit(0))
+    # no literal: the optimiser would take it out of the join's keys, and with it the salt of the left rows
+    rest = right.where(F.col(count) * HOT < total).withColumn(salt, F.pmod(F.col(count), F.lit(1)).cast("int"))
     told = left.join(F.broadcast(hot), keys, "left")
     told = told.withColumn(salt, F.when(F.col(hit), 1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20))).otherwise(0).cast("int"))
     joined = told.join(rest, [*keys, salt], "left")
