@@ -140,23 +140,24 @@ def starts(data: Column, *heads: bytes) -> Column:
     return F.greatest(*(F.substring(data, 1, len(h)) == F.lit(bytearray(h)) for h in heads)) if len(heads) > 1 else F.substring(data, 1, len(heads[0])) == F.lit(bytearray(heads[0]))
 
 
+#: How many bytes are looked at for JSON, and how many characters of a longer one.
+SAMPLE, NEAR_HEAD = 8192, 1024
+
+
 def artifact_type(data: Column) -> Column:
-    """Magic bytes in a fixed order; JSON by its first 8 KiB; the rest is text if it is UTF-8, else binary."""
+    """Of bytes: magic bytes in a fixed order; JSON by its first SAMPLE bytes; all else is binary. (A string is text.)"""
     has = lambda w: F.instr(F.decode(F.substring(data, 9, 8), "ISO-8859-1"), w) > 0
     riff = starts(data, b"RIFF") & (F.octet_length(data) > 12)
-    sample = F.substring(data, 1, 8192)
-    text = stripped(F.decode(sample, "ISO-8859-1"))
-    whole = F.octet_length(data) <= 8192
-    valid = F.is_valid_utf8(data.cast("string"))
-    brace = F.substring(text, 1, 1)
-    json = F.when(whole, F.try_parse_json(data.cast("string")).isNotNull()).otherwise(((brace == "{") & F.substring(text, 1, 1024).contains("}")) | ((brace == "[") & F.substring(text, 1, 1024).contains("]")))
+    sample = F.substring(data, 1, SAMPLE).cast("string")
+    text = stripped(F.when(F.is_valid_utf8(sample), sample))
+    brace, head = F.substring(text, 1, 1), F.substring(text, 1, NEAR_HEAD)
+    json = F.when(F.octet_length(data) <= SAMPLE, F.try_parse_json(text).isNotNull()).otherwise(((brace == "{") & head.contains("}")) | ((brace == "[") & head.contains("]")))
     return (
         F.when(starts(data, b"\x89PNG\r\n\x1a\n") | starts(data, b"\xff\xd8\xff") | (riff & has("WEBP")) | starts(data, b"GIF87a", b"GIF89a"), "image")
         .when(starts(data, b"%PDF"), "pdf")
         .when((F.octet_length(data) > 8) & (F.substring(data, 5, 4) == F.lit(bytearray(b"ftyp"))), "video")
         .when((riff & has("WAVE")) | starts(data, b"ID3", b"\xff\xfb", b"\xff\xf3") | starts(data, b"fLaC"), "audio")
-        .when(valid & brace.isin("{", "[") & json, "json")
-        .when(valid, "text")
+        .when(brace.isin("{", "[") & json, "json")
         .otherwise("binary")
     )
 

@@ -363,3 +363,28 @@ def minhash_pairs(left: DataFrame, right: DataFrame, percent: int = 80) -> DataF
     met = x.select("a", bands("a_hash").alias("e")).select("a", "e.*").join(y.select("b", bands("b_hash").alias("e")).select("b", "e.*"), ["band", "h"]).select("a", "b").distinct()
     pairs = met.join(x, "a").join(y, "b").withColumn("equal", F.size(F.filter(F.zip_with("a_hash", "b_hash", lambda u, v: u == v), lambda e: e)))
     return pairs.where(F.col("equal") >= must).select("a", "b", "equal")
+
+
+def order_free_digest(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, digest: SHA-256 of each key's values in order, joined by bars; null values are left out.
+
+    Values are sorted on disk and hashed one after the other, so a key of any size needs little memory; its hash is one
+    chain, which one task must follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, begun = None, None, False
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or k != last:
+                    if begun:
+                        yield pa.RecordBatch.from_arrays([pa.array([last], batch.column(0).type), pa.array([digest.hexdigest()])], names=["k", "digest"])
+                    last, digest, begun = k, hashlib.sha256(v.encode()), True
+                else:
+                    digest.update(b"|" + v.encode())
+            kind = batch.column(0).type
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([digest.hexdigest()])], names=["k", "digest"])
+
+    sorted_ = df.select(key, value).where(F.col(value).isNotNull()).repartition(key).sortWithinPartitions(key, value)
+    return sorted_.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, digest string").select(F.col("k").alias(key), "digest")

@@ -220,18 +220,25 @@ def validate_ids(spark, sf_dir):
     return _errors(spark, sf_dir).drop("source")
 
 
-#: Magic bytes put before pages, by page_id modulo 8.
-SNIFF = {0: "89504E470D0A1A0A", 1: "FFD8FF", 2: "25504446", 3: "494433", 4: "504B0304"}
+#: Bytes put before pages, by page_id modulo their number; after them short and odd inputs that stand alone.
+HEADS = ["89504E470D0A1A0A", "FFD8FF", "25504446", "494433", "504B0304", "0000001066747970", "474946383761", "474946383961", "5249464600000000574542505650", "524946460000000057415645666D", "664C6143", "FFFB", "FFF3", "7F454C46", "4D5A90", "1F8B08", "52617221", "FFFE", "", "7B", "5B", "0A207B"]
+ALONE = ["7B2261223A20317D", "5B312C20325D", "7B2261223A", "", "7F45", "4D", "52494646", "00000010667479", "205B5D0A"]
+SNIFF_SQL = f"""raw AS (SELECT page_id, CASE {" ".join(f"WHEN page_id % {len(HEADS) + len(ALONE)} = {i} THEN '{h}' || hex(encode(coalesce(html, '')))" for i, h in enumerate(HEADS))} {" ".join(f"WHEN page_id % {len(HEADS) + len(ALONE)} = {len(HEADS) + i} THEN '{h}'" for i, h in enumerate(ALONE))} END AS h FROM pages),
+sized AS (SELECT page_id, h, length(h) // 2 AS n, TRY(decode(unhex(substr(h, 1, {2 * T.SAMPLE})))) AS t FROM raw),
+texts AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM sized)"""
 
 
-@query("SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' WHEN 3 THEN 'audio' WHEN 5 THEN 'video' WHEN 6 THEN 'json' ELSE 'text' END AS artifact_type, CASE page_id % 8 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG image' WHEN 2 THEN 'PDF document' WHEN 4 THEN 'ZIP' ELSE 'unknown' END AS file_type, CAST(octet_length(encode(html)) + CASE page_id % 8 WHEN 0 THEN 8 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 8 WHEN 6 THEN 0 - octet_length(encode(html)) + 8 ELSE 0 END AS BIGINT) AS size_bytes FROM pages")
+@query(f"""WITH {SNIFF_SQL} SELECT page_id, n AS size_bytes, CASE WHEN h LIKE '89504E470D0A1A0A%' OR h LIKE 'FFD8FF%' OR (h LIKE '52494646%' AND n > 12 AND contains(substr(h, 17, 16), '57454250')) OR h LIKE '474946383761%' OR h LIKE '474946383961%' THEN 'image' WHEN h LIKE '25504446%' THEN 'pdf' WHEN n > 8 AND substr(h, 9, 8) = '66747970' THEN 'video'
+ WHEN (h LIKE '52494646%' AND n > 12 AND contains(substr(h, 17, 16), '57415645')) OR h LIKE '494433%' OR h LIKE 'FFFB%' OR h LIKE 'FFF3%' OR h LIKE '664C6143%' THEN 'audio' WHEN s LIKE '{{%' AND (n <= {T.SAMPLE} AND json_valid(s) OR n > {T.SAMPLE} AND contains(substr(s, 1, {T.NEAR_HEAD}), '}}')) OR s LIKE '[%' AND (n <= {T.SAMPLE} AND json_valid(s) OR n > {T.SAMPLE} AND contains(substr(s, 1, {T.NEAR_HEAD}), ']')) THEN 'json' ELSE 'binary' END AS artifact_type,
+ CASE WHEN n < 4 THEN 'unknown' WHEN h LIKE '7F454C46%' THEN 'ELF' WHEN h LIKE '4D5A%' THEN 'PE executable' WHEN h LIKE '89504E47%' THEN 'PNG' WHEN h LIKE 'FFD8FF%' THEN 'JPEG image' WHEN h LIKE '25504446%' THEN 'PDF document' WHEN h LIKE '504B0304%' THEN 'ZIP' WHEN h LIKE '1F8B%' THEN 'GZIP compressed' WHEN h LIKE '52617221%' THEN 'RAR archive' ELSE 'unknown' END AS file_type FROM texts""")
 def sniff_type(spark, sf_dir):
-    k, html = F.pmod(F.col("page_id"), F.lit(8)), F.col("html").cast("binary")
-    data = F.when(k == 5, F.concat(F.unhex(F.lit("0000001066747970")), html)).when(k == 6, F.lit('{"a": 1}').cast("binary"))
-    for i, head in SNIFF.items():
-        data = data.when(k == i, F.concat(F.unhex(F.lit(head)), html))
-    data = data.otherwise(html)
-    return table(spark, sf_dir, "pages").select("page_id", data.alias("data")).select("page_id", T.artifact_type(F.col("data")).alias("artifact_type"), T.file_type(F.col("data")).alias("file_type"), F.octet_length("data").cast("long").alias("size_bytes"))
+    k, html = F.pmod(F.col("page_id"), F.lit(len(HEADS) + len(ALONE))), F.coalesce("html", F.lit("")).cast("binary")
+    data = F.lit(None).cast("binary")
+    for i, head in enumerate(HEADS):
+        data = F.when(k == i, F.concat(F.unhex(F.lit(head)), html)).otherwise(data)
+    for i, whole in enumerate(ALONE):
+        data = F.when(k == len(HEADS) + i, F.unhex(F.lit(whole))).otherwise(data)
+    return table(spark, sf_dir, "pages").select("page_id", data.alias("data")).select("page_id", F.octet_length("data").cast("long").alias("size_bytes"), T.artifact_type(F.col("data")).alias("artifact_type"), T.file_type(F.col("data")).alias("file_type"))
 
 
 # --- fingerprints
@@ -549,8 +556,7 @@ def consecutive_similarity(spark, sf_dir):
 
 @query("SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS digest FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def order_free_digest(spark, sf_dir):
-    h = docs_of(spark, sf_dir).select("source", T.sha(F.col("text")).alias("h"))
-    return h.groupBy("source").agg(T.sha(F.array_join(F.sort_array(F.collect_list("h")), "|")).alias("digest"))
+    return P.order_free_digest(docs_of(spark, sf_dir).select("source", T.sha(F.col("text")).alias("h")), "source", "h")
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")

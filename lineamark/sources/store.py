@@ -22,7 +22,10 @@ class EvidenceStore:
         return latest(self.spark.read.parquet(self.path).where(F.col("artifact_id") == F.lit(artifact_id)))
 
     def by_model(self, model_id: str, version: str | None = None, limit: int | None = None) -> DataFrame:
-        return by_model(self.rows(), model_id, version, limit)
+        """Artifacts whose latest row is of this model. Only ids that the model's partition holds are looked up elsewhere."""
+        every = self.spark.read.parquet(self.path)
+        own = every.where(F.col("model_id") == model_id).select("artifact_id").distinct()
+        return by_model(latest(every.join(own, "artifact_id", "left_semi")), model_id, version, limit)
 
     def by_watermark(self, watermark_id: str) -> DataFrame:
         return self.rows().where(F.col("watermark_id") == watermark_id).orderBy("artifact_id").limit(1)
@@ -40,9 +43,9 @@ class EvidenceStore:
 
 
 def latest(rows: DataFrame, key: str = "artifact_id", order: str = "ingested") -> DataFrame:
-    """One row for each key, the last by order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One row for each key, the last by order; of rows that tie, that of the greatest hash, so that reads agree."""
+    last = rows.groupBy(F.col(key)).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order), F.xxhash64(*rows.columns))).alias("last"))
+    return last.select("last.*")
 
 
 def by_model(rows: DataFrame, model_id: str, version: str | None = None, limit: int | None = None) -> DataFrame:
