@@ -2,11 +2,12 @@
 
 A document's features are the hashes of its distinct word n-grams. Sets are dealt into bands by size. Two sets that
 are similar enough differ in at most k features, k being that of the larger one's band, for which the smaller one is
-signed too. The feature domain is cut by hash into k // (FAULTS + 1) + 1 + t partitions, so at least t + 1 of them
-hold at most FAULTS differences; each is cut again into PARTS parts, and a signature is enumerated for each subset of
-PARTS - FAULTS parts: one of these subsets holds no difference. So similar sets share signatures of at least t + 1
-partitions. Signatures are ordered by how many sets hold them; each set may therefore leave out the t most frequent of
-its own in each band, which are the ones that common passages make, and similar sets still share one.
+signed too. The feature domain is cut by hash into p partitions, each of these into three parts, and a signature is
+enumerated for each subset of two parts. A partition without a difference gives both sets the same three signatures, one
+with a single difference the same one. So k differences leave at least 2 * p - k signatures in common, and p is chosen
+so that these are more than the number t that a set may leave out. Signatures are ordered by how many sets hold them;
+each set leaves out the t most frequent of its own in each band, which are the ones that common passages and parts
+with few features make, and similar sets still share one.
 
 Sets that share a signature are candidates. Their clusters are found by stars, so no pairs are emitted. A cluster's
 sets meet in blocks of bounded size: all pairs of a block pair are checked exactly, 100 * common >= percent * union,
@@ -41,10 +42,10 @@ from lineamark.llm.spans import LOWER, pieces, text_bytes, word_codes, words
 
 #: Width of a band: its largest size over its smallest.
 BAND = 1.5
-#: Differences that a partition may hold, and the parts it is cut into.
-FAULTS, PARTS = 1, 3
+#: Parts of a partition, and of these in a subset: all but the one that may hold a difference.
+PARTS, KEPT = 3, 2
 #: Documents on which hot signatures are looked for, about; those in one of HOT_SHARE of them are split into SALTS.
-PROBE, HOT_SHARE, SALTS = 16_384, 256, 64
+PROBE, HOT_SHARE, SALTS = 8192, 128, 64
 #: Sets, and features, that one block of a large cluster holds about.
 BLOCK_SETS, BLOCK_FEATURES = 1024, 1_000_000
 
@@ -95,8 +96,8 @@ class Bands:
             low = self.low[-1]
             high = max(low, ceil(low * BAND) - 1)
             k = (100 - percent) * 2 * high // (100 + percent)
-            t = 1 + k // 12 if k else 0
-            self.parts.append(k // (FAULTS + 1) + 1 + t if k else 1)
+            t = 2 + k // 3 if k else 0
+            self.parts.append((k + t + 2) // 2 if k else 1)  # 2 * p - k > t
             self.spare.append(t)
             self.low.append(high + 1)
         self.low = self.low[:-1]
@@ -120,7 +121,7 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
         at = np.append(0, np.cumsum(np.bincount(part.astype(np.int64), minlength=n * fine)))
         # a hash of each part's features in its place; a subset's is the sum of these
         each = mixed(sums[at[1:]] - sums[at[:-1]] + np.arange(1, n * fine + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(n, fine)
-        for subset in combinations(range(fine), fine - FAULTS if fine > 1 else 1):
+        for subset in combinations(range(fine), min(fine, KEPT)):
             out.append((mixed(each[:, list(subset)].sum(axis=1, dtype=np.uint64)) >> np.uint64(8)) | (np.uint64(i) << np.uint64(56)))
     return np.concatenate(out).view(np.int64)
 
@@ -132,7 +133,8 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
     row = np.repeat(np.arange(m), sizes)
     values, column = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True)
     times = np.bincount(column, minlength=len(values))
-    common = np.zeros((m, m), np.int64)
+    kind = np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64  # counts are exact in it
+    common = np.zeros((m, m), kind)
     number = np.cumsum(times > 1) - 1
     use = times[column] > 1
     row, column = row[use], number[column[use]]
@@ -144,7 +146,8 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
         i, j = np.searchsorted(column, [a, b])
         x = np.zeros((m, b - a), np.float32)
         x[row[i:j], column[i:j] - a] = 1
-        common += (x @ x.T).astype(np.int64)  # at most columns: exact
+        common += x @ x.T
+    common = common.astype(np.int64)
     link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     first = np.full(m, -1)
     for s in range(m):
