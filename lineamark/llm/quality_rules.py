@@ -62,6 +62,13 @@ def run_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed(sums[at[1:]] - sums[at[:-1]] + mixed((end - begin).astype(np.uint64)))
 
 
+def before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place, and how many there are."""
+    out = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, dtype=np.int32, out=out[1:])
+    return out
+
+
 def text_stats(col: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The columns of STATS; hashes and numbers of words of all lines that have a word, and where rows begin in them."""
     data, rows = text_bytes(col)
@@ -71,11 +78,11 @@ def text_stats(col: pa.Array) -> tuple[list[np.ndarray], tuple[np.ndarray, np.nd
     if not len(data):
         return [zero] * 5, lines
     begin, end, at = words(data, rows)
-    heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points before a byte
-    chars = np.append(0, np.cumsum(heads[end] - heads[begin]))
-    symbols = np.append(0, np.cumsum(IS_SYMBOL[data]))
+    heads = before((data & 0xC0) != 0x80)  # code points before a byte
+    chars = np.append(0, np.cumsum((heads[end] - heads[begin]).astype(np.int64)))
+    symbols = before(IS_SYMBOL[data])
     n_words = at[1:] - at[:-1]
-    stats = [n_words, chars[at[1:]] - chars[at[:-1]], symbols[rows[1:]] - symbols[rows[:-1]], zero.copy(), zero.copy()]
+    stats = [n_words, chars[at[1:]] - chars[at[:-1]], (symbols[rows[1:]] - symbols[rows[:-1]]).astype(np.int64), zero.copy(), zero.copy()]
     codes, known = word_codes(data, begin, end)
     digest = xxhash.xxh3_64_intdigest
     wide = np.array([digest(w) for w in known], np.uint64)[codes] if len(begin) else np.zeros(0, np.uint64)
@@ -134,7 +141,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str, row:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 3):
+            for part in pieces(batch, 3, 1 << 21):
                 stats, found = text_stats(part.column(3))
                 whole, ends, hashes, sizes = of_rows(*found)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (hashes, sizes)]
