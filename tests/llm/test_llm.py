@@ -256,7 +256,7 @@ def test_ngram_join(spark, monkeypatch):
         texts.append(" ".join(w[: 120 - k // 4]))
     texts += [" ".join(random.choice(words) for _ in range(random.randint(1, 30))) for _ in range(40)]
     docs = list(enumerate(texts))
-    for blocks, share in ((1024, 256), (8, 10_000)):  # the small ones make large clusters of blocks and many hot signatures
+    for blocks, share in ((1024, 128), (8, 10_000)):  # the small ones make large clusters of blocks and many hot signatures
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
         monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
         for n, percent in ((4, 85), (5, 80), (4, 40)):
