@@ -76,22 +76,22 @@ def token_bits(token: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(hashlib.md5(token.encode(errors="replace")).digest()[:8], np.uint8)).astype(np.int8) * 2 - 1
 
 
-def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, simhash (long): for each row the signs of the 64 sums of its tokens' bits. No token: 0."""
+def simhash_kernel() -> Callable[[str | None], int]:
+    table = Table(64, np.int8, token_bits)
 
-    def kernel():
-        table = Table(64, np.int8, token_bits)
+    def of(t: str | None) -> int:
+        sums = np.zeros(64, np.int64)
+        for some in tokens_of(t):
+            if some:
+                sums += table.of(some).sum(axis=0, dtype=np.int64)
+        return int.from_bytes(np.packbits(sums > 0).tobytes(), "big", signed=True)
 
-        def of(t: str | None) -> int:
-            sums = np.zeros(64, np.int64)
-            for some in tokens_of(t):
-                if some:
-                    sums += table.of(some).sum(axis=0, dtype=np.int64)
-            return int.from_bytes(np.packbits(sums > 0).tobytes(), "big", signed=True)
+    return of
 
-        return of
 
-    return per_text(df, key, text, "simhash", "long", pa.int64(), kernel)
+def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, simhash (long): for each row the signs of the 64 sums of its tokens' bits. No token: 0."""
+    return per_text(df, key, text, "simhash", "long", pa.int64(), simhash_kernel)
 
 
 def hash_family(size: int) -> tuple[list[int], list[int]]:
@@ -100,25 +100,25 @@ def hash_family(size: int) -> tuple[list[int], list[int]]:
     return [int(w[:8], 16) >> 1 | 1 for w in words], [int(w[8:16], 16) for w in words]
 
 
-def minhash(df: DataFrame, key: str, text: str, permutations: int = 128) -> DataFrame:
-    """key, minhash (array<long>): the least of (factor * h + summand) mod PRIME over the tokens, h being the first 32 bits
-    of a token's MD5, for each hash function of the family. No token: zeros."""
+def minhash_kernel(permutations: int = 128) -> Callable[[str | None], list[int]]:
+    factor, summand = (np.array(c, np.uint64) for c in hash_family(permutations))
+    table = Table(permutations, np.uint64, lambda t: (factor * np.uint64(int.from_bytes(hashlib.md5(t.encode(errors="replace")).digest()[:4], "big")) + summand) % np.uint64(PRIME))
 
-    def kernel():
-        factor, summand = (np.array(c, np.uint64) for c in hash_family(permutations))
-        table = Table(permutations, np.uint64, lambda t: (factor * np.uint64(int.from_bytes(hashlib.md5(t.encode(errors="replace")).digest()[:4], "big")) + summand) % np.uint64(PRIME))
+    def of(t: str | None) -> list[int]:
+        least = None
+        for some in tokens_of(t):
+            if some:
+                own = table.of(list(dict.fromkeys(some))).min(axis=0)
+                least = own if least is None else np.minimum(least, own)
+        return [0] * permutations if least is None else least.astype(np.int64).tolist()
 
-        def of(t: str | None) -> list[int]:
-            least = None
-            for some in tokens_of(t):
-                if some:
-                    own = table.of(list(dict.fromkeys(some))).min(axis=0)
-                    least = own if least is None else np.minimum(least, own)
-            return [0] * permutations if least is None else least.astype(np.int64).tolist()
+    return of
 
-        return of
 
-    return per_text(df, key, text, "minhash", "array<bigint>", pa.list_(pa.int64()), kernel)
+def minhash(df: DataFrame, key: str, text: str, permutations: int = 128) -> DataFrame:
+    """key, minhash (array<long>): the least of (factor * h + summand) mod PRIME over the tokens, h being the first 32 bits
+    of a token's MD5, for each hash function of the family. No token: zeros."""
+    return per_text(df, key, text, "minhash", "array<bigint>", pa.list_(pa.int64()), lambda: minhash_kernel(permutations))
 
 
 def codes_of(text: str) -> np.ndarray:

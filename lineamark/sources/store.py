@@ -54,9 +54,11 @@ def by_model(rows: DataFrame, model_id: str, version: str | None = None, limit:
     return rows.orderBy("artifact_id").limit(limit) if limit is not None else rows
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Evidence as JSON lines or files; malformed ones are left out."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).where("_corrupt_record is null").drop("_corrupt_record")
+def read_json(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """Evidence as JSON, a record on each line, or in each file if whole; malformed ones are left out."""
+    texts = spark.read.text(path, wholetext=whole)
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return texts.select(parsed.alias("e")).where("e is not null and e._corrupt_record is null").select("e.*").drop("_corrupt_record")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
