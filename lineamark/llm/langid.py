@@ -148,7 +148,11 @@ def segments(data: np.ndarray, rows: np.ndarray, size: int = SEGMENT) -> tuple[n
     begin = rows[:-1][row] + nth * size
     length = np.minimum(size, rows[1:][row] - begin)
     at = begin[None, :] + np.arange(size)[:, None]
-    codes = np.where(np.arange(size)[:, None] < length[None, :], CLEAN[data[np.minimum(at, max(0, len(data) - 1))]], 32) if len(row) else np.zeros((size, 0), np.uint8)
+    codes = np.where(
+        np.arange(size)[:, None] < length[None, :],
+        CLEAN[data[np.minimum(at, max(0, len(data) - 1))]],
+        32,
+    ) if len(row) else np.zeros((size, 0), np.uint8)
     return codes, length, row
 
 
@@ -190,11 +194,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Segments are drawn from whole texts on the executors, at places by hash of the id; only they go to the driver.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull())
+    rows = docs.where(
+        F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull()
+    )
     i, b = F.col(id_col).cast("string"), F.col(text_col).cast("string").cast("binary")
     more = F.greatest(F.lit(0), F.octet_length(b) - SEGMENT)
-    drawn = F.array(*(F.substring(b, (F.pmod(F.xxhash64(F.lit("segment"), F.lit(k), i), more + 1) + 1).cast("int"), SEGMENT) for k in range(PER_DOCUMENT)))
-    keyed = rows.select(F.xxhash64(i).alias("h"), i.alias("i"), F.when(more > 0, drawn).otherwise(F.slice(drawn, 1, 1)).alias("t"), F.col(lang_col).alias("l"))
+    drawn = F.array(
+        *(F.substring(b, (F.pmod(F.xxhash64(F.lit("segment"), F.lit(k), i), more + 1) + 1).cast("int"), SEGMENT) for k in range(PER_DOCUMENT))
+    )
+    keyed = rows.select(
+        F.xxhash64(i).alias("h"),
+        i.alias("i"),
+        F.when(more > 0, drawn).otherwise(F.slice(drawn, 1, 1)).alias("t"),
+        F.col(lang_col).alias("l"),
+    )
     # ids are picked first, so that a task sends the driver no segments but those that are learned; at most sample ids
     picked = keyed.select("h", "i").distinct().orderBy("h", "i").limit(sample)
     got = keyed.join(F.broadcast(picked), ["h", "i"], "left_semi").orderBy("h", "i", "t").limit(sample).collect()
@@ -261,7 +274,10 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in pieces(batch, text, 1 << 20):
                 lang, score = predict(part.column(text))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, *names])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[*columns, *names],
+                )
 
     schema = T.StructType([*plain.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return plain.mapInArrow(run, schema)

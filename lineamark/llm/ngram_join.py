@@ -177,7 +177,10 @@ def signed(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
                         row.append(k)
                 at = np.append(0, np.cumsum([len(s) for s in sigs])).astype(np.int32)
                 values = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["doc_id", "set_id", "sigs"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)],
+                    names=["doc_id", "set_id", "sigs"],
+                )
 
     return texts.mapInArrow(run, "doc_id long, set_id long, sigs array<long>").select("doc_id", "set_id", F.explode("sigs").alias("sig"))
 
@@ -186,11 +189,21 @@ def candidates(texts: DataFrame, n: int, bands: Bands, documents: int) -> DataFr
     """a, b: each set and the least set of each of its signatures, of those that it doesn't leave out."""
     probe = signed(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, documents // PROBE))) == 0), n, bands)
     # at most HOT_SHARE keys for each signature of a document, on average
-    hot = written(probe.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min(documents, PROBE) // HOT_SHARE)).select("sig"), "hot-signatures")
+    hot = written(
+        probe.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min(documents, PROBE) // HOT_SHARE)).select("sig"),
+        "hot-signatures",
+    )
     salted = signed(texts, n, bands).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
-    salted = salted.select("set_id", "sig", F.coalesce("hot", F.lit(False)).alias("hot"), F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    salted = salted.select(
+        "set_id",
+        "sig",
+        F.coalesce("hot", F.lit(False)).alias("hot"),
+        F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"),
+    )
     by_sig = Window.partitionBy("sig", "salt")
-    counted = salted.withColumns({"least": F.min("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)}).where("hot or set_id <> least or n > 1")
+    counted = salted.withColumns(
+        {"least": F.min("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)}
+    ).where("hot or set_id <> least or n > 1")
     # copies of a set become one row; the parts of a hot signature are put together
     shared = written(counted.groupBy("set_id", "sig", "hot").agg(F.min("n").alias("n")), "shared")
     parts = shared.where("hot").groupBy("sig").agg(F.count("*").alias("all_n"))
@@ -202,7 +215,10 @@ def candidates(texts: DataFrame, n: int, bands: Bands, documents: int) -> DataFr
     remove(shared)
     remove(hot)
     least = cool.groupBy("sig").agg(F.min("set_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    near = looked_up(cool, least, ["sig"], "n", cool.count()).where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+    near = looked_up(cool, least, ["sig"], "n", cool.count()).where("set_id <> least").select(
+        F.col("set_id").alias("a"),
+        F.col("least").alias("b"),
+    ).distinct()
     found = written(near, "candidates")
     remove(cool)
     return found
@@ -219,13 +235,22 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         for batch in batches:
             for part in pieces(batch, 1):
                 found = [(len(s), set_id(s)) for s in shingle_sets(part.column(1), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64()), part.column(2)], names=["doc_id", "n_shingles", "set_id", "text_key"])
-
-    table = written(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(sized, "doc_id long, n_shingles long, set_id long, text_key long"), "sets")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64()), part.column(2)],
+                    names=["doc_id", "n_shingles", "set_id", "text_key"],
+                )
+
+    table = written(
+        rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(sized, "doc_id long, n_shingles long, set_id long, text_key long"),
+        "sets",
+    )
     near = candidates(texts, n, bands, table.count())
     clusters = components(near)
     # where all rows of a set have one id and one text, that stands for it; else the least of both
-    sizes = table.where("doc_id is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_id", "n", "first.doc_id", "first.text_key")
+    sizes = table.where("doc_id is not null").groupBy("set_id").agg(
+        F.max("n_shingles").alias("n"),
+        F.min(F.struct("doc_id", "text_key")).alias("first"),
+    ).select("set_id", "n", "first.doc_id", "first.text_key")
     members = written(clusters.withColumnRenamed("node", "set_id").join(sizes, "set_id"), "clusters")
     size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("k")
     sized_clusters = members.join(members.groupBy("component").agg(size), "component")
@@ -237,14 +262,20 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     # a step of many sets has k blocks, and all pairs of these are checked
     pairs = F.expr("transform(sequence(0, k - 1), x -> concat_ws(':', component, step, least(x, own), greatest(x, own)))")
     large = cut.select("set_id", F.explode(pairs).alias("block"))
-    placed = small.unionByName(large).groupBy("set_id").agg(F.collect_list("block").alias("blocks")).join(members.select("set_id", "doc_id", "text_key"), "set_id")
+    placed = small.unionByName(large).groupBy("set_id").agg(F.collect_list("block").alias("blocks")).join(
+        members.select("set_id", "doc_id", "text_key"),
+        "set_id",
+    )
     having = texts.withColumn("text_key", F.xxhash64("text")).join(placed, ["doc_id", "text_key"]).select("set_id", "text", "blocks")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
                 sets = [s.tobytes() for s in shingle_sets(part.column(1), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["set_id", "features", "blocks"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sets, pa.binary()), part.column(2)],
+                    names=["set_id", "features", "blocks"],
+                )
 
     def checked(key: tuple, got: pa.Table) -> pa.Table:
         ids, at = np.unique(got.column("set_id").to_numpy(), return_index=True)
@@ -252,7 +283,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         first = linked(sets, percent)
         return pa.table({"a": pa.array(ids), "b": pa.array(ids[first])})
 
-    features = having.mapInArrow(featured, "set_id long, features binary, blocks array<string>").select("set_id", "features", F.explode("blocks").alias("block"))
+    features = having.mapInArrow(
+        featured,
+        "set_id long, features binary, blocks array<string>",
+    ).select("set_id", "features", F.explode("blocks").alias("block"))
     links = features.groupBy("block").applyInArrow(checked, "a long, b long").where("a <> b")
     classes = components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "class")
     least = sizes.join(classes, "set_id", "left").select("set_id", "doc_id", F.coalesce("class", "set_id").alias("class"))
@@ -264,7 +298,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     # n_shingles 0: linked with nothing, so each is its own component
     empty = F.col("n_shingles") == 0
     none = F.col("doc_id").isNull()
-    return table.join(found, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.when(none, None).when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(~none & ~empty, F.col("class")).alias("class"), "text_key")
+    return table.join(found, "set_id", "left").select(
+        "doc_id",
+        "n_shingles",
+        "set_id",
+        F.when(none, None).when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        F.when(~none & ~empty, F.col("class")).alias("class"),
+        "text_key",
+    )
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +317,9 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     key = free_name(docs, "first_text")
     own = free_name(docs, "first_id")
     first = found.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
-    first = first.unionByName(found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_key").distinct()).select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    first = first.unionByName(
+        found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_key").distinct()
+    ).select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
     keyed = docs.where(F.col(id_col).isNotNull()).withColumns({own: F.col(id_col).cast("long"), key: F.xxhash64(F.col(text_col).cast("string"))})
     firsts = keyed.join(first, [own, key], "left_semi").dropDuplicates([own, key]).select(*docs.columns)
     return docs.where(F.col(id_col).isNull()).unionByName(firsts)

@@ -215,7 +215,15 @@ class Tokens:
         return flat[take], np.append(0, ends)[np.searchsorted(cuts, rows)]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, group: int = GROUP) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = CAPACITY,
+    end_id: int = 1,
+    group: int = GROUP,
+) -> DataFrame:
     """One row for each piece of a document: see SCHEMA; ids holds the piece's ids as little-endian 32-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +256,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         def flushed() -> pa.RecordBatch:
             nonlocal held
-            made = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(out)],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
             for c in out:
                 c.clear()
             held = 0
@@ -283,4 +294,12 @@ def op1_pack(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )

@@ -36,7 +36,37 @@ from lineamark.llm.shared import free_name
 KEY = "a key for tests; give your own"
 
 # Titles that precede names, with gender; given names by script and gender; letters by script.
-TITLES = {"Mr": "m", "Mr.": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "M.": "m", "Señor": "m", "Sr.": "m", "Don": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mme.": "f", "Mlle": "f", "Señora": "f", "Señorita": "f", "Sra.": "f", "Srta.": "f", "Doña": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f"}
+TITLES = {
+    "Mr": "m",
+    "Mr.": "m",
+    "Mister": "m",
+    "Herr": "m",
+    "Herrn": "m",
+    "Monsieur": "m",
+    "M.": "m",
+    "Señor": "m",
+    "Sr.": "m",
+    "Don": "m",
+    "Mrs": "f",
+    "Mrs.": "f",
+    "Ms": "f",
+    "Ms.": "f",
+    "Miss": "f",
+    "Frau": "f",
+    "Madame": "f",
+    "Mme": "f",
+    "Mme.": "f",
+    "Mlle": "f",
+    "Señora": "f",
+    "Señorita": "f",
+    "Sra.": "f",
+    "Srta.": "f",
+    "Doña": "f",
+    "господин": "m",
+    "госпожа": "f",
+    "κύριος": "m",
+    "κυρία": "f",
+}
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Thomas Daniel Paul Mark George Peter Hans Karl Stefan Jürgen Klaus Pierre Jean Michel Louis Carlos José Juan Miguel Pedro".split(),
     ("latin", "f"): "Mary Anna Linda Susan Karen Nancy Lisa Helen Sandra Laura Emma Julia Petra Sabine Monika Ursula Marie Claire Sophie Camille Carmen María Lucía Isabel Elena Rosa".split(),
@@ -45,7 +75,11 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Πέτρος".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Άννα Σοφία Ειρήνη".split(),
 }
-LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñß"), "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")}
+LETTERS = {
+    "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñß"),
+    "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"),
+    "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"),
+}
 LISTED = {n.lower(): (group, k) for group, names in GIVEN.items() for k, n in enumerate(names)}
 #: What ends an unlisted given name's surrogate, by script and gender.
 ENDINGS = {"latin": {"m": "o", "f": "a"}, "cyrillic": {"m": "н", "f": "а"}, "greek": {"m": "ς", "f": "α"}}
@@ -69,7 +103,9 @@ NUMBER = re.compile(
     r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,5}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-]))"
 )
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r") ((?:[^\W\d_a-z][^\W\d_]+)(?:[ \-][^\W\d_a-z][^\W\d_]+){0,2})")
+NAME = re.compile(
+    r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r") ((?:[^\W\d_a-z][^\W\d_]+)(?:[ \-][^\W\d_a-z][^\W\d_]+){0,2})"
+)
 WORD = re.compile(r"\w+")
 HAS_DIGIT = re.compile(r"\d")
 SECRET_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
@@ -83,7 +119,10 @@ class Permutation:
 
     def round(self, tweak: bytes, k: int, half: int, bits: int) -> int:
         size = (bits + 7) // 8
-        return int.from_bytes(hashlib.blake2b(tweak + bytes([k]) + half.to_bytes(size + 1, "big"), key=self.key, digest_size=min(64, max(8, size + 1))).digest(), "big") & ((1 << bits) - 1)
+        return int.from_bytes(
+            hashlib.blake2b(tweak + bytes([k]) + half.to_bytes(size + 1, "big"), key=self.key, digest_size=min(64, max(8, size + 1))).digest(),
+            "big",
+        ) & ((1 << bits) - 1)
 
     def cipher(self, tweak: bytes, x: int, n: int, back: bool) -> int:
         bits = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -132,7 +171,11 @@ class Surrogates:
         return "".join(reversed(out))
 
     def plain(self, kind: str, text: str, radix: str | None = None) -> str:
-        return self.string(kind, text, [radix if radix and c.lower() in radix else DIGITS if c in DIGITS else LATIN if c.lower() in LATIN else None for c in text])
+        return self.string(
+            kind,
+            text,
+            [radix if radix and c.lower() in radix else DIGITS if c in DIGITS else LATIN if c.lower() in LATIN else None for c in text],
+        )
 
     def of(self, kind: str, text: str) -> str:
         return getattr(self, kind)(text)
@@ -306,7 +349,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(a, b, "email", text[a:b]) for a, b in emails(text)]
     if HAS_DIGIT.search(text):
         found += [(m.start(), m.end(), m.lastgroup, m.group()) for m in NUMBER.finditer(text)]
-        found += [(m.start(), m.end(), "iban", m.group()) for m in IBAN.finditer(text) if int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(m.group().replace(" ", "")))) % 97 == 1]
+        found += [
+            (m.start(), m.end(), "iban", m.group()) for m in IBAN.finditer(text) if int(
+                "".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(m.group().replace(" ", "")))
+            ) % 97 == 1
+        ]
     if any(h in text for h in SECRET_HEADS):
         found += [(m.start(), m.end(), "secret", m.group()) for m in SECRET.finditer(text)]
     if "=" in text or ":" in text:
@@ -377,10 +424,18 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
                 columns[text] = pa.array([t for t, _ in done], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], kind)], names=all_names)
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(name, T._parse_datatype_string("array<struct<kind:string,begin:int,end:int>>"))]))
+    return plain.mapInArrow(
+        run,
+        T.StructType([*plain.schema.fields, T.StructField(name, T._parse_datatype_string("array<struct<kind:string,begin:int,end:int>>"))]),
+    )
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = replace(docs)
-    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.transform("entities", lambda e: e["kind"]).alias("kinds"), "text")
+    return out.select(
+        "doc_id",
+        F.size("entities").cast("long").alias("n_entities"),
+        F.transform("entities", lambda e: e["kind"]).alias("kinds"),
+        "text",
+    )

@@ -26,7 +26,30 @@ from lineamark.llm.spans import pieces, text_bytes, word_codes, words
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, LEAST, RIDGE = 64, 80, 4, 0.12, 10, 1.0
 THRESHOLD = 0.7
-FEATURES = ("words", "mean_word", "symbols", "dup_lines", "repeat_words", "lines", "words_a_line", "upper", "digits", "punctuation", "bangs", "pipes", "stops", "commas", "beyond_ascii", "distinct", "top_word", "twins", "longest_word", "capitals", "shortest_line", "gaps")
+FEATURES = (
+    "words",
+    "mean_word",
+    "symbols",
+    "dup_lines",
+    "repeat_words",
+    "lines",
+    "words_a_line",
+    "upper",
+    "digits",
+    "punctuation",
+    "bangs",
+    "pipes",
+    "stops",
+    "commas",
+    "beyond_ascii",
+    "distinct",
+    "top_word",
+    "twins",
+    "longest_word",
+    "capitals",
+    "shortest_line",
+    "gaps",
+)
 
 
 def features(col: pa.Array) -> np.ndarray:
@@ -60,7 +83,30 @@ def features(col: pa.Array) -> np.ndarray:
     np.minimum.at(shortest, np.repeat(np.arange(n), n_lines), sizes)
     first = data[begin] if len(begin) else np.zeros(0, np.uint8)
     count = lambda x: np.bincount(row, x, minlength=n)
-    columns = [np.log1p(n_words), chars / w, symbols / w, dup / np.maximum(n_lines, 1), repeated / w, np.log1p(n_lines), n_words / np.maximum(n_lines, 1), share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57)), share(punct[data]), share(data == 33), share(data == 124), share(data == 46), share(data == 44), share(data >= 128), np.bincount(key, minlength=n) / w, top / w, count(twins) / w, longest, count((first >= 65) & (first <= 90)) / w, np.minimum(shortest, 1000), share(np.isin(data, [9, 10, 13, 32]))]
+    columns = [
+        np.log1p(n_words),
+        chars / w,
+        symbols / w,
+        dup / np.maximum(n_lines, 1),
+        repeated / w,
+        np.log1p(n_lines),
+        n_words / np.maximum(n_lines, 1),
+        share((data >= 65) & (data <= 90)),
+        share((data >= 48) & (data <= 57)),
+        share(punct[data]),
+        share(data == 33),
+        share(data == 124),
+        share(data == 46),
+        share(data == 44),
+        share(data >= 128),
+        np.bincount(key, minlength=n) / w,
+        top / w,
+        count(twins) / w,
+        longest,
+        count((first >= 65) & (first <= 90)) / w,
+        np.minimum(shortest, 1000),
+        share(np.isin(data, [9, 10, 13, 32])),
+    ]
     for k, c in enumerate(columns):
         out[:, k] = c
     return out
@@ -122,7 +168,14 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["base"] + model["value"][at].sum(axis=1))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample: int = SAMPLE,
+) -> dict:
     """Train on at most sample rows of docs that labels marks; of repeated labels of an id, the least counts."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).cast("int").alias("y"))
     picked = marks.orderBy(F.xxhash64("i"), "i").limit(sample)
@@ -148,7 +201,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             for part in pieces(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(predict(model, features(part.column(1))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, score double")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

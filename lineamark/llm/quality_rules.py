@@ -145,14 +145,30 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str, row:
                 stats, found = text_stats(part.column(3))
                 whole, ends, hashes, sizes = of_rows(*found)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (hashes, sizes)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *map(pa.array, stats), pa.array(np.array(whole, np.uint64).view(np.int64)), *lists], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in range(3)), *map(pa.array, stats), pa.array(np.array(whole, np.uint64).view(np.int64)), *lists],
+                    names=names,
+                )
 
     names = ["row", "doc_id", "host", *(s.split()[0] for s in STATS.split(", ")), "whole", "hashes", "sizes"]
-    picked = docs.select(F.col(row).cast("string").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(
+        F.col(row).cast("string").alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(host_col).cast("string").alias("host"),
+        F.col(text_col).cast("string").alias("text"),
+    )
     return picked.mapInArrow(run, f"row string, doc_id long, host string, {STATS}, whole long, hashes array<long>, sizes array<long>")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, line_limit: int = LINE_LIMIT, min_share: float = MIN_SHARE) -> DataFrame:
+def judge(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = MIN_WORDS,
+    line_limit: int = LINE_LIMIT,
+    min_share: float = MIN_SHARE,
+) -> DataFrame:
     """doc_id, STATS, base_failed, removed_words, kept: one row for each row of docs.
 
     Rows are told apart by their id; rows that share an id (or a null id) are told apart by a hash of their text.
@@ -161,19 +177,44 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     docs = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col, host_col).cast("string")))
     table = written(line_table(docs, id_col, text_col, host_col, key), "lines")
     host = F.coalesce("host", F.lit("\0")).alias("host")
-    lines = table.select("row", host, "whole", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", "whole", F.col("l.hashes").alias("line"), F.col("l.sizes").alias("size"))
+    lines = table.select("row", host, "whole", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select(
+        "row",
+        "host",
+        "whole",
+        F.col("l.hashes").alias("line"),
+        F.col("l.sizes").alias("size"),
+    )
     # documents of a line: distinct texts of a host, counted in tasks first
-    counted = lines.groupBy("host", "line", "whole").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    counted = lines.groupBy("host", "line", "whole").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(
+        F.count("*").alias("n"),
+        F.sum("rows").alias("rows"),
+    )
     frequent = written(counted.where(F.col("n") > line_limit).select("host", "line", "rows"), "frequent-lines")
     total = table.agg(F.sum(F.size("sizes"))).first()[0] or 0
-    removed = looked_up(lines.select("row", "host", "line", "size"), frequent, ["host", "line"], "rows", total).where("rows is not null").groupBy("row").agg(F.sum("size").alias("removed"))
+    removed = looked_up(
+        lines.select("row", "host", "line", "size"),
+        frequent,
+        ["host", "line"],
+        "rows",
+        total,
+    ).where("rows is not null").groupBy("row").agg(F.sum("size").alias("removed"))
     # repeated rows have one key: their lines were counted once for each
     copies = table.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
     out = table.drop("hashes", "sizes", "whole").join(removed, "row", "left").join(copies, "row", "left")
     gone = (F.coalesce("removed", F.lit(0)) / F.coalesce("copies", F.lit(1))).cast("long")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), gone.alias("removed_words"), "row").withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT) & (left >= F.col("n_words") * min_share)).withColumnRenamed("row", "row_key")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base.alias("base_failed"),
+        gone.alias("removed_words"),
+        "row",
+    ).withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT) & (left >= F.col("n_words") * min_share)).withColumnRenamed("row", "row_key")
 
 
 def keep(docs: DataFrame, **how) -> DataFrame:
@@ -186,7 +227,17 @@ def keep(docs: DataFrame, **how) -> DataFrame:
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "removed_words",
+    )
 
 
 #: The same in SQL, for texts with distinct ids. Words and lines are exact here, not hashed.

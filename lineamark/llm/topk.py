@@ -70,7 +70,16 @@ def blobs(df: DataFrame, rows: int) -> DataFrame:
             kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
             held.clear()
             part += 1
-            return pa.RecordBatch.from_arrays([pa.array([part - 1]), pa.array([ids.astype("<i8").tobytes()]), pa.array([kind]), pa.array([x.shape[1]], pa.int32()), pa.array([x.astype(kind).tobytes()])], names=["part", "ids", "kind", "width", "vectors"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part - 1]),
+                    pa.array([ids.astype("<i8").tobytes()]),
+                    pa.array([kind]),
+                    pa.array([x.shape[1]], pa.int32()),
+                    pa.array([x.astype(kind).tobytes()]),
+                ],
+                names=["part", "ids", "kind", "width", "vectors"],
+            )
 
         n = 0
         for batch in batches:
@@ -160,7 +169,14 @@ class Ranges:
         return out_i, out_s, done
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def best_of(
+    q_ids: np.ndarray,
+    q: np.ndarray,
+    ids: np.ndarray,
+    x: np.ndarray,
+    k: int,
+    seed: tuple[np.ndarray, np.ndarray],
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query ids, ids and scores of the k best rows of x for each query, and how many (query, range) were scored."""
     width = max(q.shape[1], x.shape[1], seed[1].shape[1])
     q, x, s = widened(q, width), widened(x, width), widened(seed[1], width)
@@ -209,7 +225,10 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, scale: int = 64, id
     groups = max(1, -(-n_x * CHUNK // GROUP), min(n_x, spread))
     # explicit units: a batch of queries is sent to every group, a group to every batch
     q = q.withColumn("q", F.pmod(F.xxhash64("part"), F.lit(batches))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    x = x.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
+    x = x.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")).withColumn(
+        "q",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))),
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)] * 3

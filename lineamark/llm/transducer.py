@@ -365,9 +365,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in pieces(batch, 1):
                 n, ids, decoded = texts(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
+
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -54,7 +54,12 @@ def record_id(page, payload_digest: str) -> str:
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """A response record, or a revisit of refers_to, as bytes."""
     own = digest(payload)
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page, own)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{own}")]
+    head = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page, own)),
+        ("WARC-Date", date),
+        ("WARC-Payload-Digest", f"sha1:{own}"),
+    ]
     if url is not None:
         head.append(("WARC-Target-URI", CONTROL.sub(lambda m: f"%{ord(m.group()):02X}", url)))
     if page is not None:
@@ -141,9 +146,23 @@ def referred(rows: DataFrame, min_bytes: int, told: int) -> DataFrame:
     return found.withColumn("refers", F.when(fit & (F.col("page") != least), least)).select("page", "url", "html", "refers")
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE, told: int = TOLD) -> DataFrame:
+def write(
+    pages: DataFrame,
+    folder: str,
+    min_bytes: int = 0,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    date: str = "2024-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE,
+    told: int = TOLD,
+) -> DataFrame:
     """Write all rows of pages into archives in folder; gives the manifest (path, records) as a written table."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page"),
+        F.col(url_col).cast("string").alias("url"),
+        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
+    )
     rows = rows.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
     shas = referred(rows, min_bytes, told)
     spark = pages.sparkSession
@@ -194,7 +213,15 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     response = f["WARC-Type"] == "response"
                     if response and (digest(payload) != own or len(payload) != int(f["X-Payload-Length"])):
                         raise ValueError(f"record {f['WARC-Record-ID']} was damaged")
-                    row = [int(f["X-Page-Id"]) if "X-Page-Id" in f else None, f.get("WARC-Target-URI"), int(f["X-Payload-Length"]), own, f["WARC-Type"], None if response else int(f["X-Refers-To-Page"]), payload if response else None]
+                    row = [
+                        int(f["X-Page-Id"]) if "X-Page-Id" in f else None,
+                        f.get("WARC-Target-URI"),
+                        int(f["X-Payload-Length"]),
+                        own,
+                        f["WARC-Type"],
+                        None if response else int(f["X-Refers-To-Page"]),
+                        payload if response else None,
+                    ]
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                     size += len(payload)

@@ -17,7 +17,19 @@ from lineamark.llm import components, langid, ngram_join, packing, pii, quality_
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = ["", " \n ", "x", "It's 's 'LL it<|endoftext|>x", "é×÷ü ²½  \u0085x\x1cy", "日本 語", "a\n\nb\na\n a\n", "ab" * 4000, "So Was " * 3000, "İ ẞ Σ ΑΣ", "é x"]
+ODD = [
+    "",
+    " \n ",
+    "x",
+    "It's 's 'LL it<|endoftext|>x",
+    "é×÷ü ²½  \u0085x\x1cy",
+    "日本 語",
+    "a\n\nb\na\n a\n",
+    "ab" * 4000,
+    "So Was " * 3000,
+    "İ ẞ Σ ΑΣ",
+    "é x",
+]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -62,7 +74,13 @@ def test_differencing_is_near_equal():
 def test_top_k(spark):
     r = np.random.default_rng(0)
     x = np.round(r.normal(size=(300, 6)), 1)
-    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(300, None), (301, [1.0, None] * 3), (302, [float("nan")] * 6), (7, [0.5] * 6), (None, [1.0] * 6)]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [
+        (300, None),
+        (301, [1.0, None] * 3),
+        (302, [float("nan")] * 6),
+        (7, [0.5] * 6),
+        (None, [1.0] * 6),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     w = [(i, [int(np.floor(64 * a)) for a in v]) for i, v in rows if i is not None and v and all(a is not None and np.isfinite(a) for a in v)]
     got = collections.defaultdict(list)
@@ -177,7 +195,15 @@ def test_words_go_on_from_run_to_run(monkeypatch):
     from tokenizers import Tokenizer
 
     tok, e = Tokenizer.from_file(WORD), transducer.Encoder(WORD)
-    texts = [*ODD, "it's they're we'll'd ''s 'r 've x'", "e\u0301" * 30, "한국어 \u1112\u1161\u11ab", "...'s!!'t 'll", "क\u093c का \u09c7\u09be", "a1b22c333 #&*'s"]
+    texts = [
+        *ODD,
+        "it's they're we'll'd ''s 'r 've x'",
+        "e\u0301" * 30,
+        "한국어 \u1112\u1161\u11ab",
+        "...'s!!'t 'll",
+        "क\u093c का \u09c7\u09be",
+        "a1b22c333 #&*'s",
+    ]
     for run in (1, 2, 3, 5, 64):
         monkeypatch.setattr(transducer, "RUN", run)
         for t in texts:
@@ -275,7 +301,10 @@ def test_signatures_meet_by_theory():
             common = r.integers(0, 1 << 63, size).astype(np.uint64)
             more = int(size * (100 / percent - 1))
             extra = int(r.integers(0, more + 1))
-            a, b = np.append(common, r.integers(0, 1 << 63, extra).astype(np.uint64)), np.append(common, r.integers(0, 1 << 63, more - extra).astype(np.uint64))
+            a, b = np.append(common, r.integers(0, 1 << 63, extra).astype(np.uint64)), np.append(
+                common,
+                r.integers(0, 1 << 63, more - extra).astype(np.uint64),
+            )
             if 100 * size >= percent * (size + more):
                 both = np.intersect1d(*(ngram_join.signatures(np.sort(s), bands) for s in (a, b)))
                 band = int(bands.of(max(len(a), len(b)))[0])
@@ -287,7 +316,10 @@ def test_signatures_meet_by_theory():
 def test_links_of_large_counts():
     """Exact counts where single precision would decide wrongly."""
     common = np.arange(1_400_018, dtype=np.uint64)
-    a, b = np.append(common, np.arange(1 << 40, (1 << 40) + 123_531, dtype=np.uint64)), np.append(common, np.arange(1 << 41, (1 << 41) + 123_531, dtype=np.uint64))
+    a, b = np.append(
+        common,
+        np.arange(1 << 40, (1 << 40) + 123_531, dtype=np.uint64),
+    ), np.append(common, np.arange(1 << 41, (1 << 41) + 123_531, dtype=np.uint64))
     exact = 100 * len(common) >= 85 * (len(a) + len(b) - len(common))
     assert (ngram_join.linked([a, b], 85).tolist() == [0, 0]) == exact
     for n in (1, 2, 3, 1 << 17):
@@ -297,13 +329,29 @@ def test_links_of_large_counts():
 
 def test_ngram_join_of_odd_tables(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    rows = [(None, text), (None, None), (7, text), (7, text), (7, "quite another text of its own words"), (3, text.upper()), (9, ""), (9, None), (9, ""), (2, text + " end"), (7, "A b")]
+    rows = [
+        (None, text),
+        (None, None),
+        (7, text),
+        (7, text),
+        (7, "quite another text of its own words"),
+        (3, text.upper()),
+        (9, ""),
+        (9, None),
+        (9, ""),
+        (2, text + " end"),
+        (7, "A b"),
+    ]
     docs = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], "text string, doc_id long, class string, Text_Key long")
-    got = sorted((r["doc_id"] or -1, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in ngram_join.join(docs, 4, 85).collect())
+    got = sorted(
+        (r["doc_id"] or -1, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in ngram_join.join(docs, 4, 85).collect()
+    )
     assert got == [(-1, 0, -1), (-1, 37, -1), (2, 38, 2), (3, 37, 2), (7, 1, 7), (7, 4, 7), (7, 37, 2), (7, 37, 2), (9, 0, 9), (9, 0, 9), (9, 0, 9)]
     kept = ngram_join.keep_first(docs, 4, 85)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "-") for r in kept.collect()) == sorted([(-1, text), (-1, "-"), (2, text + " end"), (7, "quite another text of its own words"), (7, "A b"), (9, "-"), (9, "-")])
+    assert sorted((r["doc_id"] or -1, r["text"] or "-") for r in kept.collect()) == sorted(
+        [(-1, text), (-1, "-"), (2, text + " end"), (7, "quite another text of its own words"), (7, "A b"), (9, "-"), (9, "-")]
+    )
 
 
 def test_components(spark):
@@ -336,7 +384,14 @@ def test_pii(spark):
 
 
 def test_warc(spark):
-    rows = [(1, "http://a/1", "<p>x</p>" * 50), (2, "http://a/\n2", "<p>x</p>" * 50), (3, None, None), (4, "u", ""), (5, "u", "é" * 1000), (None, "u", "<p>x</p>" * 50)]
+    rows = [
+        (1, "http://a/1", "<p>x</p>" * 50),
+        (2, "http://a/\n2", "<p>x</p>" * 50),
+        (3, None, None),
+        (4, "u", ""),
+        (5, "u", "é" * 1000),
+        (None, "u", "<p>x</p>" * 50),
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     from lineamark.llm.shared import new_path
 
@@ -344,7 +399,14 @@ def test_warc(spark):
     manifest = warc.write(df, folder, archive_bytes=600)
     got = {r["page_id"]: r for r in warc.read(spark, folder, manifest).collect()}
     assert len(got) == 6
-    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4, 5, None)] == [("response", None), ("revisit", 1), ("response", None), ("revisit", 3), ("response", None), ("response", None)]
+    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4, 5, None)] == [
+        ("response", None),
+        ("revisit", 1),
+        ("response", None),
+        ("revisit", 3),
+        ("response", None),
+        ("response", None),
+    ]
     for i, _, html in rows:
         b = (html or "").encode()
         assert got[i]["payload_bytes"] == len(b) and got[i]["payload_digest"] == warc.digest(b)
@@ -371,7 +433,9 @@ def test_quality_rules(spark, texts):
     assert [tuple(int(c[i]) for c in stats) for i in range(len(texts))] == [brute(t) for t in texts]
     common = "this very line is seen in each of them and so it is boilerplate for all to see and to skip here"
     own = [f"own{i}a own{i}b own{i}c" for i in range(40)]
-    rows = [f"{o}\n{common}" for o in own] + [f"{o}\n" + " ".join(f"{o}{k}" for k in range(40)) for o in own[:3]] + ["copied text of twenty words " * 1 + " ".join(f"c{k}" for k in range(25))] * 60
+    rows = [f"{o}\n{common}" for o in own] + [f"{o}\n" + " ".join(f"{o}{k}" for k in range(40)) for o in own[:3]] + [
+        "copied text of twenty words " * 1 + " ".join(f"c{k}" for k in range(25))
+    ] * 60
     got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows)).collect()}
     assert not any(got[i]["kept"] for i in range(40)) and all(got[i]["removed_words"] == len(common.split()) for i in range(40))
     assert all(got[i]["kept"] for i in range(40, len(rows)))  # rare lines, and copies of one text

@@ -33,13 +33,45 @@ def odd(tmp_path_factory):
     for name, keep in (("odd", True), ("none", False)):
         at = tmp_path_factory.mktemp(name)
         text = "The river runs past the old mill. Mr. John Smith wrote to a@corp.io about it.\nOne line more of words here."
-        docs = [(None, "some text without id", "en", "s"), (1, None, None, None), (2, "", "en", "s"), (3, text, "en", "s"), (3, text, "en", "s"), (4, text + " end", "", None), (5, "word " * 60_000, "de", "s"), (6, "日本 語 " * 50, "ja", "s"), (7, "a" * 300_000, None, "s")]
+        docs = [
+            (None, "some text without id", "en", "s"),
+            (1, None, None, None),
+            (2, "", "en", "s"),
+            (3, text, "en", "s"),
+            (3, text, "en", "s"),
+            (4, text + " end", "", None),
+            (5, "word " * 60_000, "de", "s"),
+            (6, "日本 語 " * 50, "ja", "s"),
+            (7, "a" * 300_000, None, "s"),
+        ]
         labels = [(3, 1), (3, 0), (4, None), (5, 0), (None, 1), (99, 1)]
-        vectors = [(0, [0.5, 0.25], 1), (20, [0.5, 0.25], 1), (20, None, None), (None, [1.0, 1.0], 1), (7, [float("nan"), 1.0], 2), (8, [0.1, None], 2)]
-        pages = [(1, "http://a", "<p>x</p>", 200), (1, "http://a", "<p>x</p>", 200), (2, None, "<p>x</p>", None), (3, "u", None, 0), (4, "u", "", 0), (None, "u", "<p>x</p>", 0)]
-        for table, rows, schema in (("documents", docs, [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]), ("labels", labels, [("doc_id", pa.int64()), ("quality", pa.int64())]), ("embeddings", vectors, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int64())]), ("pages", pages, [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("status", pa.int64())])):
+        vectors = [
+            (0, [0.5, 0.25], 1),
+            (20, [0.5, 0.25], 1),
+            (20, None, None),
+            (None, [1.0, 1.0], 1),
+            (7, [float("nan"), 1.0], 2),
+            (8, [0.1, None], 2),
+        ]
+        pages = [
+            (1, "http://a", "<p>x</p>", 200),
+            (1, "http://a", "<p>x</p>", 200),
+            (2, None, "<p>x</p>", None),
+            (3, "u", None, 0),
+            (4, "u", "", 0),
+            (None, "u", "<p>x</p>", 0),
+        ]
+        for table, rows, schema in (
+            ("documents", docs, [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]),
+            ("labels", labels, [("doc_id", pa.int64()), ("quality", pa.int64())]),
+            ("embeddings", vectors, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int64())]),
+            ("pages", pages, [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("status", pa.int64())]),
+        ):
             rows = rows if keep else []
-            pq.write_table(pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema]), f"{at}/{table}.parquet")
+            pq.write_table(
+                pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema]),
+                f"{at}/{table}.parquet",
+            )
         folders.append(str(at))
     return folders
 
@@ -61,7 +93,10 @@ def test_quality_is_held_out(spark):
     test = [i for i in got if out(i) and labels.get(i) is not None]
     assert np.mean([(got[i]["score"] >= 0.5) == (labels[i] == 1) for i in test]) > 0.9
     docs = spark.createDataFrame([(i, f"word {i} " * (i % 7 + 1), "x") for i in range(200)], "doc_id long, text string, score string")
-    marks = spark.createDataFrame([(i, i % 2) for i in range(100)] * 2 + [(i, None) for i in range(100, 200)] + [(0, 1), (1, 0)], "doc_id long, quality long")
+    marks = spark.createDataFrame(
+        [(i, i % 2) for i in range(100)] * 2 + [(i, None) for i in range(100, 200)] + [(0, 1), (1, 0)],
+        "doc_id long, quality long",
+    )
     twice = quality_model.learn(docs, marks)
     once = quality_model.learn(docs, spark.createDataFrame([(i, 0 if i == 1 else i % 2) for i in range(100)], "doc_id long, quality long"))
     assert all(np.array_equal(twice[k], once[k]) for k in twice)
@@ -164,7 +199,11 @@ def test_pipeline_against_plain_python(spark):
     found = {i: naive_language(model, r["text"]) if any(c.isalpha() for c in r["text"] or "") else ("und", 0.0) for i, r in rows.items()}
     known = {i for i, (lang, score) in found.items() if lang != "und" and score >= 0.5}
     # quality rules: base rules, then lines of more than so many distinct texts of their source
-    lines = {i: [" ".join(w.lower() for w in x.split()) for x in re.sub("[\x1c-\x1f\x85\xa0]", "_", rows[i]["text"]).split("\n") if x.split()] for i in known}
+    lines = {
+        i: [
+            " ".join(w.lower() for w in x.split()) for x in re.sub("[\x1c-\x1f\x85\xa0]", "_", rows[i]["text"]).split("\n") if x.split()
+        ] for i in known
+    }
     having = collections.defaultdict(set)
     for i in known:
         for x in lines[i]:

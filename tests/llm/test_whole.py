@@ -33,7 +33,11 @@ def test_language_after_a_header(spark):
     """What tells the languages apart begins after 3000 characters that they share."""
     bodies = {"x": "the river and the water are in there ", "y": "wo ist das haus und wer kauft zucker "}
     body = F.when(F.col("id") % 2 == 0, F.repeat(F.lit(bodies["x"]), 300)).otherwise(F.repeat(F.lit(bodies["y"]), 300))
-    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("same licence "), 231), body).alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("lang"))
+    docs = spark.range(1200).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.repeat(F.lit("same licence "), 231), body).alias("text"),
+        F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("lang"),
+    )
     model = langid.learn(docs)
     labels, scores = langid.Predictor(model)(pa.array([b * 20 for b in bodies.values()]))
     assert labels == ["x", "y"] and min(scores) > 0.9
@@ -77,7 +81,20 @@ def test_names_that_collide(monkeypatch):
 
 def test_mail_domains_stay_apart():
     made = pii.Surrogates("k")
-    domains = ["foo.com", "foo.com.example", "foo.com.x.example", "foo.com.x.x.example", "x.example", "x.x.example", "y.example", "example.com", "foo.example.com", "foo.test", "foo.x.test", "FOO.com"]
+    domains = [
+        "foo.com",
+        "foo.com.example",
+        "foo.com.x.example",
+        "foo.com.x.x.example",
+        "x.example",
+        "x.x.example",
+        "y.example",
+        "example.com",
+        "foo.example.com",
+        "foo.test",
+        "foo.x.test",
+        "FOO.com",
+    ]
     text = " ".join(f"a@{d} a-b@{d} ab@{d}" for d in domains)
     out, log = pii.surrogated(text, made)
     part = [out[e["begin"] : e["end"]].lower() for e in log]
