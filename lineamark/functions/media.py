@@ -29,11 +29,17 @@ def digit_similarity(a: Column, b: Column) -> Column:
 
 def audio_confidence(match_after: Column, match_before: Column, tag_intact: Column, similarity: Column) -> Column:
     """similarity: of perceptual hashes, 1 if they are equal; null where there are none."""
-    return F.when(match_after, EXACT).when(match_before, REMOVED).when(tag_intact, TAGGED).when(similarity == 1, ALIKE).when(similarity >= PARTLY, PART_BASE + (similarity - PARTLY) * PART_SLOPE).otherwise(0.0)
+    return F.when(match_after, EXACT).when(match_before, REMOVED).when(tag_intact, TAGGED).when(similarity == 1, ALIKE).when(
+        similarity >= PARTLY,
+        PART_BASE + (similarity - PARTLY) * PART_SLOPE,
+    ).otherwise(0.0)
 
 
 def video_confidence(match_after: Column, match_before: Column, tag_intact: Column, alike: Column, tag_present: Column) -> Column:
-    return F.when(match_after, EXACT).when(match_before, REMOVED).when(tag_intact, TAGGED).when(alike, ALIKE).when(tag_present, OTHER_TAG).otherwise(0.0)
+    return F.when(match_after, EXACT).when(match_before, REMOVED).when(tag_intact, TAGGED).when(alike, ALIKE).when(
+        tag_present,
+        OTHER_TAG,
+    ).otherwise(0.0)
 
 
 def pdf_confidence(match_after: Column, match_before: Column) -> Column:
@@ -52,7 +58,16 @@ def wav(samples: Column, rate: int) -> Column:
     return F.concat(F.lit(bytearray(b"RIFF")), low_first(n + 36), F.lit(bytearray(fixed)), low_first(n), samples)
 
 
-SEGMENT = [("segment_id", pa.string()), ("start_ms", pa.int64()), ("position", pa.int64()), ("duration_ms", pa.int64()), ("sha", pa.string()), ("entropy", pa.float64()), ("centroid", pa.float64()), ("flatness", pa.float64())]
+SEGMENT = [
+    ("segment_id", pa.string()),
+    ("start_ms", pa.int64()),
+    ("position", pa.int64()),
+    ("duration_ms", pa.int64()),
+    ("sha", pa.string()),
+    ("entropy", pa.float64()),
+    ("centroid", pa.float64()),
+    ("flatness", pa.float64()),
+]
 
 
 def spectrum(data: bytes, width: int, channels: int, rate: int) -> dict:
@@ -89,7 +104,15 @@ def segments_of(data: bytes | None, count: int, length_ms: int) -> list[dict]:
                 part = f.readframes(int(length_ms / 1000 * rate))
                 if not part:
                     break
-                out.append({"segment_id": f"audio_segment_{k}_{start}", "start_ms": start, "position": first, "duration_ms": min(length_ms, whole - start), "sha": hashlib.sha256(part).hexdigest()} | spectrum(part, width, channels, rate))
+                out.append(
+                    {
+                        "segment_id": f"audio_segment_{k}_{start}",
+                        "start_ms": start,
+                        "position": first,
+                        "duration_ms": min(length_ms, whole - start),
+                        "sha": hashlib.sha256(part).hexdigest(),
+                    } | spectrum(part, width, channels, rate)
+                )
             return out
     except (wave.Error, EOFError):
         return []

@@ -32,4 +32,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("simhash", by_text(P.simhash_kernel, "long"))
     spark.udf.register("minhash", by_text(P.minhash_kernel, "array<bigint>"))
     spark.udf.register("char_entropy", by_text(lambda: P.char_entropy, "double"))
-    spark.udtf.register("fragments_of", F.udtf(FragmentsOf, returnType="location: string, offset_start: int, offset_end: int, fragment: string, sha: string, entropy: double"))
+    spark.udtf.register(
+        "fragments_of",
+        F.udtf(FragmentsOf, returnType="location: string, offset_start: int, offset_end: int, fragment: string, sha: string, entropy: double"),
+    )

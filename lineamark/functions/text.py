@@ -55,7 +55,10 @@ def marked(text: Column, tag: Column, url: Column, style: str = "footer", credit
         return F.concat(F.lit(TAG), tag, F.lit(f"\n{VERIFY}"), url, F.lit("\n---\n\n"), text)
     if style == "inline":
         at = F.locate("\n\n", text)
-        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at + 1), F.lit(INLINE), tag, F.lit("]"), F.substring(text, at + 2, F.length(text)))).otherwise(footer)
+        return F.when(
+            at > 0,
+            F.concat(F.substring(text, F.lit(1), at + 1), F.lit(INLINE), tag, F.lit("]"), F.substring(text, at + 2, F.length(text))),
+        ).otherwise(footer)
     raise ValueError(f"unknown style {style}")
 
 
@@ -111,15 +114,24 @@ def artifact_id_error(x: Column) -> Column:
 
 
 def watermark_id_error(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", "watermark_id cannot be empty").when(~x.startswith("wmk-"), "watermark_id must start with 'wmk-'").when(~F.substring(x, F.lit(5), F.length(x)).rlike("(?i)" + UUID), "watermark_id must be wmk-{valid-uuid}")
+    return F.when(F.coalesce(x, F.lit("")) == "", "watermark_id cannot be empty").when(~x.startswith("wmk-"), "watermark_id must start with 'wmk-'").when(
+        ~F.substring(x, F.lit(5), F.length(x)).rlike("(?i)" + UUID),
+        "watermark_id must be wmk-{valid-uuid}",
+    )
 
 
 def fragment_id_error(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", "fragment_id cannot be empty").when(~x.startswith("frag_"), "fragment_id must start with 'frag_'").when(~x.rlike(r"(?i)^frag_\d+_[a-z_]+$"), "fragment_id must follow pattern: frag_{index}_{location}")
+    return F.when(F.coalesce(x, F.lit("")) == "", "fragment_id cannot be empty").when(~x.startswith("frag_"), "fragment_id must start with 'frag_'").when(
+        ~x.rlike(r"(?i)^frag_\d+_[a-z_]+$"),
+        "fragment_id must follow pattern: frag_{index}_{location}",
+    )
 
 
 def sha_error(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", "hash cannot be empty").when(F.length(x) != 64, F.concat(F.lit("SHA-256 hash must be 64 characters, got "), F.length(x).cast("string"))).when(~x.rlike("^[0-9a-f]{64}$"), "SHA-256 hash must be lowercase hex")
+    return F.when(F.coalesce(x, F.lit("")) == "", "hash cannot be empty").when(
+        F.length(x) != 64,
+        F.concat(F.lit("SHA-256 hash must be 64 characters, got "), F.length(x).cast("string")),
+    ).when(~x.rlike("^[0-9a-f]{64}$"), "SHA-256 hash must be lowercase hex")
 
 
 def timestamp_error(x: Column) -> Column:
@@ -128,7 +140,10 @@ def timestamp_error(x: Column) -> Column:
 
 def unit_error(x: Column, name: str) -> Column:
     """Of confidence or entropy scores: between 0 and 1."""
-    return F.when(x.isNull(), f"{name} must be numeric").when(~x.between(0, 1), F.concat(F.lit(f"{name} must be between 0.0 and 1.0, got "), x.cast("string")))
+    return F.when(x.isNull(), f"{name} must be numeric").when(
+        ~x.between(0, 1),
+        F.concat(F.lit(f"{name} must be between 0.0 and 1.0, got "), x.cast("string")),
+    )
 
 
 def errors(**by_field: Column) -> Column:
@@ -137,7 +152,9 @@ def errors(**by_field: Column) -> Column:
 
 
 def starts(data: Column, *heads: bytes) -> Column:
-    return F.greatest(*(F.substring(data, 1, len(h)) == F.lit(bytearray(h)) for h in heads)) if len(heads) > 1 else F.substring(data, 1, len(heads[0])) == F.lit(bytearray(heads[0]))
+    return F.greatest(
+        *(F.substring(data, 1, len(h)) == F.lit(bytearray(h)) for h in heads)
+    ) if len(heads) > 1 else F.substring(data, 1, len(heads[0])) == F.lit(bytearray(heads[0]))
 
 
 #: How many bytes are looked at for JSON, and how many characters of a longer one.
@@ -151,7 +168,9 @@ def artifact_type(data: Column) -> Column:
     sample = F.substring(data, 1, SAMPLE).cast("string")
     text = stripped(F.when(F.is_valid_utf8(sample), sample))
     brace, head = F.substring(text, 1, 1), F.substring(text, 1, NEAR_HEAD)
-    json = F.when(F.octet_length(data) <= SAMPLE, F.try_parse_json(text).isNotNull()).otherwise(((brace == "{") & head.contains("}")) | ((brace == "[") & head.contains("]")))
+    json = F.when(F.octet_length(data) <= SAMPLE, F.try_parse_json(text).isNotNull()).otherwise(
+        ((brace == "{") & head.contains("}")) | ((brace == "[") & head.contains("]"))
+    )
     return (
         F.when(starts(data, b"\x89PNG\r\n\x1a\n") | starts(data, b"\xff\xd8\xff") | (riff & has("WEBP")) | starts(data, b"GIF87a", b"GIF89a"), "image")
         .when(starts(data, b"%PDF"), "pdf")
@@ -164,7 +183,16 @@ def artifact_type(data: Column) -> Column:
 
 def file_type(data: Column) -> Column:
     """Names of eight kinds of binary file."""
-    kinds = [(b"\x7fELF", "ELF"), (b"MZ", "PE executable"), (b"\x89PNG", "PNG"), (b"\xff\xd8\xff", "JPEG image"), (b"%PDF", "PDF document"), (b"PK\x03\x04", "ZIP"), (b"\x1f\x8b", "GZIP compressed"), (b"Rar!", "RAR archive")]
+    kinds = [
+        (b"\x7fELF", "ELF"),
+        (b"MZ", "PE executable"),
+        (b"\x89PNG", "PNG"),
+        (b"\xff\xd8\xff", "JPEG image"),
+        (b"%PDF", "PDF document"),
+        (b"PK\x03\x04", "ZIP"),
+        (b"\x1f\x8b", "GZIP compressed"),
+        (b"Rar!", "RAR archive"),
+    ]
     out = F.when(F.octet_length(data) < 4, "unknown")
     for head, name in kinds:
         out = out.when(starts(data, head), name)

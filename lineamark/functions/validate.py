@@ -30,7 +30,10 @@ def fragment_errors(fragment: Column) -> list[Column]:
 def fragment_set_errors(declared: Column, threshold: Column, fragments: Column) -> Column:
     """Of a set: its declared count, its threshold, and each of its fragments in turn."""
     n = F.size(fragments)
-    count = F.when(declared != n, F.concat(F.lit("fragment_count mismatch: declared "), declared.cast("string"), F.lit(", actual "), n.cast("string")))
+    count = F.when(
+        declared != n,
+        F.concat(F.lit("fragment_count mismatch: declared "), declared.cast("string"), F.lit(", actual "), n.cast("string")),
+    )
     limit = F.when(~threshold.between(0, 1), F.concat(F.lit("min_entropy_threshold must be 0.0-1.0, got "), threshold.cast("string")))
     each = F.flatten(F.transform(fragments, lambda f: F.filter(F.array(*fragment_errors(f)), lambda e: e.isNotNull())))
     return F.concat(listed([count, limit]), each)
@@ -51,9 +54,17 @@ def evidence_errors(e: Column) -> Column:
     """Of a whole evidence record, as lineamark.operators.evidence makes it; fragments (fragment_set) may be null."""
     hashes = [(f, e[f]) for f in ("prompt_hash", "output_hash_raw", "output_hash_distributed")]
     hashes += [(f"hashes.{f}", e["hashes"][f]) for f in ("content_hash_before_watermark", "content_hash_after_watermark")]
-    own = [named("artifact_id", T.artifact_id_error(e["artifact_id"])), named("created_at", T.timestamp_error(e["created_at"])), *(named(f, T.sha_error(h)) for f, h in hashes), named("watermark.watermark_id", T.watermark_id_error(e["watermark"]["watermark_id"]))]
+    own = [
+        named("artifact_id", T.artifact_id_error(e["artifact_id"])),
+        named("created_at", T.timestamp_error(e["created_at"])),
+        *(named(f, T.sha_error(h)) for f, h in hashes),
+        named("watermark.watermark_id", T.watermark_id_error(e["watermark"]["watermark_id"])),
+    ]
     some = e["fragment_set"]
-    return F.concat(listed(own), F.coalesce(fragment_set_errors(some["fragment_count"], some["min_entropy_threshold"], some["fragments"]), F.array().cast("array<string>")))
+    return F.concat(
+        listed(own),
+        F.coalesce(fragment_set_errors(some["fragment_count"], some["min_entropy_threshold"], some["fragments"]), F.array().cast("array<string>")),
+    )
 
 
 def checks(e: Column, signature: Column) -> Column:
@@ -72,4 +83,10 @@ def checks(e: Column, signature: Column) -> Column:
 def compliance(e: Column, signature: Column) -> Column:
     """is_compliant, error_count, errors and the checks, flat."""
     errors = evidence_errors(e)
-    return F.struct(e["artifact_id"].alias("artifact_id"), (F.size(errors) == 0).alias("is_compliant"), F.size(errors).alias("error_count"), errors.alias("errors"), checks(e, signature).alias("checks"))
+    return F.struct(
+        e["artifact_id"].alias("artifact_id"),
+        (F.size(errors) == 0).alias("is_compliant"),
+        F.size(errors).alias("error_count"),
+        errors.alias("errors"),
+        checks(e, signature).alias("checks"),
+    )

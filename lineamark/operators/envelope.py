@@ -15,17 +15,39 @@ BACKENDS, ENCODINGS = ("local", "kms", "hsm", "external_kms"), ("base64", "base6
 UNSIGNED, NO_KEY, NO_HASH = "unsigned", "none", "0" * 64
 
 
-def envelope(payload_hash: Column, signed_at: Column, signature: Column | None = None, key_id: Column | None = None, backend: str = "local", encoding: str = "base64", service: str | None = None, public_key: str | None = None, method: str | None = None) -> Column:
+def envelope(
+    payload_hash: Column,
+    signed_at: Column,
+    signature: Column | None = None,
+    key_id: Column | None = None,
+    backend: str = "local",
+    encoding: str = "base64",
+    service: str | None = None,
+    public_key: str | None = None,
+    method: str | None = None,
+) -> Column:
     """A struct round a hash. Without a signature it says that it is unsigned; optional names that are null are left out of its JSON."""
     if backend not in BACKENDS or encoding not in ENCODINGS:
         raise ValueError(f"backend must be one of {BACKENDS}, encoding one of {ENCODINGS}")
     if (signature is None) != (key_id is None):
         raise TypeError("a signature and the id of its key go together")
     optional = {"signing_service": service, "public_key_ref": public_key, "verification_method": method}
-    meta = [F.lit(ALGORITHM).alias("signature_algorithm"), (F.lit(NO_KEY) if key_id is None else key_id).alias("key_id"), F.lit(FORM).alias("canonicalization_version"), F.lit(backend).alias("key_backend")]
+    meta = [
+        F.lit(ALGORITHM).alias("signature_algorithm"),
+        (F.lit(NO_KEY) if key_id is None else key_id).alias("key_id"),
+        F.lit(FORM).alias("canonicalization_version"),
+        F.lit(backend).alias("key_backend"),
+    ]
     meta += [F.lit(v).alias(k) for k, v in optional.items() if v is not None]
     value = F.lit(UNSIGNED) if signature is None else signature
-    return F.struct(payload_hash.alias("payload_hash"), F.lit(HASH).alias("hash_algorithm"), value.alias("signature_value"), F.lit(encoding).alias("signature_encoding"), signed_at.alias("signed_at"), F.struct(*meta).alias("metadata"))
+    return F.struct(
+        payload_hash.alias("payload_hash"),
+        F.lit(HASH).alias("hash_algorithm"),
+        value.alias("signature_value"),
+        F.lit(encoding).alias("signature_encoding"),
+        signed_at.alias("signed_at"),
+        F.struct(*meta).alias("metadata"),
+    )
 
 
 def placeholder(signed_at: Column) -> Column:

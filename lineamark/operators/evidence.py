@@ -36,7 +36,22 @@ def alphabetical(**fields: Column) -> Column:
     return F.struct(*(fields[k].alias(k) for k in sorted(fields)))
 
 
-def evidence_records(docs: DataFrame, simhashes: DataFrame, anchor_hashes: DataFrame, fragment_sets: DataFrame, key: str, text: str, ids: Column, prompt: Column, url: Column, model: Column, version: Column, actor: Column, created: Column, style: str = "footer") -> DataFrame:
+def evidence_records(
+    docs: DataFrame,
+    simhashes: DataFrame,
+    anchor_hashes: DataFrame,
+    fragment_sets: DataFrame,
+    key: str,
+    text: str,
+    ids: Column,
+    prompt: Column,
+    url: Column,
+    model: Column,
+    version: Column,
+    actor: Column,
+    created: Column,
+    style: str = "footer",
+) -> DataFrame:
     """key, evidence (struct, with fragment_set), receipt, marked: a whole record for each row of docs.
 
     simhashes: key, before, after (hex); anchor_hashes: key, anchor_hash; fragment_sets: key, fragments (array of
@@ -44,8 +59,27 @@ def evidence_records(docs: DataFrame, simhashes: DataFrame, anchor_hashes: DataF
     """
     t, tag, none = F.col(text), watermark_id(F.col(key)), F.lit(None).cast("string")
     after = marked(t, tag, url, style)
-    own = docs.select(key, ids.alias("artifact_id"), tag.alias("tag"), url.alias("url"), prompt.alias("prompt"), model.alias("model"), version.alias("version"), actor.alias("actor"), created.alias("created"), t.alias("text"), after.alias("marked"))
-    own = own.select("*", sha(F.col("text")).alias("before"), sha(F.col("marked")).alias("after"), normalized_sha(F.col("text")).alias("norm_before"), normalized_sha(F.col("marked")).alias("norm_after"), sha(F.col("prompt")).alias("prompt_hash"))
+    own = docs.select(
+        key,
+        ids.alias("artifact_id"),
+        tag.alias("tag"),
+        url.alias("url"),
+        prompt.alias("prompt"),
+        model.alias("model"),
+        version.alias("version"),
+        actor.alias("actor"),
+        created.alias("created"),
+        t.alias("text"),
+        after.alias("marked"),
+    )
+    own = own.select(
+        "*",
+        sha(F.col("text")).alias("before"),
+        sha(F.col("marked")).alias("after"),
+        normalized_sha(F.col("text")).alias("norm_before"),
+        normalized_sha(F.col("marked")).alias("norm_after"),
+        sha(F.col("prompt")).alias("prompt_hash"),
+    )
     sims = simhashes.select(key, F.col("before").alias("sim_before"), F.col("after").alias("sim_after"))
     own = own.join(sims, key, "left").join(anchor_hashes, key, "left").join(fragment_sets, key, "left")
     c = F.col
@@ -74,10 +108,22 @@ def evidence_records(docs: DataFrame, simhashes: DataFrame, anchor_hashes: DataF
         metadata=alphabetical(distribution_state=F.lit("watermarked"), artifact_format_version=F.lit("1.0"), watermark_style=F.lit(style), text_length_before=F.length("text"), text_length_after=F.length("marked")),
         prior_receipt_hash=none,
     )
-    fragments = F.when(F.col("fragments").isNotNull(), F.struct(F.size("fragments").alias("fragment_count"), F.lit(LEAST_ENTROPY).alias("min_entropy_threshold"), F.col("fragments").alias("fragments")))
+    fragments = F.when(
+        F.col("fragments").isNotNull(),
+        F.struct(
+            F.size("fragments").alias("fragment_count"),
+            F.lit(LEAST_ENTROPY).alias("min_entropy_threshold"),
+            F.col("fragments").alias("fragments"),
+        ),
+    )
     out = own.select(key, record.alias("record"), fragments.alias("fragment_set"), "marked")
     fields = [f.name for f in out.schema["record"].dataType.fields]
-    return out.select(key, F.struct(*(F.col(f"record.{f}").alias(f) for f in fields), "fragment_set").alias("evidence"), receipt(F.col("record")).alias("receipt"), "marked")
+    return out.select(
+        key,
+        F.struct(*(F.col(f"record.{f}").alias(f) for f in fields), "fragment_set").alias("evidence"),
+        receipt(F.col("record")).alias("receipt"),
+        "marked",
+    )
 
 
 def zipped(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
@@ -89,10 +135,15 @@ def zipped(left: DataFrame, right: DataFrame, order_left: list[str], order_right
 
     def placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
         part, at = free_name(df, "part_"), free_name(df, "at_")
-        rows = written(df.orderBy(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "placed")
+        rows = written(
+            df.orderBy(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}),
+            "placed",
+        )
         counts = rows.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect()  # a row for each partition
         begins = [0, *accumulate(r["n"] for r in counts)]
-        begin = F.create_map(*(F.lit(x) for r, b in zip(counts, begins, strict=False) for x in (r[part], b))) if counts else F.create_map(F.lit(0), F.lit(0))
+        begin = F.create_map(
+            *(F.lit(x) for r, b in zip(counts, begins, strict=False) for x in (r[part], b))
+        ) if counts else F.create_map(F.lit(0), F.lit(0))
         return rows.withColumn("place", begin[F.col(part)] + F.col(at)).drop(part, at), begins[-1]
 
     (x, n), (y, m) = placed(left, order_left), placed(right, order_right)

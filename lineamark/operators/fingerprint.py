@@ -59,7 +59,15 @@ class Table:
         return self.rows[[at[t] for t in tokens]]
 
 
-def per_text(df: DataFrame, key: str, text: str, name: str, kind: str, arrow: pa.DataType, kernel: Callable[[], Callable[[str | None], object]]) -> DataFrame:
+def per_text(
+    df: DataFrame,
+    key: str,
+    text: str,
+    name: str,
+    kind: str,
+    arrow: pa.DataType,
+    kernel: Callable[[], Callable[[str | None], object]],
+) -> DataFrame:
     """key, name: kernel()(text) for each row; kernel() is called once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +110,11 @@ def hash_family(size: int) -> tuple[list[int], list[int]]:
 
 def minhash_kernel(permutations: int = 128) -> Callable[[str | None], list[int]]:
     factor, summand = (np.array(c, np.uint64) for c in hash_family(permutations))
-    table = Table(permutations, np.uint64, lambda t: (factor * np.uint64(int.from_bytes(hashlib.md5(t.encode(errors="replace")).digest()[:4], "big")) + summand) % np.uint64(PRIME))
+    table = Table(
+        permutations,
+        np.uint64,
+        lambda t: (factor * np.uint64(int.from_bytes(hashlib.md5(t.encode(errors="replace")).digest()[:4], "big")) + summand) % np.uint64(PRIME),
+    )
 
     def of(t: str | None) -> list[int]:
         least = None
@@ -171,11 +183,29 @@ def fragments_of(text: str, size: int = 200, least: float = 0.4) -> list[dict]:
             entropy, p = max((round(e, 9), -p) for e, p in zip(window_entropies(text, places, size), places, strict=True))
             if entropy >= least:
                 found = text[-p : -p + size + 1]
-                out.append({"location": place, "offset_start": -p, "offset_end": min(-p + size, len(text)), "fragment": found, "sha": hashlib.sha256(found.encode()).hexdigest(), "entropy": entropy})
+                out.append(
+                    {
+                        "location": place,
+                        "offset_start": -p,
+                        "offset_end": min(-p + size, len(text)),
+                        "fragment": found,
+                        "sha": hashlib.sha256(found.encode()).hexdigest(),
+                        "entropy": entropy,
+                    }
+                )
     return out
 
 
-FRAGMENT = pa.struct([("location", pa.string()), ("offset_start", pa.int32()), ("offset_end", pa.int32()), ("fragment", pa.string()), ("sha", pa.string()), ("entropy", pa.float64())])
+FRAGMENT = pa.struct(
+    [
+        ("location", pa.string()),
+        ("offset_start", pa.int32()),
+        ("offset_end", pa.int32()),
+        ("fragment", pa.string()),
+        ("sha", pa.string()),
+        ("entropy", pa.float64()),
+    ]
+)
 
 
 def fragments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -183,10 +213,16 @@ def fragments(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fragments_of(t or "") for t in batch.column(1).to_pylist()], pa.list_(FRAGMENT))], names=["k", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([fragments_of(t or "") for t in batch.column(1).to_pylist()], pa.list_(FRAGMENT))],
+                names=["k", "f"],
+            )
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, text).mapInArrow(run, f"k {kind}, f array<struct<location:string,offset_start:int,offset_end:int,fragment:string,sha:string,entropy:double>>")
+    out = df.select(key, text).mapInArrow(
+        run,
+        f"k {kind}, f array<struct<location:string,offset_start:int,offset_end:int,fragment:string,sha:string,entropy:double>>",
+    )
     return out.select(F.col("k").alias(key), F.inline("f"))
 
 
@@ -204,14 +240,19 @@ def runs(words: Column, size: int) -> Column:
 
     def of(w: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1))
-        return F.when(F.size(w) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " "))))
+        return F.when(F.size(w) < size, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " ")))
+        )
 
     return let(words, of)
 
 
 def document_frequency(df: DataFrame, key: str, text: str, size: int = SHORTEST) -> DataFrame:
     """shingle, df: in how many keys each shingle of size words occurs. Counted in tasks first."""
-    return df.select(key, F.explode(runs(anchor_tokens(F.col(text)), size)).alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+    return df.select(
+        key,
+        F.explode(runs(anchor_tokens(F.col(text)), size)).alias("shingle"),
+    ).distinct().groupBy("shingle").agg(F.count("*").alias("df"))
 
 
 def zone_frequency(df: DataFrame, key: str, text: str, size: int = SHORTEST) -> DataFrame:
@@ -305,7 +346,13 @@ def anchors(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Anchors()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made.of([w.lower() for w in ALNUM.findall(t.as_py() or "")]) for t in batch.column(1)], pa.list_(ANCHOR))], names=["k", "a"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([made.of([w.lower() for w in ALNUM.findall(t.as_py() or "")]) for t in batch.column(1)], pa.list_(ANCHOR)),
+                ],
+                names=["k", "a"],
+            )
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(key, text).mapInArrow(run, f"k {kind}, a array<struct<zone:string,rank:int,shingle:string,score:double>>")
@@ -321,7 +368,15 @@ def anchors_by_frequency(df: DataFrame, key: str, text: str, frequency: DataFram
     """Anchors with ln((N + 1) / (df + 1)) from a table (shingle, df) where it has the shingle, else their entropy."""
     found = Anchors(top=top)
     kind = pa.list_(pa.struct([("zone", pa.string()), ("shingle", pa.string()), ("e", pa.float64()), ("u", pa.float64())]))
-    each = per_text(df, key, text, "s", "array<struct<zone:string,shingle:string,e:double,u:double>>", kind, lambda: lambda t: found.every([w.lower() for w in ALNUM.findall(t or "")])).select(key, F.inline("s"))
+    each = per_text(
+        df,
+        key,
+        text,
+        "s",
+        "array<struct<zone:string,shingle:string,e:double,u:double>>",
+        kind,
+        lambda: lambda t: found.every([w.lower() for w in ALNUM.findall(t or "")]),
+    ).select(key, F.inline("s"))
     weight = F.coalesce(F.log((F.lit(total) + 1) / (F.col("df") + 1)), F.col("e"))
     scored = each.join(frequency, "shingle", "left").withColumn("score", F.round(weight * F.col("e") * F.col("u"), 9))
     order = Window.partitionBy(key, "zone").orderBy(F.desc("score"), "shingle")
@@ -360,7 +415,10 @@ def minhash_pairs(left: DataFrame, right: DataFrame, percent: int = 80) -> DataF
     parts = n - must + 1
     edges = [n * i // parts for i in range(parts + 1)]
     bands = lambda c: F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice(c, e + 1, f - e)).alias("h")) for i, (e, f) in enumerate(zip(edges, edges[1:], strict=False)))))
-    met = x.select("a", bands("a_hash").alias("e")).select("a", "e.*").join(y.select("b", bands("b_hash").alias("e")).select("b", "e.*"), ["band", "h"]).select("a", "b").distinct()
+    met = x.select("a", bands("a_hash").alias("e")).select("a", "e.*").join(
+        y.select("b", bands("b_hash").alias("e")).select("b", "e.*"),
+        ["band", "h"],
+    ).select("a", "b").distinct()
     pairs = met.join(x, "a").join(y, "b").withColumn("equal", F.size(F.filter(F.zip_with("a_hash", "b_hash", lambda u, v: u == v), lambda e: e)))
     return pairs.where(F.col("equal") >= must).select("a", "b", "equal")
 
@@ -378,7 +436,10 @@ def order_free_digest(df: DataFrame, key: str, value: str) -> DataFrame:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not begun or k != last:
                     if begun:
-                        yield pa.RecordBatch.from_arrays([pa.array([last], batch.column(0).type), pa.array([digest.hexdigest()])], names=["k", "digest"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([last], batch.column(0).type), pa.array([digest.hexdigest()])],
+                            names=["k", "digest"],
+                        )
                     last, digest, begun = k, hashlib.sha256(v.encode()), True
                 else:
                     digest.update(b"|" + v.encode())

@@ -17,12 +17,27 @@ def evidence_of(docs: DataFrame, key: str, text: str, url: Column) -> DataFrame:
     """A row for each document: tag, hashes before and after marking, plain and of the normal form."""
     t, tag = F.col(text), watermark_id(F.col(key))
     after = marked(t, tag, url)
-    return docs.select(F.col(key).alias("artifact_id"), tag.alias("watermark_id"), sha(t).alias("hash_before"), sha(after).alias("hash_after"), normalized_sha(t).alias("norm_before"), normalized_sha(after).alias("norm_after"))
+    return docs.select(
+        F.col(key).alias("artifact_id"),
+        tag.alias("watermark_id"),
+        sha(t).alias("hash_before"),
+        sha(after).alias("hash_after"),
+        normalized_sha(t).alias("norm_before"),
+        normalized_sha(after).alias("norm_after"),
+    )
 
 
 def hashes_of(suspects: DataFrame) -> DataFrame:
     """suspect_id, family (raw, norm), hash."""
-    return suspects.select("suspect_id", F.inline(F.array(F.struct(F.lit("raw").alias("family"), sha(F.col("text")).alias("hash")), F.struct(F.lit("norm").alias("family"), normalized_sha(F.col("text")).alias("hash")))))
+    return suspects.select(
+        "suspect_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("raw").alias("family"), sha(F.col("text")).alias("hash")),
+                F.struct(F.lit("norm").alias("family"), normalized_sha(F.col("text")).alias("hash")),
+            )
+        ),
+    )
 
 
 def exact_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -30,17 +45,31 @@ def exact_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
 
     Evidence keeps one artifact for each hash before the join, so copies don't multiply.
     """
-    kinds = [("after", "hash_after", "raw", 1.0), ("before", "hash_before", "raw", 1.0), ("normalized", "norm_after", "norm", 0.95), ("normalized", "norm_before", "norm", 0.95)]
+    kinds = [
+        ("after", "hash_after", "raw", 1.0),
+        ("before", "hash_before", "raw", 1.0),
+        ("normalized", "norm_after", "norm", 0.95),
+        ("normalized", "norm_before", "norm", 0.95),
+    ]
     keys = evidence.select("artifact_id", F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(k).alias("how"), F.col(c).alias("hash"), F.lit(w).alias("confidence"), F.lit(i).alias("place")) for i, (k, c, f, w) in enumerate(kinds)))))
     keys = keys.where("hash is not null").groupBy("family", "hash").agg(F.min(F.struct("place", "artifact_id", "how", "confidence")).alias("e"))
     mine = hashes_of(suspects)
-    return mine.join(keys, ["family", "hash"]).groupBy("suspect_id").agg(F.min("e").alias("e")).select("suspect_id", "e.artifact_id", "e.how", "e.confidence")
+    return mine.join(keys, ["family", "hash"]).groupBy("suspect_id").agg(F.min("e").alias("e")).select(
+        "suspect_id",
+        "e.artifact_id",
+        "e.how",
+        "e.confidence",
+    )
 
 
 def tag_matches(suspects: DataFrame, evidence: DataFrame) -> DataFrame:
     """suspect_id, watermark_id, artifact_id (null for a foreign tag): suspects that carry a tag."""
     tagged = suspects.select("suspect_id", tag_id(F.col("text")).alias("watermark_id")).where("watermark_id is not null")
-    return tagged.join(evidence.groupBy("watermark_id").agg(F.min("artifact_id").alias("artifact_id")), "watermark_id", "left").select("suspect_id", "watermark_id", "artifact_id")
+    return tagged.join(
+        evidence.groupBy("watermark_id").agg(F.min("artifact_id").alias("artifact_id")),
+        "watermark_id",
+        "left",
+    ).select("suspect_id", "watermark_id", "artifact_id")
 
 
 def flips(width: int, radius: int) -> list[int]:
@@ -82,7 +111,11 @@ def simhash_matches(suspects: DataFrame, evidence: DataFrame, k: int = 25, first
     near = near_simhashes(suspects, best, min(k, first))
     near = near.groupBy("a").agg(F.min("distance").alias("distance")).join(near, ["a", "distance"])
     if k > first:
-        left = suspects.where("simhash is not null").select("simhash").distinct().join(near.select(F.col("a").alias("simhash")), "simhash", "left_anti")
+        left = suspects.where("simhash is not null").select("simhash").distinct().join(
+            near.select(F.col("a").alias("simhash")),
+            "simhash",
+            "left_anti",
+        )
         near = near.select("a", "b", "distance").unionByName(blocked_distances(left, best.select("simhash"), k))
     found = suspects.join(near, suspects["simhash"] == near["a"]).join(best.withColumnRenamed("simhash", "b"), "b")
     return found.groupBy("suspect_id").agg(F.min(F.struct("distance", "artifact_id")).alias("m")).select("suspect_id", "m.artifact_id", "m.distance")

@@ -33,9 +33,21 @@ def media_ladders(spark, sf_dir):
     """Verdicts on media from their stored signals: hashes, tags, perceptual hashes."""
     k, x = F.pmod(F.col("page_id"), F.lit(7)), F.md5("html")
     y = F.when(k == 4, x).when(k == 5, F.concat(F.substring(x, 1, 26), F.lit("zzzzzz"))).otherwise(F.reverse(x))
-    s = table(spark, sf_dir, "pages").where("html is not null").select("page_id", (k == 0).alias("a"), (k == 1).alias("b"), (k == 2).alias("t"), k.isin(2, 3).alias("p"), W.digit_similarity(x, y).alias("s"))
+    s = table(spark, sf_dir, "pages").where("html is not null").select(
+        "page_id",
+        (k == 0).alias("a"),
+        (k == 1).alias("b"),
+        (k == 2).alias("t"),
+        k.isin(2, 3).alias("p"),
+        W.digit_similarity(x, y).alias("s"),
+    )
     a, b, t, p, s_ = (F.col(c) for c in "abtps")
-    return s.select("page_id", F.round(W.audio_confidence(a, b, t, s_), 6).alias("audio"), W.video_confidence(a, b, t, s_ == 1, p).alias("video"), W.pdf_confidence(a, b).alias("pdf"))
+    return s.select(
+        "page_id",
+        F.round(W.audio_confidence(a, b, t, s_), 6).alias("audio"),
+        W.video_confidence(a, b, t, s_ == 1, p).alias("video"),
+        W.pdf_confidence(a, b).alias("pdf"),
+    )
 
 
 @query("""SELECT doc_id, '{"payload_hash":"' || sha256(text) || '","hash_algorithm":"SHA-256","signature_value":"' || CASE WHEN doc_id % 3 = 0 THEN upper(md5(text)) ELSE 'unsigned' END || '","signature_encoding":"hex","signed_at":"2024-01-02T00:00:00+00:00","metadata":{"signature_algorithm":"Ed25519","key_id":"' || CASE WHEN doc_id % 3 = 0 THEN 'key-' || source ELSE 'none' END || '","canonicalization_version":"RFC8785-like/1.0","key_backend":"kms","verification_method":"verify/v1"}}' AS envelope, doc_id % 3 = 0 AS signed FROM documents""")
@@ -65,7 +77,17 @@ def verify_steps(spark, sf_dir):
     hashes = P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id")
     rows = V.steps(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), hashes)
     step = lambda i: F.col("steps")[i]
-    return rows.select("suspect_id", "final_tier", "authentic", "confidence", step(0)["confidence"].alias("exact_confidence"), step(1)["confidence"].alias("fragment_confidence"), step(1)["details"].alias("fragment_details"), step(2)["confidence"].alias("similarity_confidence"), F.regexp_replace(step(2)["details"], ", similarity=.*", "").alias("similarity_details"))
+    return rows.select(
+        "suspect_id",
+        "final_tier",
+        "authentic",
+        "confidence",
+        step(0)["confidence"].alias("exact_confidence"),
+        step(1)["confidence"].alias("fragment_confidence"),
+        step(1)["details"].alias("fragment_details"),
+        step(2)["confidence"].alias("similarity_confidence"),
+        F.regexp_replace(step(2)["details"], ", similarity=.*", "").alias("similarity_details"),
+    )
 
 
 @query(f"WITH {STEPS_SQL} SELECT suspect_id, 'Artifact ID: ' || suspect_id || chr(10) || 'Result: ' || CASE WHEN c1 + c2 + c3 > 0 THEN 'AUTHENTIC' ELSE 'NOT AUTHENTIC' END || chr(10) || 'Final Tier: ' || CASE WHEN c1 > 0 THEN 'EXACT_HASH' WHEN c2 > 0 THEN 'FRAGMENTS' WHEN c3 > 0 THEN 'SIMILARITY' ELSE 'NO_MATCH' END AS head FROM st")

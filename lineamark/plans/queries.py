@@ -52,7 +52,16 @@ def url_of(key="doc_id"):
 
 def suspects_of(docs: DataFrame) -> DataFrame:
     t, tag, k = F.col("text"), T.watermark_id(F.col("doc_id")), F.pmod(F.col("doc_id"), F.lit(8))
-    kinds = [T.marked(t, tag, url_of()), t, F.concat(F.lit("  "), F.replace(t, F.lit(" "), F.lit("  "))), T.marked(t, tag, url_of(), "header"), F.concat(F.lit("edited "), t), F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")), F.concat(F.lit("Unrelated words "), F.md5(F.col("doc_id").cast("string"))), F.lit("")]
+    kinds = [
+        T.marked(t, tag, url_of()),
+        t,
+        F.concat(F.lit("  "), F.replace(t, F.lit(" "), F.lit("  "))),
+        T.marked(t, tag, url_of(), "header"),
+        F.concat(F.lit("edited "), t),
+        F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")),
+        F.concat(F.lit("Unrelated words "), F.md5(F.col("doc_id").cast("string"))),
+        F.lit(""),
+    ]
     out = F.when(k == 0, kinds[0])
     for i, kind in enumerate(kinds[1:], 1):
         out = out.when(k == i, kind)
@@ -65,7 +74,11 @@ def evidence_of(docs: DataFrame) -> DataFrame:
 
 def fragments_of(docs: DataFrame) -> DataFrame:
     f = P.fragments(docs, "doc_id", "text")
-    return f.select(F.concat_ws("_", F.col("doc_id").cast("string"), "location").alias("fragment_id"), F.col("doc_id").alias("artifact_id"), "fragment")
+    return f.select(
+        F.concat_ws("_", F.col("doc_id").cast("string"), "location").alias("fragment_id"),
+        F.col("doc_id").alias("artifact_id"),
+        "fragment",
+    )
 
 
 # --- SQL building blocks
@@ -104,7 +117,9 @@ EXACT_SQL = f"""exact AS (SELECT suspect_id, m.artifact_id AS artifact_id, m.how
 
 
 def simhash_sql(name: str, source: str, key: str) -> str:
-    bits = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {'-' if b == 63 else ''}{2**b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64))
+    bits = " + ".join(
+        f"CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {'-' if b == 63 else ''}{2**b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64)
+    )
     return f"""{name}_t AS (SELECT {key} AS k, CAST('0x' || substr(md5(t), 1, 16) AS UBIGINT) AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {source})),
 {name} AS (SELECT {key}, CAST(coalesce(v, 0) AS BIGINT) AS simhash FROM {source} LEFT JOIN (SELECT k, {bits} AS v FROM {name}_t GROUP BY k) x ON x.k = {source}.{key})"""
 
@@ -167,7 +182,12 @@ near AS (SELECT fragment_id, suspect_id, arg_max(shift, {{'s': score, 'b': -shif
 @query(f"SELECT doc_id, sha256(text) AS sha, sha256({norm_sql('text')}) AS norm_sha, sha256({norm_sql(drop_sql('text', DROP_COMMON_SQL))}) AS stripped_sha FROM documents")
 def hashes(spark, sf_dir):
     t = F.col("text")
-    return docs_of(spark, sf_dir).select("doc_id", T.sha(t).alias("sha"), T.normalized_sha(t).alias("norm_sha"), T.stripped_sha(t).alias("stripped_sha"))
+    return docs_of(spark, sf_dir).select(
+        "doc_id",
+        T.sha(t).alias("sha"),
+        T.normalized_sha(t).alias("norm_sha"),
+        T.stripped_sha(t).alias("stripped_sha"),
+    )
 
 
 def _mark(style: str):
@@ -185,13 +205,24 @@ for _style, _sql in (("footer", FOOTER_SQL), ("header", HEADER_SQL), ("inline",
 @query(f"WITH {SUSPECTS_SQL} SELECT suspect_id, coalesce(nullif(regexp_extract(text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), '')) AS tag, nullif(regexp_extract(text, 'Verify:\\s*(https?://[^\\s\\n]+)', 1), '') AS url, sha256({drop_sql('text', DROP_TAG_SQL)}) AS clean_sha FROM suspects")
 def extract_and_strip(spark, sf_dir):
     t = F.col("text")
-    return suspects_of(docs_of(spark, sf_dir)).select("suspect_id", T.tag_id(t).alias("tag"), T.tag_url(t).alias("url"), T.sha(T.unmarked(t)).alias("clean_sha"))
+    return suspects_of(docs_of(spark, sf_dir)).select(
+        "suspect_id",
+        T.tag_id(t).alias("tag"),
+        T.tag_url(t).alias("url"),
+        T.sha(T.unmarked(t)).alias("clean_sha"),
+    )
 
 
 @query("SELECT doc_id, length(text) AS text_length, regexp_matches(text, '(?i)---.*removed.*---') AS says_removed, regexp_matches(text, '(?i)\\[.*stripped.*\\]') AS says_stripped, regexp_matches(text, '(?i)As an AI|I''m sorry, but|I cannot|I don''t have the ability|based on the provided information') AS sounds_generated FROM documents")
 def suspect_profile(spark, sf_dir):
     t = F.col("text")
-    return docs_of(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("text_length"), t.rlike(T.MARKERS["removed"]).alias("says_removed"), t.rlike(T.MARKERS["stripped"]).alias("says_stripped"), t.rlike(T.PHRASES).alias("sounds_generated"))
+    return docs_of(spark, sf_dir).select(
+        "doc_id",
+        F.length(t).cast("long").alias("text_length"),
+        t.rlike(T.MARKERS["removed"]).alias("says_removed"),
+        t.rlike(T.MARKERS["stripped"]).alias("says_stripped"),
+        t.rlike(T.PHRASES).alias("sounds_generated"),
+    )
 
 
 UUID_RE, ANY_UUID_RE = T.UUID4, T.UUID
@@ -212,7 +243,14 @@ def _errors(spark, sf_dir) -> DataFrame:
     h = F.when(d % 4 == 0, "").when(d % 4 == 1, "abc").when(d % 4 == 2, F.upper(T.sha(F.col("text")))).otherwise(T.sha(F.col("text")))
     ids = docs_of(spark, sf_dir).select("doc_id", "source", a.alias("a"), w.alias("w"), f.alias("f"), h.alias("h"))
     c = F.col
-    return ids.select("doc_id", "source", T.artifact_id_error(c("a")).alias("artifact_error"), T.watermark_id_error(c("w")).alias("watermark_error"), T.fragment_id_error(c("f")).alias("fragment_error"), T.sha_error(c("h")).alias("hash_error"))
+    return ids.select(
+        "doc_id",
+        "source",
+        T.artifact_id_error(c("a")).alias("artifact_error"),
+        T.watermark_id_error(c("w")).alias("watermark_error"),
+        T.fragment_id_error(c("f")).alias("fragment_error"),
+        T.sha_error(c("h")).alias("hash_error"),
+    )
 
 
 @query(f"WITH {IDS_SQL}, {ERRORS_SQL} SELECT doc_id, artifact_error, watermark_error, fragment_error, hash_error FROM errs")
@@ -221,7 +259,30 @@ def validate_ids(spark, sf_dir):
 
 
 #: Bytes put before pages, by page_id modulo their number; after them short and odd inputs that stand alone.
-HEADS = ["89504E470D0A1A0A", "FFD8FF", "25504446", "494433", "504B0304", "0000001066747970", "474946383761", "474946383961", "5249464600000000574542505650", "524946460000000057415645666D", "664C6143", "FFFB", "FFF3", "7F454C46", "4D5A90", "1F8B08", "52617221", "FFFE", "", "7B", "5B", "0A207B"]
+HEADS = [
+    "89504E470D0A1A0A",
+    "FFD8FF",
+    "25504446",
+    "494433",
+    "504B0304",
+    "0000001066747970",
+    "474946383761",
+    "474946383961",
+    "5249464600000000574542505650",
+    "524946460000000057415645666D",
+    "664C6143",
+    "FFFB",
+    "FFF3",
+    "7F454C46",
+    "4D5A90",
+    "1F8B08",
+    "52617221",
+    "FFFE",
+    "",
+    "7B",
+    "5B",
+    "0A207B",
+]
 ALONE = ["7B2261223A20317D", "5B312C20325D", "7B2261223A", "", "7F45", "4D", "52494646", "00000010667479", "205B5D0A"]
 SNIFF_SQL = f"""raw AS (SELECT page_id, CASE {" ".join(f"WHEN page_id % {len(HEADS) + len(ALONE)} = {i} THEN '{h}' || hex(encode(coalesce(html, '')))" for i, h in enumerate(HEADS))} {" ".join(f"WHEN page_id % {len(HEADS) + len(ALONE)} = {len(HEADS) + i} THEN '{h}'" for i, h in enumerate(ALONE))} END AS h FROM pages),
 sized AS (SELECT page_id, h, length(h) // 2 AS n, TRY(decode(unhex(substr(h, 1, {2 * T.SAMPLE})))) AS t FROM raw),
@@ -238,7 +299,12 @@ def sniff_type(spark, sf_dir):
         data = F.when(k == i, F.concat(F.unhex(F.lit(head)), html)).otherwise(data)
     for i, whole in enumerate(ALONE):
         data = F.when(k == len(HEADS) + i, F.unhex(F.lit(whole))).otherwise(data)
-    return table(spark, sf_dir, "pages").select("page_id", data.alias("data")).select("page_id", F.octet_length("data").cast("long").alias("size_bytes"), T.artifact_type(F.col("data")).alias("artifact_type"), T.file_type(F.col("data")).alias("file_type"))
+    return table(spark, sf_dir, "pages").select("page_id", data.alias("data")).select(
+        "page_id",
+        F.octet_length("data").cast("long").alias("size_bytes"),
+        T.artifact_type(F.col("data")).alias("artifact_type"),
+        T.file_type(F.col("data")).alias("file_type"),
+    )
 
 
 # --- fingerprints
@@ -252,7 +318,10 @@ def simhash(spark, sf_dir):
 @query(f"WITH {simhash_sql('s', 'documents', 'doc_id')} SELECT source, bit_xor(simhash) AS digest, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY source")
 def simhash_xor(spark, sf_dir):
     d = docs_of(spark, sf_dir)
-    return P.simhash(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.bit_xor("simhash").alias("digest"), F.count("*").alias("n"))
+    return P.simhash(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(
+        F.bit_xor("simhash").alias("digest"),
+        F.count("*").alias("n"),
+    )
 
 
 def _near_sql(k: int) -> str:
@@ -289,7 +358,14 @@ def text_entropy(spark, sf_dir):
 
 @query(f"WITH {FRAGMENTS_SQL} SELECT doc_id, location, CAST(offset_start AS BIGINT) AS offset_start, CAST(offset_end AS BIGINT) AS offset_end, sha256(fragment) AS sha, round(entropy, 6) AS entropy FROM frags")
 def fragments_select(spark, sf_dir):
-    return P.fragments(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", "location", F.col("offset_start").cast("long").alias("offset_start"), F.col("offset_end").cast("long").alias("offset_end"), "sha", F.round("entropy", 6).alias("entropy"))
+    return P.fragments(docs_of(spark, sf_dir), "doc_id", "text").select(
+        "doc_id",
+        "location",
+        F.col("offset_start").cast("long").alias("offset_start"),
+        F.col("offset_end").cast("long").alias("offset_end"),
+        "sha",
+        F.round("entropy", 6).alias("entropy"),
+    )
 
 
 @query(f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT shingle, count(*) AS df FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)) GROUP BY shingle")
@@ -302,7 +378,13 @@ ANCHORS_SQL = anchors_sql("anc", "documents", "doc_id")
 
 @query(f"WITH {ANCHORS_SQL} SELECT k AS doc_id, zone, CAST(rank AS BIGINT) AS rank, shingle, round(score, 6) AS score FROM anc")
 def anchors_topk(spark, sf_dir):
-    return P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select("doc_id", "zone", F.col("rank").cast("long").alias("rank"), "shingle", F.round("score", 6).alias("score"))
+    return P.anchors(docs_of(spark, sf_dir), "doc_id", "text").select(
+        "doc_id",
+        "zone",
+        F.col("rank").cast("long").alias("rank"),
+        "shingle",
+        F.round("score", 6).alias("score"),
+    )
 
 
 def _sets(df: DataFrame, key: str) -> DataFrame:
@@ -354,7 +436,10 @@ TOUCHED_SQL = f"{SUSPECTS_SQL}, touched AS (SELECT suspect_id, CASE WHEN suspect
 
 def touched_of(docs: DataFrame) -> DataFrame:
     """Suspects, of which two kinds have a character changed in every fifty."""
-    return suspects_of(docs).withColumn("text", F.when(F.pmod(F.col("suspect_id"), F.lit(8)).isin(4, 5), F.regexp_replace("text", r"(?s)(.{49}).", "$1#")).otherwise(F.col("text")))
+    return suspects_of(docs).withColumn(
+        "text",
+        F.when(F.pmod(F.col("suspect_id"), F.lit(8)).isin(4, 5), F.regexp_replace("text", r"(?s)(.{49}).", "$1#")).otherwise(F.col("text")),
+    )
 
 
 HEADS_SQL = f"{FRAGMENTS_SQL}, fset AS (SELECT doc_id, list_sort(list(fragment)) AS fs FROM frags GROUP BY doc_id), fhead AS (SELECT fs, min(doc_id) AS doc_id FROM fset GROUP BY fs), heads AS (SELECT f.doc_id || '_' || location AS fragment_id, f.doc_id AS artifact_id, fragment FROM frags f JOIN fhead USING (doc_id))"
@@ -388,14 +473,39 @@ def verify_flat(spark, sf_dir):
     """Each suspect against the evidence of the same row id: the ladder of all signals."""
     d = docs_of(spark, sf_dir)
     s = suspects_of(d)
-    e = evidence_of(d).join(P.simhash(d, "doc_id", "text").select(F.col("doc_id").alias("artifact_id"), F.col("simhash").alias("theirs")), "artifact_id")
+    e = evidence_of(d).join(
+        P.simhash(d, "doc_id", "text").select(F.col("doc_id").alias("artifact_id"), F.col("simhash").alias("theirs")),
+        "artifact_id",
+    )
     t, c = F.col("text"), F.col
-    mine = s.select("suspect_id", T.sha(t).alias("raw"), T.normalized_sha(t).alias("norm"), T.tag_id(t).alias("tag")).join(P.simhash(s, "suspect_id", "text"), "suspect_id")
+    mine = s.select(
+        "suspect_id",
+        T.sha(t).alias("raw"),
+        T.normalized_sha(t).alias("norm"),
+        T.tag_id(t).alias("tag"),
+    ).join(P.simhash(s, "suspect_id", "text"), "suspect_id")
     scores = A.own_anchor_scores(_sets(s, "suspect_id"), _sets(d, "doc_id")).withColumnRenamed("key", "suspect_id")
     j = mine.join(e, c("suspect_id") == c("artifact_id")).join(scores, "suspect_id", "left")
-    j = j.select("suspect_id", (c("raw") == c("hash_after")).alias("match_after"), (c("raw") == c("hash_before")).alias("match_before"), (c("norm") == c("norm_before")).alias("norm_match"), c("norm").isin(c("norm_before"), c("norm_after")).alias("match_normalized"), T.hamming(c("simhash"), c("theirs")).cast("long").alias("distance"), c("tag").isNotNull().alias("watermark_present"), F.coalesce(c("tag") == c("watermark_id"), F.lit(False)).alias("tag_intact"), "anchor_score")
+    j = j.select(
+        "suspect_id",
+        (c("raw") == c("hash_after")).alias("match_after"),
+        (c("raw") == c("hash_before")).alias("match_before"),
+        (c("norm") == c("norm_before")).alias("norm_match"),
+        c("norm").isin(c("norm_before"), c("norm_after")).alias("match_normalized"),
+        T.hamming(c("simhash"), c("theirs")).cast("long").alias("distance"),
+        c("tag").isNotNull().alias("watermark_present"),
+        F.coalesce(c("tag") == c("watermark_id"), F.lit(False)).alias("tag_intact"),
+        "anchor_score",
+    )
     a, b, n, similar = c("match_after"), c("match_before"), c("match_normalized"), V.similarity(c("distance"))
-    out = j.withColumns({"likely_removed": b & ~a, "content_modified": V.content_modified(a, b, c("norm_match"), similar), "authentic": V.is_authentic(a, b, n, similar), "confidence": F.round(V.flat_confidence(a, b, n, c("anchor_score"), similar), 6)})
+    out = j.withColumns(
+        {
+            "likely_removed": b & ~a,
+            "content_modified": V.content_modified(a, b, c("norm_match"), similar),
+            "authentic": V.is_authentic(a, b, n, similar),
+            "confidence": F.round(V.flat_confidence(a, b, n, c("anchor_score"), similar), 6),
+        }
+    )
     return out.drop("anchor_score", "norm_match")
 
 
@@ -440,7 +550,13 @@ verdicts AS (SELECT suspect_id, artifact_id, 'exact_hash' AS tier, confidence FR
 def verify_cascade(spark, sf_dir):
     d = docs_of(spark, sf_dir)
     s = touched_of(d)
-    return V.cascade(s, evidence_of(d), fragments_of(d), P.simhash(s, "suspect_id", "text"), P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"))
+    return V.cascade(
+        s,
+        evidence_of(d),
+        fragments_of(d),
+        P.simhash(s, "suspect_id", "text"),
+        P.simhash(d, "doc_id", "text").withColumnRenamed("doc_id", "artifact_id"),
+    )
 
 
 @query(f"WITH {CASCADE_SQL} SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(confidence), 6) AS mean_confidence FROM verdicts GROUP BY tier")
@@ -458,7 +574,12 @@ def verify_tags(spark, sf_dir):
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("artifact_id"), F.col("source").alias("model_id"), F.col("lang").alias("model_version"), T.watermark_id(F.col("doc_id")).alias("watermark_id"))
+    d = docs_of(spark, sf_dir).select(
+        F.col("doc_id").alias("artifact_id"),
+        F.col("source").alias("model_id"),
+        F.col("lang").alias("model_version"),
+        T.watermark_id(F.col("doc_id")).alias("watermark_id"),
+    )
     again = d.where("artifact_id % 10 = 0").withColumn("model_version", F.lit("v2"))
     return d.withColumn("ingested", F.lit(1)).unionByName(again.withColumn("ingested", F.lit(2)))
 
@@ -496,7 +617,12 @@ STATUS_SQL = "ev AS (SELECT user_id AS artifact_id, ts, event_id, CASE event_id
 
 def _status(spark, sf_dir) -> DataFrame:
     k = F.pmod(F.col("event_id"), F.lit(5))
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("artifact_id"), "ts", "event_id", F.when(k == 0, "queued").when(k == 1, "started").when(k == 2, "ok").otherwise("error").alias("outcome"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("artifact_id"),
+        "ts",
+        "event_id",
+        F.when(k == 0, "queued").when(k == 1, "started").when(k == 2, "ok").otherwise("error").alias("outcome"),
+    )
     return K.status(e)
 
 
@@ -510,7 +636,9 @@ def unexpired_tasks(spark, sf_dir):
     now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
     s = _status(spark, sf_dir).join(F.broadcast(now))  # one row
     kept = F.create_map(*(F.lit(x) for kv in K.KEPT.items() for x in kv))
-    return s.where(F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.col("now").cast("timestamp"))).select("artifact_id", "status")
+    return s.where(
+        F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.col("now").cast("timestamp"))
+    ).select("artifact_id", "status")
 
 
 @query("SELECT outcome, count(*) AS total, count(*) FILTER (value > 0) AS positive FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'failure' ELSE 'success' END AS outcome, value FROM events) GROUP BY outcome")
@@ -527,7 +655,12 @@ def band_sync(spark, sf_dir):
     """Each beat with the first cut of its user within an hour: an equi-join on hours, then the exact band."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     hour = 3_600_000_000
-    b = e.where(BEAT).select(F.col("event_id").alias("beat_id"), "user_id", F.col("t").alias("bt"), F.explode(F.array(*(F.floor(F.col("t") / hour) + k for k in (-1, 0, 1)))).alias("h"))
+    b = e.where(BEAT).select(
+        F.col("event_id").alias("beat_id"),
+        "user_id",
+        F.col("t").alias("bt"),
+        F.explode(F.array(*(F.floor(F.col("t") / hour) + k for k in (-1, 0, 1)))).alias("h"),
+    )
     c = e.where(CUT).select(F.col("event_id").alias("cut_id"), "user_id", F.col("t").alias("ct"), F.floor(F.col("t") / hour).alias("h"))
     near = b.join(c, ["user_id", "h"]).where(F.abs(F.col("bt") - F.col("ct")) <= hour)
     return near.groupBy("beat_id").agg(F.min(F.struct("ct", "cut_id")).alias("m")).select("beat_id", F.col("m.cut_id").alias("cut_id"))
@@ -542,7 +675,10 @@ def change_detect(spark, sf_dir):
 @query("SELECT user_id, round(1 - least(1.0, stddev_pop(gap) / avg(gap)), 6) AS regularity, count(gap) AS beats FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::DOUBLE / 1000000 AS gap FROM events) GROUP BY user_id HAVING avg(gap) > 0")
 def rhythm_regularity(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = table(spark, sf_dir, "events").select("user_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1e6).alias("gap"))
+    g = table(spark, sf_dir, "events").select(
+        "user_id",
+        ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1e6).alias("gap"),
+    )
     a = g.groupBy("user_id").agg(F.stddev_pop("gap").alias("s"), F.avg("gap").alias("m"), F.count("gap").alias("beats")).where("m > 0")
     return a.select("user_id", F.round(1 - F.least(F.lit(1.0), F.col("s") / F.col("m")), 6).alias("regularity"), "beats")
 
@@ -550,7 +686,12 @@ def rhythm_regularity(spark, sf_dir):
 @query("SELECT vec_id, next_id, round(list_cosine_similarity(e, n), 5) AS similarity FROM (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE next_id IS NOT NULL")
 def consecutive_similarity(spark, sf_dir):
     w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lead("vec_id").over(w).alias("next_id"), F.lead("embedding").over(w).alias("n"))
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        "embedding",
+        F.lead("vec_id").over(w).alias("next_id"),
+        F.lead("embedding").over(w).alias("n"),
+    )
     return e.where("next_id is not null").select("vec_id", "next_id", F.round(T.cosine(F.col("embedding"), F.col("n")), 5).alias("similarity"))
 
 

@@ -22,7 +22,14 @@ class EventTable:
 
     def put(self, rows: DataFrame, ingested: int) -> None:
         """rows: artifact_id, model_id and any others, which go into the JSON with them."""
-        events = rows.select(F.col("model_id").alias("model_name"), F.lit(STAGE).alias("stage"), F.lit(CREATED).alias("event_type"), F.col("artifact_id").cast("string").alias("artifact_id"), F.to_json(F.struct(*rows.columns)).alias("metadata"), F.lit(ingested).cast("long").alias("ingested"))
+        events = rows.select(
+            F.col("model_id").alias("model_name"),
+            F.lit(STAGE).alias("stage"),
+            F.lit(CREATED).alias("event_type"),
+            F.col("artifact_id").cast("string").alias("artifact_id"),
+            F.to_json(F.struct(*rows.columns)).alias("metadata"),
+            F.lit(ingested).cast("long").alias("ingested"),
+        )
         events.write.mode("append").saveAsTable(self.name)
 
     def events(self, model: str | None = None) -> DataFrame:
@@ -51,7 +58,12 @@ class FragmentStore:
 
     def put(self, rows: DataFrame, number: int) -> None:
         """number orders puts: the last one of an id counts."""
-        rows.select("fragment_id", "data", F.lit(number).cast("long").alias("ingested"), self._bucket(F.col("fragment_id")).alias("bucket")).write.mode("append").partitionBy("bucket").parquet(self.path)
+        rows.select(
+            "fragment_id",
+            "data",
+            F.lit(number).cast("long").alias("ingested"),
+            self._bucket(F.col("fragment_id")).alias("bucket"),
+        ).write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def _rows(self) -> DataFrame:
         return self.spark.read.schema("fragment_id string, data binary, ingested long, bucket int").parquet(self.path)
@@ -59,11 +71,17 @@ class FragmentStore:
     def get(self, fragment_id: str) -> DataFrame:
         """One row or none; only the id's bucket is read."""
         bucket = self.spark.range(1).select(self._bucket(F.lit(fragment_id))).first()[0]
-        return latest(self._rows().where((F.col("bucket") == bucket) & (F.col("fragment_id") == fragment_id)), "fragment_id").where("data is not null").select("fragment_id", "data")
+        return latest(
+            self._rows().where((F.col("bucket") == bucket) & (F.col("fragment_id") == fragment_id)),
+            "fragment_id",
+        ).where("data is not null").select("fragment_id", "data")
 
     def ids(self, prefix: str = "") -> DataFrame:
         own = self._rows().where(F.col("fragment_id").startswith(prefix))
-        return latest(own.select("fragment_id", "ingested", F.col("data").isNull().alias("gone")), "fragment_id").where("not gone").select("fragment_id")
+        return latest(
+            own.select("fragment_id", "ingested", F.col("data").isNull().alias("gone")),
+            "fragment_id",
+        ).where("not gone").select("fragment_id")
 
     def delete(self, ids: DataFrame, number: int) -> None:
         """A put of nothing: nulls take the place of the data, and no bucket is rewritten."""

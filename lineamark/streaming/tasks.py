@@ -20,15 +20,29 @@ def ordered(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy(F.desc("priority"), "artifact_id")
 
 
-def two_stage(source: DataFrame, mark: Callable[[DataFrame], DataFrame], enhance: Callable[[DataFrame], DataFrame], first: str, second: str, checkpoint: str) -> tuple[StreamingQuery, Callable[[], StreamingQuery]]:
+def two_stage(
+    source: DataFrame,
+    mark: Callable[[DataFrame], DataFrame],
+    enhance: Callable[[DataFrame], DataFrame],
+    first: str,
+    second: str,
+    checkpoint: str,
+) -> tuple[StreamingQuery, Callable[[], StreamingQuery]]:
     """Stage one marks rows of the stream source and writes them to first; stage two, begun by the returned function,
     reads that folder as a stream, enhances each batch and writes it to second. Both drain what is there and stop."""
     marked = mark(source)
-    one = marked.writeStream.format("parquet").option("path", first).option("checkpointLocation", f"{checkpoint}/1").trigger(availableNow=True).start()
+    one = marked.writeStream.format("parquet").option("path", first).option(
+        "checkpointLocation",
+        f"{checkpoint}/1",
+    ).trigger(availableNow=True).start()
 
     def later() -> StreamingQuery:
         rows = marked.sparkSession.readStream.schema(marked.schema).parquet(first)
-        return rows.writeStream.foreachBatch(lambda df, n: enhance(ordered(df) if "priority" in df.columns else df).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{second}/batch={n}")).option("checkpointLocation", f"{checkpoint}/2").trigger(availableNow=True).start()
+        return rows.writeStream.foreachBatch(
+            lambda df, n: enhance(
+                ordered(df) if "priority" in df.columns else df
+            ).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{second}/batch={n}")
+        ).option("checkpointLocation", f"{checkpoint}/2").trigger(availableNow=True).start()
 
     return one, later
 
@@ -38,9 +52,15 @@ def status(events: DataFrame, retries: int = RETRIES) -> DataFrame:
 
     The last event decides; an error is a retry until there were more than retries of them.
     """
-    last = events.groupBy("artifact_id").agg(F.max(F.struct("ts", "event_id", "outcome")).alias("l"), F.count_if(F.col("outcome") == "error").alias("attempts"))
+    last = events.groupBy("artifact_id").agg(
+        F.max(F.struct("ts", "event_id", "outcome")).alias("l"),
+        F.count_if(F.col("outcome") == "error").alias("attempts"),
+    )
     o = F.col("l.outcome")
-    state = F.when(o == "queued", "pending").when(o == "started", "processing").when(o == "ok", "completed").when(F.col("attempts") > retries, "failed").otherwise("retry")
+    state = F.when(o == "queued", "pending").when(o == "started", "processing").when(o == "ok", "completed").when(
+        F.col("attempts") > retries,
+        "failed",
+    ).otherwise("retry")
     return last.select("artifact_id", state.alias("status"), "attempts", F.col("l.ts").alias("at"))
 
 
@@ -79,7 +99,13 @@ def task_states(events: DataFrame, retries: int = RETRIES, late: str = "10 minut
         yield row(status, attempts, at)
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy("artifact_id").applyInPandasWithState(step, f"artifact_id {kind}, status string, attempts long, at timestamp", "status string, attempts long, at timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("artifact_id").applyInPandasWithState(
+        step,
+        f"artifact_id {kind}, status string, attempts long, at timestamp",
+        "status string, attempts long, at timestamp",
+        "update",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def unexpired(states: DataFrame, now) -> DataFrame:

@@ -11,6 +11,9 @@ sys.path.insert(0, str(Path(__file__).parent))
 def spark():
     from lineamark.session import session
 
-    s = session("tests", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"})
+    s = session(
+        "tests",
+        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
+    )
     s.sparkContext.setLogLevel("OFF")
     return s

@@ -27,7 +27,10 @@ def test_fuzzy_fragments_against_all_windows(spark):
     edits = {n: base[:5] + "#" * n + base[5 + n :] for n in (0, 5, len(base) // 10 - 1, len(base) // 10 + 2)}
 
     def brute(f, t):
-        best = max(((sum(a == b for a, b in zip(f, t[i : i + len(f)], strict=False)) / len(f), -i) for i in range(len(t) - len(f) + 1)), default=(0, 0))
+        best = max(
+            ((sum(a == b for a, b in zip(f, t[i : i + len(f)], strict=False)) / len(f), -i) for i in range(len(t) - len(f) + 1)),
+            default=(0, 0),
+        )
         return (-best[1], best[0]) if best[0] > 0.9 else None
 
     f = spark.createDataFrame([(1, base)], "fragment_id long, fragment string")
@@ -52,7 +55,15 @@ def test_fuzzy_fragments_of_touched_words(spark):
         return "".join(out)
 
     every = "".join("#" if i % 10 == 5 and i < 200 else c for i, c in enumerate(frags[0]))  # a character in each ten
-    texts = ["", None, "q" * 90, "zz " + every + " zz", "no in", "an abcdefghiXk", "no inner no inner"] + [word() + touched(f, k) + word() for f in frags if f for k in (0, 1, 2, len(f) // 10 + 1)]
+    texts = [
+        "",
+        None,
+        "q" * 90,
+        "zz " + every + " zz",
+        "no in",
+        "an abcdefghiXk",
+        "no inner no inner",
+    ] + [word() + touched(f, k) + word() for f in frags if f for k in (0, 1, 2, len(f) // 10 + 1)]
 
     def brute(f, t):
         found = [(sum(x == y for x, y in zip(f, t[i : i + len(f)], strict=True)) / len(f), -i) for i in range(len(t) - len(f) + 1)] if f and t else []
@@ -84,7 +95,11 @@ def test_marks_come_off(spark):
     df = spark.createDataFrame([("Para one.\n\nPara two.",), ("one line",)], "t string")
     t, tag, url = F.col("t"), F.lit("wmk-1"), F.lit("https://v.example/1")
     for style, whole in (("footer", True), ("header", False), ("inline", None)):
-        for r in df.select("t", marked(t, tag, url, style).alias("m")).select("t", tag_id(F.col("m")).alias("i"), unmarked(F.col("m")).alias("u")).collect():
+        for r in df.select("t", marked(t, tag, url, style).alias("m")).select(
+            "t",
+            tag_id(F.col("m")).alias("i"),
+            unmarked(F.col("m")).alias("u"),
+        ).collect():
             assert r["i"] == "wmk-1"
             assert whole is None or (r["u"] == r["t"]) == whole  # a header's second line keeps it from matching
 
@@ -108,7 +123,14 @@ def test_two_stage_stream(spark, tmp_path):
 
     src = str(tmp_path / "src")
     spark.range(5).write.parquet(src)
-    one, later = two_stage(spark.readStream.schema("id long").parquet(src), lambda d: d.withColumn("marked", F.lit(True)), lambda d: d.withColumn("more", F.col("id") * 2), str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "c"))
+    one, later = two_stage(
+        spark.readStream.schema("id long").parquet(src),
+        lambda d: d.withColumn("marked", F.lit(True)),
+        lambda d: d.withColumn("more", F.col("id") * 2),
+        str(tmp_path / "a"),
+        str(tmp_path / "b"),
+        str(tmp_path / "c"),
+    )
     one.awaitTermination(60)
     later().awaitTermination(60)
     assert sorted(r["more"] for r in spark.read.parquet(str(tmp_path / "b")).collect()) == [0, 2, 4, 6, 8]

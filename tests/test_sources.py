@@ -98,7 +98,9 @@ def test_task_states(spark, tmp_path):
         spark.createDataFrame([(*r, 0) for r in rows], kind).coalesce(1).write.parquet(f"{src}/part={i}")
     stream = spark.readStream.schema(f"{kind}, part int").option("maxFilesPerTrigger", 1).parquet(str(src))
     seen = []
-    q = K.task_states(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: seen.extend((r["artifact_id"], r["status"], r["attempts"]) for r in df.collect())).trigger(availableNow=True).start()
+    q = K.task_states(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(
+        lambda df, n: seen.extend((r["artifact_id"], r["status"], r["attempts"]) for r in df.collect())
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert set(seen[:3]) == {("a", "pending", 0), ("b", "pending", 0), ("c", "completed", 0)}
     assert set(seen[3:5]) == {("a", "retry", 1), ("b", "failed", 4)} and ("z", "completed", 0) in seen
@@ -114,7 +116,10 @@ def test_receipts_against_python(spark):
     """Canonical JSON as Python's json writes it, also for text that must be escaped."""
     rows = [("plain",), ('quote " and \\ back',), ("new\nline\ttab",), ("日本 é",), (None,)]
     d = spark.createDataFrame(rows, "b string").withColumn("n", F.lit(0.95))
-    for r in d.select("b", E.canonical(E.alphabetical(b=F.col("b"), a=F.lit(1), c=E.alphabetical(z=F.col("n"), y=F.lit(None).cast("string")))).alias("j")).collect():
+    for r in d.select(
+        "b",
+        E.canonical(E.alphabetical(b=F.col("b"), a=F.lit(1), c=E.alphabetical(z=F.col("n"), y=F.lit(None).cast("string")))).alias("j"),
+    ).collect():
         assert r["j"] == json.dumps({"b": r["b"], "a": 1, "c": {"z": 0.95, "y": None}}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     for r in R._records(spark, SF).limit(20).collect():
         e = r["evidence"].asDict(recursive=True)
@@ -136,11 +141,44 @@ def test_trailers_against_bytes(spark):
         return B.MAGIC + B.MARKER + len(j).to_bytes(4, "little") + j + B.MAGIC
 
     good = block(b'{"watermark_id":"w"}')
-    cases = [b"", b"x", good, b"data" + good, b"data" + block(b'{"a":1}'), b"a" + good + b"b" + block(b'{"watermark_id":"v"}'), b"data" + good[:-1], b"\xff\x00" + good, b"data" + block(b"{broken"), b"x" * 30 + B.MAGIC, b"d" + B.MAGIC + B.MARKER + b"\xff\xff\xff\x7f" + b"{}" + B.MAGIC, b"d" + block(b"{}")]
+    cases = [
+        b"",
+        b"x",
+        good,
+        b"data" + good,
+        b"data" + block(b'{"a":1}'),
+        b"a" + good + b"b" + block(b'{"watermark_id":"v"}'),
+        b"data" + good[:-1],
+        b"\xff\x00" + good,
+        b"data" + block(b"{broken"),
+        b"x" * 30 + B.MAGIC,
+        b"d" + B.MAGIC + B.MARKER + b"\xff\xff\xff\x7f" + b"{}" + B.MAGIC,
+        b"d" + block(b"{}"),
+    ]
     d = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i long, d binary")
-    got = {r["i"]: r for r in d.select("i", B.trailer_json(F.col("d")).alias("j"), B.trailer_id(F.col("d")).alias("w"), B.untagged(F.col("d")).alias("u")).collect()}
+    got = {
+        r["i"]: r for r in d.select(
+            "i",
+            B.trailer_json(F.col("d")).alias("j"),
+            B.trailer_id(F.col("d")).alias("w"),
+            B.untagged(F.col("d")).alias("u"),
+        ).collect()
+    }
     assert [got[i]["w"] for i in range(len(cases))] == [None, None, "w", "w", None, "v", None, "w", None, None, None, None]
-    assert [bytes(got[i]["u"]) for i in range(len(cases))] == [b"", b"x", b"", b"data", b"data", b"a" + good + b"b", cases[6], b"\xff\x00", cases[8], cases[9], cases[10], cases[11]]
+    assert [bytes(got[i]["u"]) for i in range(len(cases))] == [
+        b"",
+        b"x",
+        b"",
+        b"data",
+        b"data",
+        b"a" + good + b"b",
+        cases[6],
+        b"\xff\x00",
+        cases[8],
+        cases[9],
+        cases[10],
+        cases[11],
+    ]
 
 
 def test_sound(spark):
@@ -172,12 +210,19 @@ def test_envelopes_and_contexts(spark):
         S.Context.from_environment({})
     with pytest.raises(TypeError):
         S.envelope(F.lit("h"), F.lit("t"), F.lit("s"))
-    e = spark.range(1).select(F.to_json(S.placeholder(F.lit("t"))).alias("p"), S.covers(S.envelope(F.lit("h"), F.lit("t"), F.lit("s"), F.lit("k")), F.lit("h")).alias("c"), S.covers(S.envelope(F.lit("h"), F.lit("t")), F.lit("h")).alias("u")).first()
+    e = spark.range(1).select(
+        F.to_json(S.placeholder(F.lit("t"))).alias("p"),
+        S.covers(S.envelope(F.lit("h"), F.lit("t"), F.lit("s"), F.lit("k")), F.lit("h")).alias("c"),
+        S.covers(S.envelope(F.lit("h"), F.lit("t")), F.lit("h")).alias("u"),
+    ).first()
     assert json.loads(e["p"])["payload_hash"] == "0" * 64 and e["c"] and not e["u"]
 
 
 def test_odd_texts_of_functions(spark):
-    d = spark.createDataFrame([(None,), ("",), ("AI Provenance Tag: wmk-1\nVerify: https://v/1\n---\n\nbody",), ("x [AI Generated: w-2] y",)], "t string")
+    d = spark.createDataFrame(
+        [(None,), ("",), ("AI Provenance Tag: wmk-1\nVerify: https://v/1\n---\n\nbody",), ("x [AI Generated: w-2] y",)],
+        "t string",
+    )
     t = F.col("t")
     assert [tuple(r) for r in d.select(T.tag_id(t), T.tag_url(t), T.normalized(t)).collect()][:2] == [(None, None, None), (None, None, "")]
     assert [r[0] for r in d.select(T.tag_id(t)).collect()][2:] == ["wmk-1", "w-2"]

@@ -37,7 +37,17 @@ def anchors_of(df):
 def test_anchor_pairs(spark):
     rng = random.Random(3)
     long = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)) for _ in range(3)]
-    texts = [*long, " ".join(long[0].split()[:390]), " ".join(long[1].split()[-395:]), " ".join(long[2].split()[:450]), None, "", "a bc de", "some few words are here now", long[0]]
+    texts = [
+        *long,
+        " ".join(long[0].split()[:390]),
+        " ".join(long[1].split()[-395:]),
+        " ".join(long[2].split()[:450]),
+        None,
+        "",
+        "a bc de",
+        "some few words are here now",
+        long[0],
+    ]
     sets = anchors_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     of = {r["key"]: r["class"] for r in A.anchor_classes(sets).collect()}
     assert of == {**{i: i for i in range(10)}, 7: 6, 8: 6, 10: 0}
