@@ -46,6 +46,8 @@ BAND = 1.5
 PARTS, KEPT = 3, 2
 #: Documents on which hot signatures are looked for, about; those in one of HOT_SHARE of them are split into SALTS.
 PROBE, HOT_SHARE, SALTS = 8192, 128, 64
+#: Sets that a task remembers to have signed.
+REMEMBERED = 200_000
 #: Sets, and features, that one block of a large cluster holds about.
 BLOCK_SETS, BLOCK_FEATURES = 1024, 1_000_000
 
@@ -96,7 +98,7 @@ class Bands:
             low = self.low[-1]
             high = max(low, ceil(low * BAND) - 1)
             k = (100 - percent) * 2 * high // (100 + percent)
-            t = 2 + k // 3 if k else 0
+            t = 2 + k // 6 if k else 0
             self.parts.append((k + t + 2) // 2 if k else 1)  # 2 * p - k > t
             self.spare.append(t)
             self.low.append(high + 1)
@@ -164,17 +166,22 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
 
 
 def signed(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """doc_id, set_id, sig of texts (doc_id, text)."""
+    """doc_id, set_id, sig of texts (doc_id, text). A task signs a set once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, 1 << 21):
                 row, ids, sigs = [], [], []
                 for k, s in enumerate(shingle_sets(part.column(1), n)):
-                    if len(s):
+                    own = set_id(s)
+                    if len(s) and own not in seen:
                         sigs.append(signatures(s, bands))
-                        ids.append(set_id(s))
+                        ids.append(own)
                         row.append(k)
+                        seen.add(own)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 at = np.append(0, np.cumsum([len(s) for s in sigs])).astype(np.int32)
                 values = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -189,37 +196,25 @@ def candidates(texts: DataFrame, n: int, bands: Bands, documents: int) -> DataFr
     """a, b: each set and the least set of each of its signatures, of those that it doesn't leave out."""
     probe = signed(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, documents // PROBE))) == 0), n, bands)
     # at most HOT_SHARE keys for each signature of a document, on average
-    hot = written(
-        probe.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min(documents, PROBE) // HOT_SHARE)).select("sig"),
-        "hot-signatures",
-    )
+    often = F.col("n") >= max(2, min(documents, PROBE) // HOT_SHARE)
+    hot = written(probe.groupBy("sig").agg(F.count("*").alias("n")).where(often).select("sig"), "hot-signatures")
     salted = signed(texts, n, bands).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
-    salted = salted.select(
-        "set_id",
-        "sig",
-        F.coalesce("hot", F.lit(False)).alias("hot"),
-        F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"),
-    )
+    salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = salted.select("set_id", "sig", salt.alias("salt"))
     by_sig = Window.partitionBy("sig", "salt")
-    counted = salted.withColumns(
-        {"least": F.min("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)}
-    ).where("hot or set_id <> least or n > 1")
-    # copies of a set become one row; the parts of a hot signature are put together
-    shared = written(counted.groupBy("set_id", "sig", "hot").agg(F.min("n").alias("n")), "shared")
-    parts = shared.where("hot").groupBy("sig").agg(F.count("*").alias("all_n"))
-    shared_n = shared.join(F.broadcast(parts), "sig", "left").select("set_id", "sig", F.coalesce("all_n", "n").alias("n"))
+    counted = salted.withColumns({"least": F.min("set_id").over(by_sig), "most": F.max("set_id").over(by_sig), "n": F.count("set_id").over(by_sig)})
+    # hot signatures count as the most frequent, all alike; the order of signatures need only be the same for all sets
+    shared = counted.where("salt > 0 or least <> most").select("set_id", "sig", F.when(F.col("salt") > 0, 1 << 40).otherwise(F.col("n")).alias("n"))
+    # copies of a set become one row; then each set ranks its own signatures where they are
     band = F.shiftright("sig", 56).cast("int")
     hottest = Window.partitionBy("set_id", band).orderBy(F.desc("n"), "sig")
     spare = F.element_at(F.array(*map(F.lit, bands.spare)), band + 1)
-    cool = written(shared_n.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("set_id", "sig"), "signatures")
-    remove(shared)
+    once = shared.repartition("set_id").groupBy("set_id", "sig").agg(F.max("n").alias("n"))
+    cool = written(once.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("set_id", "sig"), "signatures")
     remove(hot)
     least = cool.groupBy("sig").agg(F.min("set_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    near = looked_up(cool, least, ["sig"], "n", cool.count()).where("set_id <> least").select(
-        F.col("set_id").alias("a"),
-        F.col("least").alias("b"),
-    ).distinct()
-    found = written(near, "candidates")
+    tied = looked_up(cool, least, ["sig"], "n", cool.count()).where("set_id <> least")
+    found = written(tied.select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct(), "candidates")
     remove(cool)
     return found
 
