@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lineamark.llm.shared import free_name, least_hashed
 from lineamark.llm.spans import LOWER, pieces, text_bytes
 
 #: Labelled documents to learn from, segments of each, epochs.
@@ -209,7 +210,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).alias("l"),
     )
     # ids are picked first, so that a task sends the driver no segments but those that are learned; at most sample ids
-    picked = keyed.select("h", "i").distinct().orderBy("h", "i").limit(sample)
+    picked = least_hashed(keyed.select("h", "i").distinct(), sample)
     got = keyed.join(F.broadcast(picked), ["h", "i"], "left_semi").orderBy("h", "i", "t").limit(sample).collect()
     return fit([[bytes(p) for p in r["t"]] for r in got], [r["l"] for r in got], EPOCHS, np.random.default_rng(7))
 
@@ -262,8 +263,6 @@ class Predictor:
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score added (with underscores where docs has such names)."""
-    from lineamark.llm.shared import free_name
-
     names = [free_name(docs, "lang_pred"), free_name(docs, "score")]
     text = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))

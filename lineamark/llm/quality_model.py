@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.langid import held_out
 from lineamark.llm.quality_rules import text_stats
+from lineamark.llm.shared import least_hashed
 from lineamark.llm.spans import pieces, text_bytes, word_codes, words
 
 #: Labelled rows to learn from.
@@ -178,7 +179,7 @@ def learn(
 ) -> dict:
     """Train on at most sample rows of docs that labels marks; of repeated labels of an id, the least counts."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).cast("int").alias("y"))
-    picked = marks.orderBy(F.xxhash64("i"), "i").limit(sample)
+    picked = least_hashed(marks.withColumn("h", F.xxhash64("i")), sample).drop("h")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
     # the picked ids are at most sample rows of 12 bytes
     rows = texts.join(F.broadcast(picked), "i").select("i", "y", "text")
@@ -189,7 +190,9 @@ def learn(
                 x = features(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "y", "x"])
 
-    got = sorted((r["i"], r["y"], tuple(r["x"])) for r in rows.mapInArrow(run, "i long, y int, x array<double>").collect())
+    # of repeated rows of an id no more than the sample in all
+    learned = rows.mapInArrow(run, "i long, y int, x array<double>").orderBy(F.xxhash64("i"), "i", "x").limit(sample)
+    got = sorted((r["i"], r["y"], tuple(r["x"])) for r in learned.collect())
     return grow(np.array([x for _, _, x in got]).reshape(len(got), len(FEATURES)), np.array([y for _, y, _ in got], np.float64))
 
 

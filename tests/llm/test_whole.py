@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lineamark.llm import langid, pii, quality_rules
+from lineamark.llm import langid, pii, quality_rules, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -176,3 +176,12 @@ def test_recurrent_gradients_against_differences():
             up[k][at] += 1e-2
             down[k][at] -= 1e-2
             assert abs((loss(up) - loss(down)) / 2e-2 - grad[at]) < 2e-3, (k, at)
+
+
+def test_samples_by_hash(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"), F.col("id").alias("i"))
+    want = sorted((r["h"], r["i"]) for r in keys.collect())
+    for n in (1, 7, 100, 400, 6000):
+        assert [tuple(r) for r in shared.least_hashed(keys, n).collect()] == want[:n]
+    one = keys.select(F.lit(2**62).alias("h"), "i")  # all hashes above the edge
+    assert [r["i"] for r in shared.least_hashed(one, 3).collect()] == [0, 1, 2]
