@@ -146,11 +146,6 @@ def unit_error(x: Column, name: str) -> Column:
     )
 
 
-def errors(**by_field: Column) -> Column:
-    """'field: error' for each field with an error, in the order given."""
-    return F.filter(F.array(*(F.concat(F.lit(f"{k}: "), e) for k, e in by_field.items())), lambda e: e.isNotNull())
-
-
 def starts(data: Column, *heads: bytes) -> Column:
     return F.greatest(
         *(F.substring(data, 1, len(h)) == F.lit(bytearray(h)) for h in heads)

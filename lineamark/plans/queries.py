@@ -635,10 +635,7 @@ def task_status(spark, sf_dir):
 def unexpired_tasks(spark, sf_dir):
     now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
     s = _status(spark, sf_dir).join(F.broadcast(now))  # one row
-    kept = F.create_map(*(F.lit(x) for kv in K.KEPT.items() for x in kv))
-    return s.where(
-        F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.col("now").cast("timestamp"))
-    ).select("artifact_id", "status")
+    return K.unexpired(s, F.col("now")).select("artifact_id", "status")
 
 
 @query("SELECT outcome, count(*) AS total, count(*) FILTER (value > 0) AS positive FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'failure' ELSE 'success' END AS outcome, value FROM events) GROUP BY outcome")

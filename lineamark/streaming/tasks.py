@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,10 +108,10 @@ def task_states(events: DataFrame, retries: int = RETRIES, late: str = "10 minut
     )
 
 
-def unexpired(states: DataFrame, now) -> DataFrame:
+def unexpired(states: DataFrame, now: Column) -> DataFrame:
     """States whose time has not run out at now."""
     kept = F.create_map(*(F.lit(x) for kv in KEPT.items() for x in kv))
-    return states.where(F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(F.lit(now).cast("timestamp")))
+    return states.where(F.unix_timestamp(F.col("at").cast("timestamp")) + kept[F.col("status")] >= F.unix_timestamp(now.cast("timestamp")))
 
 
 def responses(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
