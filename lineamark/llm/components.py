@@ -27,13 +27,16 @@ def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
         tied = looked_up(down, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return tied.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
-    edges = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    nodes = edges.where("a = b").select("b").distinct()
-    now = written(edges.where("a <> b").distinct(), "edges")
-    total, last = max(1, now.count()), None
+    # written first: what makes the edges is computed once, and loops are looked for in the table
+    every = written(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
+    nodes = every.where("a = b").select("b")
+    now, loops = every.where("a <> b"), nodes.count()
+    total, last, before = max(1, now.count()), None, None
     for _ in range(at_most):
-        before, now = now, written(small(large(now, total), total), "stars")
-        remove(before)
+        now = written(small(large(now, total), total), "stars")
+        if before is not None:
+            remove(before)
+        before = now
         # a forest of stars has no edge whose lower end is another's upper end; equal sums twice: nothing has changed
         sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sums == last:
@@ -41,6 +44,9 @@ def components(edges: DataFrame, at_most: int = 60) -> DataFrame:
         last = sums
     else:
         raise RuntimeError(f"components did not settle in {at_most} rounds")
+    if not loops:
+        remove(every)
+        nodes = now.where("a = b").select("b")  # none: stars have no loops
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     alone = nodes.select(F.col("b").alias("node"), F.col("b").alias("component"))
