@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineamark.llm.shared import free_name, least_hashed
-from lineamark.llm.spans import LOWER, pieces, text_bytes
+from lineamark.llm.spans import LOWER, lean, pieces, text_bytes
 
 #: Labelled documents to learn from, segments of each, epochs.
 SAMPLE, PER_DOCUMENT, EPOCHS = 3000, 1, 6
@@ -268,6 +268,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
     columns = plain.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model)
         for batch in batches:

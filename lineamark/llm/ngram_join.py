@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lineamark.llm.components import components
 from lineamark.llm.quality_rules import mixed
 from lineamark.llm.shared import free_name, looked_up, remove, written
-from lineamark.llm.spans import LOWER, pieces, text_bytes, word_codes, words
+from lineamark.llm.spans import LOWER, lean, pieces, text_bytes, word_codes, words
 
 #: Width of a band: its largest size over its smallest.
 BAND = 1.5
@@ -168,6 +168,7 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
 def signed(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
     """doc_id, set_id, sig of texts (doc_id, text). A task signs a set once, as far as it remembers."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -226,6 +227,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.where("doc_id is not null")
 
+    @lean
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
@@ -263,6 +265,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     )
     having = texts.withColumn("text_key", F.xxhash64("text")).join(placed, ["doc_id", "text_key"]).select("set_id", "text", "blocks")
 
+    @lean
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):

@@ -17,20 +17,21 @@ import json
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.llm.spans import encoded, pieces, text_bytes
+from lineamark.llm.spans import encoded, lean, pieces, release, text_bytes
 from lineamark.llm.transducer import byte_alphabet
 
 CAPACITY = 2048
 #: Left-overs that are packed together: bounds memory; padding is about half a window for each group.
 GROUP = 1024
 #: Bytes of words and their ids that a worker remembers, about; longer words aren't remembered.
-REMEMBERED, LONG = 100_000_000, 256
+REMEMBERED, LONG = 48_000_000, 256
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -215,6 +216,14 @@ class Tokens:
         return flat[take], np.append(0, ends)[np.searchsorted(cuts, rows)]
 
 
+@lru_cache(1)
+def tokens_by(path: str) -> Tokens:
+    """A worker's own, for all its tasks."""
+    made = Tokens(path)
+    release()
+    return made
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -226,10 +235,11 @@ def pack(
 ) -> DataFrame:
     """One row for each piece of a document: see SCHEMA; ids holds the piece's ids as little-endian 32-bit values."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = Tokens(tokenizer)
+        tokens = tokens_by(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         number = 0

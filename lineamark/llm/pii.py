@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineamark.llm.shared import free_name
+from lineamark.llm.spans import lean, pieces
 
 KEY = "a key for tests; give your own"
 
@@ -413,9 +414,8 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
     all_names = [*plain.columns, name]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lineamark.llm.spans import pieces
-
         made = Surrogates(key)
         for batch in batches:
             for part in pieces(batch, text):

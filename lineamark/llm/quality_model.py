@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lineamark.llm.langid import held_out
 from lineamark.llm.quality_rules import text_stats
 from lineamark.llm.shared import least_hashed
-from lineamark.llm.spans import pieces, text_bytes, word_codes, words
+from lineamark.llm.spans import lean, pieces, text_bytes, word_codes, words
 
 #: Labelled rows to learn from.
 SAMPLE = 20_000
@@ -184,6 +184,7 @@ def learn(
     # the picked ids are at most sample rows of 12 bytes
     rows = texts.join(F.broadcast(picked), "i").select("i", "y", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2):
@@ -199,6 +200,7 @@ def learn(
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: one row for each row of docs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):

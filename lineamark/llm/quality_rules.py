@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineamark.llm.shared import free_name, looked_up, written
-from lineamark.llm.spans import pieces, text_bytes, word_codes, words
+from lineamark.llm.spans import lean, pieces, text_bytes, word_codes, words
 
 MIN_WORDS = 20
 #: A line of more distinct documents of its host than this is boilerplate.
@@ -139,6 +139,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str, row:
             ends.append(ends[-1] + len(own))
         return whole, np.array(ends, np.int32), np.concatenate(lines), np.concatenate(words_in)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 3, 1 << 21):

@@ -5,7 +5,10 @@ All functions see whole texts. A null text counts as the empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +83,27 @@ def word_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     cuts[0::2], cuts[1::2] = begin, end
     codes, known = encoded(data, cuts)
     return codes[0::2], known
+
+
+def release() -> None:
+    """Give memory that is free within this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, so that a worker which goes on to other tasks keeps no memory of this one, nor of the one before."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

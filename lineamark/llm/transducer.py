@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.llm.spans import LOWER, encoded, pieces, text_bytes
+from lineamark.llm.spans import LOWER, encoded, lean, pieces, release, text_bytes
 
 #: Bytes of words, ids and texts that a worker remembers, about; longer words aren't remembered.
-REMEMBERED, LONG = 100_000_000, 256
+REMEMBERED, LONG = 48_000_000, 256
 #: Characters of text that are normalised and cut at a time; symbols between two passes of merges.
 RUN, BLOCK = 1 << 16, 48
 
@@ -357,11 +357,20 @@ class Texts:
         return out_n, out_i, out_t
 
 
+@lru_cache(1)
+def texts_by(path: str) -> Texts:
+    """A worker's own, for all its tasks."""
+    made = Texts(path)
+    release()
+    return made
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by one space), decoded (the text that these ids decode to)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = Texts(tokenizer)
+        texts = texts_by(tokenizer)
         for batch in batches:
             for part in pieces(batch, 1):
                 n, ids, decoded = texts(part.column(1))
