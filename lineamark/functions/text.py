@@ -11,11 +11,14 @@ TAG, VERIFY, INLINE = "AI Provenance Tag: ", "Verify: ", " [AI Generated: "
 FIND_TAG, FIND_INLINE, FIND_URL = r"(?U)AI Provenance Tag:\s*([a-zA-Z0-9_-]+)", r"(?U)\[AI Generated:\s*([a-zA-Z0-9_-]+)", r"(?U)Verify:\s*(https?://[^\s\n]+)"
 DROP_TAG = (r"(?smd)\n+---+\n+AI Provenance Tag:.*$", r"(?md)^AI Provenance Tag:.*?\n+---+\n+", r"(?Ud)\s*\[AI Generated:.*?\]")
 DROP_COMMON = (r"(?smd)\n+---+\n+AI Provenance.*$", r"(?md)^AI Provenance.*\n+---+\n+", r"(?d)\[AI Generated:.*?\]", r"(?U)Verify:\s*https?://[^\s]+")
+# What the patterns above begin with.
 HEADS = ("AI Provenance", "[AI Generated:", "Verify:")
+# The forms of ids.
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+# What says that a tag was taken off; phrases of generated text.
 MARKERS = {"removed": r"(?i)(?d)---.*removed.*---", "stripped": r"(?i)(?d)\[.*stripped.*\]"}
-PHRASES = r"(?i)As an AI|I'm sorry, but|I cannot|I don't have the ability|based on the provided information"
+PHRASE_LIST = ["As an AI", "I'm sorry, but", "I cannot", "I don't have the ability", "based on the provided information"]
 
 
 def stripped(text: Column) -> Column:
@@ -90,6 +93,12 @@ def unmarked(text: Column) -> Column:
     return without(text, DROP_TAG)
 
 
+def phrases(text: Column) -> Column:
+    """The phrases of PHRASE_LIST that the text has, whatever their case, in the list's order."""
+    low = F.lower(text)
+    return F.filter(F.array(*(F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in PHRASE_LIST)), lambda p: p.isNotNull())
+
+
 def stripped_sha(text: Column) -> Column:
     return normalized_sha(without(text, DROP_COMMON))
 
@@ -109,6 +118,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+# The wording of errors.
 def artifact_id_error(x: Column) -> Column:
     return F.when(F.coalesce(x, F.lit("")) == "", "artifact_id cannot be empty").when(~x.rlike("(?i)" + UUID4), "artifact_id must be valid UUID v4")
 

@@ -213,15 +213,26 @@ def extract_and_strip(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, length(text) AS text_length, regexp_matches(text, '(?i)---.*removed.*---') AS says_removed, regexp_matches(text, '(?i)\\[.*stripped.*\\]') AS says_stripped, regexp_matches(text, '(?i)As an AI|I''m sorry, but|I cannot|I don''t have the ability|based on the provided information') AS sounds_generated FROM documents")
+TAG_FOUND_SQL = "coalesce(nullif(regexp_extract(text, 'AI Provenance Tag:\\s*([a-zA-Z0-9_-]+)', 1), ''), nullif(regexp_extract(text, '\\[AI Generated:\\s*([a-zA-Z0-9_-]+)', 1), ''))"
+PHRASE_SQL = [f"CASE WHEN contains(lower(text), '{p.lower().replace(chr(39), chr(39) * 2)}') THEN '{p.replace(chr(39), chr(39) * 2)}' END" for p in T.PHRASE_LIST]
+
+
+@query(f"""WITH {SUSPECTS_SQL}, odd AS (SELECT suspect_id, CASE suspect_id % 5 WHEN 1 THEN '--- Tag REMOVED --- ' || text WHEN 2 THEN text || ' [was stripped here]' WHEN 3 THEN 'As an ai, i cannot. ' || text ELSE text END AS text FROM suspects)
+SELECT suspect_id, length(text) AS text_length, {TAG_FOUND_SQL} IS NOT NULL AS has_watermark, {TAG_FOUND_SQL} AS watermark_id, regexp_matches(text, '(?i)---.*removed.*---') AS says_removed, regexp_matches(text, '(?i)\\[.*stripped.*\\]') AS says_stripped, array_to_string(list_filter([{', '.join(PHRASE_SQL)}], lambda x: x IS NOT NULL), '; ') AS phrases FROM odd""")
 def suspect_profile(spark, sf_dir):
-    t = F.col("text")
-    return docs_of(spark, sf_dir).select(
-        "doc_id",
+    """What a suspect says of itself: its length, tag, traces of a removed tag, phrases of generated text."""
+    k, t = F.pmod(F.col("suspect_id"), F.lit(5)), F.col("text")
+    odd = F.when(k == 1, F.concat(F.lit("--- Tag REMOVED --- "), t)).when(k == 2, F.concat(t, F.lit(" [was stripped here]")))
+    odd = odd.when(k == 3, F.concat(F.lit("As an ai, i cannot. "), t)).otherwise(t)
+    s = suspects_of(docs_of(spark, sf_dir)).withColumn("text", odd)
+    return s.select(
+        "suspect_id",
         F.length(t).cast("long").alias("text_length"),
+        T.tag_id(t).isNotNull().alias("has_watermark"),
+        T.tag_id(t).alias("watermark_id"),
         t.rlike(T.MARKERS["removed"]).alias("says_removed"),
         t.rlike(T.MARKERS["stripped"]).alias("says_stripped"),
-        t.rlike(T.PHRASES).alias("sounds_generated"),
+        F.array_join(T.phrases(t), "; ").alias("phrases"),
     )
 
 
