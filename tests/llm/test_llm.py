@@ -282,10 +282,11 @@ def test_ngram_join(spark, monkeypatch):
         texts.append(" ".join(w[: 120 - k // 4]))
     texts += [" ".join(random.choice(words) for _ in range(random.randint(1, 30))) for _ in range(40)]
     docs = list(enumerate(texts))
-    for blocks, share in ((1024, 128), (8, 10_000)):  # the small ones make large clusters of blocks and many hot signatures
+    # small blocks cut large clusters, a large share makes many signatures hot
+    for blocks, share, kinds in ((1024, 128, ((4, 85), (5, 80))), (8, 10_000, ((4, 85), (4, 40)))):
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
         monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
-        for n, percent in ((4, 85), (5, 80), (4, 40)):
+        for n, percent in kinds:
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, texts), n, percent).collect()}
             assert got == brute_components(docs, n, percent)
     assert ngram_join.join(frame(spark, []), 4, 85).count() == 0
