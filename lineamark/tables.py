@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 HOT = 1000
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, in place of Spark's default.
+BATCH, DEFAULT = "4194304b", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, so that long texts don't fill an executor's memory beside its heap; a size that
+    the session was given stands."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == DEFAULT:
+        spark.conf.set(name, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
