@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineamark.llm.shared import free_name, least_hashed
+from lineamark.llm.shared import free_name, least_hashed, small_batches
 from lineamark.llm.spans import LOWER, lean, pieces, text_bytes
 
 #: Labelled documents to learn from, segments of each, epochs.
@@ -263,6 +263,7 @@ class Predictor:
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score added (with underscores where docs has such names)."""
+    small_batches(docs.sparkSession)
     names = [free_name(docs, "lang_pred"), free_name(docs, "score")]
     text = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))

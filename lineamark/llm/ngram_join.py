@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.components import components
 from lineamark.llm.quality_rules import mixed
-from lineamark.llm.shared import free_name, looked_up, remove, written
+from lineamark.llm.shared import free_name, looked_up, remove, small_batches, written
 from lineamark.llm.spans import LOWER, lean, pieces, text_bytes, word_codes, words
 
 #: Width of a band: its largest size over its smallest.
@@ -223,6 +223,7 @@ def candidates(texts: DataFrame, n: int, bands: Bands, documents: int) -> DataFr
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_id, component_id (the least id that links reach), class (of sets; null without features),
     text_key (a hash of the text): one row for each row of docs."""
+    small_batches(docs.sparkSession)
     bands = Bands(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.where("doc_id is not null")

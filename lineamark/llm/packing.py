@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineamark.llm.shared import small_batches
 from lineamark.llm.spans import encoded, lean, pieces, release, text_bytes
 from lineamark.llm.transducer import byte_alphabet
 
@@ -234,6 +235,7 @@ def pack(
     group: int = GROUP,
 ) -> DataFrame:
     """One row for each piece of a document: see SCHEMA; ids holds the piece's ids as little-endian 32-bit values."""
+    small_batches(docs.sparkSession)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

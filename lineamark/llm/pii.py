@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineamark.llm.shared import free_name
+from lineamark.llm.shared import free_name, small_batches
 from lineamark.llm.spans import lean, pieces
 
 KEY = "a key for tests; give your own"
@@ -408,6 +408,7 @@ def surrogated(text: str | None, made: Surrogates) -> tuple[str | None, list[dic
 
 def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
     """docs with surrogates in its text, and with a column entities: array of kind, begin, end in the new text."""
+    small_batches(docs.sparkSession)
     name = free_name(docs, "entities")
     text = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lineamark.llm.langid import held_out
 from lineamark.llm.quality_rules import text_stats
-from lineamark.llm.shared import least_hashed
+from lineamark.llm.shared import least_hashed, small_batches
 from lineamark.llm.spans import lean, pieces, text_bytes, word_codes, words
 
 #: Labelled rows to learn from.
@@ -199,6 +199,7 @@ def learn(
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: one row for each row of docs."""
+    small_batches(docs.sparkSession)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.llm.shared import free_name, looked_up, written
+from lineamark.llm.shared import free_name, looked_up, small_batches, written
 from lineamark.llm.spans import lean, pieces, text_bytes, word_codes, words
 
 MIN_WORDS = 20
@@ -174,6 +174,7 @@ def judge(
 
     Rows are told apart by their id; rows that share an id (or a null id) are told apart by a hash of their text.
     """
+    small_batches(docs.sparkSession)
     key = free_name(docs, "row_key")
     docs = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col, host_col).cast("string")))
     table = written(line_table(docs, id_col, text_col, host_col, key), "lines")

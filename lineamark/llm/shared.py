@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineamark.tables import HOT, free_name, looked_up, new_path, remove, shared_dir, written
+from lineamark.tables import HOT, free_name, looked_up, new_path, remove, shared_dir, small_batches, written
 
-__all__ = ["HOT", "free_name", "least_hashed", "looked_up", "new_path", "remove", "shared_dir", "written"]
+__all__ = ["HOT", "free_name", "least_hashed", "looked_up", "new_path", "remove", "shared_dir", "small_batches", "written"]
 
 
 def least_hashed(keys: DataFrame, sample: int) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineamark.llm.shared import small_batches
 from lineamark.llm.spans import LOWER, encoded, lean, pieces, release, text_bytes
 
 #: Bytes of words, ids and texts that a worker remembers, about; longer words aren't remembered.
@@ -367,6 +368,7 @@ def texts_by(path: str) -> Texts:
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by one space), decoded (the text that these ids decode to)."""
+    small_batches(docs.sparkSession)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
