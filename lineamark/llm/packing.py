@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Left-overs that are packed together: bounds memory; padding is about half a window for each group.
 GROUP = 1024
 #: Bytes of words and their ids that a worker remembers, about; longer words aren't remembered.
-REMEMBERED, LONG = 48_000_000, 256
+REMEMBERED, LONG = 16_000_000, 128
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -278,7 +278,7 @@ def pack(
             return made
 
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, 1 << 20):
                 ids, rows = tokens.ids(*text_bytes(part.column(1)))
                 for doc, a, b in zip(part.column(0).to_pylist(), rows[:-1], rows[1:], strict=True):
                     own = ids[a:b].tobytes() + end
